@@ -52,11 +52,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None)
         sizes = sizes.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
     else:
         sizes = sizes.withColumn("w", F.lit(1.0))
-    whole = sizes.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    size = F.lit(int(total)) if total is not None else F.col("all_n")
+    all_w, all_n = sizes.agg(F.sum("w"), F.sum("n")).first()
+    size = F.lit(int(total) if total is not None else all_n or 0)
     return (
-        sizes.crossJoin(F.broadcast(whole))  # one row
-        .withColumn("rate", F.col("w") / F.col("all_w") * size / F.col("n"))
+        sizes.withColumn("rate", F.col("w") / F.lit(all_w or 1.0) * size / F.col("n"))
         .where("rate > 0")
         .select("source", "rate", poisson_cdf("rate").alias("cdf"))
     )

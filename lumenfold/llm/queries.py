@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import media, mixing, sharding, simhash, topk
+from lumenfold.llm import linededup, media, mixing, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,22 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 100 == 0, 10)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    held_out = (toxicity.fold(F.col("doc_id")) == 0).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted", "nearest", "nearest_cosine")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return linededup.dedup_lines(docs)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,7 +52,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_topk": op4_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_linededup": op8_linededup,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
