@@ -97,7 +97,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = table.select(*KEY, F.posexplode(F.arrays_zip("ids", "words")).alias("n", "l")).select(
         *KEY, "n", F.col("l.ids").alias("id"), F.col("l.words").alias("words")
     )
-    twice = lines.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    # Kept, as all tables of counts below, so that the join has rows of one id split when there are many.
+    twice = checkpointed(lines.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"))
     # Depth 1: lines that stand elsewhere, in stretches long enough.
     kept = (
         lines.join(twice, "id", "left_semi")
@@ -120,7 +121,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = now.withColumn("half", F.first("name").over(later)).where("half is not null").select(
             *KEY, "n", F.xxhash64("name", "half").alias("name")
         )
-        classes = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name")
+        classes = checkpointed(pairs.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"))
         now, k = checkpointed(pairs.join(classes, "name", "left_semi")), k + 1
         if now.isEmpty():
             break
@@ -149,7 +150,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     named = checkpointed(named)
     interval = ["len", "left", "right", "check"]
-    heads = (
+    heads = checkpointed(
         named.groupBy(*interval)
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY, "start")).alias("head"))
         .where("c > 1")

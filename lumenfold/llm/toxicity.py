@@ -65,12 +65,19 @@ class Counts:
 
     def __init__(self, terms: list[str]) -> None:
         self.index = {t: i + 1 for i, t in enumerate(terms)}
+        self.heads = {t[:3] for t in terms}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _of(self, token: str) -> tuple[int, ...]:
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        found = self.memo[token] = tuple(sorted(self.index[c] for c in candidates(token) if c in self.index))
+        # Most tokens have no word that begins as any term does.
+        heads = self.heads
+        if any(f"{w[:3]} "[:3] in heads for w in _WORD.findall(token.lower())):
+            found = tuple(sorted(self.index[c] for c in candidates(token) if c in self.index))
+        else:
+            found = ()
+        self.memo[token] = found
         return found
 
     def __call__(self, text: str | None) -> dict[int, int]:
