@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,9 +133,9 @@ def _signed(value: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """``docs`` with ``fp`` and ``component_id``, the smallest doc_id that links reach. Texts are left out."""
+    """``docs`` with ``fp``, ``component`` (a fingerprint that names the group) and ``component_id``, the smallest doc_id that links reach. Texts are left out."""
     bounded_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
+    others = [c for c in docs.columns if c not in ("text", "fp", "component", "component_id")]
     rows = checkpointed(docs.select(*others, fingerprint_udf(F.col("text")).alias("fp")))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(distinct.select("fp"), list_cap), "a", "b")
@@ -143,16 +143,25 @@ def near_duplicates(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(named, "component").select("fp", "component_id")
+    classes = labelled.join(named, "component").select("fp", "component", "component_id")
     return rows.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id.
+    """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id, and of equal ids the smallest hash of its text.
 
-    Documents whose near-duplicates have all gone stay. Repeated rows of the kept doc_id give one row, the first by text.
+    A null doc_id comes last. Of rows with the kept doc_id and text one stays.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), list_cap)
-    keepers = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    keepers = keepers.select(F.col("doc_id").alias("keeper_id"), "fp")
-    return docs.join(keepers.drop("fp").distinct(), F.col("doc_id").eqNullSafe(F.col("keeper_id")), "left_semi")
+    mark = F.xxhash64("text")
+    rows = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), list_cap)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("k")
+    keepers = checkpointed(rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.mark").alias("keep_mark")))
+    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("keep_id")) & (mark == F.col("keep_mark")), "left_semi")
+    again = checkpointed(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "mark"))
+    if again.isEmpty():
+        return kept
+    again = again.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark"))
+    repeated = docs["doc_id"].eqNullSafe(F.col("again_id")) & (mark == F.col("again_mark"))
+    place = Window.partitionBy("doc_id", mark).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map") and c != "text"])
+    once = kept.join(again, repeated, "left_semi").withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
+    return kept.join(again, repeated, "left_anti").unionByName(once)
