@@ -295,15 +295,19 @@ class Encoder:
         split = [self.parts(t or "") for t in texts]
         if len(self.index) > KEEP:
             self.clear()
-        new = {p for parts in split for p in parts if p not in self.index}
-        if new:
-            self.learn(sorted(new))
+        get = self.index.get
+        found = [np.fromiter([get(p, -1) for p in parts], np.int64, len(parts)) for parts in split]
+        unknown = [np.flatnonzero(of < 0).tolist() for of in found]
+        if any(unknown):
+            self.learn(sorted({parts[i] for parts, new in zip(split, unknown, strict=True) for i in new}))
+            for of, parts, new in zip(found, split, unknown, strict=True):
+                for i in new:
+                    of[i] = self.index[parts[i]]
         if not len(self.index):
             self.starts = np.zeros(0, np.int64)
         ids, sizes, scores, losses = self.arrays()
         out = []
-        for parts in split:
-            of = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        for parts, of in zip(split, found, strict=True):
             length = sizes[of]
             row = ids[_ranges(self.starts[of], length)]
             total = float(scores[of].sum())
@@ -318,12 +322,15 @@ class Encoder:
         cheap = np.sort(cheap[np.isfinite(loss[cheap])])
         places = np.cumsum(length) - length
         choices = [[(score, ids) for score, ids in self.alternatives(parts[i], n)] for i in cheap.tolist()]
+        lost_by = [[c[0][0] - score for score, _ in c] for c in choices]
+        # What one change alone loses bounds what any of the n - 1 best can lose.
+        alone = sorted(x for part in lost_by for x in part[1:])
+        most = alone[n - 2] if len(alone) >= n - 1 else math.inf
         combined = []
-        for pick in itertools.product(*[range(len(c)) for c in choices]):
-            lost = sum(c[0][0] - c[j][0] for c, j in zip(choices, pick, strict=True))
-            changes = sum(j > 0 for j in pick)
+        for pick in itertools.product(*[[j for j, x in enumerate(part) if j == 0 or x <= most] for part in lost_by]):
+            changes = len(pick) - pick.count(0)
             if changes:
-                combined.append((lost, changes, pick))
+                combined.append((sum([part[j] for part, j in zip(lost_by, pick, strict=True)]), changes, pick))
         rows = []
         for lost, _, pick in sorted(combined)[: n - 1]:
             edits = [
