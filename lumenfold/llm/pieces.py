@@ -32,8 +32,10 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm.batches import bounded_batches
 
@@ -43,7 +45,7 @@ BLANK = "▁"
 UNKNOWN_BELOW = 10.0
 N_BEST = 4
 #: Parts that are kept; of longer ones than WIDTH the pass is made one character after the other.
-KEEP = 300_000
+KEEP = 600_000
 WIDTH = 24
 TOGETHER = 4096
 _PART = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
@@ -149,8 +151,10 @@ class _Table:
     def __call__(self, h: np.ndarray) -> np.ndarray:
         m = _mixed(h)
         a, b = (m >> np.uint64(64 - self.BITS)).astype(np.int64), (m >> np.uint64(20)).astype(np.int64) & ((1 << self.BITS) - 1)
-        out = np.where(self.hashes[0, a] == h, self.found[0, a], -1)
-        out = np.where((out < 0) & (self.hashes[1, b] == h), self.found[1, b], out)
+        out = np.where(self.hashes[0].take(a) == h, self.found[0].take(a), -1)
+        # The second table has what found its slot taken: few pieces, so few lookups hit it.
+        again = np.flatnonzero(self.hashes[1].take(b) == h)
+        out[again] = np.where(out[again] < 0, self.found[1].take(b[again]), out[again])
         for other, i in self.rest.items():
             out[h == np.uint64(other)] = i
         return out
@@ -299,7 +303,7 @@ class Encoder:
         found = [np.fromiter([get(p, -1) for p in parts], np.int64, len(parts)) for parts in split]
         unknown = [np.flatnonzero(of < 0).tolist() for of in found]
         if any(unknown):
-            self.learn(sorted({parts[i] for parts, new in zip(split, unknown, strict=True) for i in new}))
+            self.learn(list({parts[i] for parts, new in zip(split, unknown, strict=True) for i in new}))
             for of, parts, new in zip(found, split, unknown, strict=True):
                 for i in new:
                     of[i] = self.index[parts[i]]
@@ -308,10 +312,10 @@ class Encoder:
         ids, sizes, scores, losses = self.arrays()
         out = []
         for parts, of in zip(split, found, strict=True):
-            length = sizes[of]
-            row = ids[_ranges(self.starts[of], length)]
-            total = float(scores[of].sum())
-            out.append((row, total, self._next(parts, of, length, losses[of], total, n)))
+            length = sizes.take(of)
+            row = ids.take(_ranges(self.starts.take(of), length))
+            total = float(scores.take(of).sum())
+            out.append((row, total, self._next(parts, of, length, losses.take(of), total, n)))
         return out
 
     def _next(self, parts: list[str], of: np.ndarray, length: np.ndarray, loss: np.ndarray, total: float, n: int) -> list[dict]:
@@ -370,21 +374,47 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
     shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary's file
     names = ["piece_ids", "n_pieces", "score", "next_best", "round_trip"]
 
-    @F.pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept = docs.drop(*[c for c in docs.columns if c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if id(shared.value) not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[id(shared.value)] = Encoder(shared.value)
         encoder = _ENCODERS[id(shared.value)]
-        for texts in batches:
-            rows = [
-                (ids, len(ids), score, following, encoder.decode(ids) == (text or ""))
-                for text, (ids, score, following) in zip(texts, encoder.encode(list(texts), n), strict=True)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = encoder.encode(texts, n)
+            ids = [row for row, _, _ in found]
+            columns = [
+                _lists(ids),
+                pa.array([len(row) for row in ids], pa.int32()),
+                pa.array([score for _, score, _ in found], pa.float64()),
+                _following([following for _, _, following in found]),
+                pa.array([encoder.decode(row) == (text or "") for row, text in zip(ids, texts, strict=True)], pa.bool_()),
             ]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields + T._parse_datatype_string(ENCODED).fields))
+
+
+def _lists(rows: list) -> pa.ListArray:
+    """Rows of numbers as one Arrow array, without a Python object for each number."""
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64))).astype(np.int32)
+    values = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
 
-    kept = [c for c in docs.columns if c not in names]
-    return docs.withColumn("pieces", run(F.col("text"))).select(*kept, "pieces.*")
+def _following(rows: list[list[dict]]) -> pa.ListArray:
+    flat = [x for row in rows for x in row]
+    edits = [e for x in flat for e in x["edits"]]
+    edit = pa.StructArray.from_arrays(
+        [pa.array([e["at"] for e in edits], pa.int32()), pa.array([e["n_old"] for e in edits], pa.int32()), _lists([e["ids"] for e in edits])],
+        names=["at", "n_old", "ids"],
+    )
+    of = np.concatenate(([0], np.cumsum([len(x["edits"]) for x in flat], dtype=np.int64))).astype(np.int32)
+    one = pa.StructArray.from_arrays([pa.array([x["score"] for x in flat], pa.float64()), pa.ListArray.from_arrays(pa.array(of), edit)], names=["score", "edits"])
+    per = np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(per), one)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids") -> DataFrame:
