@@ -20,40 +20,39 @@ def _least(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable), a row for each node with an edge.
 
-    Loops and repeated edges do no harm; edges with a null end are left out; no edges give no rows.
+    Repeated edges do no harm; loops and edges with a null end are left out; no edges give no rows.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    now = checkpointed(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpointed(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         mirrored = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each larger neighbour of u goes to the least of u and its neighbours.
+        # Least ids are kept first, so that the join can have the rows of one hub split.
         large = (
-            mirrored.join(_least(mirrored), "u")
+            mirrored.join(checkpointed(_least(mirrored)), "u")
             .where("v >= u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
+            .where("u > v")
             .distinct()
         )
-        large = checkpointed(large.unionByName(now.where("u = v")).distinct())
+        large = checkpointed(large)
         # Small star: each smaller neighbour of u, and u, go to the least of them.
-        small = large.where("u <> v")
-        least = _least(small)
+        least = checkpointed(_least(large))
         now = checkpointed(
-            small.join(least, "u")
+            large.join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
-            .unionByName(large.where("u = v"))
-            .where("u >= v")
+            .where("u > v")
             .distinct()
         )
-        after = now.where("u <> v").agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        after = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    # A star's hub may have lost its own row; each hub is its own component.
-    members = now.where("u <> v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # All edges now lead to the least node of a star; that node is its own component.
+    members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     hubs = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return members.unionByName(hubs).distinct()
