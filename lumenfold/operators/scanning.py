@@ -81,8 +81,8 @@ def apply_scan(files: DataFrame, classified: DataFrame, lost: DataFrame | None =
             value = F.when(condition, new).otherwise(value)
         rows = rows.withColumn(name, value)
 
-    put("size", (changed | small, F.col("c_size")))
-    put("mtime", (changed | small, F.col("c_mtime")))
+    put("size", (changed | small | moved, F.col("c_size")))
+    put("mtime", (changed | small | moved, F.col("c_mtime")))
     put("path", (moved, F.col("c_path")))
     put("content_hash", (changed, F.col("c_hash")))
     put("too_small", (small, F.lit(1)), (changed, F.lit(0)))
