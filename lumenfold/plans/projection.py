@@ -176,5 +176,7 @@ def oracle(query: str, *tables: str) -> str:
         for n in [*NEEDS.get(t, ()), t]:
             if n not in order:
                 order.append(n)
+    if not order:
+        return query
     views = ", ".join(f"{t} AS ({TABLES[t].format(sha='sha256')})" for t in order)
     return f"WITH RECURSIVE {views} {query}" if not query.lstrip().upper().startswith("WITH ") else f"WITH RECURSIVE {views}, {query.lstrip()[5:]}"

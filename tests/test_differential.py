@@ -1,6 +1,6 @@
 import pytest
 
-from lumenfold.plans import registry
+from lumenfold.plans import changes, registry  # noqa: F401
 
 from .compare import connect, same
 
