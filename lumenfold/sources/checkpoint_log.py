@@ -41,3 +41,8 @@ def tail(log: DataFrame, n: int = 200) -> DataFrame:
         F.when(F.col("event") == "error", "error").when(F.col("event").isin("mem", "throttle"), "memory").when(F.col("event") == "stage", "stage").otherwise("other")
     )
     return log.orderBy(F.desc("line_no")).limit(n).withColumn("kind", kind)
+
+
+def append(records: DataFrame, folder: str) -> None:
+    """Records (ts, event, file_id, args) as JSON lines behind what is there; a stream reads them."""
+    records.select("ts", "event", "file_id", "args").write.mode("append").json(folder)
