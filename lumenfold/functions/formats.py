@@ -30,16 +30,19 @@ def clock(seconds: Column) -> Column:
 
 def frame_schedule(duration: Column) -> Column:
     """Seconds at which a video is sampled: each of the first minute, then every tenth; long ones thinned to 600 frames."""
+    # In closed form: how many times there are, which of them stay, and the second of each.
     dense = F.least(F.ceil(duration), F.lit(DENSE_SECONDS)).cast("int")
-    n_sparse = F.greatest(F.ceil((duration - DENSE_SECONDS) / SPARSE_STEP), F.lit(0)).cast("int")
-    head = F.transform(F.sequence(F.lit(0), dense - 1), lambda i: i.cast("double"))
-    tail = F.when(n_sparse > 0, F.transform(F.sequence(F.lit(0), n_sparse - 1), lambda i: (i * SPARSE_STEP + DENSE_SECONDS).cast("double")))
-    every = F.concat(head, F.coalesce(tail, F.array().cast("array<double>")))
+    n = dense + F.greatest(F.ceil((duration - DENSE_SECONDS) / SPARSE_STEP), F.lit(0)).cast("int")
     half = MOST_FRAMES // 2
-    step = F.greatest(F.lit(1), F.floor((F.size(every) - half) / half)).cast("int")
-    later = F.filter(F.slice(every, half + 1, 1 << 30), lambda _, i: i % step == 0)
-    thinned = F.slice(F.concat(F.slice(every, 1, half), later), 1, MOST_FRAMES)
-    return F.when(duration.isNull() | (duration <= 0), F.array(F.lit(POSTER_SECOND))).when(F.size(every) > MOST_FRAMES, thinned).otherwise(every)
+    step = F.greatest(F.lit(1), F.floor((n - half) / half)).cast("int")
+    many = n > MOST_FRAMES
+    kept = F.when(many, half + F.least(F.lit(MOST_FRAMES - half), F.ceil((n - half) / step))).otherwise(n).cast("int")
+
+    def second(k: Column) -> Column:
+        i = F.when(many & (k >= half), (k - half) * step + half).otherwise(k)
+        return F.when(i < DENSE_SECONDS, i).otherwise((i - DENSE_SECONDS) * SPARSE_STEP + DENSE_SECONDS).cast("double")
+
+    return F.when(duration.isNull() | (duration <= 0), F.array(F.lit(POSTER_SECOND))).otherwise(F.transform(F.sequence(F.lit(0), kept - 1), second))
 
 
 def turned(rotation: Column, delta: Column | int) -> Column:

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import checkpointed
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
@@ -44,7 +46,7 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (term, file_id, tf, positions), ``lengths`` (file_id, n_terms)."""
+    """``postings`` (term, file_id, n_terms, tf, positions), ``lengths`` (file_id, n_terms)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -54,8 +56,8 @@ def build(texts: DataFrame, id_col: str = "file_id") -> Index:
     """Documents without a term are not in the index."""
     words = texts.select(F.col(id_col).alias("file_id"), terms(F.col("text")).alias("t")).where(F.size("t") > 0)
     postings = (
-        words.select("file_id", F.posexplode("t").alias("position", "term"))
-        .groupBy("term", "file_id")
+        words.select("file_id", F.size("t").cast("bigint").alias("n_terms"), F.posexplode("t").alias("position", "term"))
+        .groupBy("term", "file_id", "n_terms")
         .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     )
     return Index(postings, words.select("file_id", F.size("t").cast("bigint").alias("n_terms")))
@@ -153,6 +155,17 @@ def _leaves(node: Node) -> list[Node]:
     return [leaf for p in parts for leaf in _leaves(p)]
 
 
+def _any_word(node: Node) -> Column:
+    """Terms that any part of a query reads, the excluded ones too."""
+    if node.kind == "word":
+        return F.col("term") == node.value
+    if node.kind == "prefix":
+        return F.col("term").startswith(node.value)
+    if node.kind == "phrase":
+        return F.col("term").isin(list(node.parts))
+    return reduce(lambda a, b: a | b, [_any_word(p) for p in node.parts])
+
+
 def _leaf_rows(index: Index, node: Node) -> DataFrame:
     """``file_id`` and ``tf`` of a word, a beginning or a phrase."""
     p = index.postings
@@ -189,6 +202,9 @@ def search(index: Index, query: str) -> DataFrame:
     except BadQuery:
         return index.lengths.where("false").select("file_id", F.lit(0.0).alias("rank"))
     n, mean = index.lengths.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
+    # The postings of the query's words alone, made once.
+    found = checkpointed(index.postings.where(_any_word(tree)))
+    index, lengths = Index(found, index.lengths), found.select("file_id", "n_terms").distinct()
     scored = None
     for leaf in dict.fromkeys(_leaves(tree)):
         rows = _leaf_rows(index, leaf)
@@ -197,7 +213,7 @@ def search(index: Index, query: str) -> DataFrame:
 
         idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(mean or 1.0)))
-        part = rows.join(index.lengths, "file_id").select("file_id", (F.lit(-idf) * weight).alias("s"))
+        part = rows.join(lengths, "file_id").select("file_id", (F.lit(-idf) * weight).alias("s"))
         scored = part if scored is None else scored.unionByName(part)
     total = scored.groupBy("file_id").agg(F.sum("s").alias("rank"))
     return total.join(_ids(index, tree), "file_id", "left_semi")
