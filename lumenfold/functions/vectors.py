@@ -30,8 +30,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Length one; zero vectors stay."""
-    return F.transform(doubles(v), lambda x: F.when(norm(doubles(v)) > 0, x / norm(doubles(v))).otherwise(x))
+    """Length one; zero vectors stay. The length is held beside the vector, else it would be made anew for every component."""
+    def scaled(p: Column) -> Column:
+        return F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x))
+
+    held = F.transform(F.array(doubles(v)), lambda d: F.struct(d.alias("v"), norm(d).alias("n")))
+    return F.element_at(F.transform(held, scaled), 1)
 
 
 def l2(a: Column, b: Column) -> Column:
