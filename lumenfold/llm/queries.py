@@ -20,7 +20,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return simhash.by_fingerprint(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

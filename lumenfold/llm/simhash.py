@@ -16,6 +16,12 @@ just if they meet under one of these, and whoever meets there is within two bits
 star from the least of each such group keeps every component. That is exact, and linear
 in the list's length.
 
+keep_one and near_duplicates have another rule: texts are linked if the sets of their
+five-word shingles have a Jaccard similarity of 0.8 or more. Sets that are alike share one
+of their first shingles by any common order (prefix filtering); here shingles of many
+texts come last. Pairs of one list go by their sizes and places, the rest are compared
+shingle by shingle; no pair that is alike is missed but for clashes of 64-bit hashes.
+
 Defined results: a text that is null or has no words has fingerprint 0, linked like any
 other; fewer than three words are one shingle; repeated rows share their fingerprint; a
 null doc_id takes part and is the smallest of its component only if no other is there;
@@ -35,7 +41,7 @@ from pyspark.sql import types as T
 
 from lumenfold.llm.batches import bounded_batches
 from lumenfold.operators.components import connected_components
-from lumenfold.session import checkpointed
+from lumenfold.session import checkpointed, discard, release, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -44,28 +50,38 @@ MIN_SHARED_BYTES = 8 - MAX_BITS
 #: Sets of four byte positions; any two positions are avoided by one of them.
 LISTS = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 1, 6, 7), (2, 3, 4, 5))
 LIST_CAP = 48
+#: The shingles of keep_one, which links texts whose sets have a Jaccard similarity of 0.8 or more.
+NEAR_WORDS = 5
+#: Shingles that have a rank of their own; which ones have is a matter of speed alone.
+MOST_COMMON = 1 << 18
 #: Shingles that are hashed and counted at a time, so that long texts need little memory.
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
-    """The text's SimHash, as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words_a_shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the text's shingles in their order, a block at a time."""
     # bytes.lower changes A-Z alone; bytes.split cuts at the bytes 20 and 09 to 0D.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - words_a_shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words_a_shingle, len(words))
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         to = min(n, at + BLOCK)
         spans = zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
+    """The text's SimHash, as a signed 64-bit number."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words_a_shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 
@@ -132,13 +148,21 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def near_duplicates(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """``docs`` with ``fp``, ``component`` (a fingerprint that names the group) and ``component_id``, the smallest doc_id that links reach. Texts are left out."""
+def by_fingerprint(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+    """``docs`` with ``fp``, ``component`` (a fingerprint that names the group) and ``component_id``, the smallest doc_id that links of two bits reach. Texts are left out."""
     bounded_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("text", "fp", "component", "component_id")]
-    rows = checkpointed(docs.select(*others, fingerprint_udf(F.col("text")).alias("fp")))
+    rows = checkpointed(docs.select(*_others(docs), fingerprint_udf(F.col("text")).alias("fp")))
+    return _grouped(rows, links(rows.select("fp").distinct(), list_cap))
+
+
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("text", "fp", "component", "component_id")]
+
+
+def _grouped(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` with the component of their ``fp`` under ``pairs``, and its smallest doc_id."""
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(distinct.select("fp"), list_cap), "a", "b")
+    found = connected_components(pairs, "a", "b")
     labelled = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
@@ -147,13 +171,176 @@ def near_duplicates(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     return rows.join(classes, "fp")
 
 
-def keep_one(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+def shingle_set(text: str | None, words_a_shingle: int = NEAR_WORDS) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in their order as signed numbers."""
+    blocks = list(shingle_hashes(text, words_a_shingle))
+    return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, np.int64)
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """A number that names the set; 0 if it is empty."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63) if len(shingles) else 0
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of the set's shingles by rank, then hash; two sets that are alike share one of these at least.
+
+    ``common`` are the sorted low halves of shingles in many sets and ``ranks`` their ranks
+    from 1; all others have rank 0. Sets that are 0.8 alike share 0.8 of each, so the last
+    0.8 of one, less one shingle, can't hold all that they share.
+    """
+    n = len(shingles)
+    take = n - (4 * n + 4) // 5 + 1 if n else 0
+    if len(common) and n:
+        low = shingles.astype(np.int32)
+        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+        rank = np.where(common[at] == low, ranks[at], 0)
+        shingles = shingles[np.lexsort((shingles, rank))]
+    return shingles[:take]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 0.8 or more."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Low halves of the shingles that most sets hold, sorted, and their ranks by count; MOST_COMMON at most."""
+
+    @F.pandas_udf("array<int>")
+    def halves(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).astype(np.int32) for t in texts])
+
+    counts = docs.select(F.explode(halves("text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(counts.where(F.col("n") > LIST_CAP).withColumn("level", F.floor(F.log2("n")).cast("int")))
+    least, total = 99, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > MOST_COMMON:
+            break
+        least = r.level
+    found = counts.where(F.col("level") >= least).select("s", "n").toPandas().sort_values(["n", "s"])
+    low = found["s"].to_numpy(np.int32)
+    by_value = np.argsort(low)
+    return low[by_value], by_value + 1
+
+
+def _in_order(x: str, y: str) -> list[Column]:
+    turned = F.col(f"{x}.fp") > F.col(f"{y}.fp")
+    return [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x), F.when(turned, F.col(x)).otherwise(F.col(y)).alias(y)]
+
+
+def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``fp`` (a name of the text's shingle set) in place of the text, and ``a``, ``b``: pairs of alike sets that connect all such pairs' components."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    known = spark.sparkContext.broadcast(_common(docs.select("text")))
+    release(spark)
+
+    @F.pandas_udf("fp long, n int, prefix array<long>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t) for t in texts]
+            yield pd.DataFrame({"fp": [set_id(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s, *known.value) for s in sets]})
+
+    @F.pandas_udf("fp long, shingles array<long>")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"fp": [set_id(s) for s in sets], "shingles": sets})
+
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    text_hash = F.xxhash64("text").alias("t")
+    rows = stored(docs.select(*[F.col(c).alias(f"c_{c}") for c in _others(docs)], text_hash, marks(F.col("text")).alias("m")).select("*", "m.*").drop("m"))
+    sets = rows.where("n > 0").select("fp", "n", "t", "prefix").dropDuplicates(["fp"])
+    # Dealt out as rows, which are a fraction of the bytes of an aggregate's unfinished lists.
+    postings = sets.select("fp", "n", "t", F.posexplode("prefix").alias("at", "s")).repartition("s")
+    lists = postings.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "fp", "at", "t"))).alias("l"))
+    lists = stored(lists.where(F.size("l") > 1))
+    del sets, postings
+    release(spark)
+    def only_alike(pairs: DataFrame) -> DataFrame:
+        # Sets are made again, of those texts alone that a pair names.
+        pairs = stored(pairs.select("a", "b", "ta", "tb"))
+        named = checkpointed(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct())
+        texts = docs.select("text", text_hash).join(named, "t", "left_semi").dropDuplicates(["t"])
+        held = stored(texts.select(whole(F.col("text")).alias("w")).select("w.*"))
+        del texts, named
+        release(spark)
+        of_a, of_b = (held.select(F.col("fp").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+        found = checkpointed(pairs.select("a", "b").join(of_a, "a").join(of_b, "b").where(verified("of_a", "of_b")).select("a", "b"))
+        del of_a, of_b
+        discard(held)
+        discard(pairs)
+        release(spark)
+        return found
+
+    near_size = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    # Sets that follow each other by size in a long list are compared first: most near copies are one component then.
+    long = lists.where(F.size("l") > LIST_CAP)
+    chain = (
+        long.select(F.expr("explode(zip_with(slice(l, 1, size(l) - 1), slice(l, 2, size(l)), (x, y) -> struct(x, y)))").alias("p"))
+        .select("p.x", "p.y")
+        .where(near_size)
+        .select(*_in_order("x", "y"))
+        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"))
+        .distinct()
+    )
+    first = only_alike(chain)
+    # Of the long lists' pairs only those of different components are left to compare; none is left out.
+    component = checkpointed(connected_components(first, "a", "b").withColumnRenamed("node", "fp"))
+    short = (
+        lists.where(F.size("l") <= LIST_CAP)
+        .select(F.expr("explode(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x, y)))))").alias("p"))
+        .select("p.x", "p.y")
+        .where(near_size)
+    )
+    parts = (
+        long.select("s", F.explode("l").alias("x"))
+        .withColumn("fp", F.col("x.fp"))
+        .join(component, "fp", "left")
+        .groupBy("s", F.coalesce("component", "fp").alias("c"))
+        .agg(F.collect_list("x").alias("xs"))
+    )
+    parts = checkpointed(parts)
+    across = (
+        parts.join(parts.select("s", F.col("c").alias("d"), F.col("xs").alias("ys")), "s")
+        .where("c < d")
+        .select(F.explode("xs").alias("x"), "ys")
+        .select("x", F.explode("ys").alias("y"))
+        .where(near_size)
+    )
+    # What a pair shares is what its lists tell, and at most all that stands after its last list in the shorter rest.
+    pairs = (
+        short.unionByName(across)
+        .select(*_in_order("x", "y"))
+        .groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .agg(
+            F.count(F.lit(1)).alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"),
+            F.min("x.t").alias("ta"), F.min("y.t").alias("tb"),
+        )
+        .where("9 * (c + least(n - i, m - j) - 1) >= 4 * (n + m)")
+    )
+    found = first.unionByName(only_alike(pairs))
+    discard(lists)
+    release(spark)
+    return rows.select(*[F.col(f"c_{c}").alias(c) for c in _others(docs)], "fp"), found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``fp``, ``component`` (the ``fp`` that names the group) and ``component_id``, the smallest doc_id that links of similar shingle sets reach. Texts are left out."""
+    return _grouped(*set_links(docs))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id, and of equal ids the smallest hash of its text.
 
     A null doc_id comes last. Of rows with the kept doc_id and text one stays.
     """
     mark = F.xxhash64("text")
-    rows = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), list_cap)
+    rows = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("k")
     keepers = checkpointed(rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.mark").alias("keep_mark")))
     kept = docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("keep_id")) & (mark == F.col("keep_mark")), "left_semi")

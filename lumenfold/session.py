@@ -6,6 +6,7 @@ query takes the session that it is given and reads its settings.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -82,3 +83,9 @@ def discard(df: DataFrame) -> None:
         if "/stored-" in name:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -99,3 +99,36 @@ def test_query_against_brute_force(spark, sf):
         least[g] = min(least.get(g, r.doc_id), r.doc_id)
     for r, v, g in zip(rows, values, roots, strict=True):
         assert got[r.doc_id].fingerprint == f"{v:016x}" and got[r.doc_id].component_id == least[g]
+
+
+def test_keep_one_by_five_words_and_similarity(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(9 if base else 40):
+            copy = words[:]
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy), "a"))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > simhash.MAX_BITS
+    assert far
+    frame = docs(spark, *rows)
+    for cap in (3, 48):
+        monkeypatch.setattr(simhash, "LIST_CAP", cap)
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {i: find(i) for i in range(len(rows))}
+        assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted({find(i) for i in range(len(rows))})
