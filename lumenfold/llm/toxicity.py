@@ -1,24 +1,28 @@
-"""Toxicity by nearest labelled examples, with exact TF-IDF cosine over a block-max index.
+"""Toxicity by nearest labelled examples, with exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded sample of labelled rows of the training folds, as many of each
-label as there are up to ``per_label``. Terms are words and word beginnings that
-the label makes likelier among the examples (log-likelihood ratio), and one more term for
-all other words, so that how much of a text the marked words are has its say. Document
-frequencies are counted over all documents.
-
-The index has for each term and each block of examples the largest weight. For a text the
-blocks are visited by their bound, the largest first, until no bound reaches the k-th best
-cosine: the neighbours are exact. Equal cosines at the k-th place share what places are
-left. Votes weigh by distance and by how the sample thinned each label; a logistic curve
-fitted on examples, each without itself, turns the share into a calibrated score.
+label as there are up to ``per_label``. Terms are all words of the examples' whole texts. A
+term's weight in a text is (1 + ln tf) * idf * g: document frequencies are counted over all
+documents, and g is a factor of the term that the examples' labels tell (``label_factor``: the
+size of the correlation of term and label, which no term has below FLOOR); ``weighting="plain"``
+leaves g out. A word that no example has can't match any; it would scale a text's cosines
+all alike, and so the cosine is taken in the space of the examples' terms.
+
+The index has a term's postings in blocks of BLOCK examples, each block with its largest weight.
+For a text, the bounds of all blocks come first; blocks are then read by their bound, the largest first,
+until no bound reaches the k-th best cosine: the neighbours are exact. Equal cosines at the
+k-th place share what places are left. Votes weigh by distance and by how the sample thinned each
+label; a logistic curve fitted on examples, each without itself, turns the share into a
+calibrated score.
 
 A score is made of the text alone: labels of other folds, language, source and doc_id have
 no part in it.
 
-Defined results: null and empty texts have no terms and score as the least marked texts do;
-without labelled examples, or with one label only, every score is that label's share;
-repeated labels of a document count as toxic if any is; labels that are null or belong to
-no document are left out; repeated rows score alike; an empty table gives an empty one.
+Defined results: null and empty texts, and texts without any term, are as near to every example and
+score what all examples' votes say; without labelled examples, or with one label only, every score is that label's share;
+repeated labels of a document count as toxic if any is; labels that are null or belong to no document are
+left out; very long texts count whole, in memory that grows with one text; repeated rows score
+alike; an empty table gives an empty one; input columns named as results are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -35,167 +39,142 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.batches import bounded_batches
+from lumenfold.llm.columns import others, quoted, unused
 from lumenfold.session import discard, stored
 
 #: The bound of the sample: so many examples of each label.
 PER_LABEL = 2048
-MAX_TERMS = 768
 NEIGHBOURS = 15
-BLOCK = 64
-#: Word beginnings of these lengths are terms beside whole words.
-BEGINNINGS = range(4, 10)
-MIN_TOXIC_EXAMPLES = 4
-MIN_RATIO = 20.0
-MEMO = 200_000
+BLOCK = 32
+#: The least factor of a term.
+FLOOR = 0.002
+EPSILON = 1e-9
 _WORD = re.compile(r"[^\W_]+")
 
 
-def candidates(token: str) -> set[str]:
-    """The terms that a blank-separated token could count for. A word ends in a blank, a beginning doesn't."""
-    found = set()
-    for word in _WORD.findall(token.lower()):
-        word = word[:64]
-        found.add(word + " ")
-        found.update(word[:n] for n in BEGINNINGS if n < len(word))
-    return found
-
-
-class Counts:
-    """Counts of chosen terms in texts; index 0 is for all other words."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.index = {t: i + 1 for i, t in enumerate(terms)}
-        self.heads = {t[:3] for t in terms}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _of(self, token: str) -> tuple[int, ...]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        # Most tokens have no word that begins as any term does.
-        heads = self.heads
-        if any(f"{w[:3]} "[:3] in heads for w in _WORD.findall(token.lower())):
-            found = tuple(sorted(self.index[c] for c in candidates(token) if c in self.index))
-        else:
-            found = ()
-        self.memo[token] = found
-        return found
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        other, memo = 0, self.memo
-        for token, n in Counter((text or "").split()).items():
-            terms = memo.get(token)
-            if terms is None:
-                terms = self._of(token)
-            if not terms:
-                other += n
-            for i in terms:
-                counts[i] = counts.get(i, 0) + n
-        if other:
-            counts[0] = other
-        return counts
-
-
-def log_ratio(a: float, b: float, n_a: float, n_b: float) -> float:
-    """Dunning's log-likelihood ratio of a of n_a against b of n_b."""
-    def part(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
-
-    p = (a + b) / (n_a + n_b)
-    if not 0 < p < 1:
-        return 0.0
-    return 2 * (part(a, n_a, a / n_a) + part(b, n_b, b / n_b) - part(a, n_a, p) - part(b, n_b, p))
-
-
-def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_other: int, most: int = MAX_TERMS) -> list[str]:
-    """The terms that tell most; of terms that begin each other only the best. rows: term, toxic, other."""
-    scored = []
-    for term, toxic, other in rows:
-        if toxic / n_toxic > 2 * other / n_other:
-            scored.append((-log_ratio(toxic, other, n_toxic, n_other), -len(term), term))
-    chosen: list[str] = []
-    taken: set[str] = set()
-    starts: set[str] = set()
-    for ratio, _, term in sorted(scored):
-        if -ratio < MIN_RATIO or len(chosen) == most:
-            break
-        word = term.rstrip(" ")
-        if word in starts or any(word[:n] in taken for n in range(1, len(word) + 1)):
-            continue
-        chosen.append(term)
-        taken.add(word)
-        starts.update(word[:n] for n in range(1, len(word) + 1))
-    return chosen
+def term_counts(text: str | None) -> Counter:
+    """Every word of the text, in lower case, and how often it stands there."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def idf(n_docs: int, df: np.ndarray) -> np.ndarray:
+    return np.log((n_docs + 1) / (df + 1)) + 1
+
+
+def label_factor(with_toxic: np.ndarray, with_other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """The correlation of having the term and being toxic, without its sign; FLOOR is added."""
+    a, b = with_toxic.astype(np.float64), with_other.astype(np.float64)
+    spread = np.sqrt((a + b) * (n_toxic + n_other - a - b) * n_toxic * n_other)
+    apart = np.abs(a * (n_other - b) - b * (n_toxic - a))
+    return FLOOR + np.divide(apart, spread, out=np.zeros(len(a)), where=spread > 0)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Index:
+    """Postings by term and block: entries (block, largest weight, place of its postings) and postings (example, weight)."""
+
+    def __init__(self, n_terms: int, n_examples: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``rows``: terms and weights of each example, in the examples' order."""
+        sizes = np.array([len(t) for t, _ in rows], np.int64)
+        terms = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+        examples = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
+        order = np.lexsort((examples, terms))
+        terms, self.example, self.weight = terms[order], examples[order].astype(np.int32), weights[order]
+        self.n_examples, self.n_blocks = n_examples, max(1, -(-n_examples // BLOCK))
+        block = self.example // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        self.at = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.at, len(terms)))
+        self.block = block[self.at]
+        self.most = np.maximum.reduceat(self.weight, self.at) if len(self.at) else np.zeros(0)
+        n_entries = np.bincount(terms[self.at], minlength=n_terms)
+        self.first, self.entries = np.cumsum(n_entries) - n_entries, n_entries
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """Examples and cosines of the k nearest and of all tied with the last; and how many blocks were read."""
+        n = self.entries[terms]
+        entry = _ranges(self.first[terms], n)
+        asked = np.repeat(weights, n)
+        block = self.block[entry]
+        bound = np.bincount(block, asked * self.most[entry], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        cosine = np.zeros(self.n_examples)
+        read = np.zeros(self.n_blocks, bool)
+        kth, at, width, examples = -1.0, 0, 4, np.zeros(0, np.int64)
+        while at < len(order) and bound[order[at]] >= kth - EPSILON:
+            some = order[at : at + width]
+            some = some[bound[some] >= kth - EPSILON]
+            at, width = at + width, width * 2
+            now = np.zeros(self.n_blocks, bool)
+            now[some] = True
+            chosen = np.flatnonzero(now[block])
+            if len(chosen):
+                size = self.size[entry[chosen]]
+                place = _ranges(self.at[entry[chosen]], size)
+                cosine += np.bincount(self.example[place], np.repeat(asked[chosen], size) * self.weight[place], self.n_examples)
+            read |= now
+            examples = np.flatnonzero(np.repeat(read, BLOCK)[: self.n_examples])
+            examples = examples[examples != without]
+            if len(examples) >= k:
+                values = cosine[examples]
+                kth = float(np.partition(values, len(values) - k)[len(values) - k])
+        near = examples[cosine[examples] >= kth - EPSILON]
+        return near, cosine[near], int(read.sum())
 
 
 @dataclass
 class Model:
-    """Examples as unit vectors in blocks, and what turns votes into scores."""
+    """Examples as unit vectors in an index, and what turns votes into scores."""
 
     terms: list[str]
-    idf: np.ndarray
-    vectors: list[dict[int, int]]
+    factor: np.ndarray  # idf and label factor of each term
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and counts of each example
     toxic: np.ndarray
     ids: np.ndarray
     share: float
     thinned: tuple[float, float]
     k: int = NEIGHBOURS
     curve: tuple[float, float] = (0.0, 1.0)
-    _index: tuple | None = field(default=None, repr=False)
+    _ready: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_ready": None}
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.fromiter(counts, np.int64, len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[terms]
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.factor[terms]
         norm = math.sqrt(float(weights @ weights))
         return terms, weights / norm if norm else weights
 
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights by term and example, and each block's largest. Made once in each process."""
-        if self._index is None:
-            n = -(-len(self.vectors) // BLOCK) * BLOCK
-            weights = np.zeros((len(self.idf), max(n, BLOCK)))
-            for j, counts in enumerate(self.vectors):
-                terms, w = self.unit(counts)
-                weights[terms, j] = w
-            self._index = weights, weights.reshape(len(self.idf), -1, BLOCK).max(axis=2)
-        return self._index
-
-    def neighbours(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ready(self) -> tuple[dict[str, int], Index]:
+        """Terms by word, and the index. Made once in each process."""
+        if self._ready is None:
+            index = Index(len(self.terms), len(self.vectors), [self.unit(t, c) for t, c in self.vectors])
+            self._ready = {t: i for i, t in enumerate(self.terms)}, index
+        return self._ready
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        get = self.ready()[0].get
+        found = [(i, n) for w, n in term_counts(text).items() if (i := get(w)) is not None]
+        return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64)
+
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Examples, cosines and places held: the k nearest, those tied at the last place sharing what is left."""
-        weights, blocks = self.index()
-        terms, w = self.unit(counts)
-        if not len(terms):
-            terms, w = np.zeros(1, np.int64), np.ones(1)
-        bound = w @ blocks[terms]
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, kth = [], [], -1.0
-        at, width = 0, 4
-        while at < len(order) and bound[order[at]] >= kth - 1e-9:
-            some = order[at : at + width]
-            some = some[bound[some] >= kth - 1e-9]
-            at, width = at + width, width * 2
-            if not len(some):
-                continue
-            columns = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            columns = columns[(columns < len(self.vectors)) & (columns != without)]
-            found.append(columns)
-            cosines.append(w @ weights[np.ix_(terms, columns)])
-            every = np.concatenate(cosines)
-            if len(every) >= self.k:
-                kth = float(np.partition(every, len(every) - self.k)[len(every) - self.k])
-        examples, cosine = np.concatenate(found), np.concatenate(cosines)
-        sure = cosine > kth + 1e-9
-        tied = ~sure & (cosine >= kth - 1e-9)
-        places = sure + tied * (max(0, self.k - sure.sum()) / max(1, tied.sum()))
-        near = places > 0
-        return examples[near], cosine[near], places[near]
-
-    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of toxic votes, with the neighbours and their cosines, the nearest first."""
-        examples, cosine, places = self.neighbours(counts, without)
+        examples, cosine, _ = self.ready()[1].nearest(*self.unit(terms, counts), self.k, without)
+        kth = float(np.sort(cosine)[-self.k]) if len(cosine) >= self.k else -1.0
+        sure = cosine > kth + EPSILON
+        tied = ~sure & (cosine >= kth - EPSILON)
+        return examples, cosine, sure + tied * (max(0, self.k - sure.sum()) / max(1, tied.sum()))
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic votes, with the nearest examples and their cosines, the nearest first."""
+        examples, cosine, places = self.neighbours(terms, counts, without)
         toxic = self.toxic[examples]
         weight = places / (1.05 - cosine) * np.where(toxic, self.thinned[1], self.thinned[0])
         share = (float(weight @ toxic) + 0.1 * self.share) / (float(weight.sum()) + 0.1)
@@ -204,17 +183,9 @@ class Model:
 
     def fit_curve(self) -> None:
         """A logistic curve from the log-odds of votes, by Newton's method over examples left out in turn."""
-        if not self.vectors or self.toxic.all() or not self.toxic.any():
+        if self.constant():
             return
-        memo: dict = {}
-        votes = []
-        for j, counts in enumerate(self.vectors):
-            # An example with common words alone leaves out no tie that matters.
-            key = (None, bool(self.toxic[j])) if set(counts) <= {0} else j
-            if key not in memo:
-                memo[key] = self.vote(counts, j)[0]
-            votes.append(memo[key])
-        x = _logit(np.array(votes))
+        x = _logit(np.array([self.vote(*v, j)[0] for j, v in enumerate(self.vectors)]))
         y = self.toxic.astype(float)
         w = np.where(self.toxic, self.thinned[1], self.thinned[0])
         a, b = 0.0, 1.0
@@ -230,10 +201,13 @@ class Model:
                 break
         self.curve = (a, max(b, 0.05))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        if not self.vectors or self.toxic.all() or not self.toxic.any():
+    def constant(self) -> bool:
+        return not self.vectors or bool(self.toxic.all()) or not self.toxic.any()
+
+    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        if self.constant():
             return self.share, [], []
-        share, examples, cosine = self.vote(counts)
+        share, examples, cosine = self.vote(*self.vector(text))
         a, b = self.curve
         return float(1 / (1 + math.exp(-(a + b * float(_logit(np.array(share))))))), self.ids[examples].tolist(), cosine.tolist()
 
@@ -247,10 +221,8 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Model:
-    """A model from labelled rows whose fold isn't 0. What comes to the driver is bounded by the sample and the terms."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def examples_of(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """``example_id``, ``toxic`` and whole ``text`` of the sample, and how many labelled documents of each label there are."""
     known = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .where(fold(F.col("doc_id")) != 0)
@@ -264,98 +236,93 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_term
         for label in (0, 1)
         for r in known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_label).collect()
     ]
-    n_all = sum(totals.values())
-    share = totals.get(1, 0) / n_all if n_all else 0.0
-    chosen = spark.createDataFrame(sample, "example_id long, toxic int")
-    examples = stored(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("example_id")).select("example_id", "toxic", "text")
-    )
+    chosen = docs.sparkSession.createDataFrame(sample, "example_id long, toxic int")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("example_id")).select("example_id", "toxic", "text"), totals
 
-    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts: Counter = Counter()
-            for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
-                found = set()
-                for token in set((text or "").split()):
-                    found |= candidates(token)
-                counts.update((term, toxic) for term in found)
-            yield pd.DataFrame([(t, int(y), n) for (t, y), n in counts.items()], columns=["term", "toxic", "n"])
-
-    n_by = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_other = max(1, n_by.get(1, 0)), max(1, n_by.get(0, 0))
-    told = (
-        examples.mapInPandas(every, "term string, toxic int, n long")
-        .groupBy("term")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-        .where((F.col("a") >= MIN_TOXIC_EXAMPLES) & (F.col("a") / n_toxic > 2 * F.col("b") / n_other))
-        # The order by share difference follows the ratio closely; what is cut here is far below it.
-        .orderBy(F.desc(F.col("a") / n_toxic - F.col("b") / n_other), "term")
-        .limit(16 * max_terms)
-        .collect()
-    )
-    terms = choose([(r.term, r.a, r.b) for r in told], n_toxic, n_other, max_terms)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Counts(terms)
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, weighting: str = "label") -> Model:
+    """A model from labelled rows whose fold isn't 0. What comes to the driver is bounded by the sample's texts."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    chosen, totals = examples_of(docs, labels, per_label)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [of(t) for t in pdf["text"]]
+            found = [term_counts(t) for t in pdf["text"]]
             yield pd.DataFrame({
                 "example_id": pdf["example_id"], "toxic": pdf["toxic"],
                 "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found],
             })
 
-    rows = examples.mapInPandas(vectors, "example_id long, toxic int, terms array<int>, counts array<int>").collect()
-    # Like examples stand together, so that blocks' bounds are tight.
-    rows.sort(key=lambda r: (r.toxic, sorted(r.terms)[-1:], r.example_id, sorted(r.counts)))
+    kept = stored(chosen.mapInPandas(counted, "example_id long, toxic int, terms array<string>, counts array<int>"))
+    number: dict[str, int] = {}
+    ids, toxic, vectors = [], [], []
+    for batch in kept.toArrow().to_batches(max_chunksize=64):
+        ids += batch.column("example_id").to_pylist()
+        toxic += batch.column("toxic").to_pylist()
+        for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            at = np.fromiter((number.setdefault(t, len(number)) for t in terms), np.int64, len(terms))
+            vectors.append((at, np.array(counts, np.float64)))
+    discard(kept)
+    terms = list(number)
+    shared = spark.sparkContext.broadcast(number)  # the words of the sample's texts
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, counts, n = Counts(terms), Counter(), 0
+        get, seen, n = shared.value.get, np.zeros(len(shared.value) + 1, np.int64), 0
+        none = len(shared.value)
         for pdf in batches:
             for text in pdf["text"]:
-                counts.update(i for i in of(text))
+                words = set(_WORD.findall((text or "").lower()))
+                seen += np.bincount([get(w, none) for w in words] or [none], minlength=none + 1) > 0
                 n += 1
-        found = [(-1, n), *counts.items()]
-        yield pd.DataFrame(found, columns=["term", "df"])
-
-    df = {r.term: r.df for r in docs.select("text").mapInPandas(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    n_docs = df.get(-1, 0)
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms) + 1)])
-    thinned = tuple(totals.get(y, 0) / max(1, n_by.get(y, 0)) for y in (0, 1))
-    discard(examples)
+        seen[none] = n
+        has = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": has, "df": seen[has]})
+
+    df = np.zeros(len(terms) + 1, np.int64)
+    sums = docs.select("text").mapInPandas(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df[sums["term"].to_numpy(np.int64)] = sums["df"].to_numpy(np.int64)
+    shared.unpersist()
+    is_toxic = np.array([y == 1 for y in toxic], bool)
+    factor = idf(int(df[-1]), df[:-1])
+    if weighting == "label":
+        held = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, is_toxic, strict=True) if y == label] or [np.zeros(0, np.int64)]), minlength=len(terms)) for label in (True, False)]
+        factor = factor * label_factor(held[0], held[1], int(is_toxic.sum()), int((~is_toxic).sum()))
+    n_all = sum(totals.values())
+    n_of = {1: int(is_toxic.sum()), 0: int((~is_toxic).sum())}
+    # Examples of like labels and strongest terms stand together, so that blocks' bounds are tight.
+    strongest = [int(t[np.argmax((1 + np.log(c)) * factor[t])]) if len(t) else -1 for t, c in vectors]
+    order = sorted(range(len(ids)), key=lambda i: (is_toxic[i], strongest[i], ids[i], toxic[i], vectors[i][0].tobytes()))
     model = Model(
-        terms, idf, [dict(zip(r.terms, r.counts, strict=True)) for r in rows], np.array([r.toxic == 1 for r in rows], bool),
-        np.array([r.example_id for r in rows], np.int64), share, thinned, k,
+        terms, factor, [vectors[i] for i in order], is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
+        totals.get(1, 0) / n_all if n_all else 0.0, tuple(totals.get(y, 0) / max(1, n_of[y]) for y in (0, 1)), k,
     )
     model.fit_curve()
     return model
 
 
 SCORED = "score double, nearest array<long>, nearest_cosine array<double>"
+RESULTS = ("score", "predicted", "nearest", "nearest_cosine")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, ``predicted``, and as evidence the nearest examples and their cosines."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # the sample's words and vectors
 
     @F.pandas_udf(SCORED)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of, plain = Counts(model.terms), None
         for texts in batches:
-            rows = []
-            for text in texts:
-                counts = of(text)
-                if len(counts) > 1 or 0 not in counts and counts:
-                    rows.append(model.score(counts))
-                else:  # no marked word: one vector whatever the length
-                    plain = plain or model.score({0: 1})
-                    rows.append(plain)
-            yield pd.DataFrame(rows, columns=["score", "nearest", "nearest_cosine"])
-
-    found = docs.withColumn("toxicity", scored(F.col("text")))
-    return found.select(
-        *[c for c in docs.columns if c not in ("score", "predicted", "nearest", "nearest_cosine")],
-        F.col("toxicity.score").alias("score"),
-        F.when(F.col("toxicity.score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
-        F.col("toxicity.nearest").alias("nearest"),
-        F.col("toxicity.nearest_cosine").alias("nearest_cosine"),
+            yield pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "nearest", "nearest_cosine"])
+
+    kept = others(docs.columns, *RESULTS)
+    (found,) = unused(docs.columns, "toxicity")
+    value = F.col(f"{found}.score")
+    return docs.select("*", scored(F.col("text")).alias(found)).select(
+        *[F.col(quoted(c)) for c in kept],
+        value.alias("score"),
+        F.when(value >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+        F.col(f"{found}.nearest").alias("nearest"),
+        F.col(f"{found}.nearest_cosine").alias("nearest_cosine"),
     )

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,43 +11,74 @@ from lumenfold.llm import toxicity as T
 from lumenfold.llm.queries import op6_toxicity
 
 
-def test_terms():
-    assert {"idiot ", "idio"} <= T.candidates("IDIOT%%%") and T.candidates("|") == set() and "ab " in T.candidates("ab")
-    rows = [("idiot ", 40, 0), ("idio", 40, 1), ("the ", 50, 50), ("réeux", 30, 2), ("réeuxa ", 8, 0), ("rare ", 2, 0)]
-    assert T.choose(rows, 50, 50) == ["idiot ", "réeux"]
-
-
-def model(n=300, seed=0):
-    rng = np.random.default_rng(seed)
-    vectors = [{0: int(rng.integers(1, 200)), **{int(t): int(rng.integers(1, 4)) for t in rng.integers(1, 20, rng.integers(0, 4))}} for _ in range(n)]
-    toxic = np.array([len(v) > 2 for v in vectors])
-    return T.Model([f"t{i}" for i in range(19)], rng.uniform(1, 5, 20), vectors, toxic, np.arange(n), float(toxic.mean()), (1.0, 1.0), 15)
-
-
-def brute(m, counts):
-    weights, _ = m.index()
-    terms, w = m.unit(counts)
-    return w @ weights[terms][:, : len(m.vectors)]
-
-
-def test_index_is_exact():
-    m = model()
+def independent(texts, toxic, all_texts, weighting):
+    """Cosines of every text with every example, from raw texts and dictionaries alone."""
+    words = [Counter(re.findall(r"[^\W_]+", (t or "").lower())) for t in texts]
+    known = [w for w, y in zip(words, toxic, strict=True) if y is not None]
+    labels = [y for y in toxic if y is not None]
+    terms = set().union(*known)
+    df = Counter(w for t in all_texts for w in set(re.findall(r"[^\W_]+", (t or "").lower())))
+
+    def factor(t):
+        plain = math.log((len(all_texts) + 1) / (df[t] + 1)) + 1
+        if weighting == "plain":
+            return plain
+        has, y = [t in w for w in known], [bool(x) for x in labels]
+        n11 = sum(a and b for a, b in zip(has, y, strict=True))
+        n1, m1, n = sum(has), sum(y), len(y)
+        variance = n1 * (n - n1) * m1 * (n - m1)
+        return plain * (0.002 + (abs(n * n11 - n1 * m1) / math.sqrt(variance) if variance else 0))
+
+    of = {t: factor(t) for t in terms}
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * of[t] for t, n in c.items() if t in of}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = [unit(c) for c in words]
+    return [[sum(x * b.get(t, 0) for t, x in a.items()) for b, y in zip(units, toxic, strict=True) if y is not None] for a in units]
+
+
+@pytest.mark.parametrize("weighting", ["plain", "label"])
+def test_neighbours_from_raw_texts(spark, weighting):
+    docs, labels = corpus(spark, 120)
+    docs = docs.unionByName(spark.createDataFrame([(900, "w1 w2 unseen words"), (901, ""), (902, None), (903, "w3 " * 3000 + "Idiot")], docs.schema))
+    m = T.fit(docs, labels, weighting=weighting)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    known = [r.doc_id for r in rows if r.doc_id in toxic]
+    want = independent([r.text for r in rows], [toxic.get(r.doc_id) for r in rows], [r.text for r in rows], weighting)
+    for r, cosines in zip(rows, want, strict=True):
+        examples, cosine, places = m.neighbours(*m.vector(r.text))
+        of = dict(zip(known, cosines, strict=True))
+        kth = sorted(cosines)[-15]
+        assert {m.ids[i] for i in examples} == {i for i, c in of.items() if c >= kth - 1e-9}
+        assert cosine == pytest.approx([of[m.ids[i]] for i in examples], abs=1e-9) and places.sum() == pytest.approx(15)
+
+
+def test_blocks_are_left_out_and_the_result_is_exact():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        counts = {0: int(rng.integers(1, 300)), **{int(t): 1 for t in rng.integers(1, 20, 3)}}
-        every = brute(m, counts)
-        examples, cosine, places = m.neighbours(counts)
-        assert cosine == pytest.approx(every[examples]) and places.sum() == pytest.approx(15)
+    rows = [(np.unique(rng.integers(8 * (j // 40), 8 * (j // 40) + 12, 6)), None) for j in range(800)]
+    rows = [(t, (w := rng.uniform(0.1, 1, len(t))) / np.linalg.norm(w)) for t, _ in rows]
+    dense = np.zeros((800, 200))
+    for j, (t, w) in enumerate(rows):
+        dense[j, t] = w
+    index = T.Index(200, 800, rows)
+    blocks = []
+    for j in range(0, 800, 7):
+        examples, cosine, read = index.nearest(*rows[j], 15)
+        every = dense @ dense[j]
         kth = np.sort(every)[-15]
-        assert set(np.flatnonzero(every > kth + 1e-9)) <= set(examples) and (every[examples] >= kth - 1e-9).all()
+        assert set(examples) == set(np.flatnonzero(every >= kth - 1e-9)) and cosine == pytest.approx(every[examples])
+        blocks.append(read)
+    assert max(blocks) < index.n_blocks
 
 
 def test_ties_share_places():
-    m = model()
-    m.vectors = [{0: 5}] * 40
-    m._index = None
-    m.toxic = np.array([True] * 10 + [False] * 30)
-    assert m.vote({0: 1})[0] == pytest.approx(0.25, abs=0.02)
+    ones = [(np.array([0]), np.array([5.0]))] * 40
+    m = T.Model(["a"], np.array([1.0]), ones, np.array([True] * 10 + [False] * 30), np.arange(40), 0.25, (1.0, 1.0), 15)
+    assert m.vote(np.array([0]), np.array([1.0]))[0] == pytest.approx(0.25, abs=0.02)
 
 
 def corpus(spark, n=400):
@@ -92,4 +126,4 @@ def test_query(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in op6_toxicity(spark, sf).collect() if r.doc_id in labels and r.held_out]
     right = sum(r.predicted == labels[r.doc_id] for r in rows)
-    assert right / len(rows) > 0.98 and all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
+    assert right / len(rows) > 0.98 and len(rows) > 700 and all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
