@@ -31,7 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,12 @@ from lumenfold.session import discard, stored
 #: The bound of the sample: so many examples of each label.
 PER_LABEL = 2048
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
+#: So many blocks are read first, to have a k-th best cosine; then eight times as many, and so on.
+FIRST_BLOCKS = 8
+COMMON = 16
+#: Texts whose common terms are multiplied together.
+TOGETHER = 64
 #: The least factor of a term.
 FLOOR = 0.002
 EPSILON = 1e-9
@@ -71,54 +76,84 @@ def label_factor(with_toxic: np.ndarray, with_other: np.ndarray, n_toxic: int, n
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each pair, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    ends = np.cumsum(lengths, dtype=np.int32)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms and weights, of length 1 if it has any."""
+    weights = (1 + np.log(counts)) * factor[terms]
+    norm = math.sqrt(float(weights @ weights))
+    return terms, weights / norm if norm else weights
 
 
 class Index:
-    """Postings by term and block: entries (block, largest weight, place of its postings) and postings (example, weight)."""
+    """Postings by term and block: entries (block, largest weight, place of its postings) and postings (example, weight).
 
-    def __init__(self, n_terms: int, n_examples: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    Lists of terms that a COMMON-th of all examples have are kept as whole rows, which are multiplied for many texts at a time; their
+    bounds are the products' largest in each block.
+    """
+
+    def __init__(self, n_terms: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """``rows``: terms and weights of each example, in the examples' order."""
         sizes = np.array([len(t) for t, _ in rows], np.int64)
-        terms = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
+        terms = np.concatenate([t for t, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
         weights = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        examples = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
+        examples = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         order = np.lexsort((examples, terms))
-        terms, self.example, self.weight = terms[order], examples[order].astype(np.int32), weights[order]
-        self.n_examples, self.n_blocks = n_examples, max(1, -(-n_examples // BLOCK))
+        terms, self.example, self.weight = terms[order], examples[order], weights[order]
+        self.n_examples, self.n_blocks = len(rows), max(1, -(-len(rows) // BLOCK))
+        often = np.bincount(terms, minlength=n_terms) * COMMON >= max(1, len(rows))
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.full = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
+        whole = often[terms]
+        self.full[self.row[terms[whole]], self.example[whole]] = self.weight[whole]
+        terms, self.example, self.weight = terms[~whole], self.example[~whole], self.weight[~whole]
         block = self.example // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.at = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.at, len(terms)))
-        self.block = block[self.at]
-        self.most = np.maximum.reduceat(self.weight, self.at) if len(self.at) else np.zeros(0)
-        n_entries = np.bincount(terms[self.at], minlength=n_terms)
-        self.first, self.entries = np.cumsum(n_entries) - n_entries, n_entries
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        at = np.flatnonzero(new)
+        self.at, self.block = at.astype(np.int32), block[at].astype(np.int32)
+        self.size = np.diff(np.append(at, len(terms))).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.entries = np.bincount(terms[at], minlength=n_terms).astype(np.int32)
+        self.first = (np.cumsum(self.entries, dtype=np.int32) - self.entries).astype(np.int32)
+
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms bring to the cosine of each query (terms and weights) with each example."""
+        asked = np.zeros((len(queries), len(self.full)))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row.take(terms)
+            asked[i, row[row >= 0]] = weights[row >= 0]
+        return asked @ self.full
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], common: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Examples and cosines of the k nearest and of all tied with the last; and how many blocks were read."""
-        n = self.entries[terms]
-        entry = _ranges(self.first[terms], n)
+        rare = self.row.take(query[0]) < 0
+        terms, weights = query[0][rare], query[1][rare]
+        n = self.entries.take(terms)
+        entry = _ranges(self.first.take(terms), n)
         asked = np.repeat(weights, n)
-        block = self.block[entry]
-        bound = np.bincount(block, asked * self.most[entry], self.n_blocks)
+        block = self.block.take(entry)
+        bound = common.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, asked * self.most.take(entry), self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        cosine = np.zeros(self.n_examples)
+        cosine = common[: self.n_examples].copy()
         read = np.zeros(self.n_blocks, bool)
-        kth, at, width, examples = -1.0, 0, 4, np.zeros(0, np.int64)
+        kth, at, width, examples = -1.0, 0, FIRST_BLOCKS, np.zeros(0, np.int64)
         while at < len(order) and bound[order[at]] >= kth - EPSILON:
             some = order[at : at + width]
             some = some[bound[some] >= kth - EPSILON]
-            at, width = at + width, width * 2
+            at, width = at + width, width * 8
             now = np.zeros(self.n_blocks, bool)
             now[some] = True
-            chosen = np.flatnonzero(now[block])
+            chosen = np.flatnonzero(now.take(block))
             if len(chosen):
-                size = self.size[entry[chosen]]
-                place = _ranges(self.at[entry[chosen]], size)
-                cosine += np.bincount(self.example[place], np.repeat(asked[chosen], size) * self.weight[place], self.n_examples)
+                of = entry.take(chosen)
+                size = self.size.take(of)
+                place = _ranges(self.at.take(of), size)
+                cosine += np.bincount(self.example.take(place), np.repeat(asked.take(chosen), size) * self.weight.take(place), self.n_examples)
             read |= now
             examples = np.flatnonzero(np.repeat(read, BLOCK)[: self.n_examples])
             examples = examples[examples != without]
@@ -133,59 +168,53 @@ class Index:
 class Model:
     """Examples as unit vectors in an index, and what turns votes into scores."""
 
-    terms: list[str]
+    terms: dict[str, int]
     factor: np.ndarray  # idf and label factor of each term
-    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and counts of each example
+    index: Index
     toxic: np.ndarray
     ids: np.ndarray
     share: float
     thinned: tuple[float, float]
     k: int = NEIGHBOURS
     curve: tuple[float, float] = (0.0, 1.0)
-    _ready: tuple | None = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None}
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights = (1 + np.log(counts)) * self.factor[terms]
-        norm = math.sqrt(float(weights @ weights))
-        return terms, weights / norm if norm else weights
-
-    def ready(self) -> tuple[dict[str, int], Index]:
-        """Terms by word, and the index. Made once in each process."""
-        if self._ready is None:
-            index = Index(len(self.terms), len(self.vectors), [self.unit(t, c) for t, c in self.vectors])
-            self._ready = {t: i for i, t in enumerate(self.terms)}, index
-        return self._ready
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        get = self.ready()[0].get
-        found = [(i, n) for w, n in term_counts(text).items() if (i := get(w)) is not None]
-        return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64)
-
-    def neighbours(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text's terms and weights."""
+        none = len(self.factor)
+        get = self.terms.get
+        found = np.array([get(w, none) for w in _WORD.findall((text or "").lower())], np.int32)
+        terms, counts = np.unique(found[found < none], return_counts=True)
+        return unit(terms, counts, self.factor)
+
+    def neighbours(self, query: tuple[np.ndarray, np.ndarray], common: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Examples, cosines and places held: the k nearest, those tied at the last place sharing what is left."""
-        examples, cosine, _ = self.ready()[1].nearest(*self.unit(terms, counts), self.k, without)
+        examples, cosine, _ = self.index.nearest(query, common, self.k, without)
         kth = float(np.sort(cosine)[-self.k]) if len(cosine) >= self.k else -1.0
         sure = cosine > kth + EPSILON
         tied = ~sure & (cosine >= kth - EPSILON)
         return examples, cosine, sure + tied * (max(0, self.k - sure.sum()) / max(1, tied.sum()))
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, query: tuple[np.ndarray, np.ndarray], common: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of toxic votes, with the nearest examples and their cosines, the nearest first."""
-        examples, cosine, places = self.neighbours(terms, counts, without)
+        examples, cosine, places = self.neighbours(query, common, without)
         toxic = self.toxic[examples]
         weight = places / (1.05 - cosine) * np.where(toxic, self.thinned[1], self.thinned[0])
         share = (float(weight @ toxic) + 0.1 * self.share) / (float(weight.sum()) + 0.1)
         first = np.lexsort((examples, -cosine))[:3]
         return share, examples[first], cosine[first]
 
-    def fit_curve(self) -> None:
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], left_out: bool = False) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """A vote on each query. With ``left_out`` the queries are the examples, each without itself."""
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            for j, (query, common) in enumerate(zip(some, self.index.common(some), strict=True), at):
+                yield self.vote(query, common, j if left_out else -1)
+
+    def fit_curve(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """A logistic curve from the log-odds of votes, by Newton's method over examples left out in turn."""
         if self.constant():
             return
-        x = _logit(np.array([self.vote(*v, j)[0] for j, v in enumerate(self.vectors)]))
+        x = _logit(np.array([share for share, _, _ in self.votes(examples, left_out=True)]))
         y = self.toxic.astype(float)
         w = np.where(self.toxic, self.thinned[1], self.thinned[0])
         a, b = 0.0, 1.0
@@ -202,14 +231,15 @@ class Model:
         self.curve = (a, max(b, 0.05))
 
     def constant(self) -> bool:
-        return not self.vectors or bool(self.toxic.all()) or not self.toxic.any()
+        return not len(self.toxic) or bool(self.toxic.all()) or not self.toxic.any()
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
         if self.constant():
-            return self.share, [], []
-        share, examples, cosine = self.vote(*self.vector(text))
-        a, b = self.curve
-        return float(1 / (1 + math.exp(-(a + b * float(_logit(np.array(share))))))), self.ids[examples].tolist(), cosine.tolist()
+            return [(self.share, [], [])] * len(texts)
+        (a, b), out = self.curve, []
+        for share, examples, cosine in self.votes([self.vector(t) for t in texts]):
+            out.append((float(1 / (1 + math.exp(-(a + b * float(_logit(np.array(share))))))), self.ids[examples].tolist(), cosine.tolist()))
+        return out
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -264,7 +294,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
             at = np.fromiter((number.setdefault(t, len(number)) for t in terms), np.int64, len(terms))
             vectors.append((at, np.array(counts, np.float64)))
     discard(kept)
-    terms = list(number)
     shared = spark.sparkContext.broadcast(number)  # the words of the sample's texts
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,32 +301,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
         none = len(shared.value)
         for pdf in batches:
             for text in pdf["text"]:
-                words = set(_WORD.findall((text or "").lower()))
-                seen += np.bincount([get(w, none) for w in words] or [none], minlength=none + 1) > 0
+                # Each word once, so that each place is added to once; but for the last, which is set below.
+                seen[[get(w, none) for w in set(_WORD.findall((text or "").lower()))]] += 1
                 n += 1
         seen[none] = n
         has = np.flatnonzero(seen)
         yield pd.DataFrame({"term": has, "df": seen[has]})
 
-    df = np.zeros(len(terms) + 1, np.int64)
+    df = np.zeros(len(number) + 1, np.int64)
     sums = docs.select("text").mapInPandas(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df[sums["term"].to_numpy(np.int64)] = sums["df"].to_numpy(np.int64)
     shared.unpersist()
     is_toxic = np.array([y == 1 for y in toxic], bool)
     factor = idf(int(df[-1]), df[:-1])
     if weighting == "label":
-        held = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, is_toxic, strict=True) if y == label] or [np.zeros(0, np.int64)]), minlength=len(terms)) for label in (True, False)]
+        held = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, is_toxic, strict=True) if y == label] or [np.zeros(0, np.int64)]), minlength=len(number)) for label in (True, False)]
         factor = factor * label_factor(held[0], held[1], int(is_toxic.sum()), int((~is_toxic).sum()))
     n_all = sum(totals.values())
     n_of = {1: int(is_toxic.sum()), 0: int((~is_toxic).sum())}
     # Examples of like labels and strongest terms stand together, so that blocks' bounds are tight.
     strongest = [int(t[np.argmax((1 + np.log(c)) * factor[t])]) if len(t) else -1 for t, c in vectors]
     order = sorted(range(len(ids)), key=lambda i: (is_toxic[i], strongest[i], ids[i], toxic[i], vectors[i][0].tobytes()))
+    units = [unit(*vectors[i], factor) for i in order]
     model = Model(
-        terms, factor, [vectors[i] for i in order], is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
+        number, factor, Index(len(number), units), is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
         totals.get(1, 0) / n_all if n_all else 0.0, tuple(totals.get(y, 0) / max(1, n_of[y]) for y in (0, 1)), k,
     )
-    model.fit_curve()
+    model.fit_curve(units)
     return model
 
 
@@ -314,7 +344,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf(SCORED)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "nearest", "nearest_cosine"])
+            yield pd.DataFrame(shared.value.score(texts.tolist()), columns=["score", "nearest", "nearest_cosine"])
 
     kept = others(docs.columns, *RESULTS)
     (found,) = unused(docs.columns, "toxicity")

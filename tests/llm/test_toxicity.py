@@ -50,7 +50,7 @@ def test_neighbours_from_raw_texts(spark, weighting):
     known = [r.doc_id for r in rows if r.doc_id in toxic]
     want = independent([r.text for r in rows], [toxic.get(r.doc_id) for r in rows], [r.text for r in rows], weighting)
     for r, cosines in zip(rows, want, strict=True):
-        examples, cosine, places = m.neighbours(*m.vector(r.text))
+        examples, cosine, places = m.neighbours(m.vector(r.text), m.index.common([m.vector(r.text)])[0])
         of = dict(zip(known, cosines, strict=True))
         kth = sorted(cosines)[-15]
         assert {m.ids[i] for i in examples} == {i for i, c in of.items() if c >= kth - 1e-9}
@@ -64,10 +64,10 @@ def test_blocks_are_left_out_and_the_result_is_exact():
     dense = np.zeros((800, 200))
     for j, (t, w) in enumerate(rows):
         dense[j, t] = w
-    index = T.Index(200, 800, rows)
+    index = T.Index(200, rows)
     blocks = []
     for j in range(0, 800, 7):
-        examples, cosine, read = index.nearest(*rows[j], 15)
+        examples, cosine, read = index.nearest(rows[j], index.common([rows[j]])[0], 15)
         every = dense @ dense[j]
         kth = np.sort(every)[-15]
         assert set(examples) == set(np.flatnonzero(every >= kth - 1e-9)) and cosine == pytest.approx(every[examples])
@@ -77,8 +77,9 @@ def test_blocks_are_left_out_and_the_result_is_exact():
 
 def test_ties_share_places():
     ones = [(np.array([0]), np.array([5.0]))] * 40
-    m = T.Model(["a"], np.array([1.0]), ones, np.array([True] * 10 + [False] * 30), np.arange(40), 0.25, (1.0, 1.0), 15)
-    assert m.vote(np.array([0]), np.array([1.0]))[0] == pytest.approx(0.25, abs=0.02)
+    m = T.Model({"a": 0}, np.ones(1), T.Index(1, [T.unit(*v, np.ones(1)) for v in ones]), np.array([True] * 10 + [False] * 30), np.arange(40), 0.25, (1.0, 1.0), 15)
+    query = T.unit(np.array([0]), np.array([1.0]), np.ones(1))
+    assert m.vote(query, m.index.common([query])[0])[0] == pytest.approx(0.25, abs=0.02)
 
 
 def corpus(spark, n=400):
