@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding, with the N best segmentations.
 
-A text's characters, blanks written as U+2581 and one put before, span a lattice of the
-vocabulary's pieces; a segmentation's score is the sum of its pieces' scores. Viterbi from
-the left gives the best score up to every place. These are exact heuristics for an A*
-search from the right: it takes the best open hypothesis, and each one that comes to the left
-end is the next best segmentation.
+A text's characters, blanks written as U+2581 and (where the model wants it) one put before, span a lattice
+of the vocabulary's pieces; a segmentation's score is the sum of its pieces' scores. Viterbi from the left gives,
+up to every place, the best score and beside it the least number of pieces that has this score. These are
+exact heuristics for an A* search from the right: it takes the best open hypothesis, and each one that comes to
+the left end is the next best segmentation. Scores are counted in whole units of 2**-24, so that ties are ties
+and no rounding puts one path before another. Of hypotheses that tie in score and pieces the deepest goes first. As the
+heuristic is exact, n open hypotheses are enough for the n best, and each goes on to the left end
+at once: the search takes n walks over the part at most and holds n hypotheses, which share their right ends.
 
 No piece of the vocabulary has a blank after another character or a line end, so a lattice
 falls into parts there, and a text's best segmentations are combinations of its parts'. A
@@ -12,19 +15,20 @@ part's Viterbi pass is kept and used again. New parts of ordinary length are pas
 Viterbi many at a time in arrays, from both sides: from both the loss of the best detour is
 known, and only parts that the N best segmentations can differ in are searched.
 
-A character that no piece covers has a score below all pieces' and is written in byte pieces.
+A character that no piece covers has a score below all pieces' and is written in byte pieces. The model's own
+normalisation is not applied: texts are encoded as they are, so that decoding gives them back.
 
 Defined results: a null or empty text has no pieces, score 0 and no alternative; a text
 that holds U+2581 itself decodes to a blank there (the format can't tell them apart) and
-has ``round_trip`` false; equal scores go to fewer pieces, then smaller ids from the right
-end; repeated rows encode alike; an empty table gives an empty one.
+has ``round_trip`` false; equal scores go to fewer pieces, and the best of those has the longer piece at the right end; other ties stand as the search
+comes to them, which the part alone decides; of a whole text's next best, equal scores go to fewer changed parts, then to parts further left; very long texts, and very long parts without a blank, take time and memory in
+proportion to their length; repeated rows encode alike; an empty table gives an empty one; input columns named as results are
+replaced, all others are kept.
 """
 
 from __future__ import annotations
 
-import heapq
-import itertools
-import math
+import bisect
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.batches import bounded_batches
+from lumenfold.llm.columns import others, quoted
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The blank's sign in pieces, as the format has it.
@@ -46,6 +51,13 @@ UNKNOWN_BELOW = 10.0
 N_BEST = 4
 #: Parts that are kept; of longer ones than WIDTH the pass is made one character after the other.
 KEEP = 600_000
+#: And so many characters, so that long parts don't fill the memory.
+KEEP_CHARS = 16_000_000
+#: Alternatives are kept for parts up to this length.
+SHORT = 64
+#: Units of score, and room for counts of pieces below a unit.
+UNIT = 1 << 24
+COUNT = 1 << 40
 WIDTH = 24
 TOGETHER = 4096
 _PART = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
@@ -56,15 +68,17 @@ _MASK = (1 << 64) - 1
 class Vocabulary:
     """Pieces and scores by id. Byte pieces serve characters without a piece; control pieces aren't matched."""
 
-    def __init__(self, pieces: Sequence[str], scores: Sequence[float], bytes_of: dict[int, int], control: set[int]) -> None:
-        self.pieces, self.scores, self.bytes_of = list(pieces), list(scores), bytes_of
-        self.control = control
+    def __init__(self, pieces: Sequence[str], scores: Sequence[float], bytes_of: dict[int, int], control: set[int], prefix: bool = True) -> None:
+        self.pieces, self.bytes_of, self.control, self.prefix = list(pieces), bytes_of, control, prefix
+        self.units = [round(x * UNIT) for x in scores]
         self.byte_ids = {b: i for i, b in bytes_of.items()}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in bytes_of and i not in control}
         self.longest = max(map(len, self.ids), default=1)
-        self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_BELOW
+        self.unknown = min((self.units[i] for i in self.ids.values()), default=0) - round(UNKNOWN_BELOW * UNIT)
         #: Parts can be cut before blanks and around line ends only if no piece spans these places.
         self.cut = all(BLANK not in p.lstrip(BLANK) and ("\n" not in p or p == "\n") for p in self.ids)
+        #: Every beginning of a piece: its piece, or -1.
+        self.beginnings = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
 
     @classmethod
     def load(cls, path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -75,7 +89,12 @@ class Vocabulary:
         n = m.get_piece_size()
         bytes_of = {i: int(m.id_to_piece(i)[3:5], 16) for i in range(n) if m.is_byte(i)}
         control = {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
-        return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], bytes_of, control)
+        prefix = m.id_to_piece(m.encode("a")[:1])[0].startswith(BLANK)
+        return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], bytes_of, control, prefix)
+
+    def weight(self, i: int) -> int:
+        """A piece's score and, below it, its count: sums of these compare by score, then by fewer pieces."""
+        return self.units[i] * COUNT - 1
 
     def spelled(self, char: str) -> tuple[int, ...]:
         """A character's byte pieces, or the unknown piece 0 where the vocabulary has no byte pieces."""
@@ -83,41 +102,90 @@ class Vocabulary:
         return tuple(self.byte_ids[b] for b in raw) if all(b in self.byte_ids for b in raw) else (0,)
 
 
-def viterbi(part: str, v: Vocabulary) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
-    """Best score up to each place, and the arcs that end there: start, score, ids."""
-    n = len(part)
-    best = [0.0] + [-math.inf] * n
-    arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-    ids, scores = v.ids, v.scores
-    for end in range(1, n + 1):
-        here = arcs[end]
-        for start in range(max(0, end - v.longest), end):
-            i = ids.get(part[start:end])
-            if i is not None:
-                here.append((start, scores[i], (i,)))
-        if not here or here[-1][0] != end - 1:
-            here.append((end - 1, v.unknown, v.spelled(part[end - 1])))
-        best[end] = max(best[start] + score for start, score, _ in here)
-    return best, arcs
+def viterbi(part: str, v: Vocabulary) -> list[int]:
+    """The best weight up to each place."""
+    best: list[int | None] = [0] + [None] * len(part)
+    get, units = v.beginnings.get, v.units
+    for start in range(len(part)):
+        here = best[start]
+        for end in range(start + 1, min(len(part), start + v.longest) + 1):
+            i = get(part[start:end])
+            if i is None:
+                break
+            if i >= 0:
+                weight = here + units[i] * COUNT - 1
+                if best[end] is None or weight > best[end]:
+                    best[end] = weight
+        if part[start] not in v.ids:
+            weight = here + v.unknown * COUNT - len(v.spelled(part[start]))
+            if best[start + 1] is None or weight > best[start + 1]:
+                best[start + 1] = weight
+    return best
+
+
+def arcs_to(part: str, end: int, v: Vocabulary) -> list[tuple[int, int, tuple[int, ...]]]:
+    """Start, weight and ids of what can end at a place, the longest first."""
+    found = []
+    for start in range(max(0, end - v.longest), end):
+        i = v.ids.get(part[start:end])
+        if i is not None:
+            found.append((start, v.weight(i), (i,)))
+    if not found or found[-1][0] != end - 1:
+        ids = v.spelled(part[end - 1])
+        found.append((end - 1, v.unknown * COUNT - len(ids), ids))
+    return found
 
 
 def n_best(part: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """Up to ``n`` segmentations of ``part``, the best first: scores and ids."""
-    best, arcs = viterbi(part, v)
-    # What is still possible, pieces so far, ids from the right end, score so far, place.
-    heap: list[tuple[float, int, tuple[int, ...], float, int]] = [(-best[-1], 0, (), 0.0, len(part))]
-    found = []
-    while heap and len(found) < n:
-        _, pieces, ids, done, at = heapq.heappop(heap)
-        if at == 0:
-            found.append((done, ids[::-1]))
-            continue
-        for start, score, more in arcs[at]:
-            so_far = done + score
-            heapq.heappush(heap, (-(so_far + best[start]), pieces + len(more), ids + more[::-1], so_far, start))
+    best = viterbi(part, v)
+    into: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
+    # What is still possible (turned round), place, number, weight so far, and ids so far with a link to those on their right.
+    hypotheses: list[tuple] = [(-best[-1], len(part), 0, 0, None)]
+    found, number = [], 0
+    while hypotheses and len(found) < n:
+        possible, at, _, done, ids = hypotheses.pop(0)
+        room = n - len(found) - 1
+        while at:
+            if at not in into:
+                into[at] = arcs_to(part, at, v)
+            onward = None
+            for start, weight, more in into[at]:
+                total = -(done + weight + best[start])
+                if onward is None and total == possible:
+                    onward = start, done + weight, (more, ids)
+                elif room and (len(hypotheses) < room or (total, start) < hypotheses[-1][:2]):
+                    number += 1
+                    bisect.insort(hypotheses, (total, start, number, done + weight, (more, ids)))
+                    del hypotheses[room:]
+            at, done, ids = onward
+        row: list[int] = []
+        while ids is not None:
+            row += ids[0]
+            ids = ids[1]
+        found.append((-(-done // COUNT) / UNIT, tuple(row)))
     return found
 
 
+def edit(old: Sequence[int], new: Sequence[int]) -> tuple[int, int, tuple[int, ...]]:
+    """Where ``new`` differs from ``old``: place, how many of the old ids go, and the ids that come."""
+    same = 0
+    while same < min(len(old), len(new)) and old[same] == new[same]:
+        same += 1
+    back = 0
+    while back < min(len(old), len(new)) - same and old[-1 - back] == new[-1 - back]:
+        back += 1
+    return same, len(old) - same - back, tuple(new[same : len(new) - back])
+
+
+def combinations(losses: list[list[float]], n: int) -> list[tuple[float, int, tuple[int, ...]]]:
+    """The ``n`` least sums of one of each list's losses (each in order, from 0): sum, how many aren't the first, and which."""
+    kept: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+    for part in losses:
+        kept = sorted((lost + x, changes + (j > 0), (*pick, j)) for lost, changes, pick in kept for j, x in enumerate(part))[:n]
+    return kept
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A hash whose upper and lower bits all depend on all of ``h``'s."""
     h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -165,15 +233,17 @@ class Encoder:
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.table = v, _Table(v)
-        self.scores = np.array([*v.scores, 0.0])
+        self.scores = np.array([*v.units, 0], np.float64)
         self.clear()
-        self.alternatives = lru_cache(50_000)(lambda part, n: n_best(part, v, n))
+        self.kept_alternatives = lru_cache(50_000)(self._alternatives)
         self.text_of = [chr(0xDC00 + v.bytes_of[i]) if i in v.bytes_of else "" if i in v.control else p for i, p in enumerate(v.pieces)]
         self.has_bytes = np.zeros(len(v.pieces) + 1, bool)
         self.has_bytes[list(v.bytes_of)] = True
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
+        self.fresh: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self.ids: list[np.ndarray] = [np.zeros(0, np.int32)]
         self.size: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.score: list[np.ndarray] = [np.zeros(0)]
@@ -182,13 +252,14 @@ class Encoder:
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
-        if not self.v.cut:
-            return [BLANK + text.replace(" ", BLANK)]
+        if not self.v.cut or not self.v.prefix:
+            whole = (BLANK if self.v.prefix else "") + text.replace(" ", BLANK)
+            return _PART.findall(whole) if self.v.cut else [whole]
         if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text or "\n" in text:
             return _PART.findall(BLANK + text.replace(" ", BLANK))
         return (BLANK + text.replace(" ", " " + BLANK)).split(" ")
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, parts: list[str], n: int = 2) -> None:
         """Enter parts that aren't kept yet."""
         others = [p for p in parts if len(p) > WIDTH]
         short = sorted((p for p in parts if len(p) <= WIDTH), key=len)
@@ -201,12 +272,23 @@ class Encoder:
             self._enter(order, ids[_ranges(starts[keep], sizes[keep])], sizes[keep], score[keep], loss[keep])
             others += [some[i] for i in np.flatnonzero(~plain).tolist()]
         for p in others:
-            two = n_best(p, self.v, 2)
-            row = np.array(two[0][1], np.int32)
-            self._enter([p], row, np.array([len(row)]), np.array([two[0][0]]), np.array([two[0][0] - two[1][0] if len(two) > 1 else np.inf]))
+            few = n_best(p, self.v, max(2, n))
+            if len(p) > SHORT:
+                self.fresh[p] = few
+            row = np.array(few[0][1], np.int32)
+            self._enter([p], row, np.array([len(row)]), np.array([few[0][0]]), np.array([few[0][0] - few[1][0] if len(few) > 1 else np.inf]))
+
+    def _alternatives(self, part: str, n: int) -> list[tuple[float, tuple[int, int, tuple[int, ...]]]]:
+        """What each of the ``n`` best segmentations loses, and its edit of the best."""
+        found = self.fresh.get(part) or n_best(part, self.v, n)
+        return [(found[0][0] - score, edit(found[0][1], ids)) for score, ids in found[:n]]
+
+    def alternatives(self, part: str, n: int) -> list[tuple[float, tuple[int, int, tuple[int, ...]]]]:
+        return self.kept_alternatives(part, n) if len(part) <= SHORT else self._alternatives(part, n)
 
     def _enter(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
         at = len(self.index)
+        self.chars += sum(map(len, parts))
         self.index.update(zip(parts, range(at, at + len(parts)), strict=True))
         self.ids.append(ids)
         self.size.append(sizes)
@@ -236,7 +318,7 @@ class Encoder:
                 if end == start + 1:
                     missing = found < 0
                     plain[:m] &= ~missing
-                    score[missing] = self.v.unknown
+                    score[missing] = self.v.unknown  # parts that have one are searched alone
                 if (found >= 0).any() or end == start + 1:
                     arcs[start, end] = score
                     piece_of[start, end, :m] = found
@@ -285,7 +367,7 @@ class Encoder:
         back[order] = np.arange(n)
         flat = picked.T[back][:, ::-1]
         has = (np.arange(len(path)) >= len(path) - sizes[back][:, None])
-        return flat[has], sizes[back], best[back], (best - second)[back], plain[back]
+        return flat[has], sizes[back], best[back] / UNIT, (best - second)[back] / UNIT, plain[back]
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         if len(self.ids) > 1:
@@ -297,13 +379,13 @@ class Encoder:
     def encode(self, texts: list[str | None], n: int = N_BEST) -> list[tuple]:
         """For each text its ids, score, and up to ``n`` - 1 next best: scores, and what they change."""
         split = [self.parts(t or "") for t in texts]
-        if len(self.index) > KEEP:
+        if len(self.index) > KEEP or self.chars > KEEP_CHARS:
             self.clear()
         get = self.index.get
         found = [np.fromiter([get(p, -1) for p in parts], np.int64, len(parts)) for parts in split]
         unknown = [np.flatnonzero(of < 0).tolist() for of in found]
         if any(unknown):
-            self.learn(list({parts[i] for parts, new in zip(split, unknown, strict=True) for i in new}))
+            self.learn(list({parts[i] for parts, new in zip(split, unknown, strict=True) for i in new}), n)
             for of, parts, new in zip(found, split, unknown, strict=True):
                 for i in new:
                     of[i] = self.index[parts[i]]
@@ -316,6 +398,7 @@ class Encoder:
             row = ids.take(_ranges(self.starts.take(of), length))
             total = float(scores.take(of).sum())
             out.append((row, total, self._next(parts, of, length, losses.take(of), total, n)))
+        self.fresh.clear()
         return out
 
     def _next(self, parts: list[str], of: np.ndarray, length: np.ndarray, loss: np.ndarray, total: float, n: int) -> list[dict]:
@@ -325,24 +408,12 @@ class Encoder:
         cheap = np.argsort(loss, kind="stable")[: n - 1]
         cheap = np.sort(cheap[np.isfinite(loss[cheap])])
         places = np.cumsum(length) - length
-        choices = [[(score, ids) for score, ids in self.alternatives(parts[i], n)] for i in cheap.tolist()]
-        lost_by = [[c[0][0] - score for score, _ in c] for c in choices]
-        # What one change alone loses bounds what any of the n - 1 best can lose.
-        alone = sorted(x for part in lost_by for x in part[1:])
-        most = alone[n - 2] if len(alone) >= n - 1 else math.inf
-        combined = []
-        for pick in itertools.product(*[[j for j, x in enumerate(part) if j == 0 or x <= most] for part in lost_by]):
-            changes = len(pick) - pick.count(0)
-            if changes:
-                combined.append((sum([part[j] for part, j in zip(lost_by, pick, strict=True)]), changes, pick))
+        choices = [self.alternatives(parts[i], n) for i in cheap.tolist()]
         rows = []
-        for lost, _, pick in sorted(combined)[: n - 1]:
-            edits = [
-                {"at": int(places[i]), "n_old": int(length[i]), "ids": list(c[j][1])}
-                for i, c, j in zip(cheap.tolist(), choices, pick, strict=True)
-                if j
-            ]
-            rows.append({"score": total - lost, "edits": edits})
+        for lost, changes, pick in combinations([[x for x, _ in part] for part in choices], n):
+            if changes:
+                edits = [(int(places[i]), c[j][1]) for i, c, j in zip(cheap.tolist(), choices, pick, strict=True) if j]
+                rows.append({"score": total - lost, "edits": [{"at": at + same, "n_old": n_old, "ids": list(ids)} for at, (same, n_old, ids) in edits]})
         return rows
 
     def decode(self, ids: np.ndarray) -> str:
@@ -351,7 +422,7 @@ class Encoder:
         if len(ids) and self.has_bytes[ids].any():
             joined = re.sub("[\udc00-\udcff]+", lambda m: bytes(ord(c) - 0xDC00 for c in m[0]).decode("utf-8", "replace"), joined)
         joined = joined.replace(BLANK, " ")
-        return joined[1:] if joined.startswith(" ") else joined
+        return joined[1:] if self.v.prefix and joined.startswith(" ") else joined
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -364,6 +435,7 @@ ENCODED = (
     "piece_ids array<int>, n_pieces int, score double, "
     "next_best array<struct<score:double, edits:array<struct<at:int, n_old:int, ids:array<int>>>>>, round_trip boolean"
 )
+NAMES = ("piece_ids", "n_pieces", "score", "next_best", "round_trip")
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -372,9 +444,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary's file
-    names = ["piece_ids", "n_pieces", "score", "next_best", "round_trip"]
-
-    kept = docs.drop(*[c for c in docs.columns if c in names])
+    names = others(docs.columns, *NAMES)
+    # Numbered on the way through Python, so that no name is in the way.
+    kept = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    place = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if id(shared.value) not in _ENCODERS:
@@ -382,7 +455,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
             _ENCODERS[id(shared.value)] = Encoder(shared.value)
         encoder = _ENCODERS[id(shared.value)]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(place).to_pylist()
             found = encoder.encode(texts, n)
             ids = [row for row, _, _ in found]
             columns = [
@@ -392,9 +465,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
                 _following([following for _, _, following in found]),
                 pa.array([encoder.decode(row) == (text or "") for row, text in zip(ids, texts, strict=True)], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *NAMES])
 
-    return kept.mapInArrow(run, T.StructType(kept.schema.fields + T._parse_datatype_string(ENCODED).fields))
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields + T._parse_datatype_string(ENCODED).fields)).toDF(*names, *NAMES)
 
 
 def _lists(rows: list) -> pa.ListArray:
