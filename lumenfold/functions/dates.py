@@ -1,6 +1,7 @@
 """Dates inferred from paths, as native expressions.
 
-Every reading of a pattern is taken, made a date if it is one, and the first that is stays.
+A name is cut into runs of digits and what stands between them, a path into folders and into words. Neighbours among
+these are read together; every reading is made a date if it is one, and the first that is stays.
 """
 
 from __future__ import annotations
@@ -19,15 +20,6 @@ MONTHS = {
     "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
 }
 
-_YEAR = r"(?:19|20)\d\d"
-COMPACT = rf"(?<!\d){_YEAR}\d{{2}}\d{{2}}(?:[_\-]?\d{{2}}\d{{2}}(?:\d{{2}})?)?(?!\d)"
-DASHED = rf"(?<!\d){_YEAR}[._\-]\d{{1,2}}[._\-]\d{{1,2}}(?!\d)"
-FOLDERS_DAY = rf"/{_YEAR}/\d{{1,2}}/\d{{1,2}}(?=/)"
-FOLDERS_MONTH = rf"/{_YEAR}/\d{{1,2}}(?=/)"
-NAMED_DAY = rf"(?i)\b[A-Za-z]{{3,9}}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+{_YEAR}\b"
-NAMED_MONTH = rf"(?i)\b[A-Za-z]{{3,9}}\.?\s+{_YEAR}\b"
-
-
 def _stamp(y: Column, m: Column, d: Column, clock: Column | None = None) -> Column:
     """YYYY-MM-DD hh:mm:ss of a valid date in range, else null. No clock is noon."""
     y, m, d = (x.try_cast("int") for x in (y, m, d))
@@ -36,45 +28,65 @@ def _stamp(y: Column, m: Column, d: Column, clock: Column | None = None) -> Colu
     return F.when(good, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), clock if clock is not None else F.lit("12:00:00")))
 
 
-def _first(text: Column, pattern: str, read) -> Column:
-    """The first reading that is not null."""
-    return F.try_element_at(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read), lambda x: x.isNotNull()), F.lit(1))
+def _readings(parts: Column, width: int, read, first: int = 0) -> Column:
+    """The first date that ``read`` makes of ``width`` neighbours among ``parts``; neighbours past the end are null."""
+    places = F.when(F.size(parts) > first, F.sequence(F.lit(first), F.size(parts) - 1))
+    found = F.filter(F.transform(places, lambda i: read(*[F.get(parts, i + k) for k in range(width)])), lambda x: x.isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
+def _is_year(x: Column) -> Column:
+    return (F.length(x) == 4) & (x.startswith("19") | x.startswith("20")) & x.rlike("^[0-9]+$")
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
+def _is_day(x: Column) -> Column:
+    """A month's or a day's number."""
+    return x.rlike("^[0-9]{1,2}$")
 
 
-def _compact(x: Column) -> Column:
-    digits = F.regexp_replace(x, r"\D", "")
+def _run(x: Column, gap: Column, after: Column) -> Column:
+    """A run of digits: a date, or a date with its clock; the clock may follow after one mark."""
+    clocked = (F.length(x) == 8) & gap.isin("_", "-") & F.length(after).isin(4, 6)
+    digits = F.when(clocked, F.concat(x, after)).otherwise(x)
     h, m = F.substring(digits, 9, 2), F.substring(digits, 11, 2)
-    s = F.when(F.length(digits) >= 14, F.substring(digits, 13, 2)).otherwise("00")
-    on_clock = (F.length(digits) >= 12) & (h < "24") & (m < "60") & (s < "60")
+    s = F.when(F.length(digits) == 14, F.substring(digits, 13, 2)).otherwise("00")
+    on_clock = (F.length(digits) > 8) & (h < "24") & (m < "60") & (s < "60")
     clock = F.when(on_clock, F.concat_ws(":", h, m, s)).otherwise("12:00:00")
-    return _stamp(F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2), clock)
+    good = _is_year(F.substring(x, 1, 4)) & F.length(x).isin(8, 12, 14)
+    return F.when(good, _stamp(F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2), clock))
 
 
-def _three(x: Column) -> Column:
-    p = r"(\d+)\D+(\d+)\D+(\d+)"
-    return _stamp(_part(x, p, 1), _part(x, p, 2), _part(x, p, 3))
+def _marked(y: Column, mark: Column, m: Column, other: Column, d: Column) -> Column:
+    """Three runs of digits with one mark between them."""
+    return F.when(_is_year(y) & mark.isin(".", "_", "-") & _is_day(m) & other.isin(".", "_", "-") & _is_day(d), _stamp(y, m, d))
 
 
-def _two(x: Column) -> Column:
-    p = r"(\d+)\D+(\d+)"
-    return _stamp(_part(x, p, 1), _part(x, p, 2), F.lit("1"))
+def _folders_day(y: Column, m: Column, d: Column, below: Column) -> Column:
+    return F.when(_is_year(y) & _is_day(m) & _is_day(d) & below.isNotNull(), _stamp(y, m, d))
 
 
-def _month(x: Column) -> Column:
+def _folders_month(y: Column, m: Column, below: Column) -> Column:
+    return F.when(_is_year(y) & _is_day(m) & below.isNotNull(), _stamp(y, m, F.lit("1")))
+
+
+def _month_at_end(word: Column) -> Column:
+    """The month that a word ends with, as a word of its own, with a full stop or without."""
     table = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])
-    return F.try_element_at(table, F.lower(_part(x, r"^([A-Za-z]+)", 1)))
+    return F.try_element_at(table, F.lower(F.regexp_extract(word, r"([\p{L}\p{N}_]*)\.?$", 1)))
+
+
+def _year_in_front(word: Column) -> Column:
+    return F.nullif(F.regexp_extract(word, r"^([0-9]{4})(?![\p{L}\p{N}_])", 1), F.lit(""))
 
 
-def _named_day(x: Column) -> Column:
-    return _stamp(_part(x, r"(\d{4})$", 1), _month(x), _part(x, r"\s(\d{1,2})\D", 1))
+def _words_day(a: Column, b: Column, c: Column) -> Column:
+    year, day = _year_in_front(c), F.regexp_extract(F.lower(b), r"^([0-9]{1,2})(st|nd|rd|th)?,?$", 1)
+    return F.when(_is_year(year) & (day != ""), _stamp(year, _month_at_end(a), day))
 
 
-def _named_month(x: Column) -> Column:
-    return _stamp(_part(x, r"(\d{4})$", 1), _month(x), F.lit("1"))
+def _words_month(a: Column, b: Column) -> Column:
+    year = _year_in_front(b)
+    return F.when(_is_year(year), _stamp(year, _month_at_end(a), F.lit("1")))
 
 
 def _epoch(name: Column) -> Column:
@@ -90,12 +102,14 @@ def _epoch(name: Column) -> Column:
 def infer_date(path: Column) -> Column:
     """The date that a path tells, by name, by milliseconds, by folders or by month names; else null."""
     name = basename(path)
+    runs = F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))  # digits and other marks in turn
+    folders, words = F.split(path, "/"), F.split(path, r"\s+")
     return F.coalesce(
-        _first(name, COMPACT, _compact),
-        _first(name, DASHED, _three),
+        _readings(runs, 3, _run),
+        _readings(runs, 5, _marked),
         _epoch(name),
-        _first(path, FOLDERS_DAY, _three),
-        _first(path, NAMED_DAY, _named_day),
-        _first(path, FOLDERS_MONTH, _two),
-        _first(path, NAMED_MONTH, _named_month),
+        _readings(folders, 4, _folders_day, first=1),
+        _readings(words, 3, _words_day),
+        _readings(folders, 3, _folders_month, first=1),
+        _readings(words, 2, _words_month),
     )

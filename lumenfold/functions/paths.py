@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions by kind of file.
-IMAGE_EXTENSIONS = tuple(".jpg .jpeg .png .heic .heif .tif .tiff .webp .bmp .gif".split())
-RAW_EXTENSIONS = tuple(".cr2 .cr3 .nef .arw .dng .orf .rw2 .raf .srw .pef".split())
+IMAGE_EXTENSIONS = tuple(".jpg .jpeg .png .tif .tiff .bmp .gif .webp .heic .heif .avif".split())
+RAW_EXTENSIONS = tuple(".cr2 .cr3 .nef .arw .dng .orf .rw2 .raf .pef".split())
 VIDEO_EXTENSIONS = tuple(".mov .mp4 .m4v .avi .mkv".split())
 SUPPORTED = IMAGE_EXTENSIONS + RAW_EXTENSIONS + VIDEO_EXTENSIONS
 
@@ -40,7 +40,7 @@ def mime_of(path: Column) -> Column:
     return (
         F.when(ext.isin(".jpg", ".jpeg"), "image/jpeg")
         .when(ext.isin(".tif", ".tiff"), "image/tiff")
-        .when(ext.isin(".heic", ".heif", ".png", ".webp", ".bmp", ".gif"), F.concat(F.lit("image/"), sub))
+        .when(ext.isin(".heic", ".heif", ".avif", ".png", ".webp", ".bmp", ".gif"), F.concat(F.lit("image/"), sub))
         .when(ext == ".mov", "video/quicktime")
         .when(ext.isin(".mp4", ".m4v"), "video/mp4")
     )

@@ -34,7 +34,7 @@ def unit(v: Column) -> Column:
     def scaled(p: Column) -> Column:
         return F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x))
 
-    held = F.transform(F.array(doubles(v)), lambda d: F.struct(d.alias("v"), norm(d).alias("n")))
+    held = F.transform(F.array(doubles(v)), lambda d: F.named_struct(F.lit("v"), d, F.lit("n"), norm(d)))
     return F.element_at(F.transform(held, scaled), 1)
 
 

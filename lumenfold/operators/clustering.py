@@ -15,8 +15,10 @@ MERGE_BELOW = 0.35
 MIN_CLUSTER = 3
 #: Vectors that the density step takes into one task at most.
 MOST_LEFT_OVER = 50_000
-#: Centroids that are sent to every task at most; more are joined in blocks.
-MOST_CENTROIDS = 100_000
+#: Bytes of centroids, as doubles, that are sent to every task at most; more are joined in blocks of so many.
+MOST_CENTROID_BYTES = 64 << 20
+#: Distances that a task holds at a time.
+DISTANCES = 1 << 21
 
 
 def centroids(vectors: DataFrame, members: DataFrame) -> DataFrame:
@@ -40,19 +42,20 @@ def usable(clusters: DataFrame) -> DataFrame:
 def assign(vectors: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW) -> DataFrame:
     """``id``, ``cluster_id``, ``distance`` of the nearest centroid that is nearer than ``below``; equal ones go to the lowest id.
 
-    Centroids are few beside faces: up to MOST_CENTROIDS they go to every task as one matrix. More
+    Centroids are few beside faces: up to MOST_CENTROID_BYTES they go to every task as one matrix. More
     are dealt into blocks, each vector meets each block, and the least distance stays.
     """
-    n = clusters.count()
     rows = usable(clusters).select("cluster_id", V.unit(F.col("centroid")).alias("c"))
-    if n <= MOST_CENTROIDS:
-        known = sorted((r.cluster_id, r.c) for r in rows.collect())
-        ids, matrix = np.array([k for k, _ in known], np.int64), np.array([c for _, c in known], np.float64)
+    n_bytes = 8 * (rows.agg(F.sum(F.size("c").cast("long") + 1)).first()[0] or 0)
+    if n_bytes <= MOST_CENTROID_BYTES:
+        known = rows.orderBy("cluster_id").toPandas()
+        matrix = np.stack(known["c"]).astype(np.float64) if len(known) else np.zeros((0, 0))
+        shared = vectors.sparkSession.sparkContext.broadcast((known["cluster_id"].to_numpy(np.int64), matrix))
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(ids) or not len(pdf):
-                    continue
+            ids, matrix = shared.value
+            step = max(1, DISTANCES // max(1, len(ids)))
+            for pdf in (whole.iloc[at : at + step] for whole in batches if len(ids) for at in range(0, len(whole), step)):
                 x = np.nan_to_num(np.stack(pdf["embedding"]).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, size, out=x, where=size > 0)
@@ -63,7 +66,7 @@ def assign(vectors: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW)
                 yield pd.DataFrame({"id": pdf["id"][keep], "cluster_id": ids[best[keep]], "distance": least[keep]})
 
         return vectors.select("id", "embedding").mapInPandas(near, "id long, cluster_id long, distance double")
-    blocks = -(-n // MOST_CENTROIDS) * 8
+    blocks = -(-n_bytes // MOST_CENTROID_BYTES) * 8
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int"))
     asked = vectors.select("id", V.unit(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     distance = V.unit_l2(F.col("v"), F.col("c"))

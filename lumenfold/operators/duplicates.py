@@ -18,11 +18,12 @@ STILLS = (".heic", ".heif", ".jpg", ".jpeg", ".png")
 
 
 def _live(files: DataFrame) -> DataFrame:
-    return files.where("missing = 0 and too_small = 0")
+    """Files that are still to decide on: what is a duplicate already has its keeper, and is no keeper itself."""
+    return files.where("missing = 0 and too_small = 0 and dup_of is null")
 
 
 def groups(files: DataFrame, by: str = "content_hash") -> DataFrame:
-    """Keys with two live files or more. By look, photos only."""
+    """Keys with two live files or more that are no duplicates yet. By look, photos only."""
     rows = _live(files).where(F.coalesce(F.col(by), F.lit("")) != "")
     rows = rows.where(P.is_image()) if by == "phash" else rows
     found = rows.groupBy(F.col(by).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum("size").alias("bytes"))
@@ -138,7 +139,7 @@ def mark_live(files: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(files: DataFrame, meta: DataFrame, by: str = "content_hash", rule: str = "shortest-path") -> DataFrame:
-    """``files`` with ``dup_of`` of every member but the keeper; other rows keep theirs."""
+    """``files`` with ``dup_of`` of every member but the keeper; other rows keep theirs. A keeper has none, so no chain and no cycle comes about."""
     found = keepers(files, meta, by, rule).where("id <> keeper").withColumnRenamed("id", "k_id")
     rows = files.join(found, F.col("id") == F.col("k_id"), "left")
     return rows.withColumn("dup_of", F.coalesce("keeper", "dup_of")).select(*files.columns)

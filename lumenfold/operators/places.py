@@ -55,7 +55,7 @@ def _cell(lat, lon):
 
 
 def reverse_geocode(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """The nearest city of every point: ``id``, ``city``, ``km``. Points without a place are left out.
+    """The nearest city of every point: ``id``, ``city``, ``region``, ``country``, ``km``. Points without a place are left out.
 
     Distinct coordinates only are looked up. A point looks in its cell and those around it; where a
     city there is nearer than any cell further off can be, that is the answer. What is left, far
@@ -63,18 +63,18 @@ def reverse_geocode(points: DataFrame, cities: DataFrame) -> DataFrame:
     """
     rows = points.where("lat is not null and lon is not null")
     spots = rows.select("lat", "lon").distinct()
-    named = cities.select(F.col("name").alias("city"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    named = cities.select(F.struct(F.col("name").alias("city"), "region", "country").alias("place"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     y, x = F.floor(F.col("c_lat") / CELL), F.floor(F.col("c_lon") / CELL)
     around = F.explode(F.array(*[F.struct((y + i).cast("int").alias("y"), F.pmod(x + j, F.lit(int(360 / CELL))).cast("int").alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    best = F.min(F.struct(km.alias("km"), F.col("city").alias("city"))).alias("b")
+    best = F.min(F.struct(km.alias("km"), F.col("place"))).alias("b")
     close = spots.withColumn("cell", _cell(F.col("lat"), F.col("lon"))).join(named.withColumn("cell", around), "cell").groupBy("lat", "lon").agg(best)
     # Nothing beyond the ring of cells is nearer than a cell's width at this latitude.
     safe = F.lit(CELL * 110.5) * F.least(F.lit(1.0), F.cos(F.radians(F.least(F.abs(F.col("lat")) + CELL, F.lit(90.0)))))
     sure = close.where(F.col("b.km") <= safe)
     far = spots.join(sure, ["lat", "lon"], "left_anti").join(named, how="inner", on=F.lit(True)).groupBy("lat", "lon").agg(best)
     found = sure.unionByName(far)
-    return rows.join(found, ["lat", "lon"]).select("id", F.col("b.city").alias("city"), F.col("b.km").alias("km"))
+    return rows.join(found, ["lat", "lon"]).select("id", "b.place.*", F.col("b.km").alias("km"))
 
 
 def place_search(query: str, cities: DataFrame, landmarks: DataFrame, limit: int = 8, codes: set[str] = frozenset()) -> DataFrame:

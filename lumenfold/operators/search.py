@@ -76,7 +76,7 @@ def by_vector(files, meta, vectors, query: Sequence[float], k: int = USUAL, root
     if visible_only:
         vectors = vectors.join(files.where(P.visible()).select("id"), "id", "left_semi")
     near = nearest(vectors, query, k).withColumnRenamed("id", "near_id")
-    rows = with_meta(files, meta).where(P.under_roots(roots)).join(F.broadcast(near), F.col("id") == F.col("near_id"))
+    rows = with_meta(files, meta).where(P.under_roots(roots)).join(near, F.col("id") == F.col("near_id"))
     return rows.select(*COLUMNS, "distance").orderBy("distance", "id")
 
 

@@ -6,7 +6,6 @@ side must all be there; OR, NOT, "a phrase", begin*, and parentheses.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -205,15 +204,12 @@ def search(index: Index, query: str) -> DataFrame:
     # The postings of the query's words alone, made once.
     found = checkpointed(index.postings.where(_any_word(tree)))
     index, lengths = Index(found, index.lengths), found.select("file_id", "n_terms").distinct()
-    scored = None
-    for leaf in dict.fromkeys(_leaves(tree)):
-        rows = _leaf_rows(index, leaf)
-        df = rows.count()
-
-
-        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(mean or 1.0)))
-        part = rows.join(lengths, "file_id").select("file_id", (F.lit(-idf) * weight).alias("s"))
-        scored = part if scored is None else scored.unionByName(part)
+    leaves = [_leaf_rows(index, leaf).select("file_id", "tf", F.lit(i).alias("leaf")) for i, leaf in enumerate(dict.fromkeys(_leaves(tree)))]
+    rows = reduce(DataFrame.unionByName, leaves)
+    # One row for each part of the query.
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    weights = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("df")).select("leaf", idf.alias("idf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(mean or 1.0)))
+    scored = rows.join(F.broadcast(weights), "leaf").join(lengths, "file_id").select("file_id", (-F.col("idf") * weight).alias("s"))
     total = scored.groupBy("file_id").agg(F.sum("s").alias("rank"))
     return total.join(_ids(index, tree), "file_id", "left_semi")

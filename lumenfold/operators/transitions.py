@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
@@ -250,10 +250,13 @@ def backfill_persons(clusters: DataFrame, persons: DataFrame, names: DataFrame)
     known = persons.select(F.lower("primary_name").alias("k"))
     loose = clusters.where("person_id is null and person_name is not null").groupBy(F.lower("person_name").alias("k")).agg(F.min("person_name").alias("primary_name"))
     loose = loose.join(known, "k", "left_anti")
-    # Names are few; their order needs one task.
-    fresh = loose.withColumn("id", F.row_number().over(Window.partitionBy().orderBy("k")) + F.lit(_next_id(persons) - 1)).select("id", "primary_name")
-    persons = persons.unionByName(fresh.select(F.col("id").cast("bigint").alias("id"), "primary_name"), allowMissingColumns=True)
-    epochs = fresh.select((F.col("id") - F.lit(_next_id(persons)) + F.lit(_next_id(names)) + F.lit(1 << 20)).cast("bigint").alias("id"), F.col("id").cast("bigint").alias("person_id"), F.col("primary_name").alias("name"))
+    from lumenfold.operators.scanning import with_ranks
+
+    # A name's rank, from 1, is its place behind the persons and the names that are there.
+    ranked = with_ranks(loose, "k")
+    person, epoch = (F.col("rank").cast("bigint") + F.lit(_next_id(t) - 1) for t in (persons, names))
+    persons = persons.unionByName(ranked.select(person.alias("id"), "primary_name"), allowMissingColumns=True)
+    epochs = ranked.select(epoch.alias("id"), person.alias("person_id"), F.col("primary_name").alias("name"))
     names = names.unionByName(epochs, allowMissingColumns=True)
     ids = persons.groupBy(F.lower("primary_name").alias("k")).agg(F.min("id").alias("p"))
     rows = clusters.join(ids, F.lower("person_name") == F.col("k"), "left").withColumn("person_id", F.coalesce("person_id", "p")).select(*clusters.columns)

@@ -110,22 +110,21 @@ def _(c):
 
 @query(
     "reset_turned",
-    """SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE yolo_done END AS yolo_done, CASE WHEN id % 3 = 0 THEN 0 ELSE width END AS width FROM files""",
+    """SELECT id, CASE WHEN height < 400 THEN 0 ELSE yolo_done END AS yolo_done, CASE WHEN height < 400 THEN 0 ELSE width END AS width FROM files""",
     "files",
 )
 def _(c):
-    sizes = c.files.select("id", F.when(F.col("id") % 3 == 0, F.col("width") + 1).otherwise(F.col("width")).alias("width"), "height")
+    sizes = c.files.select("id", F.when(F.col("height") < 400, F.col("width") + 1).otherwise(F.col("width")).alias("width"), "height")
     return _flags(X.reset_turned(c.files, sizes, {})["files"], "yolo_done", "width")
 
 
 @query(
     "fill_hashes",
-    "SELECT id, CASE WHEN id % 2 = 1 AND missing = 0 AND too_small = 0 AND dup_of IS NULL AND kind <> 'video' THEN CASE WHEN id % 3 = 0 THEN 'ab' ELSE '' END WHEN id % 2 = 1 THEN NULL ELSE phash END AS phash FROM files",
+    "SELECT id, CASE WHEN phash IS NULL AND missing = 0 AND too_small = 0 AND dup_of IS NULL AND kind <> 'video' THEN CASE WHEN height < 400 THEN 'ab' ELSE '' END ELSE phash END AS phash FROM files",
     "files",
 )
 def _(c):
-    rows = c.files.withColumn("phash", F.when(F.col("id") % 2 == 0, F.col("phash")))
-    return _flags(X.fill_hashes(rows, c.files.where("id % 3 = 0").select("id", F.lit("ab").alias("phash"))), "phash")
+    return _flags(X.fill_hashes(c.files, c.files.where("height < 400").select("id", F.lit("ab").alias("phash"))), "phash")
 
 
 @query(
@@ -176,12 +175,12 @@ def _(c):
 
 @query(
     "store_metadata",
-    f"""WITH {EXIF} SELECT id AS file_id, regexp_replace(d, '^([0-9]+):([0-9]+):', '\\1-\\2-') AS taken_at, 0 AS date_inferred, CAST(NULL AS VARCHAR) AS city FROM tags WHERE id % 4 = 0
-        UNION ALL SELECT file_id, taken_at, date_inferred, city FROM photo_meta WHERE file_id % 4 <> 0""",
+    f"""WITH {EXIF} SELECT id AS file_id, regexp_replace(d, '^([0-9]+):([0-9]+):', '\\1-\\2-') AS taken_at, 0 AS date_inferred, CAST(NULL AS VARCHAR) AS city FROM tags
+        UNION ALL SELECT file_id, taken_at, date_inferred, city FROM photo_meta WHERE file_id NOT IN (SELECT id FROM tags)""",
     "photo_meta",
 )
 def _(c):
-    found = exif.rows(_tags(c)).withColumn("file_id", F.col("path").cast("bigint")).where("file_id % 4 = 0").drop("path")
+    found = exif.rows(_tags(c)).withColumn("file_id", F.col("path").cast("bigint")).drop("path")
     meta, _ = X.store_metadata(c.photo_meta, c.files, found.select(*[x for x in found.columns if x in c.photo_meta.columns]))
     return meta.select("file_id", "taken_at", "date_inferred", "city")
 
@@ -193,12 +192,12 @@ def _(c):
 
 @query(
     "record_suggestions",
-    """SELECT id, CASE WHEN id % 4 = 0 THEN 1 ELSE rotation_checked END AS rotation_checked,
-        CASE WHEN id % 4 = 0 AND (id % 3) * 90 <> 0 AND id % 100 >= 90 THEN CAST((id % 3) * 90 AS INT) ELSE rotation_suggested END AS rotation_suggested FROM files""",
+    """SELECT id, 1 AS rotation_checked,
+        CASE WHEN (id % 3) * 90 <> 0 AND id % 100 >= 90 THEN CAST((id % 3) * 90 AS INT) ELSE rotation_suggested END AS rotation_suggested FROM files""",
     "files",
 )
 def _(c):
-    found = c.files.where("id % 4 = 0").select("id", ((F.col("id") % 3) * 90).cast("int").alias("degrees"), (F.col("id") % 100 / 100.0).cast("double").alias("prob"))
+    found = c.files.select("id", ((F.col("id") % 3) * 90).cast("int").alias("degrees"), (F.col("id") % 100 / 100.0).cast("double").alias("prob"))
     return _flags(X.record_suggestions(c.files, found), "rotation_checked", "rotation_suggested")
 
 
@@ -259,17 +258,17 @@ def _(c):
 
 @query(
     "backfill_persons",
-    """SELECT primary_name FROM persons UNION ALL SELECT DISTINCT person_name FROM face_clusters WHERE person_name IS NOT NULL AND cluster_id % 2 = 0""",
+    """SELECT primary_name FROM persons UNION ALL SELECT DISTINCT person_name FROM face_clusters WHERE lower(person_name) NOT IN (SELECT lower(primary_name) FROM persons)""",
     "persons", "face_clusters",
 )
 def _(c):
-    loose = c.face_clusters.withColumn("person_id", F.when(F.col("cluster_id") % 2 == 1, F.col("person_id")))
+    loose = c.face_clusters.withColumn("person_id", F.lit(None).cast("bigint"))
     return X.backfill_persons(loose, c.persons, c.person_names)[1].select("primary_name")
 
 
-@query("purge_orphans", "SELECT id FROM vectors WHERE id IN (SELECT id FROM files WHERE id % 3 <> 0)", "vectors", "files")
+@query("purge_orphans", "SELECT id FROM vectors WHERE id IN (SELECT id FROM files WHERE kind = 'video')", "vectors", "files")
 def _(c):
-    return X.purge_orphans(c.vectors, c.files.where("id % 3 <> 0")).select("id")
+    return X.purge_orphans(c.vectors, c.files.where("kind = 'video'")).select("id")
 
 
 @query(
@@ -320,10 +319,16 @@ def _(c):
     return gazetteer.from_points(rows).select("name", "kind", "sitelinks")
 
 
-@query("sample_top_up", "SELECT CAST(1700 AS BIGINT) AS n, CAST(1700 AS BIGINT) AS files")
+@query(
+    "sample_top_up",
+    """WITH y AS (SELECT file_id, substr(taken_at, 1, 4) AS "year", md5('7:' || file_id) AS h FROM photo_meta),
+        s AS (SELECT file_id, "year" FROM y WHERE "year" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "year" ORDER BY h, file_id) <= 50),
+        r AS (SELECT file_id, "year" FROM y WHERE file_id NOT IN (SELECT file_id FROM s) ORDER BY h, file_id LIMIT (SELECT greatest(0, 1700 - count(*)) FROM s))
+        SELECT "year", file_id FROM s UNION ALL SELECT "year", file_id FROM r""",
+    "photo_meta",
+)
 def _(c):
-    first = sampling.by_year(c.photo_meta.where("taken_at < '1993'"), samples=100, seed=7, least=50)
-    return sampling.top_up(first, c.photo_meta, 1700, 7).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files"))
+    return sampling.top_up(sampling.by_year(c.photo_meta, samples=100, seed=7, least=50), c.photo_meta, 1700, 7)
 
 
 @query(
@@ -345,27 +350,55 @@ def _(c):
     return search.by_vector(c.files, c.photo_meta, c.vectors, _first_vector(c), 30, visible_only=True).select("id")
 
 
-@query("nearest_frames_and_photos")
+@query(
+    "nearest_frames_and_photos",
+    """SELECT v.id AS id, round(sqrt(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: pow(CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))), 6) AS distance
+        FROM vectors v, vectors q WHERE q.id = 0 ORDER BY distance, v.id LIMIT 20""",
+    "vectors",
+)
 def _(c):
     """An extension: photos' and frames' vectors in one search."""
     photos = c.vectors.where("id % 2 = 0").select("id", "embedding")
     frames = c.vectors.where("id % 2 = 1").select("id", "embedding")
-    return search.nearest(photos.unionByName(frames), _first_vector(c), 20)
+    return search.nearest(photos.unionByName(frames), _first_vector(c), 20).select("id", F.round("distance", 6).alias("distance"))
 
 
 # Stages, the log, events.
 
 
-@query("stage_embed")
+_QUEUE = "missing = 0 AND decode_failed = 0 AND too_small = 0 AND live_photo_of IS NULL"
+_HEX = "CAST(('0x' || substr(content_hash, {}, 2)) AS INT)"
+
+
+@query(
+    "stage_embed",
+    f"""WITH q AS (SELECT id, content_hash FROM files WHERE {_QUEUE} AND clip_done = 0),
+        x AS (SELECT id, [{', '.join(f'({_HEX.format(2 * i + 1)} - 127.5) / 128' for i in range(32))}] AS v FROM q),
+        e AS (SELECT id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS "first", 32 AS dim FROM x)
+        SELECT id, CASE WHEN id IN (SELECT id FROM q) THEN 1 ELSE clip_done END AS clip_done, "first", dim FROM files JOIN (
+            SELECT * FROM e UNION ALL SELECT id, round(CAST(embedding[1] AS DOUBLE), 5), len(embedding) FROM vectors WHERE id NOT IN (SELECT id FROM q)) USING (id)""",
+    "files", "vectors",
+)
 def _(c):
-    files, table = stages.apply(stages.EMBED, c.files.where("id % 50 = 0"), c.vectors.select(F.col("id").alias("id_"), "embedding"))
-    return files.join(table, F.col("id") == F.col("id_")).select("id", "clip_done", F.size("embedding").alias("dim"))
+    files, table = stages.apply(stages.EMBED, c.files, c.vectors.select(F.col("id").alias("id_"), "embedding"))
+    return files.join(table, F.col("id") == F.col("id_")).select(
+        "id", "clip_done", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.size("embedding").alias("dim")
+    )
 
 
-@query("stage_detect")
+@query(
+    "stage_detect",
+    f"""WITH q AS (SELECT id, content_hash FROM files WHERE {_QUEUE} AND yolo_done = 0),
+        made AS (SELECT id AS file_id, content_hash, unnest(range({_HEX.format(1)} % 4)) AS i FROM q),
+        rows AS (SELECT file_id, 'label' || CAST(CAST(('0x' || substr(content_hash, CAST(3 + 12 * i AS INT), 2)) AS INT) % 20 AS VARCHAR) AS label,
+                CAST(('0x' || substr(content_hash, CAST(5 + 12 * i AS INT), 2)) AS INT) / 256.0 AS conf FROM made
+            UNION ALL SELECT file_id, label, conf FROM detections WHERE file_id NOT IN (SELECT id FROM q))
+        SELECT file_id, label, round(conf, 6) AS conf FROM rows WHERE file_id IN (SELECT id FROM files WHERE yolo_done = 1 OR id IN (SELECT id FROM q))""",
+    "files", "detections",
+)
 def _(c):
-    files, table = stages.apply(stages.DETECT, c.files.where("id % 50 = 0"), c.detections)
-    return table.join(files.where("yolo_done = 1").select("id"), F.col("file_id") == F.col("id"), "left_semi").select("file_id", "label", "conf")
+    files, table = stages.apply(stages.DETECT, c.files, c.detections)
+    return table.withColumn("conf", F.round("conf", 6)).join(files.where("yolo_done = 1").select("id"), F.col("file_id") == F.col("id"), "left_semi").select("file_id", "label", "conf")
 
 
 @query("incremental_rows", "SELECT id FROM files WHERE id NOT IN (SELECT file_id FROM faces)", "files", "faces")
@@ -423,12 +456,12 @@ def _(c):
 
 @query(
     "majority_written",
-    """WITH v AS (SELECT cluster_id, person_name, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, person_name) AS rn FROM faces WHERE person_name IS NOT NULL AND file_id % 3 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)
+    """WITH v AS (SELECT cluster_id, person_name, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, person_name) AS rn FROM faces WHERE person_name IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
         SELECT k.cluster_id AS cluster_id, coalesce(k.person_name, v.person_name) AS person_name FROM face_clusters k LEFT JOIN v ON v.cluster_id = k.cluster_id AND rn = 1""",
     "faces", "face_clusters",
 )
 def _(c):
-    votes = people.majority_names(c.faces.where("file_id % 3 = 0")).select("cluster_id", F.col("person_name").alias("v"))
+    votes = people.majority_names(c.faces).select("cluster_id", F.col("person_name").alias("v"))
     return c.face_clusters.join(votes, "cluster_id", "left").select("cluster_id", F.coalesce("person_name", "v").alias("person_name"))
 
 

@@ -19,7 +19,7 @@ TABLES: dict[str, str] = {
                CASE WHEN id % 17 = 0 THEN id + 1 END AS dup_of,
                CASE WHEN id % 31 = 0 THEN id + 1 END AS live_photo_of,
                CASE WHEN id % 10 = 0 THEN 'video' ELSE 'image' END AS kind,
-               substr(content_hash, 1, 15) || substr('0123456789abcdef', CAST(id % 16 AS INT) + 1, 1) AS phash,
+               CASE WHEN id % 47 <> 0 THEN substr(content_hash, 1, 15) || substr('0123456789abcdef', CAST(id % 16 AS INT) + 1, 1) END AS phash,
                CAST(CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END AS INT) AS decode_failed,
                CASE WHEN id % 97 = 0 THEN 'cannot decode ' || CAST(id AS STRING) END AS decode_error,
                CAST(CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS INT) AS yolo_done,
@@ -73,7 +73,9 @@ TABLES: dict[str, str] = {
     "face_clusters": """
         SELECT CAST(s_suppkey AS BIGINT) AS cluster_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS person_name,
                CAST(s_nationkey AS BIGINT) AS person_id, CAST(CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END AS INT) AS hidden
-        FROM supplier""",
+        FROM supplier
+        UNION ALL
+        SELECT CAST(n_nationkey + 10000000 AS BIGINT), CASE WHEN n_nationkey > 9 THEN n_name END, CAST(NULL AS BIGINT), 0 FROM nation""",
     "persons": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS primary_name FROM nation",
     "person_names": """
         SELECT CAST(n_nationkey * 3 AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS person_id, n_name || ' ever' AS name,

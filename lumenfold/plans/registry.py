@@ -265,9 +265,9 @@ def _(c):
     return search.run(c, search.Request(label="ECONOMY"))
 
 
-@query("search_person", _search_sql("id IN (SELECT file_id FROM faces WHERE person_name = 'Supplier#7')"), "files", "photo_meta", "faces")
+@query("search_person", _search_sql("id IN (SELECT file_id FROM faces WHERE person_name = 'Supplier#000000007')"), "files", "photo_meta", "faces")
 def _(c):
-    return search.run(c, search.Request(person="Supplier#7"))
+    return search.run(c, search.Request(person="Supplier#000000007"))
 
 
 @query("search_cluster", _search_sql("id IN (SELECT file_id FROM faces WHERE cluster_id = 5)"), "files", "photo_meta", "faces")
@@ -384,9 +384,18 @@ def _(c):
     return rows.orderBy("rank", "file_id").limit(50)
 
 
-@query("text_search_visible", None, "ocr_text", "files", "photo_meta")
+@query(
+    "text_search_visible",
+    f"""WITH {INDEXED}, tf AS (SELECT file_id, term, count(*) AS tf FROM post WHERE term IN ('the', 'of') GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT count(*) AS n, avg(n_terms) AS mean FROM docs),
+        hit AS (SELECT file_id AS hit_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 9) AS "rank"
+            FROM tf JOIN df USING (term) JOIN docs USING (file_id), s GROUP BY file_id HAVING count(*) = 2)
+        SELECT {FOUND_COLUMNS}, "rank" FROM hit JOIN files ON id = hit_id LEFT JOIN photo_meta ON photo_meta.file_id = id
+        WHERE {VIS} AND path ILIKE '/lib/r1/%' ORDER BY "rank", id LIMIT 60""",
+    "ocr_text", "files", "photo_meta",
+)
 def _(c):
-    return search.by_text(c.files, c.photo_meta, _index(c), "the of", 60, ["/lib/r1"])
+    return search.by_text(c.files, c.photo_meta, _index(c), "the of", 60, ["/lib/r1"]).withColumn("rank", F.round("rank", 9))
 
 
 # People.
@@ -505,9 +514,9 @@ def _(c):
     return people.majority_names(c.faces)
 
 
-@query("empty_clusters", "SELECT cluster_id FROM face_clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM faces WHERE file_id % 200 = 1)", "face_clusters", "faces")
+@query("empty_clusters", "SELECT cluster_id FROM face_clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM faces)", "face_clusters", "faces")
 def _(c):
-    return people.empty_clusters(c.face_clusters, c.faces.where("file_id % 200 = 1"))
+    return people.empty_clusters(c.face_clusters, c.faces)
 
 
 # Places.
@@ -555,11 +564,11 @@ def _(c):
 
 @query(
     "same_day",
-    f"SELECT id, taken_at FROM {FMI} WHERE {VIS} AND lat IS NULL AND id <> 205 AND substr(taken_at, 1, 10) = (SELECT substr(taken_at, 1, 10) FROM photo_meta WHERE file_id = 205)",
+    f"SELECT id, taken_at FROM {FMI} WHERE {VIS} AND lat IS NULL AND id <> 4 AND substr(taken_at, 1, 10) = (SELECT substr(taken_at, 1, 10) FROM photo_meta WHERE file_id = 4)",
     "files", "photo_meta",
 )
 def _(c):
-    return places.same_day(c.files, c.photo_meta, 205)
+    return places.same_day(c.files, c.photo_meta, 4)
 
 
 @query("geotag_batch", f"SELECT id, path, taken_at, lat, lon FROM {FM} WHERE id IN (3, 5, 8, 999999999)", "files", "photo_meta")
@@ -569,7 +578,7 @@ def _(c):
 
 @query(
     "reverse_geocode",
-    """SELECT id, city, round(km, 6) AS km FROM (SELECT file_id AS id, c.name AS city, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(c.lat) - radians(m.lat)) / 2), 2)
+    """SELECT id, city, region, country, round(km, 6) AS km FROM (SELECT file_id AS id, c.name AS city, c.region AS region, c.country AS country, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(c.lat) - radians(m.lat)) / 2), 2)
         + cos(radians(m.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - m.lon) / 2), 2)))) AS km,
         row_number() OVER (PARTITION BY file_id ORDER BY km, c.name) AS rn FROM photo_meta m, cities c WHERE m.lat IS NOT NULL AND m.lon IS NOT NULL) WHERE rn = 1""",
     "photo_meta", "cities",
@@ -583,19 +592,19 @@ def _(c):
     "place_search",
     """WITH b AS (SELECT name, region, country, lat, lon, least(1.0, population / 1e6) AS importance, 0 AS source FROM cities
             UNION ALL SELECT name, kind, '', lat, lon, least(1.0, sitelinks / 40.0), 1 FROM landmarks),
-        s AS (SELECT *, CASE WHEN n = 'part' THEN 100 WHEN starts_with(n, 'part') THEN 60 WHEN contains(n, 'part') THEN 30 END AS score
+        s AS (SELECT *, CASE WHEN n = 'nation_1' THEN 100 WHEN starts_with(n, 'nation_1') THEN 60 WHEN contains(n, 'nation_1') THEN 30 END AS score
             FROM (SELECT *, replace(lower(name), '-', ' ') AS n FROM b))
         SELECT name, region, country, lat, lon, CAST(score AS INT) AS score, CAST(importance AS DOUBLE) AS importance FROM s WHERE score IS NOT NULL
         ORDER BY score DESC, importance DESC, source, name, lat, lon LIMIT 8""",
     "cities", "landmarks",
 )
 def _(c):
-    return places.place_search("Part", c.cities, c.landmarks)
+    return places.place_search("Nation_1", c.cities, c.landmarks)
 
 
 # Duplicates.
 
-LIVE = "missing = 0 AND too_small = 0"
+LIVE = "missing = 0 AND too_small = 0 AND dup_of IS NULL"
 
 
 @query(
@@ -755,14 +764,14 @@ def _(c):
     "export_plan",
     _plan_sql(
         "missing = 0 AND dup_of IS NULL AND content_hash <> '' AND kind = 'image' AND camera_model ILIKE '%building%' AND taken_at < '1997' AND taken_at >= '1993-06' "
-        "AND id IN (SELECT file_id FROM faces WHERE person_name = 'Supplier#7')",
+        "AND id IN (SELECT file_id FROM faces WHERE person_name = 'Supplier#000000007')",
         "/ex",
     )
     + " SELECT * FROM plan",
     "files", "photo_meta", "faces",
 )
 def _(c):
-    return organise.export_plan(c.files, c.photo_meta, "/ex", "building", "1997", "1993-06", "Supplier#7", c.faces)
+    return organise.export_plan(c.files, c.photo_meta, "/ex", "building", "1997", "1993-06", "Supplier#000000007", c.faces)
 
 
 @query(
@@ -943,11 +952,11 @@ def _(c):
 @query(
     "human_sizes",
     """SELECT id, CASE WHEN size * 1000 >= 1048576 THEN printf('%.1f MB', size * 1000 / 1048576.0) WHEN size * 1000 >= 1024 THEN printf('%.1f KB', size * 1000 / 1024.0)
-        ELSE printf('%d B', size * 1000) END AS shown FROM files WHERE id % 10 = 3""",
+        ELSE printf('%d B', size * 1000) END AS shown FROM files""",
     "files",
 )
 def _(c):
-    return c.files.where("id % 10 = 3").select("id", formats.human_bytes(F.col("size") * 1000).alias("shown"))
+    return c.files.select("id", formats.human_bytes(F.col("size") * 1000).alias("shown"))
 
 
 @query(
@@ -996,9 +1005,9 @@ def _(c):
     return clustering.assign(c.vectors, made, 1.2).withColumn("distance", F.round("distance", 5))
 
 
-@query("orphan_vectors", "SELECT id FROM vectors WHERE id NOT IN (SELECT id FROM files WHERE id % 3 <> 0)", "vectors", "files")
+@query("orphan_vectors", "SELECT id FROM vectors WHERE id NOT IN (SELECT file_id FROM faces)", "vectors", "faces")
 def _(c):
-    return clustering.orphans(c.vectors, c.files.where("id % 3 <> 0"))
+    return clustering.orphans(c.vectors, c.faces, "file_id")
 
 
 @query("cluster_full")
@@ -1008,8 +1017,8 @@ def _(c):
 
 @query("cluster_incremental")
 def _(c):
-    made = clustering.centroids(c.vectors.where("label < 5"), _members(c).where("cluster_id < 5"))
-    return clustering.incremental(c.vectors.where("label >= 4"), made, below=0.9)
+    made = clustering.centroids(c.vectors, _members(c))
+    return clustering.incremental(c.vectors, made, below=0.9)
 
 
 @query(

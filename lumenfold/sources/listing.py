@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import paths
 
-#: Folders of photo libraries whose files are derivatives, and suffixes of such libraries.
+# Folders of photo libraries whose files are no originals, and what the names of such libraries hold.
 DERIVATIVES = (
-    "previews thumbnails resources private database scopes caches cache faces attachments plugins iLifeShared renders external tmp journals".split()
-)
-LIBRARIES = (".photoslibrary", ".aplibrary", ".photolibrary", ".migratedphotolibrary")
+    "Previews", "Thumbnails", "resources", "private", "external", "database", "scopes", "Data", "Faces", "Caches", "iPod Photo Cache",
+    "Auto Import", "Trash", "Auto Save", "Library6.iPhoto", "ProjectDBVersion",
+)
+LIBRARIES = (".photoslibrary", "iphoto library", ".aplibrary")
 
 
 def kept(path: Column, root: Column | None = None) -> Column:
@@ -22,9 +23,9 @@ def kept(path: Column, root: Column | None = None) -> Column:
     name = paths.basename(path)
     hidden = path.rlike(r"/\.[^/]")
     crop = F.lower(name).rlike(r"_face\d+\.(jpg|jpeg|png)$")
-    suffixes = "|".join(s.replace(".", r"\.") for s in LIBRARIES)
-    folders = "|".join(DERIVATIVES)
-    derived = path.rlike(rf"(?i)({suffixes})/(.*/)?({folders})/")
+    libraries, folders = ("|".join(n.replace(".", r"\.") for n in names) for names in (LIBRARIES, DERIVATIVES))
+    # A library's name in any case, and below it a folder's name as it is.
+    derived = path.rlike(rf"(?i:{libraries}).*/({folders})/")
     return paths.extension(path).isin(list(paths.SUPPORTED)) & ~hidden & ~crop & ~derived
 
 

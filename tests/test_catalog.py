@@ -232,9 +232,38 @@ def test_clusters_written(spark):
 
 
 def test_reverse_geocode_far_and_near(spark):
-    cities = spark.createDataFrame([("near", 10.0, 179.5), ("far", -60.0, 0.0)], "name string, lat double, lon double")
+    cities = spark.createDataFrame([("near", "n", "NN", 10.0, 179.5), ("far", None, "FF", -60.0, 0.0)], "name string, region string, country string, lat double, lon double")
     points = spark.createDataFrame([(1, 10.0, -179.9), (2, 85.0, 0.0), (3, None, 1.0)], "id long, lat double, lon double")
-    assert {r.id: r.city for r in places.reverse_geocode(points, cities).collect()} == {1: "near", 2: "near"}
+    assert {r.id: (r.city, r.region, r.country) for r in places.reverse_geocode(points, cities).collect()} == {1: ("near", "n", "NN"), 2: ("near", "n", "NN")}
+
+
+def test_marking_twice_by_different_rules_hides_no_keeper(spark):
+    files = spark.createDataFrame(
+        [(1, "/a.jpg", "h", 10, 1.0, 0, 0, None, "image", "0f"), (2, "/bb.jpg", "h", 10, 2.0, 0, 0, None, "image", "0f"), (3, "/c.jpg", "h", 10, 0.5, 0, 0, None, "image", "0f")],
+        "id long, path string, content_hash string, size long, mtime double, missing int, too_small int, dup_of long, kind string, phash string",
+    )
+    meta = spark.createDataFrame([], "file_id long, lat double, taken_at string")
+    once = duplicates.mark_duplicates(files, meta, rule="shortest-path")
+    assert {r.id: r.dup_of for r in once.collect()} == {1: None, 2: 1, 3: 1}
+    for rule in ("newest", "oldest", "longest-path"):
+        assert {r.id: r.dup_of for r in duplicates.mark_duplicates(once, meta, rule=rule).collect()} == {1: None, 2: 1, 3: 1}
+    assert duplicates.groups(once).isEmpty() and duplicates.near_pairs(once).isEmpty() and duplicates.summary(once).first()["groups"] == 0
+    more = once.unionByName(files.where("id = 3").withColumn("id", F.lit(4).cast("long")))
+    assert {r.id: r.dup_of for r in duplicates.mark_duplicates(more, meta, rule="newest").collect()} == {1: None, 2: 1, 3: 1, 4: 1}
+
+
+def test_nearest_centroids_whole_or_in_blocks(spark, monkeypatch):
+    clusters = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(9)], "cluster_id long, centroid array<double>")
+    rows = spark.createDataFrame([(i, [float(i % 11), 1.1, float(i % 5)]) for i in range(90)], "id long, embedding array<double>")
+
+    def found():
+        return {r.id: (r.cluster_id, round(r.distance, 9)) for r in clustering.assign(rows, clusters, 0.5).collect()}
+
+    whole = found()
+    monkeypatch.setattr(clustering, "DISTANCES", 20)
+    assert found() == whole and len(whole) > 50
+    monkeypatch.setattr(clustering, "MOST_CENTROID_BYTES", 40)
+    assert found() == whole
 
 
 def test_schema_has_all_tables():
