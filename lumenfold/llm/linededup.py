@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.batches import bounded_batches
+from lumenfold.llm.columns import quoted
 from lumenfold.session import checkpointed, discard, stored
 
 #: "Over 50 words": a run of 50 words or more is a passage.
@@ -211,7 +212,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     others = [c for c in docs.columns if c not in ("text", "removed_lines", "n_chars")]
     key = _keys(docs)
-    joined = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns if c != "removed_lines"], *key).join(cuts, KEY, "left")
+    joined = docs.select(*[F.col(quoted(c)).alias(f"c_{c}") for c in docs.columns if c != "removed_lines"], *key).join(cuts, KEY, "left")
     joined = joined.withColumn("deleted", F.when(F.col("cuts").isNotNull(), delete("c_text", "cuts")))
     changed = F.col("deleted").isNotNull()
     new = {
@@ -221,4 +222,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("deleted.new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("c_n_chars"))
     order = [c for c in docs.columns if c != "removed_lines"] + ["removed_lines"]
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"c_{c}").alias(c) for c in order if c in new or c in others])
+    return joined.select(*[new[c].alias(c) if c in new else F.col(quoted(f"c_{c}")).alias(c) for c in order if c in new or c in others])

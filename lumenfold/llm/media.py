@@ -12,7 +12,9 @@ Defined results: null or empty bytes have no packets, tables or units; bytes bef
 sync byte are skipped and counted; a packet with the error flag, a scrambled one or one
 of an unknown stream is counted and left out; a packet repeated once is no error; a gap
 in the counters counts as one and drops the unit that it falls into; a last packet that
-is cut short is skipped.
+is cut short is skipped. Rows of repeated texts have equal streams and features; very long texts become many
+units, and a task holds one stream and what it is made of at a time beside its batch; an empty table gives an empty one; other columns
+than the id and the content are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.batches import bounded_batches
+from lumenfold.session import stored
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET = 188
@@ -290,14 +294,27 @@ def _take(out: Stream, pid: int, buffer: bytearray) -> Iterator[None]:
 
 
 def feature(stream: Stream) -> str:
-    """What the stream holds, in one line."""
+    """What the stream and its payload hold, in one line."""
+    data = stream.payload()
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    share = counts[counts > 0] / max(1, len(data))
+    # Each random-access point by its time, its place in the file and the checksum of what can be read from there up to the next.
+    points, crc = [], 0
+    for u in stream.units:
+        if u.random_access:
+            points.append([u.pts, u.offset, 0])
+        if points:
+            points[-1][2] = zlib.crc32(u.data, points[-1][2])
+    for point in points:
+        crc = zlib.crc32(repr(point).encode(), crc)
     stamps = [u.pts for u in stream.units if u.pts is not None]
     kinds = ",".join(f"{pid}:{kind}" for pid, kind in sorted(stream.streams.items()))
     return (
         f"programs={len(stream.programs)};streams={kinds};packets={stream.packets};units={len(stream.units)};"
         f"random_access={sum(u.random_access for u in stream.units)};first_pts={min(stamps, default=-1)};"
         f"last_pts={max(stamps, default=-1)};clock={len(stream.clock)};continuity_errors={stream.continuity_errors};"
-        f"table_errors={stream.table_errors};left_out={stream.left_out}"
+        f"table_errors={stream.table_errors};left_out={stream.left_out};bytes={len(data)};crc32={zlib.crc32(data):08x};"
+        f"entropy={max(0.0, -float((share * np.log2(share)).sum())):.4f};distinct_bytes={len(share)};access_points={crc:08x}"
     )
 
 
@@ -332,36 +349,52 @@ def padded(text: str | None) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\x00")
 
 
-STORED_SCHEMA = (
-    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+def streams_of(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_bytes`` and ``content``: every whole text as a transport stream, a media column that :func:`index_streams` reads too."""
+    bounded_batches(docs.sparkSession, 64)
+
+    @F.pandas_udf("n_bytes long, content binary")
+    def muxed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({
+            "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "content": [mux(padded(t)) for t in texts],
+        })
+
+    return docs.select("doc_id", muxed(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+READ_SCHEMA = (
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "feature string, unit_pts array<long>, random_access_pts array<long>"
 )
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """Every text as a transport stream, read back: digests, features, timestamps and random-access points."""
-    bounded_batches(docs.sparkSession)
-    names = [x.split()[0] for x in STORED_SCHEMA.split(", ")]
+def read_streams(media: DataFrame) -> DataFrame:
+    """``doc_id`` and ``n_bytes`` of stored streams, with what reading them back gives: digests, features, timestamps and random-access points."""
+    bounded_batches(media.sparkSession, 64)
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
-    @F.pandas_udf(STORED_SCHEMA)
-    def through(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(READ_SCHEMA)
+    def read(contents: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
-            payload = padded(text)
-            media = mux(payload)
-            stream = demux(media)
+        for content in contents:
+            content = bytes(content)
+            stream = demux(content)
             back = stream.payload(DATA_PID)
             rows.append((
-                len((text or "").encode("utf-8", "surrogatepass")),
                 len(back),
                 hashlib.sha256(back).hexdigest(),
                 zlib.crc32(back[-64:]),
-                len(media),
-                hashlib.sha256(media).hexdigest(),
+                len(content),
+                hashlib.sha256(content).hexdigest(),
                 feature(stream),
                 [u.pts for u in stream.units],
                 [u.pts for u in stream.units if u.random_access],
             ))
         return pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", through(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return media.select("doc_id", "n_bytes", read(F.col("content")).alias("s")).select("doc_id", "n_bytes", "s.*")
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """Every text stored as a transport stream in a table of the shared folder, and read back from there."""
+    return read_streams(stored(streams_of(docs), compression="zstd"))

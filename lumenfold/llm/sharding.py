@@ -1,12 +1,13 @@
 """Sharding by fixed virtual slots.
 
 A record's key is hashed into one of ``n_slots`` virtual slots, for ever. Which shard
-holds a slot is written in a small versioned map; growing or rebalancing edits the map
-and so moves whole slots, never single records.
+holds a slot is written in a small versioned map, a table in the folder that all executors share; growing or
+rebalancing edits the map and so moves whole slots, never single records. Bytes are added up by slot. A version
+that is stored is never written again, so a job that is run again finds the map that it made.
 
 Defined results: a null key hashes like any other value; a null text has no bytes and
 size 1; rows that are equal in every column get places next to each other, in any order;
-an empty table gives an empty result with the same columns; other columns are left out.
+very long texts count by their bytes alone; an empty table gives an empty result with the same columns; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,6 +108,57 @@ def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     )
 
 
+def _folder(spark: SparkSession, name: str, version: int | None = None) -> str:
+    path = f"{shared_dir(spark)}/slot-maps/{name}"
+    return path if version is None else f"{path}/map_version={version}"
+
+
+def _list(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def versions(spark: SparkSession, name: str) -> list[int]:
+    """Versions of a map that are stored whole, in their order."""
+    found = [int(n.partition("=")[2]) for n in _list(spark, _folder(spark, name)) if n.startswith("map_version=")]
+    return sorted(v for v in found if "_SUCCESS" in _list(spark, _folder(spark, name, v)))
+
+
+def save_map(spark: SparkSession, name: str, slot_map: SlotMap) -> None:
+    """Store a version of a map; earlier ones stay. A version that is there already has to be the same."""
+    if slot_map.version in versions(spark, name):
+        if load_map(spark, name, slot_map.version).shards != slot_map.shards:
+            raise ValueError(f"version {slot_map.version} of {name} is another map")
+        return
+    moved = set(slot_map.moved)
+    rows = [(slot, shard, slot in moved) for slot, shard in enumerate(slot_map.shards)]
+    # What a job left that was broken off has no mark of success, and is written over.
+    spark.createDataFrame(rows, "virtual_slot int, shard int, moved boolean").coalesce(1).write.mode("overwrite").parquet(_folder(spark, name, slot_map.version))
+
+
+def load_map(spark: SparkSession, name: str, version: int | None = None) -> SlotMap | None:
+    """A version of a stored map, the last one if none is named; None if there is none."""
+    stored = versions(spark, name)
+    version = version if version is not None else (stored[-1] if stored else None)
+    if version not in stored:
+        return None
+    rows = sorted(spark.read.parquet(_folder(spark, name, version)).collect())  # a row a slot
+    return SlotMap(version, tuple(r.shard for r in rows), tuple(r.virtual_slot for r in rows if r.moved))
+
+
+def stored_map(spark: SparkSession, n_shards: int, n_slots: int = N_SLOTS, name: str | None = None) -> SlotMap:
+    """The map of ``n_shards`` shards: as stored, else grown from the last stored one with fewer, step by step, and each step stored."""
+    name = name or f"by-key-{n_slots}"
+    fewer = [v for v in versions(spark, name) if v <= n_shards]
+    current = load_map(spark, name, fewer[-1]) if fewer else SlotMap(1, (0,) * n_slots)
+    while current.n_shards < n_shards:
+        current = current.grow()
+    save_map(spark, name, current)
+    return load_map(spark, name, current.version)
+
+
 def map_table(spark: SparkSession, slot_map: SlotMap, totals: dict[int, tuple[int, int]]) -> DataFrame:
     """The map as a table of one row a slot, with rows, bytes and the slot's first place."""
     place = [0] * (slot_map.n_shards)
@@ -120,13 +172,6 @@ def map_table(spark: SparkSession, slot_map: SlotMap, totals: dict[int, tuple[in
     )
 
 
-def save_map(table: DataFrame, name: str) -> str:
-    """Add this version of a map to the store of versions in the shared folder; earlier ones stay."""
-    path = f"{shared_dir(table.sparkSession)}/slot-maps/{name}"
-    table.coalesce(1).write.partitionBy("map_version").mode("append").parquet(path)
-    return path
-
-
 def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
     """Every row of ``docs`` with its slot, shard, gapless place in the shard and grown shard.
 
@@ -142,15 +187,18 @@ def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataF
     )
     # At most n_slots rows, whatever the input's size.
     totals = {r.virtual_slot: (r.slot_rows, r.slot_bytes) for r in slot_bytes(records, n_slots).collect()}
-    now = initial_map(n_shards, n_slots)
-    grown = now.grow()
+    now, grown = stored_map(spark, n_shards, n_slots), stored_map(spark, n_shards + 1, n_slots)
     table = map_table(spark, now, totals).join(
         F.broadcast(map_table(spark, grown, totals).select("virtual_slot", F.col("shard").alias("grown_shard"))),
         "virtual_slot",
     )
-    place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    # A slot with many rows of one id, or of none, is counted by groups of equal rows first: no window holds more than a slot's groups.
+    equal = ["virtual_slot", "doc_id", "text_crc32", "size"]
+    groups = records.groupBy(*equal).agg(F.count(F.lit(1)).alias("copies"))
+    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("place", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     return (
-        records.withColumn("place", F.row_number().over(place).cast("long") - 1)
+        placed.withColumn("place", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)))
         .join(F.broadcast(table), "virtual_slot")
         .select(
             "doc_id",

@@ -35,11 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.batches import bounded_batches
+from lumenfold.llm.columns import quoted, unused
 from lumenfold.operators.components import connected_components
 from lumenfold.session import checkpointed, discard, release, stored
 
@@ -151,7 +152,7 @@ def _signed(value: int) -> int:
 def by_fingerprint(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """``docs`` with ``fp``, ``component`` (a fingerprint that names the group) and ``component_id``, the smallest doc_id that links of two bits reach. Texts are left out."""
     bounded_batches(docs.sparkSession)
-    rows = checkpointed(docs.select(*_others(docs), fingerprint_udf(F.col("text")).alias("fp")))
+    rows = checkpointed(docs.select(*[F.col(quoted(c)) for c in _others(docs)], fingerprint_udf(F.col("text")).alias("fp")))
     return _grouped(rows, links(rows.select("fp").distinct(), list_cap))
 
 
@@ -253,7 +254,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     text_hash = F.xxhash64("text").alias("t")
-    rows = stored(docs.select(*[F.col(c).alias(f"c_{c}") for c in _others(docs)], text_hash, marks(F.col("text")).alias("m")).select("*", "m.*").drop("m"))
+    rows = stored(docs.select(*[F.col(quoted(c)).alias(f"c_{c}") for c in _others(docs)], text_hash, marks(F.col("text")).alias("m")).select("*", "m.*").drop("m"))
     sets = rows.where("n > 0").select("fp", "n", "t", "prefix").dropDuplicates(["fp"])
     # Dealt out as rows, which are a fraction of the bytes of an aggregate's unfinished lists.
     postings = sets.select("fp", "n", "t", F.posexplode("prefix").alias("at", "s")).repartition("s")
@@ -326,7 +327,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = first.unionByName(only_alike(pairs))
     discard(lists)
     release(spark)
-    return rows.select(*[F.col(f"c_{c}").alias(c) for c in _others(docs)], "fp"), found
+    return rows.select(*[F.col(quoted(f"c_{c}")).alias(c) for c in _others(docs)], "fp"), found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -337,18 +338,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id, and of equal ids the smallest hash of its text.
 
-    A null doc_id comes last. Of rows with the kept doc_id and text one stays.
+    A null doc_id comes last. Of rows with the kept doc_id and text one stays, that with the least other columns. All columns are kept, whatever their names.
     """
+    marked, key, keep_id, keep_mark, row = unused(docs.columns, "mark", "key", "keep_id", "keep_mark", "row")
+    columns = [F.col(quoted(c)) for c in docs.columns]
     mark = F.xxhash64("text")
     rows = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("k")
-    keepers = checkpointed(rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.mark").alias("keep_mark")))
-    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("keep_id")) & (mark == F.col("keep_mark")), "left_semi")
-    again = checkpointed(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "mark"))
+    keepers = checkpointed(rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias(keep_id), F.col("k.mark").alias(keep_mark)))
+    kept = docs.select("*", mark.alias(marked)).join(keepers, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(marked) == F.col(keep_mark)), "left_semi")
+    again = checkpointed(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(keep_id), F.col("mark").alias(keep_mark)))
     if again.isEmpty():
-        return kept
-    again = again.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark"))
-    repeated = docs["doc_id"].eqNullSafe(F.col("again_id")) & (mark == F.col("again_mark"))
-    place = Window.partitionBy("doc_id", mark).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map") and c != "text"])
-    once = kept.join(again, repeated, "left_semi").withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
-    return kept.join(again, repeated, "left_anti").unionByName(once)
+        return kept.select(*columns)
+    repeated = F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(marked) == F.col(keep_mark))
+    # The least row of each, found before the shuffle in part: a row with any number of repeats does no harm.
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rest = [F.first(quoted(c)).alias(f"{key}{i}") for i, c in enumerate(docs.columns) if c not in ordered]
+    least = F.min(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(ordered)])).alias(row)
+    once = kept.join(again, repeated, "left_semi").groupBy("doc_id", marked).agg(least, *rest)
+    place = {c: F.col(f"{row}.c{i}") for i, c in enumerate(ordered)}
+    once = once.select(*[place.get(c, F.col(f"{key}{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    return kept.join(again, repeated, "left_anti").select(*columns).unionByName(once)

@@ -55,7 +55,12 @@ def test_query(spark, sf):
         stored = media.mux(padded)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
-        assert "continuity_errors=0" in r.feature
+        assert "continuity_errors=0" in r.feature and f"crc32={zlib.crc32(padded):08x}" in r.feature
+
+
+def test_features_tell_texts_of_one_length_apart():
+    a, b, c = (media.feature(media.demux(media.mux(media.padded(t)))) for t in ("abcd" * 9000, "abdc" * 9000, "abcd" * 9000))
+    assert a == c != b and media.feature(media.demux(None)).startswith("programs=0")
 
 
 def test_frames(spark):

@@ -1,7 +1,9 @@
 import collections
 import math
+import uuid
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import mixing, sharding
@@ -49,15 +51,37 @@ def test_only_the_id_decides(spark):
     assert all(one[i] == two[i] for i in one if i in two)
 
 
-def test_sharding_edges(spark, tmp_path):
+def test_sharding_edges(spark):
     rows = spark.createDataFrame([(None, None, 1), (None, None, 1), (7, "é", 2)], "doc_id long, text string, shard int")
     out = sharding.assign(rows).collect()
     assert sorted((r.size, r.text_crc32) for r in out) == [(1, 0), (1, 0), (3, zlib.crc32("é".encode()))]
     assert sharding.assign(rows.limit(0)).count() == 0
-    table = sharding.map_table(spark, sharding.initial_map(3), {})
-    path = sharding.save_map(table, f"t{tmp_path.name}")
-    sharding.save_map(sharding.map_table(spark, sharding.initial_map(3).grow(), {}), f"t{tmp_path.name}")
-    assert {r.map_version for r in spark.read.parquet(path).select("map_version").distinct().collect()} == {3, 4}
+
+
+def test_stored_maps(spark):
+    name = f"t{uuid.uuid4().hex}"
+    assert sharding.load_map(spark, name) is None and sharding.versions(spark, name) == []
+    three = sharding.stored_map(spark, 3, 64, name)
+    assert three == sharding.initial_map(3, 64) and sharding.load_map(spark, name) == three
+    for _ in range(2):  # a job that is run again
+        sharding.save_map(spark, name, three)
+        assert sharding.stored_map(spark, 3, 64, name) == three
+    five = sharding.stored_map(spark, 5, 64, name)
+    assert sharding.versions(spark, name) == [3, 5] and five == sharding.load_map(spark, name) == sharding.initial_map(5, 64)
+    even = five.rebalance({s: 1000 if s < 8 else 1 for s in range(64)})
+    sharding.save_map(spark, name, even)
+    assert even.moved and sharding.load_map(spark, name) == even and sharding.load_map(spark, name, 3) == three
+    with pytest.raises(ValueError, match="another map"):
+        sharding.save_map(spark, name, sharding.SlotMap(3, (0,) * 64))
+    assert spark.read.parquet(sharding._folder(spark, name)).groupBy("map_version").count().count() == 3
+
+
+def test_repeated_rows_have_places_of_their_own(spark):
+    rows = spark.createDataFrame([(None, "x")] * 50 + [(1, "y")] * 30 + [(1, "z")] * 20 + [(i, "w") for i in range(100)], "doc_id long, text string")
+    places = collections.defaultdict(list)
+    for r in sharding.assign(rows, 2).collect():
+        places[r.shard].append(r.slot)
+    assert sum(map(len, places.values())) == 200 and all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
 def test_mixing_query(spark):
@@ -66,27 +90,19 @@ def test_mixing_query(spark):
 
 
 def test_poisson(spark):
-    row = spark.createDataFrame([(0.05,), (3.0,), (900.0,)], "r double").select("r", mixing.poisson_cdf("r").alias("c")).collect()
-    for r in row:
-        p = math.exp(-r.r)
-        total = p
-        for k in range(1, min(40, len(r.c))):
-            p *= r.r / k
-            total += p
-            assert abs(r.c[k] - total) < 1e-9
-        assert abs(r.c[-1] - 1) < 1e-9 and r.c == sorted(r.c)
-
-
-def test_weights(spark):
+    rows = spark.createDataFrame([(r, i / 97) for r in (0.05, 3.0, 900.0) for i in range(97)] + [(r, 1 - 2**-40) for r in (0.05, 3.0, 900.0)], "r double, u double")
+    for r in rows.select("r", "u", mixing.poisson_inverse(F.col("r"), F.col("u")).alias("k")).collect():
+        below = [math.exp(-r.r + k * math.log(r.r) - math.lgamma(k + 1)) for k in range(r.k + 1)]
+        assert math.fsum(below) > r.u - 1e-6 and math.fsum(below[:-1]) <= r.u + 1e-6 and r.k < r.r + 9 * r.r**0.5 + 20
+
+
+def test_weights(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "big" if i % 10 else "small", "t") for i in range(6000)], "doc_id long, source string, text string")
     n = collections.Counter(r.source for r in mixing.poisson_mix(docs, {"big": 1.0, "small": 3.0, "none": 2.0}, 20_000).collect())
     assert abs(n["big"] - 5000) < 300 and abs(n["small"] - 15_000) < 500
-    joined = mixing.BROADCAST_SOURCES
-    try:
-        mixing.BROADCAST_SOURCES = 0
-        assert collections.Counter(r.source for r in mixing.poisson_mix(docs, {"big": 1.0, "small": 3.0, "none": 2.0}, 20_000).collect()) == n
-    finally:
-        mixing.BROADCAST_SOURCES = joined
+    whole = sorted(mixing.poisson_mix(docs, {"big": 1.0, "small": 3.0, "none": 2.0}, 20_000).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(mixing.poisson_mix(docs, {"big": 1.0, "small": 3.0, "none": 2.0}, 20_000).collect()) == whole
     assert mixing.poisson_mix(docs, {"big": 0.0}).count() == 0
 
 
@@ -96,4 +112,4 @@ def test_mixing_edges(spark):
     out = mixing.poisson_mix(docs)
     n = collections.Counter(r.source for r in out.collect())
     assert n[None] > 150 and n["s"] > 150 and mixing.poisson_mix(docs.limit(0)).count() == 0
-    assert out.select("shuffle_key").distinct().count() > 100
+    assert out.select("shuffle_key").distinct().count() > 100 and {(r.n, r.u, r.rate) for r in out.collect()} == {(1, 2, 3)}
