@@ -397,4 +397,4 @@ def read_streams(media: DataFrame) -> DataFrame:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """Every text stored as a transport stream in a table of the shared folder, and read back from there."""
-    return read_streams(stored(streams_of(docs), compression="zstd"))
+    return read_streams(stored(streams_of(docs)))
