@@ -4,45 +4,54 @@ A page is a sequence of tokens: element starts, told apart by the path of elemen
 they stand in, and texts of blocks, with their path. Tokens of a host that occur equally often
 on every page, that is, share their occurrence vector, are one class. A vector is kept as a
 sum of hashes of (page, count), which is the same in any order, so that no host's pages ever
-meet in one task. A class is valid if it is large, stands on most of the host's pages, and has
-element starts among its tokens, so that it nests in the markup: together the valid classes are
-the host's template. What stands between their tokens are slots.
+meet in one task; pages with equal html count once. A class is a candidate if it has MIN_CLASS tokens or more, element
+starts among them, and stands on half of the host's pages and MIN_PAGES of them at least. It is valid if
 
-A page's text is what its slots hold once the template's own texts are gone: the slots in
-the article or main element or, without one, in the container that has most of the host's
-text outside links. Slots of menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and readers' comments are known by their elements, roles and class
-names and are left out. Text that an article repeats from other pages is no template: it
-shares no vector with element starts.
+- it is ordered: on every page its tokens come in one order, and in that order again for each time that they are repeated, and
+- it is nested: with each better class (on more pages, then of more tokens) it has, on every page, all its
+  occurrences in one and the same gap of that class, or all that class's in one of its own.
+
+The valid classes together, one in the gaps of the other, are the host's template. What stands between
+their tokens are slots, and these hold the data of a page (:func:`slots`). A text of a valid class is template
+text only if its path holds no other text on the host: where other pages have other texts, it is data that happens to be the same.
+
+A page's main text are the texts of its slots in article or main elements; without one, of all slots but those that are links for the
+most part. Slots in menus, page headers and footers, sidebars, forms, dialogs, scripts, styles and hidden elements are
+left out by their elements and roles. Class names break ties that structure can't: notices, adverts and readers' comments within an
+article are known by a name that says nothing else (``cookie-notice`` does, ``legal-analysis`` doesn't). Headings in an article's
+header are kept, the rest of that header isn't.
 
 Defined results: a null, empty or textless page gives an empty text; so does one whose text
 is all in left-out slots; unclosed elements end with their parent; a null or odd URL puts
-a page on the host ""; hosts of fewer than MIN_PAGES pages have no template, and markup
-alone decides; if template texts are nearly all of a page's text they stay; repeated rows count
-as pages of their own and give equal texts; an empty table gives an empty one.
+a page on the host ""; hosts of fewer than MIN_PAGES different pages have no template, and markup
+alone decides; where an article holds template texts alone these stay; equal pages give equal texts;
+very long pages are read whole, in memory that grows with one page; an empty table gives an empty one. Columns
+named text, n_chars and html are replaced or left out, all others are kept whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.batches import bounded_batches
-from lumenfold.session import discard, stored
+from lumenfold.llm.columns import others, quoted, unused
+from lumenfold.session import checkpointed, discard, stored
 
 MIN_PAGES = 4
 MIN_CLASS = 3
-#: A host's template is sent to every task if all hosts' have so many tokens together at most, else joined.
-BROADCAST_TOKENS = 200_000
+#: Tables of templates are sent to every task up to so many bytes; beyond, they are joined by host and one of SALTS parts of its pages.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
 
 # Names of HTML elements, roles and usual class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,10 +76,12 @@ NAMES = frozenset(
     navigation footer header masthead topbar pagination pager toolbar login signin register search banner alert skip legal copyright disclaimer
     announcement donate donation feedback survey poll outbrain taboola""".split()
 )
-GENERIC = frozenset("box block container wrapper wrap section list area bar item items unit slot inner content body panel top bottom left right site page reader readers user".split())
+GENERIC = frozenset(
+    """box block container wrapper wrap section list area bar item items unit slot inner content body panel top bottom left right site page main reader
+    readers user post posts article articles story stories link links button buttons icon icons form thread count header footer""".split()
+)
 WHOLE = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article post entry story".split())
-QUALIFIERS = frozenset("has with without no is free".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*(?:>|\Z)""", re.S)
@@ -80,8 +91,8 @@ _RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 
 
 @lru_cache(50_000)
-def _element(tag: str) -> tuple[str, str, bool, bool]:
-    """Of a start tag: name, step of the path, whether it is left out, and whether it holds the main text."""
+def _element(tag: str) -> tuple[str, str, bool, bool, bool]:
+    """Of a start tag: name, step of the path, whether markup leaves it out, whether its names do, and whether it holds the main text."""
     name = re.match(r"<([a-zA-Z][^\s/>]*)", tag)[1].lower()
     attributes = {}
     if len(tag) > len(name) + 2:
@@ -92,22 +103,21 @@ def _element(tag: str) -> tuple[str, str, bool, bool]:
     out = name in LEFT_OUT or name in SILENT or role in ROLES or attributes.get("aria-hidden") == "true" or "hidden" in attributes
     out = out or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
     whole = name in WHOLE or role in WHOLE
+    named = False
     for part in names:
         words = {w.lower() for w in _NAME.findall(part)}
-        # An article is left out only if its name says nothing else: a comment or advert that is marked up as one.
-        named = words <= NAMES | GENERIC if name == "article" else not words & QUALIFIERS
-        if name not in ("html", "body", "main") and name not in HEADINGS and words & NAMES and named:
-            out = True
-        if name in ("div", "section") and words & MAIN_NAMES:
+        # A name that says nothing but what is left out.
+        if words & NAMES and words <= NAMES | GENERIC and name not in ("html", "body", "main") and name not in HEADINGS:
+            named = True
+        elif name in ("div", "section") and words & MAIN_NAMES and not words & NAMES:
             whole = True
     classes = ".".join(sorted({re.sub(r"\d+", "0", n) for n in attributes.get("class", "").split()}))
-    return name, f"{name}.{classes}" if classes else name, out, whole and not out
+    return name, f"{name}.{classes}" if classes else name, out, named, whole and not out and not named
 
 
 @dataclass
 class Block:
     path: str
-    container: str
     out: bool
     whole: bool
     text: str
@@ -116,17 +126,41 @@ class Block:
 
 @dataclass
 class Page:
-    blocks: list[Block] = field(default_factory=list)
-    starts: list[str] = field(default_factory=list)
+    #: Element starts, by path, and blocks of text, in the order of the page.
+    items: list[str | Block] = field(default_factory=list)
+
+    @property
+    def blocks(self) -> list[Block]:
+        return [x for x in self.items if isinstance(x, Block)]
+
+
+@dataclass
+class _Open:
+    """An open element; ``header``: in an article's header, where only headings count."""
+
+    name: str
+    path: str
+    out: bool = False
+    whole: bool = False
+    header: bool = False
+
+
+def _end_of(source: str, name: str, at: int) -> int:
+    """Where an element that began before ``at`` ends, those of its name inside it counted; ``at`` if it doesn't."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?![^\s/>])[^>]*>", re.I).finditer(source, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
 
 
 def parse(source: str | None) -> Page:
-    """Blocks of text with their paths, and the paths of all element starts, in order."""
+    """Element starts and blocks of text with their paths, in order."""
     page = Page()
     if not source:
         return page
-    # Open elements: name, path, left out, main.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [_Open("", "")]
     pending: list[str] = []
     linked = links = 0
 
@@ -135,19 +169,17 @@ def parse(source: str | None) -> Page:
         if pending:
             text = " ".join("".join(pending).split())
             if text:
-                _, path, out, whole = stack[-1]
-                page.blocks.append(Block(path, path.rpartition(">")[0], out, whole, text, min(linked, len(text))))
+                top = stack[-1]
+                out = top.out or top.header and top.name not in HEADINGS
+                page.items.append(Block(top.path, out, top.whole, text, min(linked, len(text))))
             pending.clear()
         linked = 0
 
-    def pop(depth: int) -> None:
-        del stack[depth:]
-
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
         end = m.start() if m else size
-        if end > at and stack[-1][0] not in SILENT:
+        if end > at and stack[-1].name not in SILENT:
             text = entities.unescape(source[at:end]) if "&" in source[at:end] else source[at:end]
             pending.append(text)
             if links:
@@ -166,16 +198,18 @@ def parse(source: str | None) -> Page:
                     pending.append(" ")
                 continue
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+                if stack[depth].name == name:
                     flush() if name not in CELLS else pending.append(" ")
-                    pop(depth)
+                    del stack[depth:]
                     break
-                if stack[depth][0] in SCOPES and name not in SCOPES:
+                if stack[depth].name in SCOPES and name not in SCOPES:
                     break
             continue
-        name, step, out, whole = _element(tag)
-        if name in INLINE and not out:
-            if name == "a":
+        name, step, out, named, whole = _element(tag)
+        if name in INLINE:
+            if out or named:  # its text, up to its own end, is no part of the block
+                at = _end_of(source, name, at) if name not in VOID else at
+            elif name == "a":
                 links += 1
             elif name in ("br", "img"):
                 pending.append(" ")
@@ -189,23 +223,20 @@ def parse(source: str | None) -> Page:
         else:
             flush()
         for depth in range(len(stack) - 1, 0, -1):
-            if name in ENDED_BY.get(stack[depth][0], ()):
+            if name in ENDED_BY.get(stack[depth].name, ()):
                 if name not in CELLS:
                     flush()
-                pop(depth)
+                del stack[depth:]
                 break
-            if stack[depth][0] in SCOPES:
+            if stack[depth].name in SCOPES:
                 break
-        _, path, parent_out, parent_whole = stack[-1]
-        path = f"{path}>{step}" if path else step
-        page.starts.append(path)
-        if name in INLINE:  # an inline element that is left out: its text, up to its end, is no part of the block
-            close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = close.end() if close else at
-            continue
+        top = stack[-1]
+        path = f"{top.path}>{step}" if top.path else step
+        page.items.append(path)
         if tag.endswith("/>") and name in ("svg", "math", "path"):
             continue
-        stack.append((name, path, out or parent_out, whole or parent_whole))
+        header = name == "header" and top.whole and not named
+        stack.append(_Open(name, path, top.out or named or out and not header, whole or top.whole, top.header or header))
         links = 0 if name in SCOPES else links
         if name in _RAW_END:
             close = _RAW_END[name].search(source, at)
@@ -218,89 +249,171 @@ def _hash(kind: str, *parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join((kind, *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def tokens(page: Page) -> Iterator[tuple[str, int, int, int]]:
-    """Kind, hash, count on the page, and characters outside links for containers: e elements, t texts, c containers."""
-    for path, n in Counter(page.starts).items():
-        yield "e", _hash("e", path), n, 0
-    for (path, text), n in Counter((b.path, b.text) for b in page.blocks if not b.out).items():
-        yield "t", _hash("t", path, text), n, 0
-    weight: Counter = Counter()
-    for b in page.blocks:
-        if not b.out:
-            weight[b.container] += len(b.text) - b.linked
-    for container, n in weight.items():
-        yield "c", _hash("c", container), 1, n
+def token_of(item: str | Block) -> int:
+    return _hash("e", item) if isinstance(item, str) else _hash("t", item.path, item.text)
+
 
+def occurrences(page: Page) -> Iterator[tuple[str, int, int, list[int]]]:
+    """Kind (e: element start, t: text), token, path and places on the page. Texts that are left out anyway have no part."""
+    found: dict[tuple[str, int, int], list[int]] = {}
+    for place, item in enumerate(page.items):
+        if isinstance(item, str):
+            found.setdefault(("e", token_of(item), _hash("p", item)), []).append(place)
+        elif not item.out:
+            found.setdefault(("t", token_of(item), _hash("p", item.path)), []).append(place)
+    for key, places in found.items():
+        yield *key, places
 
-def main_text(source: str | None, template: frozenset[int] = frozenset(), container: int | None = None) -> str:
-    """The page's main text, given its host's template texts and container."""
+
+@dataclass(frozen=True)
+class Template:
+    """A host's template: tokens of element starts, and of texts."""
+
+    starts: frozenset[int] = frozenset()
+    texts: frozenset[int] = frozenset()
+
+
+NO_TEMPLATE = Template()
+
+
+def slots(page: Page, template: Template = NO_TEMPLATE) -> list[tuple[list[Block], list[Block]]]:
+    """What stands between two tokens of the template: the page's own blocks, and template texts that end the slot."""
+    found: list[tuple[list[Block], list[Block]]] = [([], [])]
+    for item in page.items:
+        if isinstance(item, str):
+            if template.starts and token_of(item) in template.starts:
+                found.append(([], []))
+        elif template.texts and token_of(item) in template.texts:
+            found[-1][1].append(item)
+            found.append(([], []))
+        else:
+            found[-1][0].append(item)
+    return found
+
+
+def main_text(source: str | None, template: Template = NO_TEMPLATE) -> str:
+    """The page's main text, given its host's template."""
     page = parse(source)
-    blocks = [b for b in page.blocks if not b.out]
-    inside = [b for b in blocks if b.whole]
-    if inside:
-        blocks = inside
-    elif blocks:
-        weight: Counter = Counter()
-        for b in blocks:
-            weight[b.container] += len(b.text) - b.linked
-        known = [c for c in weight if container is not None and _hash("c", c) == container]
-        best = known[0] if known else max(weight, key=lambda c: (weight[c], -len(c), c))
-        blocks = [b for b in blocks if b.path == best or b.path.startswith(best + ">")] if best else blocks
-    own = [b for b in blocks if _hash("t", b.path, b.text) not in template]
-    if sum(len(b.text) for b in own) * 5 >= sum(len(b.text) for b in blocks):
-        blocks = own
-    return "\n".join(b.text for b in blocks)
+    between = slots(page, template)
+    own = [b for data, _ in between for b in data if not b.out]
+    fixed = {id(b) for _, texts in between for b in texts}
+    if any(b.whole and not b.out for b in page.blocks):
+        chosen = [b for b in own if b.whole] or [b for b in page.blocks if b.whole and not b.out]
+    else:
+        chosen = [b for b in own if 2 * b.linked < len(b.text)] or own or [b for b in page.blocks if not b.out and id(b) not in fixed]
+    return "\n".join(b.text for b in chosen)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+#: A class on one page: its order, and whether its tokens keep it; or two classes: in which gap of the first all of the second stand, and the other way round.
+_RELATION = "first long, second long, a long, b long, holds boolean"
+
+
+def relations(tokens: list[tuple[int, int, int, int, list[int]]]) -> list[tuple[int, int, int, int, bool]]:
+    """Rows of _RELATION for one page, from (class, pages, size, token, places) of its tokens."""
+    by_class: dict[tuple[int, int, int], list[tuple[int, list[int]]]] = {}
+    for c, pages, size, token, places in tokens:
+        by_class.setdefault((-pages, -size, c), []).append((token, places))
+    rows, spans = [], []
+    for (_, size, c), members in sorted(by_class.items()):
+        size = -size
+        at = np.concatenate([np.asarray(p, np.int64) for _, p in members])
+        token = np.repeat(np.array([t for t, _ in members], np.int64), [len(p) for _, p in members])
+        order = np.argsort(at)
+        at, token = at[order], token[order]
+        whole = len(members) == size and len(at) % size == 0 and bool((token.reshape(-1, size) == token[:size]).all())
+        name = xxhash.xxh64_intdigest(token[:size].tobytes()) - (1 << 63)
+        rows.append((c, c, name, name, whole))
+        if whole:
+            spans.append((c, size, at, at.reshape(-1, size)))
+
+    def gap(outer: tuple, inner: tuple) -> int:
+        """The one gap of ``outer`` that has all of ``inner``, or -1."""
+        before, after = np.searchsorted(outer[2], inner[3][:, 0]), np.searchsorted(outer[2], inner[3][:, -1])
+        place = before % outer[1]
+        return int(place[0]) if (before == after).all() and (place == place[0]).all() else -1
+
+    for i, one in enumerate(spans):
+        for other in spans[i + 1 :]:
+            a, b = gap(one, other), gap(other, one)
+            rows.append((one[0], other[0], a, b, a >= 0 or b >= 0))
+    return rows
+
+
+def _with_small(rows: DataFrame, small: DataFrame, on: list[str], salt: str, n_bytes: int) -> DataFrame:
+    """``rows`` joined with a table that is sent to every task if it is small, else by ``on`` and one of SALTS parts, so that no host's rows meet in one task."""
+    if n_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on)
+    (part,) = unused([*rows.columns, *small.columns], "part")
+    dealt = small.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(part, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(dealt, [*on, part]).drop(part)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``texts`` (hashes of the template's texts) and ``container`` of every host with a template."""
+    """``host``, ``starts`` and ``texts`` (tokens of the template) of every host with a template. ``pages``: url, html."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (host, key, *token)
-                for host, key, source in zip(pdf["host"], pdf["key"], pdf["html"], strict=True)
-                for token in tokens(parse(source))
-            ]
-            yield pd.DataFrame(rows, columns=["host", "key", "kind", "token", "n", "chars"])
-
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("key"), "html")
-    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    found = stored(
-        keyed.mapInPandas(run, "host string, key long, kind string, token long, n int, chars long")
-        .groupBy("host", "kind", "token")
-        .agg(
+            rows = [(host, key, *token) for host, key, source in zip(pdf["host"], pdf["key"], pdf["html"], strict=True) for token in occurrences(parse(source))]
+            yield pd.DataFrame(rows, columns=["host", "key", "kind", "token", "path", "at"])
+
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("key"), "html")
+    found = keyed.mapInPandas(run, "host string, key long, kind string, token long, path long, at array<int>")
+    # Equal pages have equal rows; one of them stays.
+    found = stored(found.groupBy("host", "key", "kind", "token", "path").agg(F.min("at").alias("at")))
+    n_pages = found.groupBy("host", "key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    times = F.size("at")
+    vectors = stored(
+        found.groupBy("host", "kind", "token", "path").agg(
             F.count(F.lit(1)).alias("support"),
             # Sums of 32-bit numbers can't overflow; two of them tell vectors apart.
-            F.sum(F.hash("key", "n").cast("long")).alias("v1"),
-            F.sum(F.shiftright(F.xxhash64("key", "n"), 32)).alias("v2"),
-            F.sum("chars").alias("chars"),
+            F.sum(F.hash("key", times).cast("long")).alias("v1"),
+            F.sum(F.shiftright(F.xxhash64("key", times), 32)).alias("v2"),
         )
-        .where(F.col("support") >= MIN_PAGES)
-    )
-    often = found.join(sizes, "host").where(F.col("support") * 2 >= F.col("n_pages"))
-    classes = (
-        often.where("kind <> 'c'")
-        .groupBy("host", "support", "v1", "v2")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "e").alias("n_starts"))
-        .where((F.col("n") >= MIN_CLASS) & (F.col("n_starts") > 0))
     )
-    texts = (
-        often.where("kind = 't'")
-        .join(classes, ["host", "support", "v1", "v2"])
-        .groupBy("host")
-        .agg(F.collect_set("token").alias("texts"))  # as many as a template has texts
+    often = vectors.join(n_pages, "host").where((F.col("support") >= MIN_PAGES) & (F.col("support") * 2 >= F.col("n_pages")))
+    often = often.withColumn("class", F.xxhash64("support", "v1", "v2"))
+    sizes = often.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("kind") == "e").alias("n_starts"))
+    members = checkpointed(
+        often.join(sizes.where((F.col("size") >= MIN_CLASS) & (F.col("n_starts") > 0)), ["host", "class"]).select("host", "token", "kind", "path", "class", "support", "size")
     )
-    containers = often.where("kind = 'c'").groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("container"))
-    result = stored(
-        containers.join(texts, "host", "full").select("host", F.coalesce("texts", F.array().cast("array<long>")).alias("texts"), "container")
+    n_bytes = members.agg(F.sum(F.length("host") + 64)).first()[0] or 0
+
+    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ':') for x in _RELATION.split(', '))}>>")
+    def related(tokens: pd.Series) -> pd.Series:
+        return pd.Series([relations([(t["class"], t["support"], t["size"], t["token"], t["at"]) for t in page]) for page in tokens])
+
+    small = members.select("host", "token", "class", "support", "size")
+    on_page = _with_small(found.select("host", "key", "token", "at"), small, ["host", "token"], "key", n_bytes)
+    by_page = on_page.groupBy("host", "key").agg(F.collect_list(F.struct("class", "support", "size", "token", "at")).alias("tokens"))  # of one page
+    related_rows = by_page.select("host", F.explode(related("tokens")).alias("r")).select("host", "r.*")
+    pairs = checkpointed(
+        related_rows.groupBy("host", "first", "second").agg(
+            F.bool_and("holds").alias("holds"), *[f(x).alias(f"{n}_{x}") for x in "ab" for n, f in (("least", F.min), ("most", F.max))]
+        )
     )
+    same = [(F.col(f"least_{x}") == F.col(f"most_{x}")) for x in "ab"]
+    itself = F.col("first") == F.col("second")
+    ordered = pairs.where(itself & F.col("holds") & same[0]).select("host", F.col("first").alias("class"))
+    nested = (same[0] & (F.col("least_a") >= 0)) | (same[1] & (F.col("least_b") >= 0))
+    # What overlaps a better class that is ordered is no part of the template.
+    crossed = pairs.where(~itself & ~nested).join(ordered.withColumnRenamed("class", "first"), ["host", "first"], "left_semi")
+    valid = ordered.join(crossed.select("host", F.col("second").alias("class")), ["host", "class"], "left_anti")
+    tokens = checkpointed(members.join(valid, ["host", "class"]).select("host", "token", "kind", "path"))
+    # A path that has other texts too holds data.
+    held = vectors.where("kind = 't'").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_texts"))
+    fixed = tokens.where("kind = 't'").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_fixed"))
+    fixed = fixed.join(held, ["host", "path"]).where("n_fixed = n_texts").select("host", "path")
+    texts = tokens.where("kind = 't'").join(fixed, ["host", "path"], "left_semi").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("texts"))
+    starts = tokens.where("kind = 'e'").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("starts"))  # as many as a template has
+    none = F.array().cast("array<long>")
+    result = stored(starts.join(texts, "host", "left").select("host", "starts", F.coalesce("texts", none).alias("texts")))
     discard(found)
+    discard(vectors)
     return result
 
 
@@ -308,28 +421,32 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``; the html is left out."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    table = templates(pages.select("page_id", "url", "html"))
-    n_tokens, n_hosts = table.agg(F.sum(F.size("texts") + 2), F.count(F.lit(1))).first()
-    others = [c for c in pages.columns if c not in ("text", "n_chars", "html")]
-    if (n_tokens or 0) + n_hosts <= BROADCAST_TOKENS:
-        known = {r.host: (frozenset(r.texts), r.container) for r in table.collect()}
+    table = templates(pages.select("url", "html"))
+    n_bytes = table.agg(F.sum(F.length("host") + 8 * (F.size("starts") + F.size("texts")) + 64)).first()[0] or 0
+    kept = [F.col(quoted(c)) for c in others(pages.columns, "text", "n_chars", "html")]
+    if n_bytes <= BROADCAST_BYTES:
+        known = {r.host: Template(frozenset(r.starts), frozenset(r.texts)) for r in table.collect()}
+        shared = spark.sparkContext.broadcast(known)
 
         @F.pandas_udf("string")
         def of_known(sources: pd.Series, hosts: pd.Series) -> pd.Series:
-            none = (frozenset(), None)
-            return pd.Series([main_text(s, *known.get(h, none)) for s, h in zip(sources, hosts, strict=True)], dtype=object)
+            get = shared.value.get
+            return pd.Series([main_text(s, get(h, NO_TEMPLATE)) for s, h in zip(sources, hosts, strict=True)], dtype=object)
 
-        result = pages.select(*others, of_known(F.col("html"), host_of(F.col("url"))).alias("text"))
+        result = pages.select(*kept, of_known(F.col("html"), host_of(F.col("url"))).alias("text"))
     else:
 
         @F.pandas_udf("string")
-        def of_joined(sources: pd.Series, texts: pd.Series, containers: pd.Series) -> pd.Series:
+        def of_joined(sources: pd.Series, starts: pd.Series, texts: pd.Series) -> pd.Series:
             return pd.Series([
-                main_text(s, frozenset() if t is None else frozenset(t.tolist()), None if pd.isna(c) else int(c))
-                for s, t, c in zip(sources, texts, containers, strict=True)
+                main_text(s, NO_TEMPLATE if a is None else Template(frozenset(a.tolist()), frozenset(b.tolist())))
+                for s, a, b in zip(sources, starts, texts, strict=True)
             ], dtype=object)
 
-        named = table.select(F.col("host").alias("t_host"), F.col("texts").alias("t_texts"), F.col("container").cast("string").alias("t_container"))
-        joined = pages.select(*others, "html", host_of(F.col("url")).alias("p_host")).join(named, F.col("p_host") == F.col("t_host"), "left")
-        result = joined.select(*others, of_joined(F.col("html"), F.col("t_texts"), F.col("t_container")).alias("text"))
+        host, part, other, dealt, starts, texts = unused(pages.columns, "host", "part", "of_host", "of_part", "starts", "texts")
+        named = table.select(F.col("host").alias(other), F.col("starts").alias(starts), F.col("texts").alias(texts))
+        named = named.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = pages.select("*", host_of(F.col("url")).alias(host), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias(part))
+        joined = salted.join(named, (F.col(host) == F.col(other)) & (F.col(part) == F.col(dealt)), "left")
+        result = joined.select(*kept, of_joined(F.col("html"), F.col(starts), F.col(texts)).alias("text"))
     return result.withColumn("n_chars", F.length("text").cast("long"))
