@@ -1,16 +1,15 @@
-"""Line deduplication: repeated runs of lines, found by prefix doubling over line ids.
+"""Line deduplication: a suffix array over line ids by prefix doubling, and its intervals of common prefixes.
 
-A document is a sequence of line ids; the suffixes of all sequences are sorted into
-classes by their first 1, 2, 4, ... lines. A class at depth d is an interval of the suffix
-array whose longest common prefix is d lines or more; its name is a hash of the names of
-its two halves, so a round is a window over each document and a count over names, and
-suffixes whose class has one member leave. Only classes matter here, not which stands
-first, so the array's order is never made.
+A document is a sequence of line ids. All suffixes are ranked by their first 1, 2, 4, ... lines: a line's rank is its id, and
+a suffix's rank by 2 * m lines is the place of the pair of ranks by m lines, its own and that of the suffix m lines on, in the
+order of all such pairs. Pairs are sorted by range over all tasks (:func:`ranked`), so the ranks are the suffix array's order; suffixes
+with a rank of their own are in no interval, and leave.
 
-A run of lines is repeated if it has ``min_words`` words or more and stands elsewhere too.
-The shortest such runs that begin, or end, at each line cover every longer one, maximal
-ones with them. Each has its interval by the names of the two powers of two that cover
-it. Its first occurrence, by doc_id and then by line, stays; the lines of later ones go.
+A run of lines is repeated if it has ``min_words`` words or more and stands elsewhere too. The suffixes that have a run in
+common are an interval of the array, whose longest common prefix is the run or more; its first and last power of two of lines
+name it. The intervals wanted are those of the shortest such runs that begin, or end, at each line: they cover all others.
+Occurrences that follow on one another in a document, as do their first occurrences, are put together (:func:`maximal_runs`): runs that
+can't be made longer on either side. The first occurrence, by doc_id and then by line, stays; the lines of later ones go.
 
 Lines are cut at \\n and compared exactly; lines without a word are skipped in the
 sequences, and go only with a deleted run that has them inside.
@@ -119,11 +118,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     longest = base.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     while 2 << k <= longest:
         later = Window.partitionBy(*KEY).orderBy("n").rangeBetween(1 << k, 1 << k)
-        pairs = now.withColumn("half", F.first("name").over(later)).where("half is not null").select(
-            *KEY, "n", F.xxhash64("name", "half").alias("name")
-        )
-        classes = checkpointed(pairs.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"))
-        now, k = checkpointed(pairs.join(classes, "name", "left_semi")), k + 1
+        pairs = now.withColumn("half", F.first("name").over(later)).where("half is not null")
+        classes = ranked(pairs.groupBy("name", "half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), ["name", "half"])
+        now, k = checkpointed(pairs.join(classes, ["name", "half"]).select(*KEY, "n", F.col("rank").alias("name"))), k + 1
         if now.isEmpty():
             break
         levels.append(now.select(*KEY, F.lit(k).alias("k"), "n", "name"))
@@ -157,22 +154,42 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where("c > 1")
         .drop("c")
     )
-    same = (F.col("d") == F.col("head.d")) & (F.col("t") == F.col("head.t"))
-    cuts = (
-        named.join(heads, interval)
-        .where(F.struct(*KEY, "start") > F.col("head"))
-        .select(
-            *KEY,
-            F.when(same, F.greatest("start", F.col("head.start") + F.col("len"))).otherwise(F.col("start")).alias("from"),
-            (F.col("start") + F.col("len")).alias("to"),
-        )
-        .where(F.col("from") < F.col("to"))
-        .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("from", "to")).alias("cuts"))  # two a line at most
-    )
-    cuts = checkpointed(cuts)
+    hits = named.join(heads, interval).where(F.struct(*KEY, "start") > F.col("head"))
+    runs = checkpointed(maximal_runs(hits))
     discard(table)
-    return cuts
+    return runs.groupBy(*KEY).agg(F.collect_set(F.struct("from", "to")).alias("cuts"))  # of one document
+
+
+def maximal_runs(hits: DataFrame) -> DataFrame:
+    """``d``, ``t``, ``from``, ``to``, and ``of_d``, ``of_t``, ``of_from``: lines that repeat earlier ones, and where those begin.
+
+    ``hits``: occurrences (``d``, ``t``, ``start``, ``len``) and their runs' first ones (``head``). In one document the lines
+    of the first occurrence have no part in the later one.
+    """
+    same = (F.col("d") == F.col("head.d")) & (F.col("t") == F.col("head.t"))
+    begin = F.when(same, F.greatest("start", F.col("head.start") + F.col("len"))).otherwise(F.col("start"))
+    rows = hits.select(
+        *KEY, F.col("head.d").alias("of_d"), F.col("head.t").alias("of_t"), (F.col("start") - F.col("head.start")).alias("on"),
+        begin.alias("from"), (F.col("start") + F.col("len")).alias("to"),
+    ).where(F.col("from") < F.col("to"))
+    line = [*KEY, "of_d", "of_t", "on"]
+    earlier = Window.partitionBy(*line).orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*line).orderBy("from", "to").rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.when(F.col("from") > F.max("to").over(earlier), 1).otherwise(0)
+    found = rows.withColumn("apart", apart).withColumn("run", F.sum("apart").over(upto))
+    found = found.groupBy(*line, "run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return found.select(*KEY, "from", "to", "of_d", "of_t", (F.col("from") - F.col("on")).alias("of_from"))
+
+
+def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows``, all different, with ``rank``: their place in the order of ``by`` over all tasks, from 0."""
+    low = (1 << 33) - 1
+    placed = checkpointed(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33).cast("int")
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a task
+    starts = np.concatenate(([0], np.cumsum([n for _, n in sizes], dtype=np.int64)))
+    table = rows.sparkSession.createDataFrame([(p, int(at)) for (p, _), at in zip(sizes, starts[:-1], strict=True)], "part int, before long")
+    return placed.withColumn("part", part).join(F.broadcast(table), "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND(F.lit(low))).drop("part", "before", "place")
 
 
 def _first(ns: list[int], ids: list[int], words: list[int], min_words: int) -> list[tuple]:

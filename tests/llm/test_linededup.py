@@ -80,3 +80,56 @@ def test_empty(spark):
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {(r.doc_id,): r.text for r in op8_linededup(spark, sf).collect()} == {(d,): t for (d, _), t in brute(docs, 50).items()}
+
+
+def test_ranks_are_the_order(spark):
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(-50, 50), rng.randrange(50)) for _ in range(900)})
+    frame = spark.createDataFrame(rng.sample(pairs, len(pairs)), "name long, half long").repartition(7)
+    rows = L.ranked(frame, ["name", "half"]).collect()
+    assert [(r.name, r.half) for r in sorted(rows, key=lambda r: r["rank"])] == pairs and sorted(r["rank"] for r in rows) == list(range(len(pairs)))
+    assert L.ranked(frame.limit(0), ["name", "half"]).count() == 0
+
+
+def by_longest_matches(docs, least):
+    """A line goes if it is in a run of enough words that an earlier document has too, found by extending every pair of equal lines."""
+    out, before = {}, []
+    for d, text in docs:
+        lines = text.split("\n")
+        gone = set()
+        for other in before:
+            for i in range(len(lines)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i : i + n]) >= least:
+                        gone |= set(range(i, i + n))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        before.append(lines)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_matches_go(spark, seed):
+    rng = random.Random(seed)
+    own = iter(range(10**6))
+    passages = [[f"line {k} of passage {p} here" for k in range(rng.randrange(1, 40))] for p in range(6)]
+    docs = []
+    for i in range(30):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            lines += [f"own line {next(own)}" for _ in range(rng.randrange(3))]
+            some = rng.choice(passages)
+            begin = rng.randrange(len(some))
+            part = some[begin : begin + rng.randrange(1, 41)]
+            lines += part if not set(part) & set(lines) else []
+        docs.append((i, "\n".join(lines)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(frame, min_words=30).collect()} == by_longest_matches(docs, 30)
+
+
+def test_maximal_runs(spark):
+    hits = spark.createDataFrame([(5, 1, s, 3, (2, 7, s - 4)) for s in (4, 5, 6, 10)] + [(5, 1, 4, 3, (3, 8, 4)), (6, 1, 2, 3, (6, 1, 1))], "d long, t long, start int, len int, head struct<d: long, t: long, start: int>")
+    got = {tuple(r) for r in L.maximal_runs(hits).select("d", "from", "to", "of_d", "of_from").collect()}
+    assert got == {(5, 4, 9, 2, 0), (5, 10, 13, 2, 6), (5, 4, 7, 3, 4), (6, 4, 5, 6, 3)}
