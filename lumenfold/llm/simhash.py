@@ -57,6 +57,8 @@ NEAR_WORDS = 5
 MOST_COMMON = 1 << 18
 #: Shingles that are hashed and counted at a time, so that long texts need little memory.
 BLOCK = 1 << 16
+#: Parts that a text's copies are dealt over.
+SALTS = 32
 
 
 def shingle_hashes(text: str | None, words_a_shingle: int) -> Iterator[np.ndarray]:
@@ -255,18 +257,22 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     text_hash = F.xxhash64("text").alias("t")
     rows = stored(docs.select(*[F.col(quoted(c)).alias(f"c_{c}") for c in _others(docs)], text_hash, marks(F.col("text")).alias("m")).select("*", "m.*").drop("m"))
-    sets = rows.where("n > 0").select("fp", "n", "t", "prefix").dropDuplicates(["fp"])
+    sets = rows.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"])
     # Dealt out as rows, which are a fraction of the bytes of an aggregate's unfinished lists.
-    postings = sets.select("fp", "n", "t", F.posexplode("prefix").alias("at", "s")).repartition("s")
-    lists = postings.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "fp", "at", "t"))).alias("l"))
+    postings = sets.select("fp", "n", F.posexplode("prefix").alias("at", "s")).repartition("s")
+    lists = postings.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "fp", "at"))).alias("l"))
     lists = stored(lists.where(F.size("l") > 1))
     del sets, postings
     release(spark)
     def only_alike(pairs: DataFrame) -> DataFrame:
         # Sets are made again, of those texts alone that a pair names.
-        pairs = stored(pairs.select("a", "b", "ta", "tb"))
-        named = checkpointed(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct())
-        texts = docs.select("text", text_hash).join(named, "t", "left_semi").dropDuplicates(["t"])
+        pairs = stored(pairs.select("a", "b"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        named = rows.where("n > 0").groupBy("fp").agg(F.min("t").alias("t")).join(nodes, "fp", "left_semi").select("t")
+        # Copies of one text are dealt over SALTS parts, and each part gives one before they meet.
+        named = checkpointed(named.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        salted = docs.select("text", text_hash, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        texts = salted.join(named, ["t", "salt"], "left_semi").groupBy("t").agg(F.first("text").alias("text"))
         held = stored(texts.select(whole(F.col("text")).alias("w")).select("w.*"))
         del texts, named
         release(spark)
@@ -286,7 +292,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("p.x", "p.y")
         .where(near_size)
         .select(*_in_order("x", "y"))
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"))
+        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         .distinct()
     )
     first = only_alike(chain)
@@ -320,7 +326,6 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         .agg(
             F.count(F.lit(1)).alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"),
-            F.min("x.t").alias("ta"), F.min("y.t").alias("tb"),
         )
         .where("9 * (c + least(n - i, m - j) - 1) >= 4 * (n + m)")
     )

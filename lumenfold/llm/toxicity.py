@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -170,7 +171,7 @@ class Model:
 
     terms: dict[str, int]
     factor: np.ndarray  # idf and label factor of each term
-    index: Index
+    vectors: tuple[np.ndarray, np.ndarray, np.ndarray]  # terms, counts and number of terms of the examples, one after the other
     toxic: np.ndarray
     ids: np.ndarray
     share: float
@@ -178,6 +179,22 @@ class Model:
     k: int = NEIGHBOURS
     curve: tuple[float, float] = (0.0, 1.0)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")}
+
+    @cached_property
+    def examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        terms, counts, sizes = self.vectors
+        ends = np.cumsum(sizes)
+        return [unit(terms[e - n : e], counts[e - n : e].astype(np.float64), self.factor) for e, n in zip(ends, sizes, strict=True)]
+
+    @cached_property
+    def index(self) -> Index:
+        """Made once in each process: the vectors are a fraction of its size, and they are what is sent."""
+        index = Index(len(self.factor), self.examples)
+        del self.examples
+        return index
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and weights."""
         none = len(self.factor)
@@ -210,11 +227,11 @@ class Model:
             for j, (query, common) in enumerate(zip(some, self.index.common(some), strict=True), at):
                 yield self.vote(query, common, j if left_out else -1)
 
-    def fit_curve(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def fit_curve(self) -> None:
         """A logistic curve from the log-odds of votes, by Newton's method over examples left out in turn."""
         if self.constant():
             return
-        x = _logit(np.array([share for share, _, _ in self.votes(examples, left_out=True)]))
+        x = _logit(np.array([share for share, _, _ in self.votes(self.examples, left_out=True)]))
         y = self.toxic.astype(float)
         w = np.where(self.toxic, self.thinned[1], self.thinned[0])
         a, b = 0.0, 1.0
@@ -322,12 +339,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
     # Examples of like labels and strongest terms stand together, so that blocks' bounds are tight.
     strongest = [int(t[np.argmax((1 + np.log(c)) * factor[t])]) if len(t) else -1 for t, c in vectors]
     order = sorted(range(len(ids)), key=lambda i: (is_toxic[i], strongest[i], ids[i], toxic[i], vectors[i][0].tobytes()))
-    units = [unit(*vectors[i], factor) for i in order]
+    terms = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0)]).astype(np.int32)
+    counts = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)]).astype(np.int32)
     model = Model(
-        number, factor, Index(len(number), units), is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
+        number, factor, (terms, counts, np.array([len(vectors[i][0]) for i in order], np.int64)), is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
         totals.get(1, 0) / n_all if n_all else 0.0, tuple(totals.get(y, 0) / max(1, n_of[y]) for y in (0, 1)), k,
     )
-    model.fit_curve(units)
+    model.fit_curve()
     return model
 
 

@@ -77,7 +77,7 @@ def test_blocks_are_left_out_and_the_result_is_exact():
 
 def test_ties_share_places():
     ones = [(np.array([0]), np.array([5.0]))] * 40
-    m = T.Model({"a": 0}, np.ones(1), T.Index(1, [T.unit(*v, np.ones(1)) for v in ones]), np.array([True] * 10 + [False] * 30), np.arange(40), 0.25, (1.0, 1.0), 15)
+    m = T.Model({"a": 0}, np.ones(1), tuple(map(np.concatenate, zip(*[(*v, np.ones(1, np.int64)) for v in ones]))), np.array([True] * 10 + [False] * 30), np.arange(40), 0.25, (1.0, 1.0), 15)
     query = T.unit(np.array([0]), np.array([1.0]), np.ones(1))
     assert m.vote(query, m.index.common([query])[0])[0] == pytest.approx(0.25, abs=0.02)
 
