@@ -59,6 +59,8 @@ MOST_COMMON = 1 << 18
 BLOCK = 1 << 16
 #: Parts that a text's copies are dealt over.
 SALTS = 32
+#: Bytes of names of texts that are sent to every task at most; more are joined.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_hashes(text: str | None, words_a_shingle: int) -> Iterator[np.ndarray]:
@@ -269,10 +271,16 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stored(pairs.select("a", "b"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         named = rows.where("n > 0").groupBy("fp").agg(F.min("t").alias("t")).join(nodes, "fp", "left_semi").select("t")
-        # Copies of one text are dealt over SALTS parts, and each part gives one before they meet.
-        named = checkpointed(named.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-        salted = docs.select("text", text_hash, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-        texts = salted.join(named, ["t", "salt"], "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+        named = checkpointed(named.distinct())
+        if 16 * named.count() <= BROADCAST_BYTES:
+            # No text moves that no pair names, and of a text's copies each task gives one.
+            texts = docs.select("text", text_hash).join(F.broadcast(named), "t", "left_semi")
+        else:
+            # Copies of one text are dealt over SALTS parts, and each part gives one before they meet.
+            parts = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = docs.select("text", text_hash, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+            texts = salted.join(parts, ["t", "salt"], "left_semi")
+        texts = texts.groupBy("t").agg(F.first("text").alias("text"))
         held = stored(texts.select(whole(F.col("text")).alias("w")).select("w.*"))
         del texts, named
         release(spark)

@@ -128,7 +128,8 @@ def test_keep_one_by_five_words_and_similarity(spark, monkeypatch):
                 far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > simhash.MAX_BITS
     assert far
     frame = docs(spark, *rows)
-    for cap in (3, 48):
+    for cap, n_bytes in ((3, 0), (48, 1 << 20)):
         monkeypatch.setattr(simhash, "LIST_CAP", cap)
+        monkeypatch.setattr(simhash, "BROADCAST_BYTES", n_bytes)
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {i: find(i) for i in range(len(rows))}
         assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted({find(i) for i in range(len(rows))})
