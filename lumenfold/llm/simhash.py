@@ -293,17 +293,15 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return found
 
     near_size = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
-    # In long lists each set is compared first with the next one by size that it shares a list with: most near copies are one
-    # component then, by no more pairs than there are sets.
+    # Sets that follow each other by size in a long list are compared first: most near copies are one component then.
     long = lists.where(F.size("l") > LIST_CAP)
     chain = (
         long.select(F.expr("explode(zip_with(slice(l, 1, size(l) - 1), slice(l, 2, size(l)), (x, y) -> struct(x, y)))").alias("p"))
         .select("p.x", "p.y")
         .where(near_size)
-        .groupBy("x.fp")
-        .agg(F.first("x").alias("x"), F.min("y").alias("y"))
         .select(*_in_order("x", "y"))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .distinct()
     )
     first = only_alike(chain)
     # Of the long lists' pairs only those of different components are left to compare; none is left out.
