@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import html, linededup, lm, media, mixing, pieces, sharding, simhash, topk, toxicity
+from lumenfold.llm import alignment, anagrams, exactdedup, html, linededup, lm, media, mixing, pieces, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs, seed=17)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, keep_text=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.deduplicate(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = anagrams.slipped_words(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return anagrams.variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_simhash": op2_simhash,
@@ -73,9 +88,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling": op13_spelling,
 }
 
+def _crc_steps() -> str:
+    """What four bits do to a CRC-32, for each value of them, as a SQL list."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return str(table)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+        g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+    """,
+    "op13_spelling": f"""
+        WITH RECURSIVE r AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL
+        ), x AS (
+            SELECT run, times, hex(doc_id || ':' || run) AS d FROM r WHERE length(run) >= 7
+        ), b AS (
+            -- The low four bits of each byte come before the high ones.
+            SELECT run, times, list_transform(range(1, length(d) + 1), lambda i: strpos('0123456789ABCDEF', d[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1) AS bits FROM x
+        ), h AS (
+            SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(bits, lambda v: v::BIGINT)),
+                lambda c, v: xor(c >> 4, ({_crc_steps()}::BIGINT[])[(xor(c, v) & 15) + 1]))) AS h FROM b
+        ), w AS (
+            SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM h
+        ), v AS (
+            SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+        ), d AS (
+            SELECT word, n, i, word[1 : i] || word[i + 2 :] AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)
+        ), p AS (
+            SELECT DISTINCT a.word AS a, b.word AS b, b.n AS m FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+            UNION SELECT DISTINCT v.word, d.word, d.n FROM v JOIN d ON d.less = v.word
+            UNION SELECT DISTINCT d.word, v.word, v.n FROM v JOIN d ON d.less = v.word
+        ), k AS (
+            SELECT a, b, m, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY m DESC, b) AS rn FROM p
+        ), f AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN b END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+            FROM v LEFT JOIN k ON a = word AND rn = 1
+        ), s AS (
+            SELECT word AS start, word AS at, form AS next FROM f
+            UNION ALL SELECT s.start, f.word, f.form FROM s JOIN f ON f.word = s.next
+        )
+        SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.start = f.word AND s.next IS NULL
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
