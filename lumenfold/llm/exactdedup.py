@@ -46,6 +46,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else every partition of the state lays claim to some MB of disk before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 KEEP = "struct<no_id: boolean, id: {id}, file: string, row: long>"
 
@@ -123,7 +125,7 @@ def found_groups(spark: SparkSession, state: str, kind: str) -> DataFrame:
     return told.groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"))
 
 
-def is_kept(row: DataFrame | None = None) -> Column:
+def is_kept() -> Column:
     return (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
 
 
