@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
+from lumenfold.operators import density
+from lumenfold.session import checkpointed
 
 MERGE_BELOW = 0.35
 MIN_CLUSTER = 3
-#: Vectors that the density step takes into one task at most.
-MOST_LEFT_OVER = 50_000
 #: Bytes of centroids, as doubles, that are sent to every task at most; more are joined in blocks of so many.
 MOST_CENTROID_BYTES = 64 << 20
 #: Distances that a task holds at a time.
@@ -75,122 +75,20 @@ def assign(vectors: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW)
 
 
 def density_clusters(x: np.ndarray, min_size: int = MIN_CLUSTER) -> np.ndarray:
-    """Labels by hierarchical density clustering, -1 for noise.
-
-    Distances are made mutual reachabilities by each point's distance to its ``min_size``-th
-    neighbour (itself counted); a minimum spanning tree over them is cut from the longest edge down;
-    parts below ``min_size`` fall out; of a branch and its children those with more excess of mass
-    stay. Memory grows with the number of points: rows of distances are made one at a time.
-    """
-    n = len(x)
-    labels = np.full(n, -1, np.int64)
-    if n < max(2, min_size):
+    """Labels of a few vectors in memory, as they are, by the steps of :mod:`density`; -1 for noise."""
+    labels = np.full(len(x), -1, np.int64)
+    if len(x) < max(2, min_size):
         return labels
-    squares = (x * x).sum(axis=1)
-
-    def distances(i: int) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, squares + squares[i] - 2.0 * (x @ x[i])))
-
-    k = min(min_size, n) - 1
-    core = np.array([np.partition(distances(i), k)[k] for i in range(n)])
-    # Prim's tree: the least link of every point outside to those inside.
-    inside, link, frm = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
-    edges, at = [], 0
-    inside[0] = True
-    for _ in range(n - 1):
-        d = np.maximum(np.maximum(distances(at), core), core[at])
-        nearer = ~inside & (d < link)
-        link[nearer], frm[nearer] = d[nearer], at
-        at = int(np.where(inside, np.inf, link).argmin())
-        inside[at] = True
-        edges.append((float(link[at]), int(frm[at]), at))
-    edges.sort()
-    # The dendrogram: each merge is a node with two children.
-    top, parent = np.arange(n), list(range(2 * n - 1))
-    children, height, size = {}, {}, [1] * n + [0] * (n - 1)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for node, (d, a, b) in enumerate(edges, n):
-        a, b = root(int(top[a])), root(int(top[b]))
-        children[node], height[node], size[node] = (a, b), d, size[a] + size[b]
-        parent[a] = parent[b] = node
-
-    def points(node: int) -> list[int]:
-        found, stack = [], [node]
-        while stack:
-            i = stack.pop()
-            if i < n:
-                found.append(i)
-            else:
-                stack.extend(children[i])
-        return found
-
-    def density(d: float) -> float:
-        return 1.0 / d if d > 0 else 1e12
-
-    # Condensed branches: birth, excess of mass, child branches, the node that each starts at.
-    branches = [[0.0, 0.0, [], 2 * n - 2]]
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        node, branch = stack.pop()
-        if node < n:
-            continue
-        level, (a, b) = density(height[node]), children[node]
-        big = [c for c in (a, b) if size[c] >= min_size]
-        birth = branches[branch][0]
-        if len(big) == 2:
-            branches[branch][1] += size[node] * (level - birth)
-            for c in big:
-                branches.append([level, 0.0, [], c])
-                branches[branch][2].append(len(branches) - 1)
-                stack.append((c, len(branches) - 1))
-        else:
-            lost = sum(size[c] for c in (a, b) if c not in big)
-            branches[branch][1] += lost * (level - birth)
-            stack += [(c, branch) for c in big]
-    chosen = [True] * len(branches)
-    chosen[0] = False  # all points together are no cluster
-    mass = [b[1] for b in branches]
-    for i in range(len(branches) - 1, -1, -1):
-        kids = branches[i][2]
-        below = sum(mass[c] for c in kids)
-        if kids and (below > mass[i] or i == 0):
-            mass[i], chosen[i] = below, False
-        elif kids:
-            todo = list(kids)
-            while todo:
-                c = todo.pop()
-                chosen[c] = False
-                todo += branches[c][2]
-    picked = sorted((min(points(b[3])), b[3]) for i, b in enumerate(branches) if chosen[i] and size[b[3]] >= min_size)
-    for label, (_, node) in enumerate(picked):
-        labels[points(node)] = label
-    return labels
+    points = pd.DataFrame({"p": range(len(x)), "copies": 1, "v": list(x)})
+    nodes = pd.DataFrame({"node": points["p"], "points": 1, "mass": 0.0, "inner": 0.0, "branched": False})
+    found = density.merged(nodes, density.small_tree(points, min_size), min_size)["label"]
+    names = {label: k for k, label in enumerate(sorted(found.dropna().unique()))}
+    return np.array([-1 if pd.isna(f) else names[f] for f in found], np.int64)
 
 
 def discover(vectors: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
-    """``id`` and ``label`` of vectors in new clusters, by density; noise is left out.
-
-    Exact density clustering compares all with all. It is for what no centroid took, MOST_LEFT_OVER
-    vectors at most; a larger set is an error here rather than a wrong answer.
-    """
-    n = vectors.count()
-    if n > MOST_LEFT_OVER:
-        raise ValueError(f"{n} vectors: density clustering takes {MOST_LEFT_OVER} at most")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.nan_to_num(np.stack(pdf["embedding"]).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        labels = density_clusters(np.divide(x, size, out=x, where=size > 0), min_size)
-        return pd.DataFrame({"id": pdf["id"], "label": labels})[labels >= 0]
-
-    return vectors.select("id", "embedding", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, label long")
+    """``id`` and ``label`` of vectors in new clusters, by density; noise is left out."""
+    return density.clusters(vectors, min_size)
 
 
 def incremental(vectors: DataFrame, clusters: DataFrame, min_size: int = MIN_CLUSTER, below: float = MERGE_BELOW) -> DataFrame:
@@ -199,20 +97,15 @@ def incremental(vectors: DataFrame, clusters: DataFrame, min_size: int = MIN_CLU
     A new cluster near a centroid joins it; others get ids above the largest, in order of their labels.
     Centroids are those from before the run.
     """
-    from lumenfold.session import checkpointed
-
     near = checkpointed(assign(vectors, clusters, below).select("id", "cluster_id"))
     found = checkpointed(discover(vectors.join(near, "id", "left_anti"), min_size))
-    fresh = centroids(vectors, found.select("id", F.col("label").alias("cluster_id"))).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"))
-    merged = {r.id: r.cluster_id for r in assign(fresh, clusters, below).collect()}
+    fresh = checkpointed(centroids(vectors, found.select("id", F.col("label").alias("cluster_id"))))
+    asked = fresh.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"))
+    merged = checkpointed(assign(asked, clusters, below).select(F.col("id").alias("label"), "cluster_id"))
     top = clusters.agg(F.max("cluster_id")).first()[0] or 0
-    table, nxt = [], top
-    for (label,) in sorted(found.select("label").distinct().collect()):
-        if label not in merged:
-            nxt += 1
-        table.append((label, merged.get(label, nxt)))
-    ids = vectors.sparkSession.createDataFrame(table, "label long, cluster_id long")
-    return near.unionByName(found.join(F.broadcast(ids), "label").select("id", "cluster_id"))
+    others = fresh.select(F.col("cluster_id").alias("label")).join(merged, "label", "left_anti")
+    numbered = density.in_order(others, "label").select("label", (F.col("place") + top + 1).cast("long").alias("cluster_id"))
+    return near.unionByName(found.join(merged.unionByName(numbered), "label").select("id", "cluster_id"))
 
 
 def full(vectors: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:

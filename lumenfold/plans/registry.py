@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lumenfold import predicates as P
 from lumenfold.functions import formats, paths
 from lumenfold.functions import vectors as V
-from lumenfold.operators import cameras, clustering, duplicates, organise, people, places, scanning, search, stats, text, timeline
+from lumenfold.operators import cameras, clustering, density, duplicates, organise, people, places, scanning, search, stats, text, timeline
 from lumenfold.plans.projection import Catalog, oracle
+from lumenfold.session import checkpointed
 from lumenfold.sources import checkpoint_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1010,12 +1011,79 @@ def _(c):
     return clustering.orphans(c.vectors, c.faces, "file_id")
 
 
-@query("cluster_full")
+def _density_sql(source: str, m: int = 3) -> str:
+    """CTEs over ``source`` (id, embedding): ``core``, ``tree`` and ``found`` (id, label), as density clustering has them.
+
+    The tree is grown from the first vector. What is joined at some distance then is a run in the order of growth, so the runs between longer edges
+    are the nodes of the tree of merges; their sums are made from the shortest distance up.
+    """
+    excess = "(c.mass - c.size * level)"
+    inside = f"(c.branched AND c.inn > {excess})"
+    return f"""
+    v0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS i, id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM {source}),
+    p AS MATERIALIZED (SELECT i, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v0),
+    d AS MATERIALIZED (SELECT a.i AS a, b.i AS b, CASE WHEN a.i = b.i THEN 0 ELSE round(list_distance(a.v, b.v), 9) END AS d FROM p a CROSS JOIN p b),
+    core AS MATERIALIZED (SELECT a, list_sort(list(d))[{m}] AS core FROM d GROUP BY a),
+    w AS MATERIALIZED (SELECT d.a, d.b, CASE WHEN d.a = d.b THEN NULL ELSE greatest(d, x.core, y.core) END AS w FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b),
+    grown AS (
+        SELECT 0 AS k, i AS b, i = 1 AS inside, CASE WHEN i > 1 THEN w END AS link, 1::BIGINT AS last, NULL::DOUBLE AS edge FROM p JOIN w ON w.a = 1 AND w.b = i
+        UNION ALL
+        SELECT g.k + 1, g.b, g.inside OR g.b = g.next, CASE WHEN g.inside OR g.b = g.next THEN NULL ELSE least(g.link, w.w) END, g.next, g.least
+        FROM (SELECT *, arg_min(b, link) OVER () AS next, min(link) OVER () AS least FROM grown WHERE k < (SELECT count(*) FROM p) - 1) g JOIN w ON w.a = g.next AND w.b = g.b
+    ),
+    tree AS MATERIALIZED (SELECT DISTINCT k, last AS i, edge AS w FROM grown),
+    runs AS MATERIALIZED (SELECT DISTINCT coalesce((SELECT max(y.k) FROM tree y WHERE y.k < x.k AND y.w > x.w), 0) AS l,
+        coalesce((SELECT min(y.k) FROM tree y WHERE y.k > x.k AND y.w > x.w), (SELECT count(*) FROM p)) - 1 AS r, w FROM tree x WHERE k > 0),
+    nodes AS MATERIALIZED (SELECT x.l, x.r, x.r - x.l + 1 AS size, CASE WHEN x.w > 0 THEN 1 / x.w ELSE 1e12 END AS level, dense_rank() OVER (ORDER BY x.w) AS k,
+        (SELECT arg_min(struct_pack(l := y.l, r := y.r), y.r - y.l) FROM runs y WHERE y.l <= x.l AND y.r >= x.r AND y.r - y.l > x.r - x.l) AS up FROM runs x),
+    summed AS (
+        SELECT 0::BIGINT AS step, l, r, size, level, k, up, 0::DOUBLE AS mass, 0::DOUBLE AS inn, false AS branched, false AS stays FROM nodes
+        UNION ALL
+        SELECT s.step + 1, s.l, s.r, s.size, s.level, s.k, s.up,
+            CASE WHEN s.k <> s.step + 1 THEN s.mass WHEN g.n = 1 THEN g.mass + (s.size - g.size) * s.level WHEN s.size >= {m} THEN s.size * s.level ELSE 0 END,
+            CASE WHEN s.k <> s.step + 1 THEN s.inn WHEN g.n = 1 THEN g.inn WHEN g.n > 1 THEN g.value ELSE 0 END,
+            CASE WHEN s.k <> s.step + 1 THEN s.branched WHEN g.n = 1 THEN g.branched ELSE coalesce(g.n > 1, false) END,
+            s.stays OR coalesce(h.n > 1 AND h.k = s.step + 1 AND s.size >= {m} AND NOT (s.branched AND s.inn > s.mass - s.size * h.level), false)
+        FROM summed s
+        LEFT JOIN (SELECT c.up, count(*) AS n, max(c.mass) AS mass, max(c.size) AS size, max(c.inn) AS inn, bool_or(c.branched) AS branched,
+            sum(CASE WHEN {inside.replace("level", "u.level")} THEN c.inn ELSE {excess.replace("level", "u.level")} END) AS value
+            FROM summed c JOIN nodes u ON u.l = c.up.l AND u.r = c.up.r WHERE c.size >= {m} GROUP BY c.up) g ON g.up.l = s.l AND g.up.r = s.r
+        LEFT JOIN (SELECT u.l, u.r, u.k, u.level, count(*) AS n FROM nodes c JOIN nodes u ON u.l = c.up.l AND u.r = c.up.r WHERE c.size >= {m} GROUP BY ALL) h ON h.l = s.up.l AND h.r = s.up.r
+        WHERE s.step < (SELECT max(k) FROM nodes)
+    ),
+    found AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY l, r) AS label FROM (
+        SELECT id, l, r, row_number() OVER (PARTITION BY id ORDER BY size DESC) AS rn FROM tree JOIN p USING (i) JOIN summed s ON tree.k BETWEEN s.l AND s.r
+        WHERE s.stays AND s.step = (SELECT max(k) FROM nodes)) WHERE rn = 1)"""
+
+
+@query("density_cores", f"WITH {_density_sql('vectors')} SELECT id, round(core, 6) AS core FROM core JOIN p ON a = i", "vectors")
+def _(c):
+    return density.cores(density.points_of(c.vectors), clustering.MIN_CLUSTER).select(F.col("p").alias("id"), F.round("core", 6).alias("core"))
+
+
+@query("density_tree", f"WITH {_density_sql('vectors')} SELECT round(w, 6) AS w, count(*) AS n FROM tree WHERE k > 0 GROUP BY 1", "vectors")
+def _(c):
+    tree = density.spanning_tree(checkpointed(density.points_of(c.vectors)), clustering.MIN_CLUSTER, block=64)
+    return tree.groupBy(F.round("w", 6).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cluster_full", f"WITH {_density_sql('vectors')} SELECT id, dense_rank() OVER (ORDER BY label) AS cluster_id FROM found", "vectors")
 def _(c):
     return clustering.full(c.vectors)
 
 
-@query("cluster_incremental")
+@query(
+    "cluster_incremental",
+    f"""WITH {UNITS}, apart AS MATERIALIZED (SELECT u.id, c.cluster_id, sqrt(greatest(0, 2 - 2 * sum(u.x * c.x))) AS d FROM u JOIN c ON u.i = c.i GROUP BY u.id, c.cluster_id),
+        near AS MATERIALIZED (SELECT id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster_id) AS rn FROM apart) WHERE rn = 1 AND d < 0.9),
+        left_over AS MATERIALIZED (SELECT id, embedding FROM vectors WHERE id NOT IN (SELECT id FROM near)), {_density_sql("left_over")},
+        fm AS (SELECT label, u.i, avg(x) AS x FROM found JOIN u USING (id) GROUP BY ALL), fs AS (SELECT label, sqrt(sum(x * x)) AS s FROM fm GROUP BY label),
+        fd AS (SELECT fm.label, c.cluster_id, sqrt(greatest(0, 2 - 2 * sum(fm.x / s * c.x))) AS d FROM fm JOIN fs USING (label) JOIN c ON c.i = fm.i GROUP BY fm.label, c.cluster_id),
+        joined AS (SELECT label, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, cluster_id) AS rn FROM fd) WHERE rn = 1 AND d < 0.9),
+        fresh AS (SELECT label, (SELECT max(cluster_id) FROM c) + row_number() OVER (ORDER BY label) AS cluster_id FROM fs WHERE label NOT IN (SELECT label FROM joined))
+        SELECT id, cluster_id FROM near UNION ALL SELECT id, cluster_id FROM found JOIN (SELECT * FROM joined UNION ALL SELECT * FROM fresh) USING (label)""",
+    "vectors",
+)
 def _(c):
     made = clustering.centroids(c.vectors, _members(c))
     return clustering.incremental(c.vectors, made, below=0.9)

@@ -10,6 +10,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +91,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver's heap is full."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows an Arrow batch while jobs run whose rows are large; the caller's setting is back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, str(rows))
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
