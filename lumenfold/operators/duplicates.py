@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
 from lumenfold.functions import bits as B
 from lumenfold.functions import paths
 from lumenfold.operators.components import connected_components
+from lumenfold.session import batches_of, checkpointed, stored
 
 NEAR = 12
 SIBLINGS = 8
-#: Bands of a bucket that is keyed by name and a part of the hash; a pair within n bits shares one of n + 1.
+#: Different hashes of one name from which they are compared in blocks.
+HEAVY_NAME = 2048
+#: Hashes of a block.
+BLOCK = 1 << 16
 KEEP_RULES = ("shortest-path", "longest-path", "oldest", "newest")
 STILLS = (".heic", ".heif", ".jpg", ".jpeg", ".png")
 
@@ -35,20 +43,6 @@ def summary(files: DataFrame, by: str = "content_hash") -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("extra"))
 
 
-def keep_order(rule: str) -> list[Column]:
-    """Places first, then dates, then the rule; the id last."""
-    if rule not in KEEP_RULES:
-        raise ValueError(f"no such rule: {rule}")
-    tier = F.when(F.col("lat").isNotNull(), 0).when(F.coalesce("taken_at", F.lit("")) != "", 1).otherwise(2)
-    by = {
-        "shortest-path": [F.asc(F.length("path")), F.asc("path")],
-        "longest-path": [F.desc(F.length("path")), F.desc("path")],
-        "oldest": [F.asc("mtime")],
-        "newest": [F.desc("mtime")],
-    }
-    return [tier, *by[rule], F.asc("id")]
-
-
 def keepers(files: DataFrame, meta: DataFrame, by: str = "content_hash", rule: str = "shortest-path") -> DataFrame:
     """Every member of a group and the file that its group keeps: ``id``, ``keeper``.
 
@@ -78,28 +72,95 @@ def _hashed(files: DataFrame) -> DataFrame:
     return rows.select("id", F.lower(paths.basename(F.col("path"))).alias("name"), B.bits_of(F.col("phash")).alias("bits"))
 
 
-def near_pairs(files: DataFrame, near: int = NEAR) -> DataFrame:
-    """``a``, ``b``, ``distance``: files of one name whose hashes differ in ``near`` bits at most.
-
-    A camera's names recur without end, so a name alone is no bucket: it is joined by name, band and
-    the band's bits. Equal hashes are one value here and fan out by a star, not by all pairs.
-    """
-    rows = _hashed(files)
-    values = rows.groupBy("name", "bits").agg(F.min("id").alias("id"))
+def _by_bands(values: DataFrame, near: int) -> DataFrame:
+    """Pairs of names with few hashes, joined by name, band and the band's bits: of two hashes within n bits one of n + 1 bands is the same."""
     n = near + 1
     bands = values.withColumn("band", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), B.band(F.col("bits"), i, n).alias("v")) for i in range(n)])))
     a = bands.select("name", "band", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
     b = bands.select("name", "band", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+    # A pair comes from the first band that it shares.
+    shared = [B.band(F.col("a_bits"), i, n) == B.band(F.col("b_bits"), i, n) for i in range(n)]
+    first = F.lit(n - 1)
+    for i in reversed(range(n - 1)):
+        first = F.when(shared[i], i).otherwise(first)
     distance = B.hamming(F.col("a_bits"), F.col("b_bits"))
-    return a.join(b, ["name", "band"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= near).select("a", "b", "distance").distinct()
+    found = a.join(b, ["name", "band"]).where((F.col("a") < F.col("b")) & (distance <= near) & (F.col("band.i") == first))
+    return found.select("a", "b", distance.alias("distance"))
+
+
+def _by_blocks(values: DataFrame, sizes: DataFrame, near: int, block: int, links_only: bool) -> DataFrame:
+    """Pairs of names with many hashes. Bands as short as 12 of 64 bits leave would hold a part of all pairs as rows; blocks of hashes are compared in
+    arrays instead, and rows are what is near. A row of two blocks goes to each task, so rows sent grow with a name's blocks and not with its pairs.
+
+    With ``links_only`` as many pairs of two blocks as join what all their pairs join, fewer than their hashes.
+    """
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = values.join(sizes, "name").select("name", "bits", "id", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int"))
+    packed = stored(dealt.groupBy("name", "part", "parts").agg(F.collect_list(F.struct("bits", "id")).alias("h")))  # a block's
+    left = packed.select("name", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), (F.col("part")).alias("mine"), F.col("h").alias("x"))
+    right = packed.select("name", F.col("part").alias("other"), F.col("h").alias("y"))
+    met = left.join(right, ["name", "other"]).select((F.col("mine") == F.col("other")).alias("same"), F.col("x.bits").alias("x"), F.col("x.id").alias("xi"), F.col("y.bits").alias("y"), F.col("y.id").alias("yi"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for same, x, xi, y, yi in pdf.itertuples(index=False):
+                yield from near_in_blocks(same, np.asarray(x), np.asarray(xi), np.asarray(y), np.asarray(yi), near, links_only)
+
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with batches_of(values.sparkSession, 2):
+        return stored(met.repartition(parts).mapInPandas(compare, "a long, b long, distance int"))
+
+
+def near_in_blocks(same: bool, x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, near: int, links_only: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of a hash of ``x`` and one of ``y`` within ``near`` bits, with ids a < b; of one block (``same``) each pair once."""
+    x, y = x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)
+    n = len(x)
+    # Who is joined to whom so far; of one block both sides are the same hashes.
+    root = np.arange(n if same else n + len(y))
+    a, b, d, held = [], [], [], 0
+    for i in range(n):
+        start = i + 1 if same else 0
+        bits = np.bitwise_count(x[i] ^ y[start:])
+        hits = np.flatnonzero(bits <= near)
+        if links_only and len(hits):
+            at = hits + start if same else hits + n
+            _, first = np.unique(root[at], return_index=True)
+            first = first[root[at[first]] != root[i]]
+            if len(first):
+                others = root[at[first]]
+                root[np.isin(root, others)] = root[i]
+            hits = hits[first]
+        if len(hits):
+            a.append(np.full(len(hits), xi[i]))
+            b.append(yi[hits + start])
+            d.append(bits[hits])
+            held += len(hits)
+        if held > 1 << 16 or held and i == n - 1:
+            p, q = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance": np.concatenate(d).astype(np.int32)})
+            a, b, d, held = [], [], [], 0
+
+
+def near_pairs(files: DataFrame, near: int = NEAR, heavy: int = HEAVY_NAME, block: int = BLOCK, links_only: bool = False) -> DataFrame:
+    """``a``, ``b``, ``distance``: files of one name whose hashes differ in ``near`` bits at most; of equal hashes the smallest id stands for all.
+
+    Names with ``heavy`` different hashes or more are compared in blocks, the others by bands. With ``links_only`` the pairs of heavy names
+    are enough to join what is near by chains, no more.
+    """
+    values = _hashed(files).groupBy("name", "bits").agg(F.min("id").alias("id"))
+    sizes = checkpointed(values.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy))
+    if sizes.isEmpty():
+        return _by_bands(values, near)
+    few = _by_bands(values.join(sizes, "name", "left_anti"), near)
+    return few.unionByName(_by_blocks(values, sizes, near, block, links_only))
 
 
-def near_groups(files: DataFrame, near: int = NEAR) -> DataFrame:
+def near_groups(files: DataFrame, near: int = NEAR, heavy: int = HEAVY_NAME, block: int = BLOCK) -> DataFrame:
     """``id`` and ``group_id``, the smallest id that chains of near pairs reach; files with none are left out."""
     rows = _hashed(files)
     same = rows.groupBy("name", "bits").agg(F.min("id").alias("first"))
     stars = rows.join(same, ["name", "bits"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    edges = near_pairs(files, near).select("a", "b").unionByName(stars)
+    edges = near_pairs(files, near, heavy, block, links_only=True).select("a", "b").unionByName(stars)
     return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
@@ -139,7 +200,10 @@ def mark_live(files: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(files: DataFrame, meta: DataFrame, by: str = "content_hash", rule: str = "shortest-path") -> DataFrame:
-    """``files`` with ``dup_of`` of every member but the keeper; other rows keep theirs. A keeper has none, so no chain and no cycle comes about."""
+    """``files`` with ``dup_of`` of every member but the keeper; other rows keep theirs.
+
+    What became a duplicate in an earlier run keeps its keeper, which may be a duplicate of a later one by now: chains lead to the keeper of today, and end there.
+    """
     found = keepers(files, meta, by, rule).where("id <> keeper").withColumnRenamed("id", "k_id")
     rows = files.join(found, F.col("id") == F.col("k_id"), "left")
     return rows.withColumn("dup_of", F.coalesce("keeper", "dup_of")).select(*files.columns)
