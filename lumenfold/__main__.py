@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
 from lumenfold.catalog import Catalog
-from lumenfold.operators import cameras, clustering, duplicates, organise, people, scanning, search, stats, text, timeline
+from lumenfold.operators import cameras, clustering, duplicates, organise, people, scanning, search, stats, text, textindex, timeline
 from lumenfold.operators import transitions as X
 from lumenfold.session import checkpointed, get_session, stored
 from lumenfold.sources import checkpoint_log, copying, exif, listing, stages
@@ -271,11 +271,18 @@ def _(cat, a):
 def _(cat, a):
     vector = cat["vec_clip"].where(F.col("id") == a.like).first() if a.like is not None else None
     request = search.Request(a.text, vector.embedding if vector else None, a.label, a.person, a.cluster, a.camera, a.country, a.k)
-    found = search.run(cat, request, text.build(cat["ocr_text"]) if a.text else None)
+    found = search.run(cat, request, _text_index(cat) if a.text else None)
     if found is not None:
         show(found, a.k)
 
 
+def _text_index(cat) -> text.Index:
+    """The catalog's stored index, with what changed since it was last asked."""
+    stored = textindex.StoredIndex(cat.spark, f"{cat.path}/text-index")
+    stored.sync(cat["ocr_text"].select("file_id", "text"))
+    return stored.index()
+
+
 @command("timeline", option("--page", type=int, default=0), option("--year"), option("--months"))
 def _(cat, a):
     show(timeline.page(cat["files"], cat["photo_meta"], a.page, year=a.year, months=P.parse_months(a.months)), timeline.PAGE)

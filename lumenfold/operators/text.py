@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,10 +46,15 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (term, file_id, n_terms, tf, positions), ``lengths`` (file_id, n_terms)."""
+    """``postings`` (term, file_id, n_terms, tf, positions), ``lengths`` (file_id, n_terms).
+
+    A stored index also has its documents and their mean length, and says by ``holding`` where the terms of a query are.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    totals: tuple[int, float | None] | None = None
+    holding: Callable[[Node], Column] | None = None
 
 
 def build(texts: DataFrame, id_col: str = "file_id") -> Index:
@@ -165,6 +171,12 @@ def _any_word(node: Node) -> Column:
     return reduce(lambda a, b: a | b, [_any_word(p) for p in node.parts])
 
 
+def matching(index: Index, tree: Node) -> DataFrame:
+    """Postings of a query's words."""
+    rows = index.postings.where(_any_word(tree))
+    return rows.where(index.holding(tree)) if index.holding else rows
+
+
 def _leaf_rows(index: Index, node: Node) -> DataFrame:
     """``file_id`` and ``tf`` of a word, a beginning or a phrase."""
     p = index.postings
@@ -200,9 +212,9 @@ def search(index: Index, query: str) -> DataFrame:
         tree = parse(query)
     except BadQuery:
         return index.lengths.where("false").select("file_id", F.lit(0.0).alias("rank"))
-    n, mean = index.lengths.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
+    n, mean = index.totals or index.lengths.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
     # The postings of the query's words alone, made once.
-    found = checkpointed(index.postings.where(_any_word(tree)))
+    found = checkpointed(matching(index, tree))
     index, lengths = Index(found, index.lengths), found.select("file_id", "n_terms").distinct()
     leaves = [_leaf_rows(index, leaf).select("file_id", "tf", F.lit(i).alias("leaf")) for i, leaf in enumerate(dict.fromkeys(_leaves(tree)))]
     rows = reduce(DataFrame.unionByName, leaves)

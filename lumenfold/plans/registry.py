@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lumenfold import predicates as P
 from lumenfold.functions import formats, paths
 from lumenfold.functions import vectors as V
-from lumenfold.operators import cameras, clustering, density, duplicates, organise, people, places, scanning, search, stats, text, timeline
+from lumenfold.operators import cameras, clustering, density, duplicates, organise, people, places, scanning, search, stats, text, textindex, timeline
 from lumenfold.plans.projection import Catalog, oracle
-from lumenfold.session import checkpointed
+from lumenfold.session import checkpointed, shared_dir
 from lumenfold.sources import checkpoint_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,7 +331,7 @@ INDEXED = """words AS (
 
 
 def _index(c: Catalog) -> text.Index:
-    return text.build(c.ocr_text)
+    return textindex.of_table(c.spark, c.source("documents"), c.ocr_text, shared_dir(c.spark)).index()
 
 
 def _ids(sql: str) -> str:
