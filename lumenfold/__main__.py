@@ -73,7 +73,7 @@ def _scan(cat: Catalog, roots: list[str], prune: bool) -> None:
     skipped = tuple(r for r in roots if r not in good)
     if not good:
         sys.exit("no root can be reached")
-    rows = stored(listing.with_hashes(cat.spark, listing.walk(cat.spark, good), good))
+    rows = stored(listing.with_hashes(cat.spark, listing.walk(cat.spark, good), good, cat["files"].select("path", "size", "mtime", "content_hash")))
     print(incremental.ingest(cat, rows, prune, skipped))
     now = cat.spark.createDataFrame([(r,) for r in good], "path string").withColumn("last_scanned_at", F.unix_timestamp().cast("double"))
     cat.commit({"scan_roots": X.replace_by_key(cat["scan_roots"], now, "path")})

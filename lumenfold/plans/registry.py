@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
-from lumenfold.functions import formats, paths
+from lumenfold.functions import bits, formats, paths
 from lumenfold.functions import vectors as V
 from lumenfold.operators import cameras, clustering, density, duplicates, organise, people, places, scanning, search, stats, text, textindex, timeline
 from lumenfold.plans.projection import Catalog, oracle
@@ -1056,6 +1056,20 @@ def _density_sql(source: str, m: int = 3) -> str:
         WHERE s.stays AND s.step = (SELECT max(k) FROM nodes)) WHERE rn = 1)"""
 
 
+@query(
+    "perceptual_hashes",
+    """WITH x AS (SELECT id, (generate_subscripts(embedding, 1) - 1) // 8 AS r, (generate_subscripts(embedding, 1) - 1) % 8 AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM vectors),
+        k AS (SELECT u, i, cos(pi() * u * (2 * i + 1) / 16) AS k FROM range(8) a(u), range(8) b(i)),
+        t AS (SELECT id, u, c, sum(k * x) AS t FROM x JOIN k ON k.i = r GROUP BY ALL), low AS (SELECT id, t.u, k.u AS v, sum(k * t) AS w FROM t JOIN k ON k.i = c GROUP BY ALL),
+        m AS (SELECT id, median(w) AS m FROM low GROUP BY id)
+        SELECT id, string_agg(format('{:x}', n), '' ORDER BY part) AS phash FROM (
+            SELECT id, (u * 8 + v) // 4 AS part, CAST(sum(CASE WHEN w > m THEN 1 << (3 - v % 4) ELSE 0 END) AS BIGINT) AS n FROM low JOIN m USING (id) GROUP BY ALL) GROUP BY id""",
+    "vectors",
+)
+def _(c):
+    return c.vectors.select("id", bits.perceptual_hash(F.col("embedding")).alias("phash"))
+
+
 @query("density_cores", f"WITH {_density_sql('vectors')} SELECT id, round(core, 6) AS core FROM core JOIN p ON a = i", "vectors")
 def _(c):
     return density.cores(density.points_of(c.vectors), clustering.MIN_CLUSTER).select(F.col("p").alias("id"), F.round("core", 6).alias("core"))

@@ -13,11 +13,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """``value`` and ``line_no`` to ts, event, file_id (null unless a number) and args."""
+    """``value`` and ``line_no`` to ts, event, file_id (null unless a number) and args. Lines are words, or the JSON that :func:`append` writes."""
     parts = F.split(F.trim("value"), r"\s+", 4)
+    record = F.from_json(F.when(F.trim("value").startswith("{"), F.col("value")), "ts double, event string, file_id string, args string")
+    is_json = F.trim("value").startswith("{")
     return lines.select(
-        "line_no", F.try_element_at(parts, F.lit(1)).try_cast("double").alias("ts"), F.try_element_at(parts, F.lit(2)).alias("event"),
-        F.try_element_at(parts, F.lit(3)).try_cast("bigint").alias("file_id"), F.try_element_at(parts, F.lit(4)).alias("args"),
+        "line_no", F.when(is_json, record["ts"]).otherwise(F.try_element_at(parts, F.lit(1)).try_cast("double")).alias("ts"),
+        F.when(is_json, record["event"]).otherwise(F.try_element_at(parts, F.lit(2))).alias("event"),
+        F.when(is_json, record["file_id"]).otherwise(F.try_element_at(parts, F.lit(3))).try_cast("bigint").alias("file_id"),
+        F.when(is_json, record["args"]).otherwise(F.try_element_at(parts, F.lit(4))).alias("args"),
     ).where("ts is not null")
 
 
@@ -44,5 +48,5 @@ def tail(log: DataFrame, n: int = 200) -> DataFrame:
 
 
 def append(records: DataFrame, folder: str) -> None:
-    """Records (ts, event, file_id, args) as JSON lines behind what is there; a stream reads them."""
+    """Records (ts, event, file_id, args) as JSON lines behind what is there; :func:`read` and a stream read them."""
     records.select("ts", "event", "file_id", "args").write.mode("append").json(folder)

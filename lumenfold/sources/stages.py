@@ -50,11 +50,14 @@ def outputs(stage: Stage, files: DataFrame) -> DataFrame:
                 some = pdf.iloc[at : at + BATCH]
                 try:
                     made = [(r, None) for r in stage.run(some)]
+                    if len(made) != len(some):
+                        raise ValueError(f"{len(made)} results for {len(some)} files")
                 except Exception:
                     made = []
                     for i in range(len(some)):
                         try:
-                            made.append((stage.run(some.iloc[i : i + 1])[0], None))
+                            (one,) = stage.run(some.iloc[i : i + 1])
+                            made.append((one, None))
                         except Exception as failure:
                             made.append(([], str(failure).replace("\n", " ")[:500]))
                 for file_id, (found, error) in zip(some["id"], made, strict=True):

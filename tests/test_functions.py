@@ -129,3 +129,25 @@ def test_vectors(spark):
     v = F.array(F.lit(3.0), F.lit(4.0))
     r = one(spark, vectors.unit(v), vectors.unit(F.array(F.lit(0.0), F.lit(float("nan")))), vectors.l2(v, v))
     assert r[0] == [0.6, 0.8] and r[1] == [0.0, 0.0] and r[2] == 0
+
+
+def test_perceptual_hash(spark):
+    import numpy as np
+
+    from lumenfold.functions import bits
+
+    rng = np.random.default_rng(0)
+    image = rng.random((32, 32)).cumsum(axis=0).cumsum(axis=1)
+
+    def plainly(x):
+        n = len(x)
+        low = [sum(x[r][c] * np.cos(np.pi * u * (2 * r + 1) / (2 * n)) * np.cos(np.pi * v * (2 * c + 1) / (2 * n)) for r in range(n) for c in range(n)) for u in range(8) for v in range(8)]
+        return f"{int(''.join('1' if w > np.median(low) else '0' for w in low), 2):016x}"
+
+    large = np.kron(image, np.ones((2, 2)))
+    rows = [(1, image), (2, image * 3 + 20), (3, large), (4, rng.random((8, 8))), (5, rng.random((4, 4))), (6, np.full((8, 8), np.nan)), (7, None), (8, rng.random((32, 32)))]
+    frame = spark.createDataFrame([(i, None if x is None else [float(v) for v in x.ravel()]) for i, x in rows], "id long, image array<double>")
+    got = {r.id: r.h for r in frame.select("id", bits.perceptual_hash(F.col("image")).alias("h")).collect()}
+    assert all(got[i] == plainly(x) for i, x in rows if i in (1, 2, 3, 4, 8)) and got[5] is got[6] is got[7] is None
+    apart = lambda a, b: (int(got[a], 16) ^ int(got[b], 16)).bit_count()
+    assert apart(1, 2) <= 1 and apart(1, 3) <= 4 and apart(1, 8) > 12

@@ -27,6 +27,58 @@ def test_walk(spark, tmp_path):
     assert hashed.where("length(content_hash) = 64").count() == len(good)
 
 
+def test_roots(spark, tmp_path):
+    """A hidden root, a root that is a file, roots within roots, and what is left out below them."""
+    put(tmp_path, ".photos/a.jpg", ".photos/deep/er/b.HEIC", ".photos/.cache/c.jpg", ".photos/.d.jpg", ".photos/deep/.e/f.jpg", "one.jpg", "one.txt", ".photos/my file%20 ü.jpg")
+    (tmp_path / ".photos" / "loop").symlink_to(tmp_path / ".photos")
+    root = str(tmp_path / ".photos")
+    found = sorted(r.path for r in listing.walk(spark, [root, f"{root}/deep", f"file://{tmp_path}/one.jpg", str(tmp_path / "one.txt"), str(tmp_path / "none")]).collect())
+    assert found == sorted([f"{root}/a.jpg", f"{root}/deep/er/b.HEIC", f"{root}/my file%20 ü.jpg", f"{tmp_path}/one.jpg"])
+    row = listing.walk(spark, [root]).where("path like '%a.jpg'").first()
+    assert row.size == len(".photos/a.jpg") and abs(row.mtime - (tmp_path / ".photos/a.jpg").stat().st_mtime) < 1e-6
+    # A partition for each folder, and one for the root's own files.
+    assert len(listing.MediaReader([root]).partitions()) == 2
+
+
+def test_only_new_contents_are_read(spark, tmp_path, monkeypatch):
+    put(tmp_path, "same.jpg", "changed.jpg", "new.jpg")
+    rows = listing.walk(spark, [str(tmp_path)])
+    known = rows.where("path not like '%new.jpg'").selectExpr("path", "if(path like '%changed.jpg', 1L, size) as size", "mtime", "'kept' as content_hash")
+    import hashlib
+
+    want = {"same.jpg": "kept", **{n: hashlib.sha256(n.encode()).hexdigest() for n in ("changed.jpg", "new.jpg")}}
+    hashed = listing.with_hashes(spark, rows, [str(tmp_path)], known)
+    assert {r.path.rpartition("/")[2]: r.content_hash for r in hashed.collect()} == want
+    monkeypatch.setattr(listing, "CHUNK", 2)
+    assert listing.content_hash(str(tmp_path / "new.jpg")) == want["new.jpg"] and listing.content_hash(str(tmp_path / "gone")) is None
+
+
+def test_a_probe_that_hangs_does_not_hold_the_process():
+    import subprocess
+    import sys
+
+    code = "import time; from lumenfold.sources.listing import reachable; assert not reachable('/x', 0.2, lambda: time.sleep(60))"
+    began = time.time()
+    assert subprocess.run([sys.executable, "-c", code], timeout=50).returncode == 0 and time.time() - began < 45
+
+
+def test_what_is_appended_to_a_log_is_read(spark, tmp_path):
+    records = spark.createDataFrame([(1.0, "start", 4, "x y"), (2.0, "done", 4, None), (3.0, "start", 5, None)], "ts double, event string, file_id long, args string").coalesce(1)
+    checkpoint_log.append(records, str(tmp_path / "log"))
+    log = checkpoint_log.read(spark, str(tmp_path / "log"))
+    assert checkpoint_log.last_in_flight(log).first().file_id == 5 and log.where("event = 'start' and file_id = 4").first().args == "x y"
+
+
+def test_a_model_with_too_few_results_fails_a_file_only(spark):
+    def run(pdf):
+        return [[("ok",)] for i in pdf["id"] if i != 3]
+
+    stage = stages.Stage("s", "labels", "done", lambda: F.lit(True), "label string", run, columns=("id",))
+    files = spark.createDataFrame([(i, 0) for i in range(1, 6)], "id long, done int")
+    found = {r.file_id: (r.label, r.error) for r in stages.outputs(stage, files).collect()}
+    assert {i for i, (label, _) in found.items() if label == "ok"} == {1, 2, 4, 5} and found[3][0] is None and found[3][1]
+
+
 def test_reachable(tmp_path):
     assert listing.reachable(str(tmp_path)) and not listing.reachable(str(tmp_path / "none"))
     began = time.time()
