@@ -20,6 +20,7 @@ MONTHS = {
     "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
 }
 
+
 def _stamp(y: Column, m: Column, d: Column, clock: Column | None = None) -> Column:
     """YYYY-MM-DD hh:mm:ss of a valid date in range, else null. No clock is noon."""
     y, m, d = (x.try_cast("int") for x in (y, m, d))
@@ -69,6 +70,29 @@ def _folders_month(y: Column, m: Column, below: Column) -> Column:
     return F.when(_is_year(y) & _is_day(m) & below.isNotNull(), _stamp(y, m, F.lit("1")))
 
 
+def _first_run(name: Column) -> Column:
+    """The leftmost run of digits that looks like a date, if it is one: most names need no other reading."""
+    pattern = "(?<![0-9])((?:19|20)[0-9]{6})([0-9]{4}(?:[0-9]{2})?)?(?![0-9])(?:[_-]([0-9]{6}|[0-9]{4})(?![0-9]))?"
+    day, joined, behind = (F.regexp_extract(name, pattern, i) for i in (1, 2, 3))
+    digits = F.when(joined != "", joined).otherwise(behind)
+    # Hours, minutes and seconds in range, which are there or noon.
+    good = digits.rlike("^([01][0-9]|2[0-3])([0-5][0-9]){1,2}$")
+    clock = F.when(good, F.regexp_replace(F.rpad(digits, 6, "0"), "^(..)(..)(..)$", "$1:$2:$3")).otherwise("12:00:00")
+    return F.when(name.rlike(pattern), _stamp(F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2), clock))
+
+
+def _first_marked(name: Column) -> Column:
+    pattern = "(?<![0-9])((?:19|20)[0-9]{2})[._-]([0-9]{1,2})[._-]([0-9]{1,2})(?![0-9])"
+    return F.when(name.rlike(pattern), _stamp(*[F.regexp_extract(name, pattern, i) for i in (1, 2, 3)]))
+
+
+def _first_folders(path: Column, n: int) -> Column:
+    """The leftmost folders of a date's ``n`` parts, if they are a date: most paths need no other reading."""
+    pattern = "/((?:19|20)[0-9]{2})" + "/([0-9]{1,2})" * (n - 1) + "/"
+    y, m, d = (F.regexp_extract(path, pattern, i) if i <= n else F.lit("1") for i in (1, 2, 3))
+    return F.when(path.rlike(pattern), _stamp(y, m, d))
+
+
 def _month_at_end(word: Column) -> Column:
     """The month that a word ends with, as a word of its own, with a full stop or without."""
     table = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])
@@ -104,12 +128,18 @@ def infer_date(path: Column) -> Column:
     name = basename(path)
     runs = F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))  # digits and other marks in turn
     folders, words = F.split(path, "/"), F.split(path, r"\s+")
+    # A pattern says first whether a reading can find anything at all.
+    year = "(19|20)[0-9]{2}"
     return F.coalesce(
-        _readings(runs, 3, _run),
-        _readings(runs, 5, _marked),
+        _first_run(name),
+        F.when(name.rlike(f"{year}[0-9]{{4}}"), _readings(runs, 3, _run)),
+        _first_marked(name),
+        F.when(name.rlike(f"{year}[._-][0-9]{{1,2}}[._-][0-9]"), _readings(runs, 5, _marked)),
         _epoch(name),
-        _readings(folders, 4, _folders_day, first=1),
-        _readings(words, 3, _words_day),
-        _readings(folders, 3, _folders_month, first=1),
-        _readings(words, 2, _words_month),
+        _first_folders(path, 3),
+        F.when(path.rlike(f"/{year}/[0-9]{{1,2}}/[0-9]{{1,2}}/"), _readings(folders, 4, _folders_day, first=1)),
+        F.when(path.rlike(rf"\s{year}"), _readings(words, 3, _words_day)),
+        _first_folders(path, 2),
+        F.when(path.rlike(f"/{year}/[0-9]{{1,2}}/"), _readings(folders, 3, _folders_month, first=1)),
+        F.when(path.rlike(rf"\s{year}"), _readings(words, 2, _words_month)),
     )

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Sequence
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
 from lumenfold.functions import geo as G
 from lumenfold.operators.timeline import with_meta
+from lumenfold.session import checkpointed
 
-#: Degrees of a cell in which a nearest city is looked for.
-CELL = 4.0
+#: Cubes in which a nearest city is looked for have sides so many times as long the next time.
+WIDER = 4
 
 
 def nearby(files: DataFrame, meta: DataFrame, lat: float, lon: float, radius_km: float = 5.0, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -50,31 +56,41 @@ def by_ids(files: DataFrame, meta: DataFrame, ids: list[int]) -> DataFrame:
     return with_meta(files, meta).where(F.col("id").isin(ids)).select("id", "path", "taken_at", "lat", "lon")
 
 
-def _cell(lat, lon):
-    return F.struct(F.floor(lat / CELL).cast("int").alias("y"), F.pmod(F.floor(lon / CELL), F.lit(int(360 / CELL))).cast("int").alias("x"))
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """The place on a sphere of radius one, where there are no poles and no date line."""
+    y, x = F.radians(lat), F.radians(lon)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+
+
+def _cell(xyz: list[Column], side: float, step: Sequence[int] = (0, 0, 0)) -> Column:
+    return F.struct(*[(F.floor(v / side) + d).cast("int").alias(n) for n, v, d in zip("xyz", xyz, step)])
 
 
 def reverse_geocode(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """The nearest city of every point: ``id``, ``city``, ``region``, ``country``, ``km``. Points without a place are left out.
+    """The nearest city of every point: ``id``, ``city``, ``region``, ``country``, ``km``; of equally near ones the first by name. Points without a place are left out.
 
-    Distinct coordinates only are looked up. A point looks in its cell and those around it; where a
-    city there is nearer than any cell further off can be, that is the answer. What is left, far
-    from any city, is compared with all cities, which are a table of bounded size.
+    Distinct coordinates only are looked up. Space is cut into cubes: a point looks in its cube and the 26 around it, and a city within a cube's side is
+    the answer, as all that is no farther is among these. The others look again in cubes with sides WIDER times as long, until a cube holds the globe.
     """
     rows = points.where("lat is not null and lon is not null")
-    spots = rows.select("lat", "lon").distinct()
+    left = checkpointed(rows.select("lat", "lon").distinct())
     named = cities.select(F.struct(F.col("name").alias("city"), "region", "country").alias("place"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    y, x = F.floor(F.col("c_lat") / CELL), F.floor(F.col("c_lon") / CELL)
-    around = F.explode(F.array(*[F.struct((y + i).cast("int").alias("y"), F.pmod(x + j, F.lit(int(360 / CELL))).cast("int").alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    best = F.min(F.struct(km.alias("km"), F.col("place"))).alias("b")
-    close = spots.withColumn("cell", _cell(F.col("lat"), F.col("lon"))).join(named.withColumn("cell", around), "cell").groupBy("lat", "lon").agg(best)
-    # Nothing beyond the ring of cells is nearer than a cell's width at this latitude.
-    safe = F.lit(CELL * 110.5) * F.least(F.lit(1.0), F.cos(F.radians(F.least(F.abs(F.col("lat")) + CELL, F.lit(90.0)))))
-    sure = close.where(F.col("b.km") <= safe)
-    far = spots.join(sure, ["lat", "lon"], "left_anti").join(named, how="inner", on=F.lit(True)).groupBy("lat", "lon").agg(best)
-    found = sure.unionByName(far)
-    return rows.join(found, ["lat", "lon"]).select("id", "b.place.*", F.col("b.km").alias("km"))
+    # In radii of the globe: twice as far as cities would stand apart if they were evenly spread.
+    side, found = min(2.0, 2 * math.sqrt(4 * math.pi / max(1, cities.count()))), []
+    while True:
+        here = _on_sphere(F.col("c_lat"), F.col("c_lon"))
+        around = named.withColumn("cell", F.explode(F.array(*[_cell(here, side, step) for step in product((-1, 0, 1), repeat=3)])))
+        met = left.withColumn("cell", _cell(_on_sphere(F.col("lat"), F.col("lon")), side)).join(around, "cell")
+        best = met.groupBy("lat", "lon").agg(F.min(F.struct(km.alias("km"), F.col("place"))).alias("b"))
+        # The straight way through the sphere is what cubes measure.
+        straight = 2 * F.sin(F.col("b.km") / (2 * G.EARTH_KM))
+        found.append(checkpointed(best.where(straight <= side * (1 - 1e-9)) if side < 2 else best))
+        left = checkpointed(left.join(found[-1], ["lat", "lon"], "left_anti"))
+        if side >= 2 or left.isEmpty():
+            break
+        side *= WIDER
+    return rows.join(reduce(DataFrame.unionByName, found), ["lat", "lon"]).select("id", "b.place.*", F.col("b.km").alias("km"))
 
 
 def place_search(query: str, cities: DataFrame, landmarks: DataFrame, limit: int = 8, codes: set[str] = frozenset()) -> DataFrame:

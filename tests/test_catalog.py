@@ -231,6 +231,28 @@ def test_clusters_written(spark):
     assert [r.cluster_id for r in out["face_clusters"].collect()] == [5] and out["face_clusters"].first().face_count == 2
 
 
+def test_reverse_geocode_everywhere(spark):
+    """Poles, the date line, and points far from all, against all cities."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    towns = [(f"c{i}", "r", "C", math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(40)] + [("pole", "r", "C", 90.0, 12.0), ("line", "r", "C", 0.0, 179.9), ("line", "r", "C", 0.0, -179.9)]
+    spots = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(150)] + [(200, 89.9, -168.0), (201, -90.0, 0.0), (202, 0.0, 180.0), (203, 0.0, -180.0), (204, None, 1.0)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    cities = spark.createDataFrame(towns, "name string, region string, country string, lat double, lon double")
+    points = spark.createDataFrame(spots, "id long, lat double, lon double")
+    found = places.reverse_geocode(points, cities)
+    want = {i: round(min(km(lat, lon, c[3], c[4]) for c in towns), 6) for i, lat, lon in spots if lat is not None}
+    assert {r.id: round(r.km, 6) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert places.reverse_geocode(points, cities.limit(0)).count() == 0 and places.reverse_geocode(points.limit(0), cities).count() == 0
+
+
 def test_reverse_geocode_far_and_near(spark):
     cities = spark.createDataFrame([("near", "n", "NN", 10.0, 179.5), ("far", None, "FF", -60.0, 0.0)], "name string, region string, country string, lat double, lon double")
     points = spark.createDataFrame([(1, 10.0, -179.9), (2, 85.0, 0.0), (3, None, 1.0)], "id long, lat double, lon double")

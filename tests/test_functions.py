@@ -151,3 +151,29 @@ def test_perceptual_hash(spark):
     assert all(got[i] == plainly(x) for i, x in rows if i in (1, 2, 3, 4, 8)) and got[5] is got[6] is got[7] is None
     apart = lambda a, b: (int(got[a], 16) ^ int(got[b], 16)).bit_count()
     assert apart(1, 2) <= 1 and apart(1, 3) <= 4 and apart(1, 8) > 12
+
+
+def test_first_readings_agree_with_all(spark):
+    """The leftmost reading by a pattern is what going through all neighbours finds, or it says nothing."""
+    import random
+
+    rng = random.Random(7)
+    marks = ["_", "-", "__", ".", " ", "", "x", "/"]
+    numbers = ["20010203", "19991301", "200102030405", "20010203040506", "20010203246060", "1200", "120000", "2500", "12345", "2001", "02", "3", "31", "1999", "99", "2036", "20010230"]
+    paths = []
+    for _ in range(4000):
+        usual = rng.choice(["/", "_", "-", "."])
+        paths.append("/" + "".join(rng.choice(numbers) + (usual if rng.random() < 0.8 else rng.choice(marks)) for _ in range(rng.randrange(1, 6))) + rng.choice(["a.jpg", "/b.jpg", ".jpg"]))
+    name = dates.basename(F.col("p"))
+    runs, folders = F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), F.split("p", "/")
+    frame = spark.createDataFrame([(p,) for p in paths], "p string")
+    rows = frame.select(
+        "p",
+        dates._first_run(name).alias("a"), dates._readings(runs, 3, dates._run).alias("a_all"),
+        dates._first_marked(name).alias("b"), dates._readings(runs, 5, dates._marked).alias("b_all"),
+        dates._first_folders(F.col("p"), 3).alias("c"), dates._readings(folders, 4, dates._folders_day, first=1).alias("c_all"),
+        dates._first_folders(F.col("p"), 2).alias("d"), dates._readings(folders, 3, dates._folders_month, first=1).alias("d_all"),
+    ).collect()
+    for k in "abcd":
+        assert sum(r[k] is not None for r in rows) > 2, k
+        assert [(k, r.p, r[k], r[f"{k}_all"]) for r in rows if r[k] is not None and r[k] != r[f"{k}_all"]] == []
