@@ -17,6 +17,10 @@ from lumenfold.session import checkpointed
 
 #: Cubes in which a nearest city is looked for have sides so many times as long the next time.
 WIDER = 4
+#: The smallest tiles of a map: 2**14 a side, some 2 km.
+MOST_ZOOM = 14
+#: Where a square map ends.
+MOST_LAT = 85.05112878
 
 
 def nearby(files: DataFrame, meta: DataFrame, lat: float, lon: float, radius_km: float = 5.0, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -41,6 +45,38 @@ def map_grid(files: DataFrame, meta: DataFrame, size: float = 10.0) -> DataFrame
     return rows.groupBy(y.alias("cell_lat"), x.alias("cell_lon")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+def _tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
+    """Column and row of a place in the square map with 2**zoom tiles a side; beyond its edges (MOST_LAT) the outermost."""
+    n = 1 << zoom
+    y = F.radians(F.greatest(F.lit(-MOST_LAT), F.least(F.lit(MOST_LAT), lat)))
+    across, down = (lon + 180.0) / 360.0, (1.0 - F.log(F.tan(y) + 1.0 / F.cos(y)) / math.pi) / 2.0
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v * n))).cast("int") for v in (across, down))
+
+
+def map_tiles(files: DataFrame, meta: DataFrame, most: int = MOST_ZOOM) -> DataFrame:
+    """Photos in every tile of every zoom up to ``most``: ``zoom``, ``x``, ``y``, ``n``, the middle of their places, and the first id.
+
+    Photos are counted once, in the smallest tiles; larger ones are sums of those.
+    """
+    rows = with_meta(files, meta, "inner").where(P.geolocated())
+    x, y = _tile(F.col("lat"), F.col("lon"), most)
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("id").alias("first_id"))
+    smallest = rows.groupBy(x.alias("x"), y.alias("y")).agg(*sums).withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    up = [F.expr(f"shiftright({c}, {most} - zoom)").alias(c) for c in "xy"]
+    tiles = smallest.groupBy("zoom", *up).agg(F.sum("n").alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("first_id").alias("first_id"))
+    return tiles.select("zoom", "x", "y", "n", (F.col("lat") / F.col("n")).alias("lat"), (F.col("lon") / F.col("n")).alias("lon"), "first_id")
+
+
+def map_markers(tiles: DataFrame, zoom: int, largest: int = 1000, most: int = MOST_ZOOM) -> DataFrame:
+    """What a map shows at ``zoom``: its tiles, and of a tile with more than ``largest`` photos the tiles within it, down to the smallest."""
+    of = tiles.select((F.col("zoom") + 1).alias("zoom"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("n").alias("parent"))
+    below = tiles.where(F.col("zoom") >= zoom).withColumn("px", F.shiftright("x", 1)).withColumn("py", F.shiftright("y", 1))
+    shown = below.join(of, ["zoom", "px", "py"], "left").where(
+        ((F.col("zoom") == zoom) | (F.col("parent") > largest)) & ((F.col("n") <= largest) | (F.col("zoom") == most))
+    )
+    return shown.select("zoom", "x", "y", "n", "lat", "lon", "first_id")
+
+
 def untagged_count(files: DataFrame, meta: DataFrame) -> DataFrame:
     return with_meta(files, meta).where(P.untagged()).agg(F.count(F.lit(1)).alias("n"))
 

@@ -577,6 +577,31 @@ def _(c):
     return places.by_ids(c.files, c.photo_meta, [3, 5, 8, 999999999])
 
 
+TILES = f"""geo AS (SELECT id, lat, lon, radians(greatest(-85.05112878, least(85.05112878, lat))) AS r FROM {FMI} WHERE {VIS} AND lat IS NOT NULL AND lon IS NOT NULL),
+    cut AS (SELECT id, lat, lon, zoom, CAST(greatest(0, least((1 << zoom) - 1, floor((lon + 180.0) / 360.0 * (1 << zoom)))) AS INT) AS x,
+        CAST(greatest(0, least((1 << zoom) - 1, floor((1.0 - ln(tan(r) + 1.0 / cos(r)) / pi()) / 2.0 * (1 << zoom)))) AS INT) AS y FROM geo, (SELECT CAST(unnest(range(0, 15)) AS INT) AS zoom)),
+    tiles AS (SELECT zoom, x, y, count(*) AS n, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon, min(id) AS first_id FROM cut GROUP BY zoom, x, y)"""
+
+
+def _rounded(tiles: DataFrame) -> DataFrame:
+    return tiles.withColumn("lat", F.round("lat", 9)).withColumn("lon", F.round("lon", 9))
+
+
+@query("map_tiles", f"WITH {TILES} SELECT * FROM tiles", "files", "photo_meta")
+def _(c):
+    return _rounded(places.map_tiles(c.files, c.photo_meta))
+
+
+@query(
+    "map_markers",
+    f"""WITH {TILES} SELECT t.* FROM tiles t LEFT JOIN tiles p ON p.zoom = t.zoom - 1 AND p.x = t.x >> 1 AND p.y = t.y >> 1
+        WHERE t.zoom >= 2 AND (t.zoom = 2 OR p.n > 300) AND (t.n <= 300 OR t.zoom = 14)""",
+    "files", "photo_meta",
+)
+def _(c):
+    return _rounded(places.map_markers(places.map_tiles(c.files, c.photo_meta), 2, 300))
+
+
 @query(
     "reverse_geocode",
     """SELECT id, city, region, country, round(km, 6) AS km FROM (SELECT file_id AS id, c.name AS city, c.region AS region, c.country AS country, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(c.lat) - radians(m.lat)) / 2), 2)

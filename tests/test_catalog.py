@@ -290,3 +290,16 @@ def test_nearest_centroids_whole_or_in_blocks(spark, monkeypatch):
 
 def test_schema_has_all_tables():
     assert len(ddl("files").split(", ")) >= 28
+
+
+def test_map_tiles_and_markers(spark):
+    places_of = [(1, 0.0, 0.0), (2, 89.9, 180.0), (3, -90.0, -180.0), (4, 48.2, 16.37), (5, 48.2001, 16.3701), (6, 48.3, 16.5), (7, None, 1.0)]
+    f = files(spark, *[{"path": f"/{i}.jpg"} for i, _, _ in places_of])
+    m = meta(spark, *[{"file_id": i, "lat": lat, "lon": lon} for i, lat, lon in places_of])
+    tiles = {(r.zoom, r.x, r.y): r for r in places.map_tiles(f, m, 14).collect()}
+    assert tiles[0, 0, 0].n == 6 and tiles[0, 0, 0].first_id == 1 and (1, 1, 0) in tiles and tiles[14, 16383, 0].first_id == 2 and tiles[14, 0, 16383].first_id == 3
+    assert all(sum(r.n for r in tiles.values() if r.zoom == z) == 6 for z in range(15))
+    shown = places.map_markers(places.map_tiles(f, m, 14), 1, 2).collect()
+    # All photos once: the three that stand together are in smaller tiles, as two at most go into one.
+    assert sum(r.n for r in shown) == 6 and max(r.n for r in shown) == 2 and {r.zoom for r in shown if r.first_id in (2, 3)} == {1}
+    assert places.map_tiles(f.limit(0), m).count() == 0
