@@ -140,13 +140,13 @@ def dismiss_rotation(files: DataFrame, row_id: int) -> DataFrame:
 
 
 def record_suggestions(files: DataFrame, found: DataFrame, least: float = 0.9) -> DataFrame:
-    """``found``: id, degrees, prob. All are checked; turns with enough confidence become suggestions."""
+    """``found``: id, degrees, prob. All are checked; turns with enough confidence become suggestions, and what has none loses an older one."""
     new = found.select(F.col("id").alias("r_id"), F.col("degrees").alias("r_d"), F.col("prob").alias("r_p"))
     rows = files.join(new, F.col("id") == F.col("r_id"), "left")
     sure = F.col("r_id").isNotNull() & (F.col("r_d") != 0) & (F.col("r_p") >= least)
     rows = rows.withColumn("rotation_checked", F.when(F.col("r_id").isNotNull(), 1).otherwise(F.col("rotation_checked")))
-    rows = rows.withColumn("rotation_suggested", F.when(sure, F.col("r_d")).otherwise(F.col("rotation_suggested")).cast("int"))
-    return rows.withColumn("rotation_suggested_conf", F.when(sure, F.col("r_p")).otherwise(F.col("rotation_suggested_conf"))).select(*files.columns)
+    rows = rows.withColumn("rotation_suggested", F.when(sure, F.col("r_d")).when(F.col("r_id").isNull(), F.col("rotation_suggested")).cast("int"))
+    return rows.withColumn("rotation_suggested_conf", F.when(sure, F.col("r_p")).when(F.col("r_id").isNull(), F.col("rotation_suggested_conf"))).select(*files.columns)
 
 
 # Persons and clusters: tables that are small beside the media.

@@ -193,7 +193,7 @@ def _(c):
 @query(
     "record_suggestions",
     """SELECT id, 1 AS rotation_checked,
-        CASE WHEN (id % 3) * 90 <> 0 AND id % 100 >= 90 THEN CAST((id % 3) * 90 AS INT) ELSE rotation_suggested END AS rotation_suggested FROM files""",
+        CASE WHEN (id % 3) * 90 <> 0 AND id % 100 >= 90 THEN CAST((id % 3) * 90 AS INT) END AS rotation_suggested FROM files""",
     "files",
 )
 def _(c):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold import predicates as P
 from lumenfold.functions import bits, formats, paths
 from lumenfold.functions import vectors as V
-from lumenfold.operators import cameras, clustering, density, duplicates, organise, people, places, scanning, search, stats, text, textindex, timeline
+from lumenfold.operators import cameras, clustering, density, duplicates, orientation, organise, people, places, scanning, search, stats, text, textindex, timeline
 from lumenfold.plans.projection import Catalog, oracle
 from lumenfold.session import checkpointed, shared_dir
 from lumenfold.sources import checkpoint_log
@@ -1095,6 +1095,42 @@ def _(c):
     return c.vectors.select("id", bits.perceptual_hash(F.col("embedding")).alias("phash"))
 
 
+@query(
+    "orientation_turns",
+    """WITH x AS (SELECT id, (generate_subscripts(embedding, 1) - 1) // 8 AS r, (generate_subscripts(embedding, 1) - 1) % 8 AS c, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM vectors),
+        t AS (SELECT id, turn, x, CASE turn WHEN 0 THEN 8 * r + c WHEN 1 THEN 8 * (7 - c) + r WHEN 2 THEN 8 * (7 - r) + 7 - c ELSE 8 * c + 7 - r END AS place FROM x, range(4) k(turn))
+        SELECT id, CAST(turn AS INT) AS turn, CAST(sum((place + 1) * (place + 3) * x) AS BIGINT) AS weighed FROM t GROUP BY ALL""",
+    "vectors",
+)
+def _(c):
+    turned = orientation.all_turns(c.vectors.select("id", F.col("embedding").alias("image")))
+    weighed = F.aggregate(F.transform("image", lambda x, p: (p + 1) * (p + 3) * F.floor(x * 1024)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return turned.select("id", "turn", weighed.alias("weighed"))
+
+
+def _upright(c):
+    """Vectors as pictures of eight values a side."""
+    return c.vectors.select("id", F.col("embedding").alias("image"))
+
+
+HELD_OUT = "crc32(CAST(id AS STRING)) % 5 = 0"
+
+
+@query("orientation_quality")
+def _(c):
+    """Trained on four fifths of all pictures, asked about all turns of the others."""
+    model = orientation.train(_upright(c).where(f"NOT ({HELD_OUT})"), fewest=1)
+    return orientation.quality(model, _upright(c).where(HELD_OUT))
+
+
+@query("orientation_suggestions")
+def _(c):
+    """Files that nobody has looked at yet, on their side where their number says so."""
+    model = orientation.train(_upright(c).join(orientation.upright(c.files), "id", "left_semi"), fewest=1)
+    turned = _upright(c).select("id", orientation.quarter_turns(F.col("image").cast("array<double>"), F.col("id") % 4).alias("image"))
+    return orientation.suggestions(model, c.files, turned).select("id", "degrees", F.round("prob", 4).alias("prob"))
+
+
 @query("density_cores", f"WITH {_density_sql('vectors')} SELECT id, round(core, 6) AS core FROM core JOIN p ON a = i", "vectors")
 def _(c):
     return density.cores(density.points_of(c.vectors), clustering.MIN_CLUSTER).select(F.col("p").alias("id"), F.round("core", 6).alias("core"))
