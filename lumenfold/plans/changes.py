@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from lumenfold.operators import clustering, duplicates, organise, people, places
 from lumenfold.operators import transitions as X
 from lumenfold.plans.projection import Catalog
 from lumenfold.plans.registry import CLASSIFY, FM, FMI, LIVE_PAIRS, VIS, _classified, _first_vector, _keeper_sql, _pairable, query
+from lumenfold.session import shared_dir
 from lumenfold.sources import exif, gazetteer, sampling, stages
-from lumenfold.streaming import incremental
+from lumenfold.streaming import incremental, inflight
 
 
 def _flags(files: DataFrame, *names: str) -> DataFrame:
@@ -415,6 +418,25 @@ def _(c):
     return incremental.status(c.checkpoint_log)
 
 
+@query(
+    "stream_in_flight",
+    """WITH l AS (SELECT strftime(ts::TIMESTAMP, '%Y-%m-%d') AS run, CAST(user_id AS BIGINT) AS file_id, CAST(event_id AS BIGINT) AS line_no, event_type AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        d AS (SELECT run, file_id, max(line_no) AS done FROM l WHERE e = 'purchase' GROUP BY ALL)
+        SELECT run, file_id, max(line_no) AS line_no, CAST(count(*) AS INT) AS tries FROM l LEFT JOIN d USING (run, file_id) WHERE e = 'view' AND (done IS NULL OR line_no > done) GROUP BY ALL""",
+)
+def _(c):
+    """Files in hand of each day's run, by a stream of the events with a state for each file."""
+    place = f"{shared_dir(c.spark)}/in-flight-{uuid.uuid4().hex}"
+    events = c.spark.readStream.schema(c.source("events").schema).option("maxFilesPerTrigger", 64).parquet(f"{c.sf_dir}/events.parque[t]")  # a pattern, as the table may be one file
+    word = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "done")
+    lines = events.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run"), F.col("event_id").cast("bigint").alias("line_no"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6).alias("ts"),
+        word.alias("event"), F.col("user_id").cast("bigint").alias("file_id"),
+    )
+    inflight.follow(lines, f"{place}/changes", f"{place}/progress", patience=1e9, late="3650 days")
+    return inflight.in_hand(c.spark.read.schema(inflight.CHANGES).parquet(f"{place}/changes")).select("run", "file_id", "line_no", "tries")
+
+
 @query(
     "event_windows",
     """SELECT time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",

@@ -12,13 +12,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(lines)
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """``value`` and ``line_no`` to ts, event, file_id (null unless a number) and args. Lines are words, or the JSON that :func:`append` writes."""
+def parse(lines: DataFrame, *keep: str) -> DataFrame:
+    """``value`` and ``line_no`` to ts, event, file_id (null unless a number) and args, and columns to keep. Lines are words, or the JSON that :func:`append` writes."""
     parts = F.split(F.trim("value"), r"\s+", 4)
     record = F.from_json(F.when(F.trim("value").startswith("{"), F.col("value")), "ts double, event string, file_id string, args string")
     is_json = F.trim("value").startswith("{")
     return lines.select(
-        "line_no", F.when(is_json, record["ts"]).otherwise(F.try_element_at(parts, F.lit(1)).try_cast("double")).alias("ts"),
+        *keep, "line_no", F.when(is_json, record["ts"]).otherwise(F.try_element_at(parts, F.lit(1)).try_cast("double")).alias("ts"),
         F.when(is_json, record["event"]).otherwise(F.try_element_at(parts, F.lit(2))).alias("event"),
         F.when(is_json, record["file_id"]).otherwise(F.try_element_at(parts, F.lit(3))).try_cast("bigint").alias("file_id"),
         F.when(is_json, record["args"]).otherwise(F.try_element_at(parts, F.lit(4))).alias("args"),
