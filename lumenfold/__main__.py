@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from lumenfold import predicates as P
 from lumenfold.catalog import Catalog
-from lumenfold.operators import cameras, clustering, duplicates, organise, people, scanning, search, stats, text, textindex, timeline
+from lumenfold.operators import cameras, clustering, duplicates, orientation, organise, people, scanning, search, stats, text, textindex, timeline
 from lumenfold.operators import transitions as X
 from lumenfold.session import checkpointed, get_session, stored
-from lumenfold.sources import checkpoint_log, copying, exif, listing, stages
+from lumenfold.sources import checkpoint_log, copying, exif, listing, sampling, stages
 from lumenfold.streaming import incremental
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[tuple, dict]]]] = {}
@@ -109,6 +109,15 @@ def _(cat, a):
     _delete(cat, P.path_like(a.substring), a.apply)
 
 
+def _near(cat: Catalog, within: int, keep: str, apply: bool, limit: int = 0) -> None:
+    found = stored(duplicates.near_groups(cat["files"], within))
+    show(found.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "group_id"), limit)
+    if apply:
+        named = cat["files"].join(found, "id").withColumn("content_hash", F.col("group_id").cast("string"))
+        dup = duplicates.keepers(named, cat["photo_meta"], rule=keep).where("id <> keeper").withColumnRenamed("keeper", "dup_of")
+        cat.commit({"files": X.update(cat["files"], dup, "id", ["dup_of"])})
+
+
 @command(
     "find-duplicates", option("--by", choices=["bytes", "look"], default="bytes"), option("--near", type=int), option("--keep", choices=duplicates.KEEP_RULES, default="shortest-path"),
     option("--reset", action="store_true"), APPLY, LIMIT,
@@ -118,12 +127,7 @@ def _(cat, a):
     if a.reset:
         cat.commit({"files": X.reset_duplicates(cat["files"])})
     elif a.near is not None:
-        found = stored(duplicates.near_groups(cat["files"], a.near))
-        show(found.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "group_id"), a.limit)
-        if a.apply:
-            named = cat["files"].join(found, "id").withColumn("content_hash", F.col("group_id").cast("string"))
-            dup = duplicates.keepers(named, cat["photo_meta"], rule=a.keep).where("id <> keeper").withColumnRenamed("keeper", "dup_of")
-            cat.commit({"files": X.update(cat["files"], dup, "id", ["dup_of"])})
+        _near(cat, a.near, a.keep, a.apply, a.limit)
     else:
         show(duplicates.summary(cat["files"], by))
         show(duplicates.groups(cat["files"], by).orderBy(F.desc("n"), "key"), a.limit)
@@ -215,15 +219,19 @@ def _(cat, a):
     print(cat.get_meta("collate_target", ""))
 
 
+def _collate(cat: Catalog, target: str, undated: str = "undated", again: bool = False, apply: bool = True, repoint: bool = True) -> None:
+    plan = checkpointed(organise.collate_plan(cat["files"], cat["photo_meta"], target, undated, again))
+    show(organise.plan_summary(plan, undated))
+    if apply:
+        done = _carry_out(plan)
+        if repoint:
+            cat.commit({"files": organise.repoint(cat["files"], done)})
+
+
 @command("collate", option("--target"), option("--undated", default="undated"), option("--recollate", action="store_true"), option("--no-repoint", action="store_true"), APPLY)
 def _(cat, a):
     target = a.target or cat.get_meta("collate_target") or sys.exit("no target")
-    plan = checkpointed(organise.collate_plan(cat["files"], cat["photo_meta"], target, a.undated, a.recollate))
-    show(organise.plan_summary(plan, a.undated))
-    if a.apply:
-        done = _carry_out(plan)
-        if not a.no_repoint:
-            cat.commit({"files": organise.repoint(cat["files"], done)})
+    _collate(cat, target, a.undated, a.recollate, a.apply, not a.no_repoint)
 
 
 @command(
@@ -253,17 +261,75 @@ def _(cat, a):
     print(found.count())
 
 
-@command("cluster-faces", option("--full", action="store_true"), option("--min-size", type=int, default=clustering.MIN_CLUSTER))
-def _(cat, a):
+def _cluster(cat: Catalog, full: bool = False, min_size: int = clustering.MIN_CLUSTER) -> None:
     vectors = cat["vec_faces"]
-    if a.full:
-        found = clustering.full(vectors, a.min_size)
+    if full:
+        found = clustering.full(vectors, min_size)
     else:
-        found = clustering.incremental(vectors.join(cat["faces"].where("cluster_id is null").select("id"), "id", "left_semi"), cat["face_clusters"], a.min_size)
+        found = clustering.incremental(vectors.join(cat["faces"].where("cluster_id is null").select("id"), "id", "left_semi"), cat["face_clusters"], min_size)
     cat.commit(X.write_clusters(cat["faces"], cat["face_clusters"], vectors, checkpointed(found)))
     cat.commit({"faces": X.refresh_names(cat["faces"], cat["photo_meta"], cat["face_clusters"], cat["persons"], cat["person_names"])})
 
 
+@command("cluster-faces", option("--full", action="store_true"), option("--min-size", type=int, default=clustering.MIN_CLUSTER))
+def _(cat, a):
+    _cluster(cat, a.full, a.min_size)
+
+
+IMAGES = option("images", help="a Parquet table of id and image: small grey squares, rows one after the other")
+
+
+def _model_of(cat: Catalog) -> str:
+    return f"{cat.path}/models/orientation"
+
+
+@command("train-orientation", IMAGES, option("--samples", type=int, default=orientation.SAMPLES), option("--fewest", type=int, default=orientation.FEWEST))
+def _(cat, a):
+    images = cat.spark.read.parquet(a.images)
+    good = orientation.upright(cat["files"])
+    dated = cat["photo_meta"].join(good.withColumnRenamed("id", "file_id"), "file_id", "left_semi")
+    chosen = sampling.top_up(sampling.by_year(dated, a.samples, 0), good.select(F.col("id").alias("file_id"), F.lit(None).cast("string").alias("taken_at")), a.samples, 0)
+    model = orientation.train(images.join(chosen.select(F.col("file_id").alias("id")), "id", "left_semi"), fewest=a.fewest)
+    orientation.save(model, _model_of(cat))
+    show(orientation.quality(model, images.join(good, "id", "left_semi").join(chosen.select(F.col("file_id").alias("id")), "id", "left_anti")).orderBy("least"))
+
+
+def _suggest(cat: Catalog, images: str, least: float = orientation.LEAST, camera: str | None = None, redo: bool = False) -> None:
+    model = orientation.load(cat.spark, _model_of(cat)) or sys.exit("no model yet: train-orientation")
+    files = cat["files"]
+    if camera:
+        files = files.join(cat["photo_meta"].where(F.col("camera_model").ilike(f"%{camera}%")).select(F.col("file_id").alias("id")), "id", "left_semi")
+    found = stored(orientation.suggestions(model, files, cat.spark.read.parquet(images), redo))
+    cat.commit({"files": X.record_suggestions(cat["files"], found, least)})
+    print(found.count(), found.where((F.col("degrees") != 0) & (F.col("prob") >= least)).count())
+
+
+@command("suggest-rotations", IMAGES, option("--min-conf", type=float, default=orientation.LEAST), option("--camera"), option("--redo", action="store_true"))
+def _(cat, a):
+    _suggest(cat, a.images, a.min_conf, a.camera, a.redo)
+
+
+@command("ocr", option("--fake", action="store_true"), option("--limit", type=int))
+def _(cat, a):
+    if not a.fake:
+        sys.exit("models are plug-ins: make a stage of lumenfold.sources.stages.Stage and call streaming.incremental.run_stage")
+    print(incremental.run_stage(cat, stages.READ, a.limit))
+
+
+@command("babysit-index", option("log", help="a folder of run logs, as last-crash reads them"), option("--fake", action="store_true"))
+def _(cat, a):
+    if not a.fake:
+        sys.exit("models are plug-ins: call streaming.incremental.babysit with stages of your own")
+
+    def in_flight() -> int | None:
+        row = checkpoint_log.last_in_flight(checkpoint_log.read(cat.spark, a.log)).first()
+        return row.file_id if row else None
+
+    report = incremental.babysit(cat, lambda: [incremental.run_stage(cat, s) for s in (stages.DETECT, stages.EMBED)], in_flight)
+    print(report)
+    sys.exit(report.code)
+
+
 @command(
     "search", option("--text", default=""), option("--like", type=int, help="the vector of this file"), option("--label", default=""), option("--person", default=""),
     option("--cluster", type=int), option("--camera", default=""), option("--country", default=""), option("-k", type=int, default=20),
@@ -306,17 +372,49 @@ def _(cat, a):
     show(checkpoint_log.tail(log, a.tail).orderBy("line_no"), a.tail)
 
 
-@command("refresh", option("--fake", action="store_true"), option("--near", type=int, default=duplicates.NEAR))
-def _(cat, a):
+HIDING = ("id", "path", "content_hash", "phash", "size", "missing", "too_small", "dup_of", "live_photo_of")
+
+
+def refresh_phases(cat: Catalog, near: int = duplicates.NEAR, fake: bool = False, images: str | None = None) -> list[incremental.Phase]:
+    """Scan, indexing, duplicates by bytes, by look and nearly so, copies to the target, clusters, text, turns; each incremental.
+
+    Copies wait for the duplicates, as what isn't hidden yet would be copied. Turns need a trained model and its pictures.
+    """
+
     def marked(by: str) -> None:
         cat.commit({"files": duplicates.mark_duplicates(cat["files"], cat["photo_meta"], by)})
 
+    def stage(s: stages.Stage) -> incremental.Phase:
+        reads = {"files": ("id", "path", "content_hash", s.flag, "missing", "decode_failed", "too_small", "kind", "dup_of", "live_photo_of")}
+        return incremental.Phase(s.name, lambda: incremental.run_stage(cat, s), False, reads)
+
+    hiding = {"files": HIDING, "photo_meta": ("file_id", "taken_at", "lat", "lon")}
     roots = [r.path for r in cat["scan_roots"].collect()]
-    phases = [incremental.Phase("rescan", lambda: _scan(cat, roots, True)), incremental.Phase("dedupe", lambda: marked("content_hash")), incremental.Phase("look", lambda: marked("phash"), False)]
-    if a.fake:
-        phases += [incremental.Phase(s.name, lambda s=s: incremental.run_stage(cat, s), False) for s in (stages.DETECT, stages.EMBED, stages.READ)]
-    with incremental.Lock(cat.spark, f"{cat.path}/refresh.lock"):
-        report = incremental.refresh(phases)
+    phases = [incremental.Phase("rescan", lambda: _scan(cat, roots, True), False)] if roots else []
+    phases += [stage(s) for s in (stages.DETECT, stages.EMBED) if fake]
+    phases += [
+        incremental.Phase("dedupe", lambda: marked("content_hash"), False, hiding),
+        incremental.Phase("look", lambda: marked("phash"), False, hiding),
+        incremental.Phase("near", lambda: _near(cat, near, "shortest-path", True), False, hiding, how=str(near)),
+    ]
+    target = cat.get_meta("collate_target", "")
+    if target:
+        phases.append(incremental.Phase("collate", lambda: _collate(cat, target), False, hiding, after=("dedupe", "look", "near"), how=target))
+    faces = {"vec_faces": ("id", "embedding"), "faces": ("id", "cluster_id", "person_name"), "person_names": ("person_id", "name", "start_date", "end_date"), "photo_meta": ("file_id", "taken_at")}
+    phases.append(incremental.Phase("cluster", lambda: _cluster(cat), False, faces))
+    phases += [stage(stages.READ)] if fake else []
+    if images and orientation.load(cat.spark, _model_of(cat)) is not None:
+        phases.append(incremental.Phase("turns", lambda: _suggest(cat, images), False, {"files": ("id", "rotation", "rotation_checked", *HIDING[2:])}, how=images))
+    return phases
+
+
+@command("refresh", option("--fake", action="store_true"), option("--near", type=int, default=duplicates.NEAR), option("--images"))
+def _(cat, a):
+    try:
+        with incremental.Lock(cat.spark, f"{cat.path}/refresh.lock"):
+            report = incremental.refresh(refresh_phases(cat, a.near, a.fake, a.images), cat)
+    except incremental.Locked:
+        sys.exit(2)
     print(report)
     sys.exit(report.code)
 

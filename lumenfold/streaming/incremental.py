@@ -53,9 +53,17 @@ def run_stage(catalog: Catalog, stage: Stage, limit: int | None = None) -> int:
 
 @dataclass
 class Phase:
+    """``reads``: tables and the columns of them that decide what the phase does; none: it looks outside, and is always run.
+
+    ``after``: phases without which this one would do harm. ``how``: arguments, a change of which makes it run again.
+    """
+
     name: str
     run: Callable[[], object]
     needed: bool = True
+    reads: Mapping[str, tuple[str, ...]] | None = None
+    after: tuple[str, ...] = ()
+    how: str = ""
 
 
 @dataclass
@@ -65,16 +73,42 @@ class Report:
     done: list[str] = field(default_factory=list)
     failed: dict[str, str] = field(default_factory=dict)
     code: int = 0
+    unchanged: list[str] = field(default_factory=list)
+    held: list[str] = field(default_factory=list)
+
+
+def inputs_of(catalog: Catalog, phase: Phase) -> str:
+    """What a phase reads, in short: rows and sums of hashes of the columns that it names, whatever the order of rows or files. A scan of these columns alone."""
+    parts = [phase.how]
+    for table, columns in sorted((phase.reads or {}).items()):
+        row = catalog[table].agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("h")).first()
+        parts.append(f"{table} {' '.join(columns)} {row.n} {row.h}")
+    return "; ".join(parts)
+
 
+def refresh(phases: list[Phase], catalog: Catalog | None = None) -> Report:
+    """Phases in order. A needed one that fails ends the run; others are noted, and what comes after them is held.
 
-def refresh(phases: list[Phase]) -> Report:
-    """Phases in order. A needed one that fails ends the run; others are noted."""
+    With a catalog, what each phase read is kept there once it is done, as it is after its own changes: a rerun, also
+    one after a crash, passes over phases that would read the same. A crash between a phase's commit and its mark makes
+    it run again, and it changes nothing then, as each phase looks for what is open. A phase whose inputs a later one changed
+    is run once more by the next refresh.
+    """
     report = Report()
     for phase in phases:
+        if any(name in report.failed or name in report.held for name in phase.after):
+            report.held.append(phase.name)
+            continue
+        kept = catalog is not None and phase.reads is not None
         try:
+            if kept and catalog.get_meta(f"phase {phase.name}") == inputs_of(catalog, phase):
+                report.unchanged.append(phase.name)
+                continue
             phase.run()
+            if kept:
+                catalog.set_meta(f"phase {phase.name}", inputs_of(catalog, phase))
             report.done.append(phase.name)
-        except Exception as failure:
+        except (Exception, SystemExit) as failure:
             report.failed[phase.name] = str(failure)[:500]
             report.code = 2 if phase.needed else max(report.code, 1)
             if phase.needed:
@@ -103,8 +137,12 @@ def babysit(catalog: Catalog, work: Callable[[], object], in_flight: Callable[[]
             tries, marked, before = tries + 1, marked + 1, bad
 
 
+class Locked(RuntimeError):
+    """Another run holds the lock."""
+
+
 class Lock:
-    """One refresh at a time, by a file that only one can make."""
+    """One refresh at a time, by a file that only one can make; :class:`Locked` for others."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -112,7 +150,12 @@ class Lock:
         self.fs = self.path.getFileSystem(conf)
 
     def __enter__(self) -> Lock:
-        out = self.fs.create(self.path, False)  # fails if it is there
+        try:
+            out = self.fs.create(self.path, False)  # fails if it is there
+        except Exception as failure:
+            if self.fs.exists(self.path):
+                raise Locked(self.path.toString()) from failure
+            raise
         out.write(bytearray(str(time.time()), "utf-8"))
         out.close()
         return self

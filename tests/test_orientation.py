@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.__main__ import main
+from lumenfold.catalog import Catalog
 from lumenfold.operators import orientation as O
 from lumenfold.operators import transitions as X
 
@@ -81,3 +83,21 @@ def test_from_pictures_to_suggestions(spark, tmp_path):
     assert after == {1: (1, 90), 2: (1, None), 3: (0, None), 4: (1, None), 5: (0, None)}
     assert O.suggestions(model, files, images, redo=True).count() == 3
     assert O.predict(model, O.usable(images.where("false"))).count() == 0
+
+
+def test_commands(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/cat")
+    rows = pictures(44, seed=5)
+    turned = [(i, np.rot90(np.reshape(x, (4, 4)), 3).ravel().tolist() if i == 7 else x) for i, x in rows]
+    for name, some in (("good", rows), ("odd", turned)):
+        spark.createDataFrame(some, KINDS).write.parquet(str(tmp_path / name))
+    c.commit({
+        "files": spark.createDataFrame([(i, f"/{i}.jpg", f"h{i}") for i in range(44)], "id long, path string, content_hash string"),
+        "photo_meta": spark.createDataFrame([(i, f"{2000 + i % 3}-01-01", "Cam" if i % 2 else "Box") for i in range(30)], "file_id long, taken_at string, camera_model string"),
+    })
+    with pytest.raises(SystemExit):
+        main([c.path, "suggest-rotations", str(tmp_path / "odd")])
+    main([c.path, "train-orientation", str(tmp_path / "good"), "--samples", "40", "--fewest", "30"])
+    main([c.path, "suggest-rotations", str(tmp_path / "odd"), "--camera", "cam", "--min-conf", "0.5"])
+    files = Catalog(spark, c.path)["files"]
+    assert files.where("rotation_checked = 1").count() == 15 and [(r.id, r.rotation_suggested) for r in files.where("rotation_suggested is not null").collect()] == [(7, 270)]
