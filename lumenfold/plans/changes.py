@@ -507,3 +507,25 @@ def _(c):
 def _(c):
     return c.files.where("kind = 'video'").select("id", formats.clock(F.col("duration_sec")).alias("shown"))
 
+
+
+@query("local_minutes", "SELECT id, strftime(make_timestamp(CAST(mtime * 100000 * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') AS shown FROM files", "files")
+def _(c):
+    return c.files.select("id", formats.local_minute(F.col("mtime") * 100000).alias("shown"))
+
+
+@query(
+    "downscaled_sizes",
+    """WITH s AS (SELECT id, width, height, least(1.0::DOUBLE, sqrt(100000.0::DOUBLE / (CAST(width AS DOUBLE) * height))) AS k FROM files)
+        SELECT id, CAST(floor(width * k) AS INT) AS w, CAST(floor(height * k) AS INT) AS h FROM s""",
+    "files",
+)
+def _(c):
+    return c.files.select("id", formats.downscaled(F.col("width"), F.col("height"), 100000).alias("s")).select("id", F.col("s.width").alias("w"), F.col("s.height").alias("h"))
+
+
+@query("repointed", "SELECT id, CASE WHEN id % 5 = 0 THEN '/out/' || regexp_extract(path, '[^/]*$') ELSE path END AS path FROM files", "files")
+def _(c):
+    """Where files are after copies of some of them."""
+    plan = c.files.where("id % 5 = 0").select("id", F.concat(F.lit("/out/"), paths.basename(F.col("path"))).alias("target"))
+    return _flags(organise.repoint(c.files, plan), "path")
