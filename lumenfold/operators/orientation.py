@@ -90,7 +90,7 @@ def train(images: DataFrame, penalty: float = PENALTY, rounds: int = ROUNDS, few
     if sizes.n and sizes.low != sizes.high:
         raise ValueError("pictures of several sizes")
     learner = LogisticRegression(
-        family="multinomial", labelCol="label", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-9, aggregationDepth=3
+        family="multinomial", labelCol="label", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-7, aggregationDepth=3
     )
     return learner.fit(_features(all_turns(images)).select(F.col("turn").cast("double").alias("label"), "features"))
 
