@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
-from lumenfold.operators import density
+from lumenfold.operators import density, nearest
 from lumenfold.session import checkpointed
 
 MERGE_BELOW = 0.35
 MIN_CLUSTER = 3
-#: Bytes of centroids, as doubles, that are sent to every task at most; more are joined in blocks of so many.
+#: Bytes of centroids, as doubles, that are sent to every task at most; among more, each vector meets the blocks that can win.
 MOST_CENTROID_BYTES = 64 << 20
-#: Distances that a task holds at a time.
-DISTANCES = 1 << 21
 
 
 def centroids(vectors: DataFrame, members: DataFrame) -> DataFrame:
@@ -42,8 +40,8 @@ def usable(clusters: DataFrame) -> DataFrame:
 def assign(vectors: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW) -> DataFrame:
     """``id``, ``cluster_id``, ``distance`` of the nearest centroid that is nearer than ``below``; equal ones go to the lowest id.
 
-    Centroids are few beside faces: up to MOST_CENTROID_BYTES they go to every task as one matrix. More
-    are dealt into blocks, each vector meets each block, and the least distance stays.
+    Centroids are few beside faces: up to MOST_CENTROID_BYTES they go to every task as one matrix. Among more, pivots
+    and the triangle inequality tell which can be the nearest (:mod:`nearest`).
     """
     rows = usable(clusters).select("cluster_id", V.unit(F.col("centroid")).alias("c"))
     n_bytes = 8 * (rows.agg(F.sum(F.size("c").cast("long") + 1)).first()[0] or 0)
@@ -54,24 +52,13 @@ def assign(vectors: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
-            step = max(1, DISTANCES // max(1, len(ids)))
-            for pdf in (whole.iloc[at : at + step] for whole in batches if len(ids) for at in range(0, len(whole), step)):
-                x = np.nan_to_num(np.stack(pdf["embedding"]).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, size, out=x, where=size > 0)
-                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ matrix.T)))
-                best = d.argmin(axis=1)
-                least = d[np.arange(len(d)), best]
+            for pdf in (b for b in batches if len(b) and len(ids)):
+                best, least = nearest.closest(nearest.units(pdf["embedding"]), ids, matrix)
                 keep = least < below
-                yield pd.DataFrame({"id": pdf["id"][keep], "cluster_id": ids[best[keep]], "distance": least[keep]})
+                yield pd.DataFrame({"id": pdf["id"][keep], "cluster_id": best[keep], "distance": least[keep]})
 
         return vectors.select("id", "embedding").mapInPandas(near, "id long, cluster_id long, distance double")
-    blocks = -(-n_bytes // MOST_CENTROID_BYTES) * 8
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int"))
-    asked = vectors.select("id", V.unit(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    distance = V.unit_l2(F.col("v"), F.col("c"))
-    best = asked.join(dealt, "block").groupBy("id").agg(F.min(F.struct(distance.alias("distance"), "cluster_id")).alias("b"))
-    return best.where(F.col("b.distance") < below).select("id", "b.cluster_id", "b.distance")
+    return nearest.search(vectors, usable(clusters), below)
 
 
 def density_clusters(x: np.ndarray, min_size: int = MIN_CLUSTER) -> np.ndarray:

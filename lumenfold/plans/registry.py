@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold import predicates as P
 from lumenfold.functions import bits, formats, paths
 from lumenfold.functions import vectors as V
-from lumenfold.operators import cameras, clustering, density, duplicates, orientation, organise, people, places, scanning, search, stats, text, textindex, timeline
+from lumenfold.operators import cameras, clustering, density, duplicates, nearest, orientation, organise, people, places, scanning, search, stats, text, textindex, timeline
 from lumenfold.plans.projection import Catalog, oracle
 from lumenfold.session import checkpointed, shared_dir
 from lumenfold.sources import checkpoint_log
@@ -1019,18 +1019,23 @@ def _(c):
     return rows.select("cluster_id", "face_count", F.posexplode("centroid").alias("i", "x")).select("cluster_id", "face_count", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(
-    "centroid_assign",
-    f"""WITH {UNITS}, d AS (SELECT u.id, c.cluster_id, sqrt(greatest(0, 2 - 2 * sum(u.x * c.x))) AS d FROM u JOIN c ON u.i = c.i GROUP BY u.id, c.cluster_id),
+NEAREST_SQL = f"""WITH {UNITS}, d AS (SELECT u.id, c.cluster_id, sqrt(greatest(0, 2 - 2 * sum(u.x * c.x))) AS d FROM u JOIN c ON u.i = c.i GROUP BY u.id, c.cluster_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster_id) AS rn FROM d)
-        SELECT id, cluster_id, round(d, 5) AS distance FROM r WHERE rn = 1 AND d < 1.2""",
-    "vectors",
-)
+        SELECT id, cluster_id, round(d, 5) AS distance FROM r WHERE rn = 1 AND d < 1.2"""
+
+
+@query("centroid_assign", NEAREST_SQL, "vectors")
 def _(c):
     made = clustering.centroids(c.vectors, _members(c))
     return clustering.assign(c.vectors, made, 1.2).withColumn("distance", F.round("distance", 5))
 
 
+@query("centroid_search", NEAREST_SQL, "vectors")
+def _(c):
+    made = clustering.usable(clustering.centroids(c.vectors, _members(c)))
+    return nearest.search(c.vectors, made, 1.2).withColumn("distance", F.round("distance", 5))
+
+
 @query("orphan_vectors", "SELECT id FROM vectors WHERE id NOT IN (SELECT file_id FROM faces)", "vectors", "faces")
 def _(c):
     return clustering.orphans(c.vectors, c.faces, "file_id")

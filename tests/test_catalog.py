@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.catalog import Catalog, Conflict
-from lumenfold.operators import clustering, duplicates, organise, people, places, scanning, text
+from lumenfold.operators import clustering, duplicates, nearest, organise, people, places, scanning, text
 from lumenfold.operators import transitions as X
 from lumenfold.schema import conform, ddl
 
@@ -282,7 +282,7 @@ def test_nearest_centroids_whole_or_in_blocks(spark, monkeypatch):
         return {r.id: (r.cluster_id, round(r.distance, 9)) for r in clustering.assign(rows, clusters, 0.5).collect()}
 
     whole = found()
-    monkeypatch.setattr(clustering, "DISTANCES", 20)
+    monkeypatch.setattr(nearest, "DISTANCES", 20)
     assert found() == whole and len(whole) > 50
     monkeypatch.setattr(clustering, "MOST_CENTROID_BYTES", 40)
     assert found() == whole
