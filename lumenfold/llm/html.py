@@ -12,17 +12,19 @@ starts among them, and stands on half of the host's pages and MIN_PAGES of them
   occurrences in one and the same gap of that class, or all that class's in one of its own.
 
 The valid classes together, one in the gaps of the other, are the host's template. What stands between
-their tokens are slots, and these hold the data of a page (:func:`slots`). A text of a valid class is template
-text only if its path holds no other text on the host: where other pages have other texts, it is data that happens to be the same.
+their tokens are slots, and these hold the data of a page (:func:`slots`). A text of a valid class whose path holds no other text on the host is
+template text. Where the path has other texts too it is shared text, and the container that it stands in decides on each page: it is data beside much
+data of the page's own (a paragraph that all articles have), and template beside little (a line below a page, next to one that changes).
 
-A page's main text are the texts of its slots in article or main elements; without one, of all slots but those that are links for the
-most part. Slots in menus, page headers and footers, sidebars, forms, dialogs, scripts, styles and hidden elements are
+A page's main text are the texts of its slots that aren't links for the most part. Elements break the tie between them: article and main elements that
+hold more than links are taken before the rest, unless a container outside them holds more than twice their text, less links (then they are teasers). Slots in menus, page headers and footers, sidebars, forms, dialogs, scripts, styles and hidden elements are
 left out by their elements and roles. Class names break ties that structure can't: notices, adverts and readers' comments within an
-article are known by a name that says nothing else (``cookie-notice`` does, ``legal-analysis`` doesn't). Headings in an article's
-header are kept, the rest of that header isn't.
+article are known by a name that says nothing else (``cookie-notice`` does, ``legal-analysis`` doesn't); of words within a text only adverts are
+left out by name. Headings in an article's header are kept, the rest of that header isn't.
 
 Defined results: a null, empty or textless page gives an empty text; so does one whose text
-is all in left-out slots; unclosed elements end with their parent; a null or odd URL puts
+is all in left-out slots; unclosed elements end with their parent, and one that would be left out (an ``aside`` without an end) leaves out its first text
+alone; a null or odd URL puts
 a page on the host ""; hosts of fewer than MIN_PAGES different pages have no template, and markup
 alone decides; where an article holds template texts alone these stay; equal pages give equal texts;
 very long pages are read whole, in memory that grows with one page; an empty table gives an empty one. Columns
@@ -73,9 +75,10 @@ NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot adunit sponsor sponsored sponsors promo promos promotion cookie cookies consent
     gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars widget widgets related
     recommended recommendations share sharing social comment comments commentlist disqus respond replies breadcrumb breadcrumbs menu menus nav navbar
-    navigation footer header masthead topbar pagination pager toolbar login signin register search banner alert skip legal copyright disclaimer
-    announcement donate donation feedback survey poll outbrain taboola""".split()
+    navigation footer header masthead topbar pagination pager toolbar login signin register search banner alert skip copyright disclaimer
+    announcement donate donation outbrain taboola""".split()
 )
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot adunit sponsor sponsored sponsors outbrain taboola".split())
 GENERIC = frozenset(
     """box block container wrapper wrap section list area bar item items unit slot inner content body panel top bottom left right site page main reader
     readers user post posts article articles story stories link links button buttons icon icons form thread count header footer""".split()
@@ -107,7 +110,8 @@ def _element(tag: str) -> tuple[str, str, bool, bool, bool]:
     for part in names:
         words = {w.lower() for w in _NAME.findall(part)}
         # A name that says nothing but what is left out.
-        if words & NAMES and words <= NAMES | GENERIC and name not in ("html", "body", "main") and name not in HEADINGS:
+        left_out = ADVERTS if name in INLINE else NAMES
+        if words & left_out and words <= left_out | GENERIC and name not in ("html", "body", "main") and name not in HEADINGS:
             named = True
         elif name in ("div", "section") and words & MAIN_NAMES and not words & NAMES:
             whole = True
@@ -122,6 +126,12 @@ class Block:
     whole: bool
     text: str
     linked: int
+    #: The innermost container and the innermost article or main element, by number; 0 is none.
+    scope: int = 0
+    within: int = 0
+    #: Elements around it that are left out, and the innermost of them.
+    outs: int = 0
+    owner: int = 0
 
 
 @dataclass
@@ -143,6 +153,13 @@ class _Open:
     out: bool = False
     whole: bool = False
     header: bool = False
+    number: int = 0
+    scope: int = 0
+    within: int = 0
+    outs: int = 0
+    owner: int = 0
+    #: Where its items begin.
+    begin: int = 0
 
 
 def _end_of(source: str, name: str, at: int) -> int:
@@ -171,11 +188,19 @@ def parse(source: str | None) -> Page:
             if text:
                 top = stack[-1]
                 out = top.out or top.header and top.name not in HEADINGS
-                page.items.append(Block(top.path, out, top.whole, text, min(linked, len(text))))
+                page.items.append(Block(top.path, out, top.whole, text, min(linked, len(text)), top.scope, top.within, top.outs, top.owner))
             pending.clear()
         linked = 0
 
-    at, size = 0, len(source)
+    def unclosed(opened: list[_Open]) -> None:
+        """Of elements that are left out and have no end, all but the first text is kept, unless another leaves it out."""
+        for element in opened:
+            if element.owner == element.number and element.name in LEFT_OUT:
+                texts = [b for b in page.items[element.begin :] if isinstance(b, Block) and b.owner == element.number and b.outs == 1]
+                for b in texts[1:]:
+                    b.out = False
+
+    at, size, number = 0, len(source), 0
     while at < size:
         m = _TOKEN.search(source, at)
         end = m.start() if m else size
@@ -200,6 +225,7 @@ def parse(source: str | None) -> Page:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
                     flush() if name not in CELLS else pending.append(" ")
+                    unclosed(stack[depth + 1 :])
                     del stack[depth:]
                     break
                 if stack[depth].name in SCOPES and name not in SCOPES:
@@ -236,12 +262,18 @@ def parse(source: str | None) -> Page:
         if tag.endswith("/>") and name in ("svg", "math", "path"):
             continue
         header = name == "header" and top.whole and not named
-        stack.append(_Open(name, path, top.out or named or out and not header, whole or top.whole, top.header or header))
+        number += 1
+        hides = named or out and not header
+        stack.append(_Open(
+            name, path, top.out or hides, whole or top.whole, top.header or header, number, number if name in SCOPES else top.scope,
+            number if whole else top.within, top.outs + hides, number if hides else top.owner, len(page.items),
+        ))
         links = 0 if name in SCOPES else links
         if name in _RAW_END:
             close = _RAW_END[name].search(source, at)
             at = close.start() if close else size
     flush()
+    unclosed(stack)
     return page
 
 
@@ -267,10 +299,11 @@ def occurrences(page: Page) -> Iterator[tuple[str, int, int, list[int]]]:
 
 @dataclass(frozen=True)
 class Template:
-    """A host's template: tokens of element starts, and of texts."""
+    """A host's template: tokens of element starts, of texts, and of texts whose path holds data too."""
 
     starts: frozenset[int] = frozenset()
     texts: frozenset[int] = frozenset()
+    shared: frozenset[int] = frozenset()
 
 
 NO_TEMPLATE = Template()
@@ -291,16 +324,40 @@ def slots(page: Page, template: Template = NO_TEMPLATE) -> list[tuple[list[Block
     return found
 
 
+def _by(blocks: list[Block], key: str) -> dict[int, int]:
+    """Text less links of the containers that ``key`` names."""
+    found: dict[int, int] = {}
+    for b in blocks:
+        name = getattr(b, key)
+        found[name] = found.get(name, 0) + len(b.text) - b.linked
+    return found
+
+
 def main_text(source: str | None, template: Template = NO_TEMPLATE) -> str:
     """The page's main text, given its host's template."""
     page = parse(source)
     between = slots(page, template)
     own = [b for data, _ in between for b in data if not b.out]
     fixed = {id(b) for _, texts in between for b in texts}
-    if any(b.whole and not b.out for b in page.blocks):
-        chosen = [b for b in own if b.whole] or [b for b in page.blocks if b.whole and not b.out]
+    if template.shared:
+        shared = {id(b) for b in own if token_of(b) in template.shared}
+        data = _by([b for b in own if id(b) not in shared], "scope")
+        most = max(data.values(), default=0)
+        # A container of an article's rank stands for itself; any other needs a quarter of what the fullest has.
+        lost = {id(b) for b in own if id(b) in shared and b.scope != b.within and 4 * data.get(b.scope, 0) < most}
+        own = [b for b in own if id(b) not in lost]
+        fixed |= lost
+    listed = [b for b in own if b.whole] or [b for b in page.blocks if b.whole and not b.out]
+    chars: dict[int, int] = {}
+    for b in listed:
+        chars[b.within] = chars.get(b.within, 0) + len(b.text)
+    told = _by(listed, "within")
+    listed = [b for b in listed if 2 * told[b.within] > chars[b.within]]
+    apart = [b for b in own if not b.whole and 2 * b.linked < len(b.text)]
+    if listed and max(_by(apart, "scope").values(), default=0) <= 2 * sum(told[w] for w in {b.within for b in listed}):
+        chosen = listed
     else:
-        chosen = [b for b in own if 2 * b.linked < len(b.text)] or own or [b for b in page.blocks if not b.out and id(b) not in fixed]
+        chosen = apart or own or [b for b in page.blocks if not b.out and id(b) not in fixed]
     return "\n".join(b.text for b in chosen)
 
 
@@ -353,7 +410,7 @@ def _with_small(rows: DataFrame, small: DataFrame, on: list[str], salt: str, n_b
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``starts`` and ``texts`` (tokens of the template) of every host with a template. ``pages``: url, html."""
+    """``host``, ``starts``, ``texts`` and ``shared`` (tokens of the template) of every host with a template. ``pages``: url, html."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -407,11 +464,14 @@ def templates(pages: DataFrame) -> DataFrame:
     # A path that has other texts too holds data.
     held = vectors.where("kind = 't'").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_texts"))
     fixed = tokens.where("kind = 't'").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_fixed"))
-    fixed = fixed.join(held, ["host", "path"]).where("n_fixed = n_texts").select("host", "path")
-    texts = tokens.where("kind = 't'").join(fixed, ["host", "path"], "left_semi").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("texts"))
+    fixed = fixed.join(held, ["host", "path"]).select("host", "path", (F.col("n_fixed") == F.col("n_texts")).alias("alone"))
+    of_text = tokens.where("kind = 't'").join(fixed, ["host", "path"])
+    texts = of_text.groupBy("host").agg(*[
+        F.sort_array(F.collect_set(F.when(which, F.col("token")))).alias(name) for name, which in (("texts", F.col("alone")), ("shared", ~F.col("alone")))
+    ])
     starts = tokens.where("kind = 'e'").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("starts"))  # as many as a template has
     none = F.array().cast("array<long>")
-    result = stored(starts.join(texts, "host", "left").select("host", "starts", F.coalesce("texts", none).alias("texts")))
+    result = stored(starts.join(texts, "host", "left").select("host", "starts", *[F.coalesce(x, none).alias(x) for x in ("texts", "shared")]))
     discard(found)
     discard(vectors)
     return result
@@ -422,10 +482,10 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     bounded_batches(spark)
     table = templates(pages.select("url", "html"))
-    n_bytes = table.agg(F.sum(F.length("host") + 8 * (F.size("starts") + F.size("texts")) + 64)).first()[0] or 0
+    n_bytes = table.agg(F.sum(F.length("host") + 8 * (F.size("starts") + F.size("texts") + F.size("shared")) + 64)).first()[0] or 0
     kept = [F.col(quoted(c)) for c in others(pages.columns, "text", "n_chars", "html")]
     if n_bytes <= BROADCAST_BYTES:
-        known = {r.host: Template(frozenset(r.starts), frozenset(r.texts)) for r in table.collect()}
+        known = {r.host: Template(frozenset(r.starts), frozenset(r.texts), frozenset(r.shared)) for r in table.collect()}
         shared = spark.sparkContext.broadcast(known)
 
         @F.pandas_udf("string")
@@ -437,16 +497,16 @@ def extract(pages: DataFrame) -> DataFrame:
     else:
 
         @F.pandas_udf("string")
-        def of_joined(sources: pd.Series, starts: pd.Series, texts: pd.Series) -> pd.Series:
+        def of_joined(sources: pd.Series, starts: pd.Series, texts: pd.Series, shared: pd.Series) -> pd.Series:
             return pd.Series([
-                main_text(s, NO_TEMPLATE if a is None else Template(frozenset(a.tolist()), frozenset(b.tolist())))
-                for s, a, b in zip(sources, starts, texts, strict=True)
+                main_text(s, NO_TEMPLATE if a is None else Template(*(frozenset(x.tolist()) for x in (a, *more))))
+                for s, a, *more in zip(sources, starts, texts, shared, strict=True)
             ], dtype=object)
 
-        host, part, other, dealt, starts, texts = unused(pages.columns, "host", "part", "of_host", "of_part", "starts", "texts")
-        named = table.select(F.col("host").alias(other), F.col("starts").alias(starts), F.col("texts").alias(texts))
+        host, part, other, dealt, *sets = unused(pages.columns, "host", "part", "of_host", "of_part", "starts", "texts", "shared")
+        named = table.select(F.col("host").alias(other), *[F.col(x).alias(alias) for x, alias in zip(("starts", "texts", "shared"), sets, strict=True)])
         named = named.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = pages.select("*", host_of(F.col("url")).alias(host), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias(part))
         joined = salted.join(named, (F.col(host) == F.col(other)) & (F.col(part) == F.col(dealt)), "left")
-        result = joined.select(*kept, of_joined(F.col("html"), F.col(starts), F.col(texts)).alias("text"))
+        result = joined.select(*kept, of_joined(F.col("html"), *[F.col(x) for x in sets]).alias("text"))
     return result.withColumn("n_chars", F.length("text").cast("long"))

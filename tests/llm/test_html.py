@@ -29,6 +29,15 @@ CASES = {
     "<article><p>one <span class='ad'>x <span>y</span> z</span> two</p><p>three <span class='ad'>open</p></article>": "one two\nthree open",
     "<article><header><h1>Title</h1><p>by someone</p></header><p>x</p><footer>f</footer></article><header><h2>Site</h2></header>": "Title\nx",
     "<div><a href='/'>all</a> <a href='/b'>links</a></div><div><p>text with <a href='/c'>one</a> link in it</p></div>": "text with one link in it",
+    "<div id='content'><h1>Title</h1><p>The long main text of this page</p></div><div id='more'><article><a href='/t'>Teaser</a></article></div>": "Title\nThe long main text of this page",
+    "<div><p>The long main text of this page, which goes on for a while</p></div><article><h3>Other</h3><p>abstract</p></article>": "The long main text of this page, which goes on for a while",
+    "<main><article><p>Main text here</p></article><article><h3><a href='/o'>Another story</a></h3></article></main>": "Main text here",
+    "<article><p>short</p></article><div><p>not much</p></div>": "short",
+    "<article><p>We saw a <span class='alert'>warning</span> and <a class='footer'>note</a> there.</p></article>": "We saw a warning and note there.",
+    "<article><section id='survey'><p>We asked people.</p></section><div class='poll'><p>They said yes.</p></div></article>": "We asked people.\nThey said yes.",
+    "<article><p>a</p><aside>x<p>b</p><nav>n</nav></article><p>c</p>": "a\nb",
+    "<article><p>a</p><aside><p>x</p><p>y</p></aside><p>b</p></article>": "a\nb",
+    "<div><p>one</p></div><nav>menu<ul><li>item</ul></nav><aside>x<p>two</p>": "one\ntwo",
     "": "",
     "<nav>only</nav>": "",
 }
@@ -72,6 +81,38 @@ def test_template_text_in_an_article_goes(spark):
     assert texts == {i: f"Title {i}\nown paragraph of {i}" for i in range(6)}
 
 
+def final_text(source, starts, texts, shared):
+    """The main text by a plain reading of the rules, a page at a time, from blocks as :func:`html.parse` has them."""
+    blocks = [b for b in html.parse(source).items if not isinstance(b, str) and not b.out]
+    kinds = {id(b): "fixed" if html.token_of(b) in texts else "shared" if html.token_of(b) in shared else "own" for b in blocks}
+
+    def plain(of):
+        return sum(len(b.text) - b.linked for b in of)
+
+    def data(scope):
+        return plain([b for b in blocks if kinds[id(b)] == "own" and b.scope == scope])
+
+    most = max([data(b.scope) for b in blocks], default=0)
+    kept = [b for b in blocks if kinds[id(b)] == "own" or kinds[id(b)] == "shared" and (b.scope == b.within or 4 * data(b.scope) >= most)]
+    articles = [b for b in kept if b.whole] or [b for b in blocks if b.whole]
+    articles = [b for b in articles if 2 * plain([x for x in articles if x.within == b.within]) > sum(len(x.text) for x in articles if x.within == b.within)]
+    rest = [b for b in kept if not b.whole and 2 * b.linked < len(b.text)]
+    fullest = max([plain([x for x in rest if x.scope == b.scope]) for b in rest], default=0)
+    if articles and fullest <= 2 * plain(articles):
+        return "\n".join(b.text for b in articles)
+    return "\n".join(b.text for b in rest or kept or [b for b in blocks if kinds[id(b)] == "own"])
+
+
+def test_a_line_below_the_page_goes(spark, monkeypatch):
+    for start, end in (("<article>", "</article>"), ("<div class='x1'>", "</div>")):
+        bodies = [f"<div class='m'><b>Site</b></div>{start}<h1>Title {i}</h1><p>own paragraph number {i} of the host</p>{end}<div><p>Rights</p><p>promo {i}</p></div>" for i in range(8)]
+        texts = {r.page_id: r.text for r in html.extract(host_pages(spark, bodies)).collect()}
+        assert all("Rights" not in t and t.startswith(f"Title {i}\nown paragraph number {i} of the host") for i, t in texts.items())
+        with monkeypatch.context() as m:
+            m.setattr(html, "BROADCAST_BYTES", 0)
+            assert {r.page_id: r.text for r in html.extract(host_pages(spark, bodies)).collect()} == texts
+
+
 def deduced(sources):
     """The template of one host by brute force: vectors, order and nesting over all its pages at once."""
     pages = [html.parse(s) for s in dict.fromkeys(sources)]
@@ -118,7 +159,7 @@ def deduced(sources):
     tokens = set().union(*[c for _, c in valid])
     starts = {t for t in tokens if isinstance(item[t], str)}
     texts = {t for t in tokens - starts if all(u in tokens for u in vectors if not isinstance(item[u], str) and item[u].path == item[t].path)}
-    return starts, texts
+    return starts, texts, tokens - starts - texts
 
 
 def odd_bodies(rng, n):
@@ -140,7 +181,9 @@ def test_template_against_brute_force(spark, seed):
     sources = [r.html for r in pages.collect()]
     want = deduced(sources)
     (got,) = html.templates(pages.select("url", "html")).collect()
-    assert (set(got.starts), set(got.texts)) == want and want[0] and want[1]
+    assert (set(got.starts), set(got.texts), set(got.shared)) == want and want[0] and want[1]
+    found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert found == {i: final_text(source, *want) for i, source in enumerate(sources)}
 
 
 def test_relations():
