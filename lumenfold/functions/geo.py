@@ -51,6 +51,20 @@ def parse_place(query: str | None, codes: set[str] = frozenset()) -> tuple[str,
     return " ".join(words).replace("-", " ").strip(), country
 
 
+def place_and_country(query: Column, codes: set[str] = frozenset()) -> Column:
+    """:func:`parse_place` for a column: ``name`` and ``country``. Words are parted by ASCII blanks and commas; null is an empty query."""
+    words = F.filter(F.split(F.lower(F.replace(F.coalesce(query, F.lit("")), F.lit(","), F.lit(" "))), r"\s+"), lambda w: w != "")
+    n = F.size(words)
+    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES.items() for x in pair])
+    last = F.when(n > 1, F.try_element_at(words, F.lit(-1)))
+    two = F.try_element_at(aliases, F.when(n > 2, F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), last)))
+    code = F.when((F.length(last) == 2) & F.upper(last).isin(sorted(codes)), F.upper(last))
+    one = F.coalesce(F.try_element_at(aliases, last), code)
+    used = F.when(two.isNotNull(), 2).when(one.isNotNull(), 1).otherwise(0)
+    name = F.trim(F.replace(F.concat_ws(" ", F.slice(words, F.lit(1), n - used)), F.lit("-"), F.lit(" ")))
+    return F.struct(name.alias("name"), F.coalesce(two, one).alias("country"))
+
+
 def name_score(name: Column, wanted: str) -> Column:
     """100 for the name, 60 for its beginning, 30 for a part, 10 for the first word's beginning, else null. Hyphens are blanks."""
     plain = F.replace(F.lower(name), F.lit("-"), F.lit(" "))

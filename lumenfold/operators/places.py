@@ -129,6 +129,13 @@ def reverse_geocode(points: DataFrame, cities: DataFrame) -> DataFrame:
     return rows.join(reduce(DataFrame.unionByName, found), ["lat", "lon"]).select("id", "b.place.*", F.col("b.km").alias("km"))
 
 
+def with_country_names(rows: DataFrame, names: DataFrame, column: str = "country") -> DataFrame:
+    """``rows`` with ``country_name``: the name of a code, or the code itself where ``names`` (code, name) has none."""
+    known = names.groupBy(F.col("code").alias("known_code")).agg(F.min("name").alias("known_name"))
+    found = rows.join(known, F.col(column) == F.col("known_code"), "left")
+    return found.select(*rows.columns, F.coalesce("known_name", column).alias("country_name"))
+
+
 def place_search(query: str, cities: DataFrame, landmarks: DataFrame, limit: int = 8, codes: set[str] = frozenset()) -> DataFrame:
     """Cities and landmarks by name, the best match first, then the most important. A country at the end narrows cities."""
     wanted, country = G.parse_place(query, codes)

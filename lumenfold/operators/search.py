@@ -114,3 +114,22 @@ def facets(meta: DataFrame, detections: DataFrame, faces: DataFrame) -> DataFram
 
     found = values(detections, "label", "label").unionByName(values(meta, "camera", "camera_model"))
     return found.unionByName(values(faces, "person", "person_name")).unionByName(values(meta, "country", "country"))
+
+
+#: The names of a search's filters in a link, in order.
+LINK_FILTERS = ("q", "text", "label", "camera", "person", "cluster", "country")
+
+
+def link(filters: Mapping[str, Column], k: Column | int = USUAL) -> Column:
+    """A search as the end of an address, ``?label=a+b&k=60``: filters that are given, percent-encoded, in one order; empty without any."""
+    def part(name: str) -> Column:
+        value = filters[name].cast("string")
+        # What forms encode and leave plain, where Java's encoder differs.
+        coded = F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}="), coded))
+
+    if unknown := set(filters) - set(LINK_FILTERS):
+        raise ValueError(f"no filters of a search: {sorted(unknown)}")
+    given = F.concat_ws("&", *[part(name) for name in LINK_FILTERS if name in filters])
+    size = k if isinstance(k, Column) else F.lit(k)
+    return F.when(given == "", "").otherwise(F.concat(F.lit("?"), given, F.lit("&k="), size.cast("string")))

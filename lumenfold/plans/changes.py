@@ -529,3 +529,90 @@ def _(c):
     """Where files are after copies of some of them."""
     plan = c.files.where("id % 5 = 0").select("id", F.concat(F.lit("/out/"), paths.basename(F.col("path"))).alias("target"))
     return _flags(organise.repoint(c.files, plan), "path")
+
+
+@query(
+    "facet_links",
+    """WITH v AS (SELECT DISTINCT 'label' AS facet, label AS value FROM detections UNION ALL SELECT DISTINCT 'camera', camera_model FROM photo_meta
+            UNION ALL SELECT DISTINCT 'person', person_name FROM faces UNION ALL SELECT DISTINCT 'country', country FROM photo_meta)
+        SELECT facet, value, '?' || facet || '=' || replace(url_encode(value), '%20', '+') || '&k=60' AS link FROM v WHERE value IS NOT NULL""",
+    "detections", "photo_meta", "faces",
+)
+def _(c):
+    """A link for everything that the search form offers."""
+    found = search.facets(c.photo_meta, c.detections, c.faces)
+    of = {facet: F.when(F.col("facet") == facet, F.col("value")) for facet in ("label", "camera", "person", "country")}
+    return found.select("facet", "value", search.link(of).alias("link"))
+
+
+@query(
+    "country_names",
+    "SELECT name, country, coalesce((SELECT r_name FROM region WHERE substr(r_name, 1, 2) = country AND r_name <> 'ASIA'), country) AS country_name FROM cities",
+    "cities",
+)
+def _(c):
+    names = c.source("region").where("r_name <> 'ASIA'").select(F.substring("r_name", 1, 2).alias("code"), F.col("r_name").alias("name"))
+    return places.with_country_names(c.cities, names).select("name", "country", "country_name")
+
+
+ASKED = """CASE s_suppkey % 6 WHEN 0 THEN ', United Kingdom' WHEN 1 THEN ',fr ' WHEN 2 THEN ' usa' WHEN 3 THEN ' , xx' WHEN 4 THEN ' New-Zealand' ELSE '' END"""
+
+
+@query(
+    "places_asked",
+    """SELECT s_suppkey AS id, replace(lower(s_name), '-', ' ') || CASE s_suppkey % 6 WHEN 3 THEN ' xx' WHEN 4 THEN ' new zealand' ELSE '' END AS name,
+        CASE s_suppkey % 6 WHEN 0 THEN 'GB' WHEN 1 THEN 'FR' WHEN 2 THEN 'US' END AS country FROM supplier""",
+)
+def _(c):
+    """The name and the country that each of many queries asks for."""
+    asked = c.source("supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.expr(ASKED)).alias("asked"))
+    return asked.select("id", geo.place_and_country(F.col("asked"), {"FR", "GB"}).alias("p")).select("id", "p.name", "p.country")
+
+
+STORED_ROOTS = """CASE n_nationkey % 4 WHEN 0 THEN '["/lib/r1/", "/gone/"]' WHEN 1 THEN '["/gone/"]' WHEN 2 THEN 'no list [' ELSE '["/lib/r3/", "/lib/r2/"]' END"""
+
+
+@query(
+    "roots_in_force",
+    """WITH n AS (SELECT '/lib/' || split_part(path, '/', 3) || '/' AS root, count(*) AS n FROM files WHERE missing = 0 GROUP BY 1)
+        SELECT n_nationkey AS setting, root, n FROM nation, n WHERE CASE n_nationkey % 4 WHEN 0 THEN root = '/lib/r1/' WHEN 3 THEN root IN ('/lib/r2/', '/lib/r3/') ELSE true END""",
+    "files",
+)
+def _(c):
+    """How many files each root has that a stored setting lets through."""
+    root = F.concat(F.lit("/lib/"), F.split_part(F.col("path"), F.lit("/"), F.lit(3)), F.lit("/"))
+    counts = c.files.where("missing = 0").groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    live = counts.agg(F.collect_set("root").alias("live"))  # a row a root
+    settings = c.source("nation").select(F.col("n_nationkey").alias("setting"), F.expr(STORED_ROOTS).alias("stored")).join(F.broadcast(live))  # one row
+    return settings.select("setting", F.explode(P.roots_in_force(F.col("stored"), F.col("live"))).alias("root")).join(counts, "root")
+
+
+@query(
+    "clusters_written",
+    """SELECT CAST(v.label AS BIGINT) AS cluster_id, count(*) AS face_count, coalesce(any_value(k.hidden), 0) AS hidden,
+        coalesce(any_value(k.person_name), CASE WHEN count(*) FILTER (v.id % 3 = 0) >= 2 THEN 'P' || v.label END) AS person_name
+        FROM vectors v LEFT JOIN face_clusters k ON k.cluster_id = v.label GROUP BY v.label""",
+    "vectors", "face_clusters",
+)
+def _(c):
+    """Clusters after all faces got new ones: counts anew, names kept or by majority, clusters without faces gone."""
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("P"), F.col("label").cast("string")))
+    faces = c.vectors.select("id", F.col("id").alias("file_id"), F.lit(-1).cast("bigint").alias("cluster_id"), name.alias("person_name"))
+    clusters = c.face_clusters.withColumns({"centroid": F.lit(None).cast("array<float>"), "face_count": F.lit(0).cast("bigint")})
+    assigned = c.vectors.select("id", F.col("label").cast("bigint").alias("cluster_id"))
+    return X.write_clusters(faces, clusters, c.vectors, assigned)["face_clusters"].select("cluster_id", "face_count", "hidden", "person_name")
+
+
+EPOCH_NAMES = """SELECT CAST(o_orderkey AS BIGINT) AS id, 1000000000000 + (o_orderkey * 7919 % 700000) * 1000000 AS ms FROM orders"""
+
+
+@query(
+    "epoch_names",
+    f"SELECT id, CASE WHEN id % 3 < 2 THEN strftime(make_timestamp(CAST(ms * 1000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS inferred FROM ({EPOCH_NAMES})",
+)
+def _(c):
+    """Dates of names that begin with milliseconds since 1970; a digit more, and they aren't."""
+    rows = c.source("orders").select(F.col("o_orderkey").cast("bigint").alias("id"))
+    ms = F.lit(1000000000000) + (F.col("id") * 7919 % 700000) * 1000000
+    end = F.when(F.col("id") % 3 == 0, ".jpg").when(F.col("id") % 3 == 1, "_x.jpg").otherwise("7.jpg")
+    return organise.inferred_dates(rows.select("id", F.concat(F.lit("/lib/"), ms.cast("string"), end).alias("path")))

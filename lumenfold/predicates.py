@@ -55,6 +55,12 @@ def effective_roots(stored: Sequence[str], current: Sequence[str]) -> list[str]:
     return [r for r in stored if r in live]
 
 
+def roots_in_force(stored: Column, live: Column) -> Column:
+    """:func:`effective_roots` for a column of stored JSON lists; where none is left, or the JSON is no list, all live roots."""
+    kept = F.array_intersect(F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>")), live)
+    return F.when(F.size(kept) == 0, live).otherwise(kept)
+
+
 def roots_to_save(picked: Sequence[str], current: Sequence[str]) -> list[str]:
     """What to store: nothing if all are picked, as that is no filter."""
     kept = [r for r in current if r in set(picked)]
