@@ -21,6 +21,8 @@ from lumenfold.session import shared_dir
 
 #: Thousands of slots: a shard has hundreds, so that moving one is a small step.
 N_SLOTS = 4096
+#: Equal rows whose places one row of a task makes; more are dealt out to other tasks first.
+RUN = 65_536
 
 
 @dataclass(frozen=True)
@@ -197,8 +199,13 @@ def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataF
     groups = records.groupBy(*equal).agg(F.count(F.lit(1)).alias("copies"))
     before = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("place", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    few, many = placed.where(F.col("copies") <= RUN), placed.where(F.col("copies") > RUN)
+    # A group of very many equal rows is cut into runs of places, which other tasks make: no array is longer than a run.
+    starts = many.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(RUN)))).repartition(*equal, "run")
+    runs = starts.select(*equal, F.least(F.col("copies") - F.col("run"), F.lit(RUN)).alias("copies"), (F.col("place") + F.col("run")).alias("place"))
     return (
-        placed.withColumn("place", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)))
+        few.unionByName(runs)
+        .withColumn("place", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)))
         .join(F.broadcast(table), "virtual_slot")
         .select(
             "doc_id",

@@ -76,7 +76,9 @@ def test_stored_maps(spark):
     assert spark.read.parquet(sharding._folder(spark, name)).groupBy("map_version").count().count() == 3
 
 
-def test_repeated_rows_have_places_of_their_own(spark):
+@pytest.mark.parametrize("run", [sharding.RUN, 50, 7, 1])
+def test_repeated_rows_have_places_of_their_own(spark, monkeypatch, run):
+    monkeypatch.setattr(sharding, "RUN", run)
     rows = spark.createDataFrame([(None, "x")] * 50 + [(1, "y")] * 30 + [(1, "z")] * 20 + [(i, "w") for i in range(100)], "doc_id long, text string")
     places = collections.defaultdict(list)
     for r in sharding.assign(rows, 2).collect():
