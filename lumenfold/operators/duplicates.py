@@ -72,24 +72,18 @@ def _hashed(files: DataFrame) -> DataFrame:
     return rows.select("id", F.lower(paths.basename(F.col("path"))).alias("name"), B.bits_of(F.col("phash")).alias("bits"))
 
 
-def _by_bands(values: DataFrame, near: int) -> DataFrame:
-    """Pairs of names with few hashes, joined by name, band and the band's bits: of two hashes within n bits one of n + 1 bands is the same."""
-    n = near + 1
-    bands = values.withColumn("band", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), B.band(F.col("bits"), i, n).alias("v")) for i in range(n)])))
-    a = bands.select("name", "band", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-    b = bands.select("name", "band", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-    # A pair comes from the first band that it shares.
-    shared = [B.band(F.col("a_bits"), i, n) == B.band(F.col("b_bits"), i, n) for i in range(n)]
-    first = F.lit(n - 1)
-    for i in reversed(range(n - 1)):
-        first = F.when(shared[i], i).otherwise(first)
+def _by_name(values: DataFrame, near: int) -> DataFrame:
+    """Pairs of names with few hashes, joined by name. Bands of the hash would send each row near + 1 times and still leave 0.4 of the pairs to compare."""
+    a = values.select("name", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+    b = values.select("name", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
     distance = B.hamming(F.col("a_bits"), F.col("b_bits"))
-    found = a.join(b, ["name", "band"]).where((F.col("a") < F.col("b")) & (distance <= near) & (F.col("band.i") == first))
+    # Tables of repeated values take a fraction of their rows' size as files, and are taken for small: without the hint the driver holds one side whole.
+    found = a.join(b.hint("merge"), "name").where((F.col("a") < F.col("b")) & (distance <= near))
     return found.select("a", "b", distance.alias("distance"))
 
 
 def _by_blocks(values: DataFrame, sizes: DataFrame, near: int, block: int, links_only: bool) -> DataFrame:
-    """Pairs of names with many hashes. Bands as short as 12 of 64 bits leave would hold a part of all pairs as rows; blocks of hashes are compared in
+    """Pairs of names with many hashes. Joined by name they would be all pairs as rows; blocks of hashes are compared in
     arrays instead, and rows are what is near. A row of two blocks goes to each task, so rows sent grow with a name's blocks and not with its pairs.
 
     With ``links_only`` as many pairs of two blocks as join what all their pairs join, fewer than their hashes.
@@ -144,14 +138,14 @@ def near_in_blocks(same: bool, x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi:
 def near_pairs(files: DataFrame, near: int = NEAR, heavy: int = HEAVY_NAME, block: int = BLOCK, links_only: bool = False) -> DataFrame:
     """``a``, ``b``, ``distance``: files of one name whose hashes differ in ``near`` bits at most; of equal hashes the smallest id stands for all.
 
-    Names with ``heavy`` different hashes or more are compared in blocks, the others by bands. With ``links_only`` the pairs of heavy names
+    Names with ``heavy`` different hashes or more are compared in blocks, the others one with one. With ``links_only`` the pairs of heavy names
     are enough to join what is near by chains, no more.
     """
     values = _hashed(files).groupBy("name", "bits").agg(F.min("id").alias("id"))
     sizes = checkpointed(values.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy))
     if sizes.isEmpty():
-        return _by_bands(values, near)
-    few = _by_bands(values.join(sizes, "name", "left_anti"), near)
+        return _by_name(values, near)
+    few = _by_name(values.join(sizes, "name", "left_anti"), near)
     return few.unionByName(_by_blocks(values, sizes, near, block, links_only))
 
 
@@ -159,7 +153,7 @@ def near_groups(files: DataFrame, near: int = NEAR, heavy: int = HEAVY_NAME, blo
     """``id`` and ``group_id``, the smallest id that chains of near pairs reach; files with none are left out."""
     rows = _hashed(files)
     same = rows.groupBy("name", "bits").agg(F.min("id").alias("first"))
-    stars = rows.join(same, ["name", "bits"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    stars = rows.join(same.hint("merge"), ["name", "bits"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     edges = near_pairs(files, near, heavy, block, links_only=True).select("a", "b").unionByName(stars)
     return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 

@@ -85,3 +85,14 @@ def test_random_hashes_of_one_name_take_time_by_arrays():
     began = time.perf_counter()
     found = sum(len(f) for f in duplicates.near_in_blocks(False, x, np.arange(20_000), y, np.arange(20_000, 40_000), 12, False))
     assert found < 200 and time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("query", [duplicates.near_pairs, duplicates.near_groups])
+def test_no_side_is_held_whole_by_the_driver(spark, query, tmp_path, monkeypatch):
+    """Files of few bytes are taken for small tables, whatever their rows become."""
+    plans, kept = [], duplicates.connected_components
+    monkeypatch.setattr(duplicates, "connected_components", lambda edges, *names: plans.append(edges) or kept(edges, *names))
+    photos(spark, some(random.Random(5), 200, ["img_1", "img_2"])).write.parquet(str(tmp_path / "files"))
+    found = query(spark.read.parquet(str(tmp_path / "files")))
+    plan = (plans or [found])[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
