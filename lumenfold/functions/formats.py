@@ -10,11 +10,21 @@ CROP_MARGIN = 0.4
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in the largest unit that leaves one or more, one decimal from KB on."""
+    """Bytes in the largest unit that leaves one or more, one decimal from KB on.
+
+    The decimal is rounded in whole numbers, halves to the even one, as C and Python do; Java's formatter rounds them up.
+    """
+    whole = n.cast("bigint")
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
-    shown = F.format_string("%d B", n.cast("bigint"))
+    shown = F.format_string("%d B", whole)
     for i in range(1, len(units)):
-        shown = F.when(n >= 1024**i, F.format_string(f"%.1f {units[i]}", n / float(1024**i))).otherwise(shown)
+        # Tenths of the unit, and what is left of them in tenths of a byte.
+        over = F.shiftright(whole, 10 * i)
+        rest = whole.bitwiseAND(F.lit(1024**i - 1)) * 10
+        tenths, left = over * 10 + F.shiftright(rest, 10 * i), rest.bitwiseAND(F.lit(1024**i - 1))
+        half = 1024**i // 2
+        tenths += F.when((left > half) | ((left == half) & (tenths % 2 == 1)), 1).otherwise(0)
+        shown = F.when(n >= 1024**i, F.format_string(f"%d.%d {units[i]}", F.floor(tenths / 10), tenths % 10)).otherwise(shown)
     return shown
 
 

@@ -177,3 +177,16 @@ def test_first_readings_agree_with_all(spark):
     for k in "abcd":
         assert sum(r[k] is not None for r in rows) > 2, k
         assert [(k, r.p, r[k], r[f"{k}_all"]) for r in rows if r[k] is not None and r[k] != r[f"{k}_all"]] == []
+
+
+def test_sizes_round_halves_to_even(spark):
+    """As the program and SQL print them; 156.25 MB is what one size of the tables comes to."""
+    sizes = [0, 1023, 1280, 1792, 1024 * 1024 - 1, 163840000, 163840001, 5 * 1024**3 + 1024**3 // 4, 3 * 1024**5 + 1024**5 // 4 * 3, 2**53]
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]
+
+    def plain(n):
+        i = max([k for k in range(1, 6) if n >= 1024**k], default=0)
+        return f"{n / 1024**i:.1f} {units[i]}" if i else f"{n} B"
+
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formats.human_bytes(F.col("n")).alias("s")).collect()
+    assert [(r.n, r.s) for r in rows] == [(n, plain(n)) for n in sizes]
