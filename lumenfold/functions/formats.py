@@ -29,7 +29,8 @@ def human_bytes(n: Column) -> Column:
 
 
 def local_minute(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm")
+    """Years of five digits and more have no sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit("+"))
 
 
 def clock(seconds: Column) -> Column:

@@ -190,3 +190,8 @@ def test_sizes_round_halves_to_even(spark):
 
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formats.human_bytes(F.col("n")).alias("s")).collect()
     assert [(r.n, r.s) for r in rows] == [(n, plain(n)) for n in sizes]
+
+
+def test_minutes_of_far_years_have_no_sign(spark):
+    r = one(spark, *[formats.local_minute(F.lit(float(x))) for x in (0, 253402300799, 253402300800, 899999900000)])
+    assert list(r) == ["1970-01-01 00:00", "9999-12-31 23:59", "10000-01-01 00:00", "30489-11-10 12:13"]
