@@ -29,7 +29,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def degree_box(lat: float, lon: float, radius_km: float) -> tuple[tuple[float, float], tuple[float, float]]:
-    """Ranges of latitude and longitude that hold the circle."""
+    """Ranges of latitude and longitude as the program that this mirrors takes them; they leave out places at the rim of large circles (:func:`circle_box`)."""
     import math
 
     d_lat = radius_km / DEGREE_KM
@@ -37,6 +37,20 @@ def degree_box(lat: float, lon: float, radius_km: float) -> tuple[tuple[float, f
     return (lat - d_lat, lat + d_lat), (lon - d_lon, lon + d_lon)
 
 
+def circle_box(lat: float, lon: float, radius_km: float) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Ranges that hold every place within the radius by :func:`haversine_km`; where the circle holds a pole or crosses the date line, all longitudes."""
+    import math
+
+    angle = radius_km / EARTH_KM * (1 + 1e-9) + 1e-9
+    d_lat = math.degrees(angle)
+    # Meridians touch the circle nearer to the pole than its middle.
+    wide = math.sin(min(angle, math.pi / 2)) / max(math.cos(math.radians(lat)), 1e-12)
+    d_lon = math.degrees(math.asin(wide)) if wide < 1 and abs(lat) + d_lat < 90 else math.inf
+    if lon - d_lon < -180 or lon + d_lon > 180:
+        d_lon = math.inf
+    return (lat - d_lat, lat + d_lat), (lon - d_lon, lon + d_lon)
+
+
 def parse_place(query: str | None, codes: set[str] = frozenset()) -> tuple[str, str | None]:
     """The name asked for, and the country of its last one or two words."""
     words = (query or "").strip().lower().replace(",", " ").split()

@@ -25,7 +25,7 @@ MOST_LAT = 85.05112878
 
 def nearby(files: DataFrame, meta: DataFrame, lat: float, lon: float, radius_km: float = 5.0, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Visible photos in a radius, the nearest first. The box is tested first: scans can skip by it."""
-    box = G.degree_box(lat, lon, radius_km)
+    box = G.circle_box(lat, lon, radius_km)
     near = meta.where(P.in_box(*box)).withColumn("km", G.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).where(F.col("km") <= radius_km)
     rows = files.where(P.visible()).join(near, F.col("id") == F.col("file_id")).select("id", "path", "lat", "lon", "km")
     if limit is None:

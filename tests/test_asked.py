@@ -61,6 +61,27 @@ def catalog(spark, places_of):
     return conform(files, "files"), conform(meta, "photo_meta")
 
 
+@pytest.mark.parametrize("lat, lon, radius", [(48.85, 2.35, 1500), (0.0, 179.0, 300), (89.0, 10.0, 400), (-60.0, -179.5, 2500), (10.0, 20.0, 12000), (0.0, 0.0, 30000)])
+def test_nearby_is_the_whole_circle(spark, lat, lon, radius):
+    """Places just within and just beyond the rim in all directions."""
+    import math
+
+    def km(a, b):
+        p, q = math.radians(lat), math.radians(a)
+        s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b - lon) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(s)))
+
+    spots = {}
+    for k in range(72):
+        for share in (0.3, 0.999999, 1.000001):
+            a, d, p = 2 * math.pi * k / 72, min(radius * share / 6371.0, math.pi), math.radians(lat)
+            y = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(a))
+            x = math.radians(lon) + math.atan2(math.sin(a) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(y))
+            spots[len(spots) + 1] = (math.degrees(y), (math.degrees(x) + 180) % 360 - 180)
+    got = {r.id for r in places.nearby(*catalog(spark, spots), lat, lon, radius).collect()}
+    assert got == {i for i, p in spots.items() if km(*p) <= radius} and len(got) >= 144
+
+
 def test_equal_ranks_come_by_id(spark, monkeypatch):
     """Sums that differ in their last bits are one rank."""
     from lumenfold.operators import text
