@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,31 @@ class Index:
     holding: Callable[[Node], Column] | None = None
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's terms with their positions: they are together already, so nothing is sent before it is put together."""
+    for batch in batches:
+        ids, words = batch.column(0), batch.column(1)
+        size = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not size.sum():
+            continue
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        key = doc * len(coded.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first, len(key))
+        doc, code = doc[order[first]], code[order[first]]
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+        columns = [coded.dictionary.take(pa.array(code)), ids.take(pa.array(doc)), pa.array(size[doc]), pa.array(np.diff(ends)), positions]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "file_id", "n_terms", "tf", "positions"])
+
+
 def build(texts: DataFrame, id_col: str = "file_id") -> Index:
-    """Documents without a term are not in the index."""
-    words = texts.select(F.col(id_col).alias("file_id"), terms(F.col("text")).alias("t")).where(F.size("t") > 0)
-    postings = (
-        words.select("file_id", F.size("t").cast("bigint").alias("n_terms"), F.posexplode("t").alias("position", "term"))
-        .groupBy("term", "file_id", "n_terms")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    )
+    """Documents without a term are not in the index; ``texts`` has a row a document."""
+    words = texts.select(F.col(id_col).cast("long").alias("file_id"), terms(F.col("text")).alias("t")).where(F.size("t") > 0)
+    postings = words.mapInArrow(_postings, "term string, file_id long, n_terms long, tf long, positions array<int>")
     return Index(postings, words.select("file_id", F.size("t").cast("bigint").alias("n_terms")))
 
 
@@ -160,6 +179,11 @@ def _leaves(node: Node) -> list[Node]:
     return [leaf for p in parts for leaf in _leaves(p)]
 
 
+def _every_leaf(node: Node) -> list[Node]:
+    """The excluded ones too."""
+    return [leaf for p in node.parts for leaf in _every_leaf(p)] if node.kind in ("and", "or", "not") else [node]
+
+
 def _any_word(node: Node) -> Column:
     """Terms that any part of a query reads, the excluded ones too."""
     if node.kind == "word":
@@ -214,7 +238,8 @@ def search(index: Index, query: str) -> DataFrame:
         return index.lengths.where("false").select("file_id", F.lit(0.0).alias("rank"))
     n, mean = index.totals or index.lengths.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
     # The postings of the query's words alone, made once.
-    found = checkpointed(matching(index, tree))
+    rows = matching(index, tree)
+    found = checkpointed(rows if any(leaf.kind == "phrase" for leaf in _every_leaf(tree)) else rows.drop("positions"))
     index, lengths = Index(found, index.lengths), found.select("file_id", "n_terms").distinct()
     leaves = [_leaf_rows(index, leaf).select("file_id", "tf", F.lit(i).alias("leaf")) for i, leaf in enumerate(dict.fromkeys(_leaves(tree)))]
     rows = reduce(DataFrame.unionByName, leaves)

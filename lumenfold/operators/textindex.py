@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators import text
+from lumenfold.session import batches_of, discard, stored
 
 BUCKETS = 64
 BEGINNING = 2
+#: Texts whose postings are made at a time.
+TEXTS_A_BATCH = 256
 POSTINGS = "term string, file_id long, n_terms long, tf long, positions array<int>"
 LENGTHS = "file_id long, n_terms long, h long"
 
@@ -99,8 +102,9 @@ class StoredIndex:
     def _write(self, g: int, k: int, postings: DataFrame, lengths: DataFrame, gone: DataFrame, docs: int, terms: int) -> None:
         at = f"{self.folder}/gen={g}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # A bucket may hold a large part of all postings: its terms are dealt to several files, each with a range of them.
-        dealt = postings.withColumn("bucket", bucket(F.col("term"))).repartitionByRange(parts, "bucket", "term", "file_id").sortWithinPartitions("bucket", "term", "file_id")
+        # A bucket may hold a large part of all postings, and a term too: their files are dealt to several parts, without a look at the postings beforehand.
+        deal = F.pmod(F.xxhash64("file_id"), F.lit(max(1, 4 * parts // BUCKETS)))
+        dealt = postings.withColumn("bucket", bucket(F.col("term"))).repartition(parts, "bucket", deal).sortWithinPartitions("bucket", "term", "file_id")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings/segment={k}")
         lengths.write.mode("overwrite").parquet(f"{at}/lengths/segment={k}")
         gone.write.mode("overwrite").parquet(f"{at}/gone/segment={k}")
@@ -111,23 +115,29 @@ class StoredIndex:
         g, segments = self.segments()
         k = (segments[-1] if segments else -1) + 1
         made = text.build(texts)
-        hashed = texts.select("file_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-        touched = texts.select(F.col("file_id").cast("long").alias("file_id"))
+        file_id = F.col("file_id").cast("long").alias("file_id")
+        hashed = stored(texts.select(file_id, F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+        touched = hashed.select("file_id")
         touched = (touched if gone is None else touched.unionByName(gone.select(F.col("file_id").cast("long").alias("file_id")))).distinct()
         count = (F.count(F.when(F.col("n_terms") > 0, 1)), F.coalesce(F.sum("n_terms"), F.lit(0)))
         old = self.lengths().join(touched, "file_id", "left_semi").agg(*count).first() if segments else (0, 0)
         new = hashed.agg(*count).first()
-        self._write(g, k, made.postings.select("term", "file_id", "n_terms", "tf", "positions"), hashed, touched, new[0] - old[0], new[1] - old[1])
+        with batches_of(self.spark, TEXTS_A_BATCH):
+            self._write(g, k, made.postings, hashed, touched, new[0] - old[0], new[1] - old[1])
+        discard(hashed)
 
     def sync(self, texts: DataFrame) -> int:
         """Take in what differs from ``texts`` (file_id, text; a row a file): how many files changed."""
+        if not self.segments()[1]:
+            self.change(texts)  # all of them, so nothing is compared
+            return self.lengths().count()
         now = texts.select(F.col("file_id").alias("f"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("now"))
         both = self.lengths().select("file_id", "h").join(now, F.col("file_id") == F.col("f"), "full")
         differ = both.where("h is null or now is null or h <> now").select(F.coalesce("f", "file_id").alias("d"), F.col("now").isNull().alias("gone"))
         n = differ.count()
-        if n or not self.segments()[1]:
+        if n:
             changed = texts.join(differ.where("not gone"), F.col("file_id") == F.col("d"), "left_semi")
-            self.change(changed, differ.where("gone").select(F.col("d").alias("file_id")))
+            self.change(stored(changed), differ.where("gone").select(F.col("d").alias("file_id")))
         return n
 
     def merge(self) -> None:

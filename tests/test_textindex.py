@@ -62,3 +62,11 @@ def test_only_the_query_s_buckets_are_read(spark, tmp_path, query, most):
     assert "Exchange" not in plan
     scanned = found._jdf.queryExecution().sparkPlan().collectLeaves().apply(0).selectedPartitions()
     assert 0 < scanned.partitionCount() <= most
+
+
+def test_postings_are_made_where_their_text_is(spark):
+    """No occurrence is sent before its document's are put together."""
+    made = text.build(frame(spark, [*TEXTS, (9, "b a b é b a")])).postings
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.term, r.n_terms, r.tf, tuple(r.positions)) for r in made.where("file_id = 9").collect()}
+    assert rows == {("b", 6, 3, (0, 2, 4)), ("a", 6, 2, (1, 5)), ("e", 6, 1, (3,))} and made.where("file_id in (4, 5)").count() == 0
