@@ -6,9 +6,9 @@ words, by a mixture of two: a word that the training documents have, by its coun
 at all, spelled in Huffman-coded bytes up to a terminator. Counts of all words are kept in a table that grows with the corpus and
 are joined to a text's words. So every sequence of tokens has one probability, and these sum to 1 at most.
 
-Each bit is predicted in several contexts, hashed to slots:
+Each bit is predicted in several contexts, hashed to slots but for the heaviest nodes, which have rows of slots:
 - two static ones with counts from all training documents: for common words the code's
-  node, and the node after the word before it, or the last one before it that is common enough to be a context; for spelling the node after the last 2 and 4 bytes of
+  node, and the node after the common word before it; for spelling the node after the last 2 and 4 bytes of
   the word, with each distinct word counted once, as a new word is more like other rare words than like the commonest;
 - one that learns inside the document: the node in the document so far.
 Predictions are mixed in the logistic domain by a vector of weights that a gate chooses from
@@ -54,23 +54,28 @@ WORDS_A_TASK = 2_000_000
 FLUSH = 400_000
 TEXT_BYTES = 1 << 19
 TERM, SYMBOLS = 256, 257
-#: Eight gates for common words, by how often the context was seen, and four for spelling.
-GATES = 12
+#: Eight gates for common words, by how often the context was seen; four for hashed slots seen often, and four for spelling.
+GATES = 16
+#: Levels of hashed slots from here on have gates of their own.
+OFTEN = 3
 INPUTS = 3
 #: Starting weights of the two static predictors and of the document's own: for common words by how often the context was seen, and for spelling.
-START_HOT = ((0.95, 0.85, 0.65, 0.5, 0.35, 0.25, 0.15, 0.1), (0.0, 0.25, 0.4, 0.55, 0.7, 0.8, 0.9, 0.95), (0.25,) * 8)
+START_HOT = ((0.95, 0.6, 0.5, 0.4, 0.3, 0.25, 0.15, 0.1), (0.0, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95), (0.25,) * 8)
+#: A hashed slot that was seen often is most likely shared by several contexts, and isn't trusted until it proves right.
+START_DEEP = (0.95, 0.0, 0.25)
 START_SPELLED = (0.25, 0.75, 0.15)
 RATE = 1.5
 CORRECTION_RATE = 0.1
 CORRECTIONS = 24
-#: The commonest words are contexts for what follows: so many where the table has a slot for each training token, and by
-#: this power of slots a token more or fewer, LEAST_CONTEXTS at least, as words that share slots tell less than fewer words that don't.
-CONTEXT_WORDS, CONTEXT_POWER, LEAST_CONTEXTS = 8192, 3.3, 8
+#: The common word before is the context of what follows, whatever the corpus's size. Words go by their places' last bits to so many rows (the commonest
+#: don't share theirs), which have a slot for each of so many of the code's heaviest nodes, those of a token's first bits;
+#: nodes beyond these are hashed to slots, also of a fixed number.
+ROW_BITS, CONTEXT_NODES = 14, 1024
+#: Of a context's place: its row's begin has so many bits, what the row doesn't tell of it is above.
+BEGIN_BITS = 25
+DEEP_BITS = 23
 #: Training tokens that a task counts in contexts, at least: its table is as large as the whole one.
-TOKENS_A_TASK = 6_000_000
-#: Slots of the contexts' table, in bits: so many for each training token, between these bounds.
-SLOTS_A_TOKEN = 16
-CONTEXT_BITS = (12, 23)
+TOKENS_A_TASK = 16_000_000
 #: Parts of a sum that one task adds up.
 FAN_IN = 32
 
@@ -160,25 +165,28 @@ def _spell(words: list[bytes], code: tuple[np.ndarray, ...]) -> tuple[np.ndarray
     return word_bits, slots, node.astype(np.int32), bits[at]
 
 
-def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log-odds in 1/256 over three low bits of how often the slot was seen."""
+def _packed(n0: np.ndarray, n1: np.ndarray, hashed: bool = False) -> np.ndarray:
+    """Log-odds in 1/128 over four low bits, the gate: how often the slot was seen, and whether it is ``hashed`` and was seen often."""
     seen = n0 + n1
     odds = np.log((n1 + 0.3) / (n0 + 0.3))
     level = np.clip(np.floor(np.log2(seen + 1)), 0, 7).astype(np.int32)
-    return (np.clip(np.rint(odds * 256), -4000, 4000).astype(np.int32) << 3 | level).astype(np.int16)
+    if hashed:
+        level = np.where(level < OFTEN, level, np.minimum(level + 8 - OFTEN, 11))
+    return (np.clip(np.rint(odds * 128), -2000, 2000).astype(np.int32) << 4 | level).astype(np.int16)
 
 
-def _context(ids: np.ndarray, n: int, words: int) -> np.ndarray:
-    """Before each token the last of the commonest ``words``, hashed; ``n`` where there is none."""
-    place = np.where(ids < min(words, n), np.arange(len(ids)), -1)
+def _context(ids: np.ndarray, n: int) -> np.ndarray:
+    """The last common word before each token; ``n`` where there is none."""
+    place = np.where(ids < n, np.arange(len(ids)), -1)
     last = np.concatenate(([-1], np.maximum.accumulate(place)[:-1]))
-    return np.where(last >= 0, ids[last], n).astype(np.uint32) * np.uint32(0x9E3779B1)
+    return np.where(last >= 0, ids[last], n)
 
 
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Where a node's counts in a context are."""
-    h = node.view(np.uint32) * np.uint32(0x85EBCA77)
-    h += context
+    """Where a node's counts in a context are, if it is none of the heaviest."""
+    h = context.astype(np.uint32)
+    h *= np.uint32(0x9E3779B1)
+    h += node.view(np.uint32) * np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h >>= np.uint32(32 - bits)
@@ -213,9 +221,11 @@ class Model:
         self.weights = np.concatenate((counts, [max(n_end, 1), max(n_other + once, 1)])).astype(np.float64)
         self.tree, self.spelling = huffman(self.weights), huffman(spelling)
         self.tables: list[np.ndarray] = [np.zeros(1 << SLOT_BITS, np.int16) for _ in ORDERS]
-        self.bits = min(max((SLOTS_A_TOKEN * max(total, 2)).bit_length(), CONTEXT_BITS[0]), CONTEXT_BITS[1])
-        self.contexts = np.zeros(1 << self.bits, np.int16)
-        self.context_words = max(LEAST_CONTEXTS, int(min(HOT, CONTEXT_WORDS * ((1 << self.bits) / max(total, 1)) ** CONTEXT_POWER)))
+        self.row_bits, self.deep_bits = ROW_BITS, DEEP_BITS
+        self.rows, self.context_nodes = min(1 << ROW_BITS, len(words) + 2), min(CONTEXT_NODES, len(words) + 1)
+        #: By row and node.
+        self.contexts = np.zeros(self.rows * self.context_nodes, np.int16)
+        self.deep = np.zeros(1 << DEEP_BITS, np.int16)
         #: Of the words behind an escape, the share that is given to those that were counted, and their tokens.
         self.known_share = min(max((n_other - once) / n_other, 0.1), 0.9) if n_other else 0.0
         self.n_other = n_other
@@ -241,6 +251,11 @@ class Model:
                 both += np.bincount(nodes[some], each, size)
                 one += np.bincount(nodes[some], each * bits[some], size)
             plain = np.log(one / (both - one)).astype(np.float32)
+            # Nodes come by weight, so a code's first bits are at the heaviest; what these tell of a token is its stem.
+            heavy = size - self.context_nodes
+            heads = np.add.reduceat((nodes >= heavy).astype(np.int32), starts)
+            last = starts + heads - 1
+            _, one_of, stem = np.unique(nodes[last].astype(np.int64) << 1 | bits[last], return_index=True, return_inverse=True)
             place = (np.arange(size, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(12)) % np.uint32(LOCAL_SLOTS - 1) + np.uint32(1)
             self._ready = {
                 "index": _Places((w, i) for i, w in enumerate(self.words)),
@@ -248,34 +263,52 @@ class Model:
                 # Bits of common words: node and bit taken. Behind them is room for a batch's other words, whose
                 # bits are nodes of their own; the first of these is filler.
                 "codes": _Room(np.concatenate(([size << 1], nodes << 1 | bits)).astype(np.int32)),
-                "meta": _Room(place.astype(np.int32) << 3),
-                "plain": _Room(plain),
+                "meta": _Room(place.astype(np.int32)),
+                "plain": _Room(plain), "told": _Room(np.concatenate((self.deep, self.contexts))),
+                "heavy": heavy, "stem": stem, "stems": (1 + starts[one_of], heads[one_of]), "heads": heads,
                 "first": _Room(1 + starts.astype(np.int32)), "length": _Room(lengths.astype(np.int32)),
                 "size": size, "n": n, "n_codes": len(nodes), "escape": (1 + int(starts[n + 1]), int(lengths[n + 1])), "spell": _flat(self.spelling),
             }
+            # These are two views of one array now.
+            self.deep, self.contexts = np.split(self._ready["told"].kept(), [len(self.deep)])
             # What only served to make these is let go.
             self.counts = self.weights = self.tree = self.words = None
         return self._ready
 
-    def bits_of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the ids of its common words, end and escapes, their contexts, and nodes and bits by token (lengths)."""
+    def no_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros for :meth:`count_contexts`."""
+        return np.zeros((self.rows, len(self.ready()["stems"][0])), np.int32), np.zeros(2 << self.deep_bits, np.float32)
+
+    def count_contexts(self, texts: list[str | None], pairs: np.ndarray, deep: np.ndarray) -> None:
+        """Add these texts' tokens, common words, ends and escapes, to ``pairs``, by row and stem, and their bits behind the stem to ``deep``."""
         r = self.ready()
-        get, n = r["index"].__getitem__, r["n"]
-        first, length = r["first"].kept(), r["length"].kept()
+        codes, first, length, heads = (*(r[k].kept() for k in ("codes", "first", "length")), r["heads"])
+        get, n, stem = r["index"].__getitem__, r["n"], r["stem"]
         for text in texts:
             words = words_of(text)
             ids = np.fromiter(chain(map(get, words), (n,)), np.int64, len(words) + 1)
             ids[ids < 0] = n + 1
-            size = length.take(ids)
-            yield ids, _context(ids, n, self.context_words), _ranges(first.take(ids), size), size
-
-    def count_contexts(self, texts: list[str | None], counts: np.ndarray) -> None:
-        """Add what these texts' tokens, common words, ends and escapes, show of nodes in contexts; ``counts``: zeros and ones of each slot."""
-        codes = self.ready()["codes"].kept()
-        for _, context, bits, size in self.bits_of(texts):
-            code = codes.take(bits)
-            slot = _slot(np.repeat(context, size), code >> 1, self.bits)
-            np.add.at(counts, slot * 2 + (code & 1), np.float32(1))
+            context, head = _context(ids, n), heads.take(ids)
+            np.add.at(pairs.ravel(), (context & (1 << self.row_bits) - 1) * pairs.shape[1] + stem.take(ids), np.int32(1))
+            behind = length.take(ids) - head
+            code = codes.take(_ranges(first.take(ids) + head, behind))
+            np.add.at(deep, _slot(np.repeat(self._begin(context), behind), code >> 1, self.deep_bits) * 2 + (code & 1), np.float32(1))
+
+    def _begin(self, context: np.ndarray) -> np.ndarray:
+        """Where the nodes of these contexts' rows would begin behind the hashed ones, with the rest of the contexts above."""
+        begin = (context & (1 << self.row_bits) - 1) * self.context_nodes + (len(self.deep) - self.ready()["heavy"])
+        return (begin | context >> self.row_bits << BEGIN_BITS).astype(np.int32)
+
+    def node_counts(self, pairs: np.ndarray, rows: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+        """Zeros and ones of the heaviest nodes, of the tokens that :meth:`count_contexts` told: some rows at a time, with the first slot of these."""
+        r = self.ready()
+        codes, (first, length), width = r["codes"].kept(), r["stems"], self.context_nodes * 2
+        for at in range(0, len(pairs), rows):
+            seen = pairs[at : at + rows]
+            k, stem = np.nonzero(seen)
+            size = length.take(stem)
+            place = codes.take(_ranges(first.take(stem), size)) - 2 * r["heavy"] + np.repeat(k * width, size)
+            yield at * self.context_nodes, np.bincount(place, np.repeat(seen[k, stem], size), len(seen) * width).astype(np.float32)
 
     def score(self, texts: list[str | None]) -> list[tuple]:
         """For each text: tokens, known common ones, their base score, the other words, log10 of these as spelled, and the log10 probability of all but these."""
@@ -294,21 +327,24 @@ class Model:
             streams.append(ids)
         word_bits, slots, _, bit = _spell(list(cold), r["spell"])
         looked = [t.take(s) for t, s in zip(self.tables, slots, strict=True)]
-        level = (looked[-1] & 7).astype(np.int32)
+        level = (looked[-1] & 15).astype(np.int32)
+        gate = (12 + np.minimum((level + 1) // 2, 3)).astype(np.int16)
         # A spelling bit's place in the document's own counts has the context of the shortest order.
         own = (slots[0].astype(np.int64) * 2654435761 >> 5) % (LOCAL_SLOTS - 1) + 1
         codes = r["codes"].with_tail((r["size"] + 1 + np.arange(len(bit), dtype=np.int32)) << 1 | bit)
-        meta = r["meta"].with_tail(np.concatenate(([0], own << 3 | np.minimum((level + 1) // 2, 3))))
-        plain = r["plain"].with_tail(np.concatenate(([0], (looked[0] >> 3) * np.float32(1 / 256))))
-        tail = np.concatenate(([0], (looked[1] >> 3) * np.float32(1 / 256))).astype(np.float32)
+        meta = r["meta"].with_tail(np.concatenate(([0], own)))
+        # What a spelling bit's longest order tells stands behind the contexts.
+        told = r["told"].with_tail(np.concatenate((np.zeros(1, np.int16), looked[-1] & ~np.int16(15) | gate)))
+        plain = r["plain"].with_tail(np.concatenate(([0], (looked[0] >> 4) * np.float32(1 / 128))))
         first = r["first"].with_tail(1 + r["n_codes"] + np.cumsum(word_bits, dtype=np.int32) - word_bits)
         size = r["length"].with_tail(word_bits)
         escape_start, escape_size = r["escape"]
         sequences, contexts = [], []
+        behind = len(self.deep) + len(self.contexts) - r["size"]
         for ids in streams:
             away = ids >= n + 2
             length = size.take(ids)
-            context = _context(ids, n, self.context_words)
+            context = self._begin(_context(ids, n))
             if away.any():
                 begin = np.stack((np.full(len(ids), escape_start), first[ids]), axis=1)
                 both = np.stack((np.where(away, escape_size, 0), length), axis=1)
@@ -316,12 +352,12 @@ class Model:
                 ends = np.cumsum(both.ravel())
                 at = np.flatnonzero(away)
                 spelled.append((ends[2 * at], ends[2 * at + 1]))
-                length = both.sum(axis=1)
+                context, length = np.stack((context, np.where(away, behind, context)), axis=1).ravel(), both.ravel()
             else:
                 sequences.append(_ranges(first.take(ids), length))
                 spelled.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
             contexts.append(np.repeat(context, length))
-        found = _mix(sequences, contexts, codes, meta, plain, tail, self.contexts, self.bits, r["size"])
+        found = _mix(sequences, contexts, codes, meta, plain, told, r["heavy"], self.deep_bits)
         rows = []
         for o, logs, (begin, end) in zip(out, found, spelled, strict=True):
             # Sums from each begin to its end, and from there to the next, of which every other is wanted.
@@ -356,71 +392,80 @@ class _Room:
 
 
 def _mix(
-    sequences: list[np.ndarray], contexts: list[np.ndarray], codes: np.ndarray, meta: np.ndarray, plain: np.ndarray, tail: np.ndarray,
-    table: np.ndarray, bits: int, n_nodes: int,
+    sequences: list[np.ndarray], contexts: list[np.ndarray], codes: np.ndarray, meta: np.ndarray, plain: np.ndarray, table: np.ndarray, heavy: int, deep_bits: int,
 ) -> list[np.ndarray]:
-    """The natural logarithm of each bit's probability. Entry 0 of the codes is filler and has no part."""
+    """The natural logarithm of each bit's probability; ``contexts``: where the nodes of its context would begin in ``table``; those below ``heavy`` are hashed. Entry 0 of the codes is filler and has no part."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     blocks = np.array([max(1, -(-len(sequences[i]) // BLOCK)) for i in order])
     ends = np.cumsum(blocks) * BLOCK
     starts = ends - blocks * BLOCK
-    padded, before = np.zeros(int(ends[-1]), np.int32), np.zeros(int(ends[-1]), np.uint32)
+    padded, before = np.zeros(int(ends[-1]), np.int32), np.zeros(int(ends[-1]), np.int32)
     for i, at in zip(order, starts, strict=True):
         padded[at : at + len(sequences[i])] = sequences[i]
         before[at : at + len(sequences[i])] = contexts[i]
     logs = np.zeros(int(ends[-1]), np.float32)
     docs = len(order)
     weight = np.empty((INPUTS, docs, GATES), np.float32)
-    weight[:, :, :8], weight[:, :, 8:] = np.reshape(START_HOT, (-1, 1, 8)), np.reshape(START_SPELLED, (-1, 1, 1))
+    weight[:, :, :8] = np.reshape(START_HOT, (-1, 1, 8))
+    weight[:, :, 8:12], weight[:, :, 12:] = np.reshape(START_DEEP, (-1, 1, 1)), np.reshape(START_SPELLED, (-1, 1, 1))
     correction = np.zeros((docs, CORRECTIONS), np.float32)
-    seen = np.full((docs * LOCAL_SLOTS, 2), 0.4, np.float32)
+    seen, own = np.full((docs * LOCAL_SLOTS, 2), 0.4, np.float32), np.zeros(docs * LOCAL_SLOTS, np.float32)
     one = np.float32(1)
     for step in range(int(blocks[0])):
-        live = int(np.searchsorted(-blocks, -step, side="left"))
+        live, more = (int(np.searchsorted(-blocks, -b, side="left")) for b in (step, step + 1))
         rows = starts[:live] // BLOCK + step
         j = padded.reshape(-1, BLOCK).take(rows, axis=0)
         row = np.arange(live, dtype=np.int32)[:, None]
         code = codes.take(j)
         bit, node = code & 1, code >> 1
-        about = meta.take(node)
-        here = (about >> 3) + row * LOCAL_SLOTS
+        here = meta.take(node)
+        here += row * LOCAL_SLOTS
         x0 = plain.take(node)
-        told = table.take(_slot(before.reshape(-1, BLOCK).take(rows, axis=0), node, bits))
-        # A common word's bit is gated by how well its context is known, a spelled one's by its own table.
-        which = (told & 7) + row * GATES
-        told >>= 3
-        x1 = told * np.float32(1 / 256)
-        away = np.flatnonzero(node >= n_nodes)
-        x1.reshape(-1)[away] = tail.take(node.reshape(-1).take(away) - n_nodes)
-        which.reshape(-1)[away] = (about.reshape(-1).take(away) & 7) + 8 + (away // BLOCK) * GATES
-        counted = seen.take(here, axis=0)
-        x2 = np.log(counted[..., 1] / counted[..., 0])
+        begin = before.reshape(-1, BLOCK).take(rows, axis=0)
+        slot = _slot(begin, node, deep_bits)
+        begin &= (1 << BEGIN_BITS) - 1
+        begin += node
+        told = table.take(np.where(node < heavy, slot, begin))
+        which = (told & 15).astype(np.intp)
+        which += row * GATES
+        x1 = (told >> 4) * np.float32(1 / 128)
+        x2 = own.take(here)
         w = weight[:, :live].reshape(INPUTS, -1)
-        z = x0 * w[0].take(which)
-        z += x1 * w[1].take(which)
-        z += x2 * w[2].take(which)
+        z = w[0].take(which)
+        z *= x0
+        for x, of_x in ((x1, w[1]), (x2, w[2])):
+            part = of_x.take(which)
+            part *= x
+            z += part
         np.clip(z, -14, 14, out=z)
-        bucket = ((z + 14) * np.float32(CORRECTIONS / 28.001)).astype(np.int32)
+        bucket = ((z + 14) * np.float32(CORRECTIONS / 28.001)).astype(np.intp)
         bucket += row * CORRECTIONS
         z += correction[:live].ravel().take(bucket)
         sign = (1 - 2 * bit).astype(np.float32)  # turned round
         z *= sign
         np.exp(z, out=z)
         z += 1
-        p = 1 / z
         logs.reshape(-1, BLOCK)[rows] = -np.log(z)
-        if step + 1 < int(blocks[0]):
-            error = (sign * (p - 1) * (j != 0)).ravel().astype(np.float64)
-            which, bucket = which.ravel().astype(np.intp), bucket.ravel().astype(np.intp)
-            scale = RATE / (np.bincount(which, minlength=live * GATES) + 60)
+        if more:
+            # Only texts that go on learn.
+            p = 1 / z[:more]
+            p -= 1
+            p *= sign[:more]
+            p *= j[:more] != 0
+            error = p.ravel()
+            which, bucket = which[:more].ravel(), bucket[:more].ravel()
+            scale = RATE / (np.bincount(which, minlength=more * GATES) + 60)
             for k, x in enumerate((x0, x1, x2)):
-                weight[k, :live] += (scale * np.bincount(which, error * x.ravel(), live * GATES)).reshape(live, -1)
-            counted = np.bincount(bucket, minlength=live * CORRECTIONS) * 0.2 + 10
-            correction[:live] += (CORRECTION_RATE * np.bincount(bucket, error, live * CORRECTIONS) / counted).reshape(live, -1)
+                weight[k, :more] += (scale * np.bincount(which, error * x[:more].ravel(), more * GATES)).reshape(more, -1)
+            counted = np.bincount(bucket, minlength=more * CORRECTIONS) * 0.2 + 10
+            correction[:more] += (CORRECTION_RATE * np.bincount(bucket, error, more * CORRECTIONS) / counted).reshape(more, -1)
+            here = here[:more]
             here *= 2
-            here += bit
+            here += bit[:more]
             np.add.at(seen.ravel(), here.ravel(), one)
             seen[::LOCAL_SLOTS] = 0.4  # the filler's
+            counted = seen[: more * LOCAL_SLOTS]
+            np.log(counted[:, 1] / counted[:, 0], out=own[: more * LOCAL_SLOTS])
     found: list = [None] * docs
     for i, at in zip(order, starts, strict=True):
         found[i] = logs[at : at + len(sequences[i])]
@@ -444,19 +489,19 @@ def _level(n: Column) -> Column:
     return F.when(n < 1024, n).otherwise(1024 + F.floor(64 * F.log2(n / 1024)))
 
 
-def _parts(counts: np.ndarray, k: int, task: int) -> Iterator[pd.DataFrame]:
-    """Counts of zeros and ones by slot, in ranges of slots."""
+def _parts(counts: np.ndarray, k: int, task: int, begin: int = 0) -> Iterator[pd.DataFrame]:
+    """Counts of zeros and ones by slot from ``begin`` on, in ranges of slots."""
     for at in range(0, len(counts) // 2, RANGE):
         part = counts[2 * at : 2 * (at + RANGE)]
         if part.any():
-            yield pd.DataFrame({"k": [k], "at": [at], "task": [task], "part": [zlib.compress(part.tobytes(), 1)]})
+            yield pd.DataFrame({"k": [k], "at": [begin + at], "task": [task], "part": [zlib.compress(part.tobytes(), 1)]})
 
 
 _PARTS = "k int, at int, task long, part binary"
 
 
-def _sum(parts: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Table, first slot and packed odds of every range of slots, added up in a tree: no task adds more than FAN_IN parts."""
+def _sum(parts: DataFrame, often: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Table, first slot and packed odds of every range of slots, added up in a tree: no task adds more than FAN_IN parts. ``often``: tables of hashed contexts."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = np.zeros(1, np.float32)
@@ -465,8 +510,9 @@ def _sum(parts: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "at": pdf["at"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN_IN, "part": [zlib.compress(whole.tobytes(), 1)]})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashed = pdf["k"].iloc[0] in often
         whole = np.frombuffer(zlib.decompress(add(pdf)["part"].iloc[0]), np.float32).reshape(-1, 2)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "at": pdf["at"].iloc[:1], "odds": [zlib.compress(_packed(whole[:, 0], whole[:, 1]).tobytes(), 1)]})
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "at": pdf["at"].iloc[:1], "odds": [zlib.compress(_packed(whole[:, 0], whole[:, 1], hashed).tobytes(), 1)]})
 
     parts = stored(parts)
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
@@ -546,16 +592,18 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         shared = spark.sparkContext.broadcast(model)
 
         def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(2 << shared.value.bits, np.float32)
+            model = shared.value
+            pairs, deep = model.no_counts()
             for pdf in batches:
-                for texts in _some(pdf["text"]):
-                    shared.value.count_contexts(texts, sums)
-            yield from _parts(sums, 0, TaskContext.get().partitionId())
+                model.count_contexts(pdf["text"], pairs, deep)
+            yield from _parts(deep, 1, TaskContext.get().partitionId())
+            for begin, counts in model.node_counts(pairs):
+                yield from _parts(counts, 0, TaskContext.get().partitionId(), begin)
 
         # Fewer tasks, without a shuffle, so that there are fewer tables to add up.
         texts = docs.select("text").coalesce(-(-model.total // TOKENS_A_TASK))
-        for _, at, odds in _sum(texts.mapInPandas(contexts, _PARTS)):
-            model.contexts[at : at + len(odds)] = odds
+        for k, at, odds in _sum(texts.mapInPandas(contexts, _PARTS), (1,)):
+            (model.contexts, model.deep)[k][at : at + len(odds)] = odds
         shared.unpersist()
     return model, counts
 

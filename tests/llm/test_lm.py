@@ -125,3 +125,36 @@ def test_edges(spark):
     assert lm.score_all(rows.limit(0)).count() == 0
     held = spark.createDataFrame([(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in lm.score_all(held).collect())
+
+
+def test_contexts_do_not_follow_the_size_of_the_corpus():
+    words, counts = [b"w%d" % i for i in range(100)], np.arange(200, 100, -1)
+    small, large = (lm.Model(words, counts * k, 5 * k, 0, 0, int(counts.sum() + 5) * k, 101, np.ones(lm.SYMBOLS)) for k in (1, 10_000))
+    assert small.contexts.shape == large.contexts.shape and small.deep.shape == large.deep.shape
+
+
+def test_contexts_against_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROW_BITS", 2)
+    monkeypatch.setattr(lm, "CONTEXT_NODES", 6)
+    monkeypatch.setattr(lm, "HOT", 12)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40)) for _ in range(30)] + ["", None]
+    model, _ = fitted(spark, texts)
+    names = list(model.words)
+    r = model.ready()
+    codes, first, length, n, heavy = r["codes"].kept(), r["first"].kept(), r["length"].kept(), r["n"], r["size"] - 6
+    want, deep = np.zeros((4, 6, 2)), np.zeros((1 << lm.DEEP_BITS, 2))
+    for text in texts:
+        last = n
+        for token in tokens(text):
+            i = n if token is None else names.index(token) if token in names else n + 1
+            for code in codes[first[i] : first[i] + length[i]].tolist():
+                node, bit = code >> 1, code & 1
+                if node >= heavy:
+                    want[last % 4, node - heavy, bit] += 1
+                else:
+                    deep[lm._slot(model._begin(np.array([last])), np.array([node], np.int32), lm.DEEP_BITS)[0], bit] += 1
+            last = i if i < n else last
+    assert 6 < n <= 12 and heavy > 0 and deep.any()
+    for got, counts, hashed in ((model.contexts, want, False), (model.deep, deep, True)):
+        assert (got == lm._packed(counts[..., 0].ravel(), counts[..., 1].ravel(), hashed)).all()
