@@ -159,6 +159,21 @@ def _matrix(row: dict) -> np.ndarray:
     return np.frombuffer(row["data"], np.float64).reshape(len(row["p"]), -1)
 
 
+def _take_nearest(d: np.ndarray, ids: np.ndarray, counts: np.ndarray, dist: np.ndarray, who: np.ndarray, many: np.ndarray) -> None:
+    """The nearest of what is known and of ``d``, by distance and id, in place. Only what is no farther than the last known one is sorted."""
+    k = dist.shape[1]
+    rows = np.flatnonzero(d.min(axis=1) <= dist[:, -1])
+    if not len(rows):
+        return
+    d = d[rows]
+    upto = np.minimum(dist[rows, -1], np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] > k else dist[rows, -1]
+    width = int((d <= upto[:, None]).sum(axis=1).max())  # ties beyond k too, which ids decide
+    near = np.argpartition(d, width - 1, axis=1)[:, :width]
+    all_d, all_i, all_c = np.concatenate((dist[rows], np.take_along_axis(d, near, axis=1)), axis=1), np.concatenate((who[rows], ids[near]), axis=1), np.concatenate((many[rows], counts[near]), axis=1)
+    best = np.lexsort((all_i, all_d), axis=1)[:, :k]
+    dist[rows], who[rows], many[rows] = (np.take_along_axis(a, best, axis=1) for a in (all_d, all_i, all_c))
+
+
 def _search_neighbours(k: int, min_size: int):
     """Each point's ``k`` nearest others, its core distance, and how far unknown ones are at least."""
 
@@ -172,10 +187,7 @@ def _search_neighbours(k: int, min_size: int):
                     continue
                 d = _distances(x, y)
                 d[mine[:, None] == ids[None]] = np.inf
-                all_d, all_i = np.concatenate((dist, d), axis=1), np.concatenate((who, np.broadcast_to(ids, d.shape)), axis=1)
-                all_c = np.concatenate((many, np.broadcast_to(counts, d.shape)), axis=1)
-                best = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                dist[:], who[:], many[:] = (np.take_along_axis(a, best, axis=1) for a in (all_d, all_i, all_c))
+                _take_nearest(d, ids, counts, dist, who, many)
         found = []
         for r, (_, mine, dist, who, many) in zip(own, state):
             known = np.isfinite(dist)

@@ -115,3 +115,22 @@ def test_few(spark):
     assert told(density.clusters(frame(spark, np.zeros((0, 2))), 3), 0) == []
     x = blobs(np.random.default_rng(0), 60, 3, 3, 0.05)
     assert told(density.clusters(frame(spark, x), 3), 60) == brute(x, 3)
+
+
+def test_only_the_nearest_are_sorted(monkeypatch):
+    """Merging a block's distances sorts few of them, and gives what sorting all gives, ties and gaps included."""
+    rng = np.random.default_rng(1)
+    widest, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis: widest.append(keys[0].shape[1]) or plain(keys, axis=axis))
+    for n, steps in ((3, 5), (40, 6), (400, 10**6)):
+        state = np.full((30, 8), np.inf), np.full((30, 8), -1), np.zeros((30, 8), np.int64)
+        seen_d, seen_i = np.zeros((30, 0)), np.zeros(0, np.int64)
+        for block in range(4):
+            d, ids = rng.integers(0, steps, (30, n)) / 4, rng.permutation(n) + 1000 * (3 - block)
+            density._take_nearest(d.copy(), ids, ids % 7 + 1, *state)
+            seen_d, seen_i = np.concatenate((seen_d, d), axis=1), np.concatenate((seen_i, ids))
+            for row in range(30):
+                best = plain((seen_i, seen_d[row]))[:8]
+                assert state[0][row, : len(best)].tolist() == seen_d[row, best].tolist() and state[1][row, : len(best)].tolist() == seen_i[best].tolist()
+                assert state[2][row, : len(best)].tolist() == (seen_i[best] % 7 + 1).tolist()
+        assert n < 400 or max(widest[-4:]) <= 20
