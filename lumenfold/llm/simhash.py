@@ -17,10 +17,12 @@ star from the least of each such group keeps every component. That is exact, and
 in the list's length.
 
 keep_one and near_duplicates have another rule: texts are linked if the sets of their
-five-word shingles have a Jaccard similarity of 0.8 or more. Sets that are alike share one
+five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of these sets go
+through the index above first, and its pairs are compared shingle by shingle. Alike sets may
+differ in more bits than it reaches: they share one
 of their first shingles by any common order (prefix filtering); here shingles of many
-texts come last. Pairs of one list go by their sizes and places, the rest are compared
-shingle by shingle; no pair that is alike is missed but for clashes of 64-bit hashes.
+texts come last. Pairs of one list, of long lists those that the first pass left in different components, go by
+their sizes and places, the rest are compared too; no pair that is alike is missed but for clashes of 64-bit hashes.
 
 Defined results: a text that is null or has no words has fingerprint 0, linked like any
 other; fewer than three words are one shingle; repeated rows share their fingerprint; a
@@ -30,7 +32,7 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,8 +85,12 @@ def shingle_hashes(text: str | None, words_a_shingle: int) -> Iterator[np.ndarra
 
 def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
     """The text's SimHash, as a signed 64-bit number."""
+    return _fingerprint(shingle_hashes(text, words_a_shingle))
+
+
+def _fingerprint(blocks: Iterable[np.ndarray]) -> int:
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, words_a_shingle):
+    for hashes in blocks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     bits = np.packbits(counts * 2 > n, bitorder="little")
@@ -182,6 +188,23 @@ def shingle_set(text: str | None, words_a_shingle: int = NEAR_WORDS) -> np.ndarr
     return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of the set, each shingle once."""
+    return _fingerprint(shingles[at : at + BLOCK] for at in range(0, len(shingles), BLOCK))
+
+
+def fingerprint_pairs(sets: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+    """``a``, ``b``: pairs of sets that the index of fingerprints brings together.
+
+    ``sets``: ``fp``, a name, and ``print``. Sets of one fingerprint form a star, and of each two linked fingerprints the least sets are a pair.
+    """
+    least = checkpointed(sets.groupBy("print").agg(F.min("fp").alias("least")))
+    of_a, of_b = (least.select(F.col("print").alias(x), F.col("least").alias(f"of_{x}")) for x in "ab")
+    near = links(least.select(F.col("print").alias("fp")), list_cap).join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    equal = sets.join(least, "print").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def set_id(shingles: np.ndarray) -> int:
     """A number that names the set; 0 if it is empty."""
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63) if len(shingles) else 0
@@ -242,11 +265,14 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = spark.sparkContext.broadcast(_common(docs.select("text")))
     release(spark)
 
-    @F.pandas_udf("fp long, n int, prefix array<long>")
+    @F.pandas_udf("fp long, n int, prefix array<long>, print long")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t) for t in texts]
-            yield pd.DataFrame({"fp": [set_id(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s, *known.value) for s in sets]})
+            yield pd.DataFrame({
+                "fp": [set_id(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s, *known.value) for s in sets],
+                "print": [set_fingerprint(s) for s in sets],
+            })
 
     @F.pandas_udf("fp long, shingles array<long>")
     def whole(texts: pd.Series) -> pd.DataFrame:
@@ -259,6 +285,8 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     text_hash = F.xxhash64("text").alias("t")
     rows = stored(docs.select(*[F.col(quoted(c)).alias(f"c_{c}") for c in _others(docs)], text_hash, marks(F.col("text")).alias("m")).select("*", "m.*").drop("m"))
+    named = fingerprint_pairs(checkpointed(rows.where("n > 0").select("fp", "print").distinct()))
+    release(spark)
     sets = rows.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"])
     # Dealt out as rows, which are a fraction of the bytes of an aggregate's unfinished lists.
     postings = sets.select("fp", "n", F.posexplode("prefix").alias("at", "s")).repartition("s")
@@ -266,6 +294,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = stored(lists.where(F.size("l") > 1))
     del sets, postings
     release(spark)
+
     def only_alike(pairs: DataFrame) -> DataFrame:
         # Sets are made again, of those texts alone that a pair names.
         pairs = stored(pairs.select("a", "b"))
@@ -301,9 +330,9 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(near_size)
         .select(*_in_order("x", "y"))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        .distinct()
     )
-    first = only_alike(chain)
+    first = only_alike(named.unionByName(chain).distinct())
+    del named, chain
     # Of the long lists' pairs only those of different components are left to compare; none is left out.
     component = checkpointed(connected_components(first, "a", "b").withColumnRenamed("node", "fp"))
     short = (

@@ -36,7 +36,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.batches import bounded_batches
@@ -52,6 +52,8 @@ FIRST_BLOCKS = 8
 COMMON = 16
 #: Texts whose common terms are multiplied together.
 TOGETHER = 64
+#: Tasks that vote on the examples.
+CURVE_TASKS = 6
 #: The least factor of a term.
 FLOOR = 0.002
 EPSILON = 1e-9
@@ -220,18 +222,25 @@ class Model:
         first = np.lexsort((examples, -cosine))[:3]
         return share, examples[first], cosine[first]
 
-    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], left_out: bool = False) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """A vote on each query. With ``left_out`` the queries are the examples, each without itself."""
-        for at in range(0, len(queries), TOGETHER):
-            some = queries[at : at + TOGETHER]
+    def votes(
+        self, queries: list[tuple[np.ndarray, np.ndarray]], left_out: bool = False, begin: int = 0, end: int | None = None,
+    ) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """A vote on each query from ``begin`` to ``end``. With ``left_out`` the queries are the examples, each without itself."""
+        end = len(queries) if end is None else min(end, len(queries))
+        for at in range(begin, end, TOGETHER):
+            some = queries[at : min(at + TOGETHER, end)]
             for j, (query, common) in enumerate(zip(some, self.index.common(some), strict=True), at):
                 yield self.vote(query, common, j if left_out else -1)
 
-    def fit_curve(self) -> None:
-        """A logistic curve from the log-odds of votes, by Newton's method over examples left out in turn."""
+    def left_out(self, begin: int, end: int) -> list[float]:
+        """The votes on examples from ``begin`` to ``end``, each without itself."""
+        return [share for share, _, _ in self.votes(self.examples, left_out=True, begin=begin, end=end)]
+
+    def fit_curve(self, shares: list[float] | None = None) -> None:
+        """A logistic curve from the log-odds of votes, by Newton's method over examples left out in turn; ``shares``: their votes, if known."""
         if self.constant():
             return
-        x = _logit(np.array([share for share, _, _ in self.votes(self.examples, left_out=True)]))
+        x = _logit(np.array(self.left_out(0, len(self.toxic)) if shares is None else shares))
         y = self.toxic.astype(float)
         w = np.where(self.toxic, self.thinned[1], self.thinned[0])
         a, b = 0.0, 1.0
@@ -345,10 +354,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
         number, factor, (terms, counts, np.array([len(vectors[i][0]) for i in order], np.int64)), is_toxic[order] if order else is_toxic, np.array([ids[i] for i in order], np.int64),
         totals.get(1, 0) / n_all if n_all else 0.0, tuple(totals.get(y, 0) / max(1, n_of[y]) for y in (0, 1)), k,
     )
-    model.fit_curve()
+    if not model.constant():
+        model.fit_curve(_left_out(spark, model))
     return model
 
 
+def _left_out(spark: SparkSession, model: Model) -> list[float]:
+    """Each example's vote without itself. Made in tasks: the index is several times the vectors, and the driver needs none."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(at + i, share) for at in pdf["id"].tolist() for i, share in enumerate(shared.value.left_out(at, at + TOGETHER))]
+            yield pd.DataFrame(found, columns=["example", "share"])
+
+    groups = spark.range(0, len(model.toxic), TOGETHER, CURVE_TASKS)
+    rows = groups.mapInPandas(voted, "example long, share double").collect()  # a number for each example of the bounded sample
+    shared.unpersist()
+    return [r.share for r in sorted(rows)]
+
+
 SCORED = "score double, nearest array<long>, nearest_cosine array<double>"
 RESULTS = ("score", "predicted", "nearest", "nearest_cosine")
 

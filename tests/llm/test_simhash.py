@@ -133,3 +133,23 @@ def test_keep_one_by_five_words_and_similarity(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BROADCAST_BYTES", n_bytes)
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {i: find(i) for i in range(len(rows))}
         assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
+def test_keep_one_asks_the_index_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(400)}" for _ in range(300)]
+    texts = [" ".join(words[:i] + ["x"] + words[i:]) for i in range(5, 300, 30)] + [" ".join(rng.sample(words, 90)) for _ in range(10)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    prints = [simhash.set_fingerprint(s) for s in sets]
+    names = [simhash.set_id(s) for s in sets]
+    # The plain reading of a fingerprint: a bit is 1 if it is in over half of the set's shingles.
+    for s, p in zip(sets, prints, strict=True):
+        assert p & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s))
+    frame = spark.createDataFrame([*zip(names, prints, strict=True), (1, prints[0])], "fp long, print long")
+    roots = brute([p & (1 << 64) - 1 for p in [*prints, prints[0]]])
+    found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_pairs(frame), "a", "b").collect()}
+    got = [found.get(n, n) for n in [*names, 1]]
+    assert {(i, j) for i, x in enumerate(got) for j, y in enumerate(got) if x == y} == {(i, j) for i, x in enumerate(roots) for j, y in enumerate(roots) if x == y}
+    calls, whole = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: calls.append(1) or whole(*a))
+    assert simhash.keep_one(docs(spark, *[(i, t, "a") for i, t in enumerate(texts)])).count() == 11 and calls

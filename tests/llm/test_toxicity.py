@@ -128,3 +128,11 @@ def test_query(spark):
     rows = [r for r in op6_toxicity(spark, sf).collect() if r.doc_id in labels and r.held_out]
     right = sum(r.predicted == labels[r.doc_id] for r in rows)
     assert right / len(rows) > 0.98 and len(rows) > 700 and all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
+
+
+def test_curve_is_fitted_without_an_index_in_the_driver(spark):
+    model = T.fit(*corpus(spark, 120))
+    assert "index" not in model.__dict__ and "examples" not in model.__dict__
+    curve = model.curve
+    model.fit_curve()
+    assert np.allclose(curve, model.curve)
