@@ -64,11 +64,16 @@ def prune_set(files: DataFrame, classified: DataFrame, skipped_roots: Sequence[s
 def apply_scan(files: DataFrame, classified: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     """The files table after a scan: a new snapshot, the old one is untouched."""
     from lumenfold.schema import conform
+    from lumenfold.session import stored
 
     base = conform(files, "files")
+    # Kept, as it is read three times and its joins would be made each time.
+    classified = stored(classified.where("file_id is not null and state <> 'dedup_skipped' or state in ('new', 'new_small')"))
+    # Only what the state puts into the row goes through the join; of unchanged files that is no path or hash.
+    some = {s: F.col("state").isin(*s.split()) for s in ("moved", "changed", "changed changed_small moved")}
     by_id = classified.where("file_id is not null and state <> 'dedup_skipped'").select(
-        F.col("file_id").alias("c_id"), F.col("state").alias("c_state"), F.col("path").alias("c_path"), F.col("size").alias("c_size"),
-        F.col("mtime").alias("c_mtime"), F.col("content_hash").alias("c_hash"),
+        F.col("file_id").alias("c_id"), F.col("state").alias("c_state"), F.when(some["moved"], F.col("path")).alias("c_path"),
+        *[F.when(some["changed changed_small moved"], F.col(c)).alias(f"c_{c}") for c in ("size", "mtime")], F.when(some["changed"], F.col("content_hash")).alias("c_hash"),
     )
     rows = base.join(by_id, F.col("id") == F.col("c_id"), "left")
     changed, small, moved = (F.coalesce(F.col("c_state"), F.lit("")) == s for s in ("changed", "changed_small", "moved"))

@@ -80,6 +80,21 @@ def test_scan_states(spark):
     assert {r.state for r in again.collect()} <= {"unchanged", "skipped_small", "dedup_skipped"}
 
 
+def test_apply_scan_makes_the_classes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(path):
+        seen.add(1)
+        return path
+
+    known = conform(spark.createDataFrame([(1, "/a")], "id long, path string"), "files")
+    rows = [(f"/n{i}", 1, 1.0, f"h{i}", 0, None, "new") for i in range(20)] + [("/a", 2, 2.0, "x", 0, 1, "changed")]
+    found = spark.createDataFrame(rows, "path string, size long, mtime double, content_hash string, too_small int, file_id long, state string")
+    after = scanning.apply_scan(known, found.withColumn("path", counted.asNondeterministic()("path"))).collect()
+    assert len(after) == 21 and {r.content_hash for r in after if r.path == "/a"} == {"x"} and seen.value == 21
+
+
 def test_near_groups(spark):
     rows = files(
         spark, {"path": "/A/IMG_1.JPG", "phash": "0000000000000000"}, {"path": "/B/IMG_1.JPG", "phash": "0000000000000003"},
