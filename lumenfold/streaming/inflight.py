@@ -47,8 +47,9 @@ class InFlight(StatefulProcessor):
         self.state = handle.getValueState("file", "start long, ts double, done long, opened array<long>, status string, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        start, ts, done, opened, status, seq = self.state.get() if self.state.exists() else (None, None, None, [], None, 0)
-        before = (start, done, len(opened), status)
+        # Each call of the state or of timers is a message to the JVM and back: a key has two, and one more where a timer is new.
+        start, ts, done, opened, status, seq = self.state.get() or (None, None, None, [], None, 0)
+        before, timed = (start, done, len(opened), status), ts if status == "open" else None
         lines = set(opened)
         for row in rows:
             if row.event == "done":
@@ -62,19 +63,21 @@ class InFlight(StatefulProcessor):
         changed = (start, done, len(opened), status) != before
         seq += changed
         self.state.update((start, ts, done, opened, status, seq))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status == "open" and ts is not None:
-            self.handle.registerTimer(max(int((ts + self.patience) * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        # Timers of earlier starts stay, and do nothing when they expire.
+        if status == "open" and ts is not None and ts != timed:
+            self.handle.registerTimer(max(self.due(ts), timerValues.getCurrentWatermarkInMs() + 1))
         if changed:
             yield self.told(key, start, ts, done, opened, status, seq)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         start, ts, done, opened, status, seq = self.state.get()
-        if status == "open":
+        if status == "open" and ts is not None and expiredTimerInfo.getExpiryTimeInMs() >= self.due(ts):
             self.state.update((start, ts, done, opened, "stalled", seq + 1))
             yield self.told(key, start, ts, done, opened, "stalled", seq + 1)
 
+    def due(self, ts: float) -> int:
+        return int((ts + self.patience) * 1000)
+
     @staticmethod
     def told(key: Any, start: int, ts: float, done: int, opened: list[int], status: str, seq: int) -> Row:
         return Row(run=key[0], file_id=key[1], line_no=done if status == "done" else start, ts=ts, status=status, tries=len(opened), seq=seq)

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lumenfold.sources import checkpoint_log
@@ -98,3 +99,57 @@ def test_stalled_and_odd_lines(spark, tmp_path):
     assert now == {1: "stalled", 2: "done", 3: "open", 4: "open"}
     assert inflight.last_in_flight(spark.read.parquet(out)).first().file_id == 4
     assert spark.read.parquet(out).where(F.col("status") == "stalled").count() == 1
+
+
+class Fake:
+    """State and timers of one key, which count their messages."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def listTimers(self):
+        self.calls.append("list")
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+
+def test_few_messages_a_key_and_timers_of_earlier_starts_do_nothing():
+    fake, p = Fake(), inflight.InFlight(most=3, patience=10)
+    p.handle = p.state = fake
+    line = lambda n, ts, event: Row(line_no=n, ts=ts, event=event)
+    told = list(p.handleInputRows(("r", 1), iter([line(1, 5.0, "start")]), fake))
+    assert [r.status for r in told] == ["open"] and fake.calls == ["get", "update", "register"]
+    fake.calls.clear()
+    assert [r.tries for r in p.handleInputRows(("r", 1), iter([line(2, 9.0, "start")]), fake)] == [2]
+    assert fake.calls == ["get", "update", "register"]
+    fake.now = 15_000  # of the first start, which the second has overtaken
+    assert list(p.handleExpiredTimer(("r", 1), fake, fake)) == []
+    fake.now = 19_000
+    assert [(r.status, r.line_no) for r in p.handleExpiredTimer(("r", 1), fake, fake)] == [("stalled", 2)]
+    assert list(p.handleExpiredTimer(("r", 1), fake, fake)) == []
+    assert [r.status for r in p.handleInputRows(("r", 1), iter([line(3, 11.0, "done")]), fake)] == ["done"]
