@@ -30,8 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +52,8 @@ WORDS_A_TASK = 2_000_000
 #: A Counter is given out when it has so many words.
 FLUSH = 400_000
 TEXT_BYTES = 1 << 19
+#: Texts are put in order of their length in windows of so many characters, so that those scored side by side end together.
+WINDOW = 1 << 22
 TERM, SYMBOLS = 256, 257
 #: Eight gates for common words, by how often the context was seen; four for hashed slots seen often, and four for spelling.
 GATES = 16
@@ -175,11 +176,11 @@ def _packed(n0: np.ndarray, n1: np.ndarray, hashed: bool = False) -> np.ndarray:
     return (np.clip(np.rint(odds * 128), -2000, 2000).astype(np.int32) << 4 | level).astype(np.int16)
 
 
-def _context(ids: np.ndarray, n: int) -> np.ndarray:
-    """The last common word before each token; ``n`` where there is none."""
+def _context(ids: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """The last common word before each token in its text; ``n`` where there is none. ``sizes``: tokens of the texts."""
     place = np.where(ids < n, np.arange(len(ids)), -1)
     last = np.concatenate(([-1], np.maximum.accumulate(place)[:-1]))
-    return np.where(last >= 0, ids[last], n)
+    return np.where(last >= np.repeat(np.cumsum(sizes) - sizes, sizes), ids[last], n)
 
 
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -258,7 +259,7 @@ class Model:
             _, one_of, stem = np.unique(nodes[last].astype(np.int64) << 1 | bits[last], return_index=True, return_inverse=True)
             place = (np.arange(size, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(12)) % np.uint32(LOCAL_SLOTS - 1) + np.uint32(1)
             self._ready = {
-                "index": _Places((w, i) for i, w in enumerate(self.words)),
+                "index": _Places(self.words),
                 "base": self.base(np.concatenate((self.counts, [self.n_end]))),
                 # Bits of common words: node and bit taken. Behind them is room for a batch's other words, whose
                 # bits are nodes of their own; the first of these is filler.
@@ -283,12 +284,12 @@ class Model:
         """Add these texts' tokens, common words, ends and escapes, to ``pairs``, by row and stem, and their bits behind the stem to ``deep``."""
         r = self.ready()
         codes, first, length, heads = (*(r[k].kept() for k in ("codes", "first", "length")), r["heads"])
-        get, n, stem = r["index"].__getitem__, r["n"], r["stem"]
-        for text in texts:
-            words = words_of(text)
-            ids = np.fromiter(chain(map(get, words), (n,)), np.int64, len(words) + 1)
-            ids[ids < 0] = n + 1
-            context, head = _context(ids, n), heads.take(ids)
+        n, stem = r["n"], r["stem"]
+        for some in _some(texts):
+            tokens = _Tokens(some)
+            found = r["index"].find(tokens)
+            ids = tokens.with_ends(np.where(found < 0, n + 1, found), n)
+            context, head = _context(ids, n, tokens.sizes), heads.take(ids)
             np.add.at(pairs.ravel(), (context & (1 << self.row_bits) - 1) * pairs.shape[1] + stem.take(ids), np.int32(1))
             behind = length.take(ids) - head
             code = codes.take(_ranges(first.take(ids) + head, behind))
@@ -313,18 +314,20 @@ class Model:
     def score(self, texts: list[str | None]) -> list[tuple]:
         """For each text: tokens, known common ones, their base score, the other words, log10 of these as spelled, and the log10 probability of all but these."""
         r = self.ready()
-        get, n = r["index"].__getitem__, r["n"]
-        cold: dict[bytes, int] = {}
-        streams, out, spelled = [], [], []
-        for text in texts:
-            words = words_of(text)
-            ids = np.fromiter(chain(map(get, words), (n,)), np.int64, len(words) + 1)
-            others = np.flatnonzero(ids < 0)
-            rest = [words[i] for i in others.tolist()]
-            ids[others] = [n + 2 + cold.setdefault(w, len(cold)) for w in rest]
-            known = ids <= n
-            out.append((len(ids), int(known.sum()) - (not self.n_end), float(r["base"].take(ids[known]).sum()), rest))
-            streams.append(ids)
+        n = r["n"]
+        tokens = _Tokens(texts)
+        found = r["index"].find(tokens)
+        others = np.flatnonzero(found < 0)
+        rest, cold = tokens.words(others), {}
+        found[others] = [n + 2 + cold.setdefault(w, len(cold)) for w in rest]
+        ids = tokens.with_ends(found, n)
+        bounds = np.concatenate(([0], np.cumsum(tokens.sizes)))
+        away = np.flatnonzero(ids >= n + 2)
+        cuts = np.searchsorted(away, bounds)
+        out = []
+        for begin, end, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = ids[begin:end]
+            out.append((end - begin, end - begin - (j - i) - (not self.n_end), float(r["base"].take(some[some <= n]).sum()), rest[i:j]))
         word_bits, slots, _, bit = _spell(list(cold), r["spell"])
         looked = [t.take(s) for t, s in zip(self.tables, slots, strict=True)]
         level = (looked[-1] & 15).astype(np.int32)
@@ -339,24 +342,20 @@ class Model:
         first = r["first"].with_tail(1 + r["n_codes"] + np.cumsum(word_bits, dtype=np.int32) - word_bits)
         size = r["length"].with_tail(word_bits)
         escape_start, escape_size = r["escape"]
-        sequences, contexts = [], []
         behind = len(self.deep) + len(self.contexts) - r["size"]
-        for ids in streams:
-            away = ids >= n + 2
-            length = size.take(ids)
-            context = self._begin(_context(ids, n))
-            if away.any():
-                begin = np.stack((np.full(len(ids), escape_start), first[ids]), axis=1)
-                both = np.stack((np.where(away, escape_size, 0), length), axis=1)
-                sequences.append(_ranges(begin.ravel(), both.ravel()))
-                ends = np.cumsum(both.ravel())
-                at = np.flatnonzero(away)
-                spelled.append((ends[2 * at], ends[2 * at + 1]))
-                context, length = np.stack((context, np.where(away, behind, context)), axis=1).ravel(), both.ravel()
-            else:
-                sequences.append(_ranges(first.take(ids), length))
-                spelled.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            contexts.append(np.repeat(context, length))
+        context = self._begin(_context(ids, n, tokens.sizes))
+        # Before each token stands an escape, of no bits for those that need none.
+        length = np.stack((np.zeros(len(ids), np.int32), size.take(ids)), axis=1)
+        length[away, 0] = escape_size
+        begin = np.stack((np.full(len(ids), escape_start, np.int32), first.take(ids)), axis=1)
+        before = np.stack((context, context), axis=1)
+        before[away, 1] = behind
+        length = length.ravel()
+        ends = np.cumsum(length)
+        at = ends[2 * bounds[1:] - 1]
+        sequences = np.split(_ranges(begin.ravel(), length), at[:-1])
+        contexts = np.split(np.repeat(before.ravel(), length), at[:-1])
+        spelled = [(ends[2 * away[i:j]] - zero, ends[2 * away[i:j] + 1] - zero) for i, j, zero in zip(cuts[:-1], cuts[1:], [0, *at[:-1].tolist()], strict=True)]
         found = _mix(sequences, contexts, codes, meta, plain, told, r["heavy"], self.deep_bits)
         rows = []
         for o, logs, (begin, end) in zip(out, found, spelled, strict=True):
@@ -367,11 +366,86 @@ class Model:
         return rows
 
 
-class _Places(dict):
-    """Places of words; -1 for those that have none."""
-
-    def __missing__(self, key: bytes) -> int:
-        return -1
+class _Tokens:
+    """The words of some texts, as :func:`words_of` has them, in one array of bytes."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        whole = b"\n".join([*raw, b""])
+        #: Bytes behind the last word's, so that two numbers can be read wherever a word begins.
+        self.raw = whole + bytes(16)
+        space = np.ones(len(whole) + 1, bool)
+        np.take(_SPACE, np.frombuffer(whole, np.uint8), out=space[1:])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        self.starts = edges[0::2]
+        self.lengths = edges[1::2] - self.starts
+        #: Tokens of each text, its end too.
+        self.sizes = np.diff(np.searchsorted(self.starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))) + 1
+
+    def with_ends(self, ids: np.ndarray, end: int) -> np.ndarray:
+        """``ids`` of the words with an end after each text."""
+        whole = np.full(len(ids) + len(self.sizes), end, np.int64)
+        whole[np.arange(len(ids)) + np.repeat(np.arange(len(self.sizes)), self.sizes - 1)] = ids
+        return whole
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        starts = self.starts[which]
+        return [self.raw[i:j] for i, j in zip(starts.tolist(), (starts + self.lengths[which]).tolist(), strict=True)]
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second eight bytes of each word, 0 where it has none."""
+        each = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))
+        a, b = each[self.starts] & _MASKS[np.minimum(self.lengths, 8)], np.zeros(len(self.starts), np.uint64)
+        longer = np.flatnonzero(self.lengths > 8)
+        b[longer] = each[self.starts[longer] + 8] & _MASKS[np.minimum(self.lengths[longer] - 8, 8)]
+        return a, b
+
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class _Places:
+    """Places of words, looked up by many at a time: those up to 16 bytes as two numbers and a length, in buckets of their hashes."""
+
+    BITS = 20
+
+    def __init__(self, words: list[bytes]) -> None:
+        tokens = _Tokens([])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tokens.raw, tokens.lengths = b"".join(words) + bytes(16), sizes
+        tokens.starts = np.cumsum(sizes) - sizes
+        self.long = {w: i for i, w in enumerate(words) if len(w) > 16}
+        a, b = tokens.numbers()
+        bucket = self._bucket(a, b, sizes)
+        short = np.flatnonzero(sizes <= 16)
+        order = short[np.argsort(bucket[short], kind="stable")]
+        self.a, self.b, self.sizes, self.places = a[order], b[order], sizes[order].astype(np.uint8), order.astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(bucket[short], minlength=1 << self.BITS)))).astype(np.int32)
+
+    def _bucket(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        h = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + sizes.astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, tokens: _Tokens) -> np.ndarray:
+        """The place of each word; -1 for those that have none."""
+        (a, b), sizes = tokens.numbers(), tokens.lengths
+        bucket = self._bucket(a, b, sizes)
+        at, end = self.first.take(bucket), self.first.take(bucket + 1)
+        found = np.full(len(a), -1, np.int64)
+        live = np.flatnonzero((at < end) & (sizes <= 16))
+        while len(live):
+            here = at[live]
+            same = (self.a.take(here) == a[live]) & (self.b.take(here) == b[live]) & (self.sizes.take(here) == sizes[live])
+            found[live[same]] = self.places.take(here[same])
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        long = np.flatnonzero(sizes > 16)
+        found[long] = [self.long.get(w, -1) for w in tokens.words(long)]
+        return found
 
 
 class _Room:
@@ -416,42 +490,49 @@ def _mix(
         rows = starts[:live] // BLOCK + step
         j = padded.reshape(-1, BLOCK).take(rows, axis=0)
         row = np.arange(live, dtype=np.int32)[:, None]
-        code = codes.take(j)
+        # All places are valid; to take by "clip" saves the check for it.
+        code = codes.take(j, mode="clip")
         bit, node = code & 1, code >> 1
-        here = meta.take(node)
+        place = node.astype(np.intp)
+        here = meta.take(place, mode="clip")
         here += row * LOCAL_SLOTS
-        x0 = plain.take(node)
+        x0 = plain.take(place, mode="clip")
         begin = before.reshape(-1, BLOCK).take(rows, axis=0)
         slot = _slot(begin, node, deep_bits)
         begin &= (1 << BEGIN_BITS) - 1
         begin += node
-        told = table.take(np.where(node < heavy, slot, begin))
+        # Of nodes below heavy the slot, of all others the place in the context's row, without a branch.
+        slot ^= begin
+        node -= np.int32(heavy)
+        node >>= 31
+        slot &= node
+        begin ^= slot
+        told = table.take(begin, mode="clip")
         which = (told & 15).astype(np.intp)
         which += row * GATES
         x1 = (told >> 4) * np.float32(1 / 128)
-        x2 = own.take(here)
+        x2 = own.take(here, mode="clip")
         w = weight[:, :live].reshape(INPUTS, -1)
-        z = w[0].take(which)
+        z = w[0].take(which, mode="clip")
         z *= x0
         for x, of_x in ((x1, w[1]), (x2, w[2])):
-            part = of_x.take(which)
+            part = of_x.take(which, mode="clip")
             part *= x
             z += part
         np.clip(z, -14, 14, out=z)
         bucket = ((z + 14) * np.float32(CORRECTIONS / 28.001)).astype(np.intp)
         bucket += row * CORRECTIONS
-        z += correction[:live].ravel().take(bucket)
-        sign = (1 - 2 * bit).astype(np.float32)  # turned round
-        z *= sign
+        z += correction[:live].ravel().take(bucket, mode="clip")
+        turn = code << 31  # the sign of a float
+        z.view(np.int32)[...] ^= turn
         np.exp(z, out=z)
         z += 1
         logs.reshape(-1, BLOCK)[rows] = -np.log(z)
         if more:
-            # Only texts that go on learn.
+            # Only texts that go on learn; their blocks have no filler.
             p = 1 / z[:more]
             p -= 1
-            p *= sign[:more]
-            p *= j[:more] != 0
+            p.view(np.int32)[...] ^= turn[:more]
             error = p.ravel()
             which, bucket = which[:more].ravel(), bucket[:more].ravel()
             scale = RATE / (np.bincount(which, minlength=more * GATES) + 60)
@@ -463,7 +544,6 @@ def _mix(
             here *= 2
             here += bit[:more]
             np.add.at(seen.ravel(), here.ravel(), one)
-            seen[::LOCAL_SLOTS] = 0.4  # the filler's
             counted = seen[: more * LOCAL_SLOTS]
             np.log(counted[:, 1] / counted[:, 0], out=own[: more * LOCAL_SLOTS])
     found: list = [None] * docs
@@ -525,7 +605,21 @@ def _sum(parts: DataFrame, often: tuple[int, ...] = ()) -> Iterator[tuple[int, i
     discard(parts)
 
 
-def _some(texts: pd.Series) -> Iterator[list[str | None]]:
+def _windows(batches: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    """Texts of several batches together, of WINDOW characters or so."""
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        texts += batch.tolist()
+        size += sum(len(t or "") for t in batch)
+        if size >= WINDOW:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def _some(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Texts in groups of TEXT_BYTES or so."""
     some: list[str | None] = []
     size = 0
@@ -623,8 +717,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     @F.pandas_udf(SCORED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([row for some in _some(texts) for row in shared.value.score(some)], columns=names)
+        for texts in _windows(batches):
+            rows: list = [None] * len(texts)
+            order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
+            at = 0
+            for some in _some(texts[i] for i in order):
+                for i, row in zip(order[at : at + len(some)], shared.value.score(some), strict=True):
+                    rows[i] = row
+                at += len(some)
+            yield pd.DataFrame(rows, columns=names)
 
     scored = stored(
         docs.select("doc_id", F.octet_length("text").alias("n_bytes"), run(F.col("text")).alias("s"))

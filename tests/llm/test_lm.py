@@ -158,3 +158,27 @@ def test_contexts_against_a_plain_count(spark, monkeypatch):
     assert 6 < n <= 12 and heavy > 0 and deep.any()
     for got, counts, hashed in ((model.contexts, want, False), (model.deep, deep, True)):
         assert (got == lm._packed(counts[..., 0].ravel(), counts[..., 1].ravel(), hashed)).all()
+
+
+def test_words_are_looked_up_many_at_a_time():
+    known = [b"a", b"a\x00", b"\x00a", b"eightbyt", b"ninebytes", b"sixteen bytes...".replace(b" ", b"_"), b"seventeen_bytes_x", "größe".encode(), b"b" * 40, b"\x1c"]
+    texts = ["A a\x00 b\x00", None, "", "  \t", "eightbyt EIGHTBYTE ninebytes\nninebyteS2\x0bsixteen_bytes... \x1c x", "seventeen_bytes_x größe GRÖSSE" + " " + "b" * 40 + "\r" + "b" * 41, "\x00a"]
+    tokens = lm._Tokens(texts)
+    words = [lm.words_of(t) for t in texts]
+    assert tokens.words(np.arange(len(tokens.starts))) == sum(words, [])
+    assert tokens.sizes.tolist() == [len(w) + 1 for w in words]
+    place = {w: i for i, w in enumerate(known)}
+    assert lm._Places(known).find(tokens).tolist() == [place.get(w, -1) for w in sum(words, [])]
+    assert lm._Places([]).find(tokens).tolist() == [-1] * sum(map(len, words))
+    many = [b"%d" % i for i in range(50_000)]
+    assert lm._Places(many).find(lm._Tokens([" ".join(map(str, range(60_000)))])).tolist() == [*range(50_000), *[-1] * 10_000]
+
+
+def test_windows_keep_the_rows_of_their_texts(spark):
+    texts = ["a b c " * k for k in (1, 300, 2, 0, 40, 7)] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    model, counts = lm.fit(docs.select("text"))
+    got = {r.doc_id: (r.n_tokens, r.score) for r in lm.score(docs, model, counts).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (len(t.split()) + 1, pytest.approx(got[i % 6][1]))
+    assert len({round(s, 6) for _, s in got.values()}) == 6
