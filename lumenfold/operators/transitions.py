@@ -13,10 +13,10 @@ from lumenfold.operators import clustering, people
 from lumenfold.schema import FILE_CHILDREN
 
 
-def replace_by_key(table: DataFrame, rows: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
-    """``table`` without the keys' old rows, with the new ones. ``keys`` may name more than ``rows`` has, to clear them."""
+def replace_by_key(table: DataFrame, rows: DataFrame, key: str, keys: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """``table`` without the keys' old rows, with the new ones. ``keys`` may name more than ``rows`` has, to clear them. ``hint``: how to join the keys, if Spark isn't to choose."""
     gone = (keys if keys is not None else rows).select(F.col(key)).distinct()
-    return table.join(gone, key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    return table.join(gone.hint(hint) if hint else gone, key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
 def update(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], insert: bool = False) -> DataFrame:
@@ -39,8 +39,9 @@ def set_where(table: DataFrame, condition: Column, **values: object) -> DataFram
     return table
 
 
-def set_flag(files: DataFrame, ids: DataFrame, flag: str, value: int = 1) -> DataFrame:
+def set_flag(files: DataFrame, ids: DataFrame, flag: str, value: int = 1, hint: str | None = None) -> DataFrame:
     done = ids.select(F.col("id").alias("f_id")).distinct()
+    done = done.hint(hint) if hint else done
     return files.join(done, F.col("id") == F.col("f_id"), "left").withColumn(flag, F.when(F.col("f_id").isNotNull(), value).otherwise(F.col(flag))).select(*files.columns)
 
 

@@ -401,7 +401,7 @@ def _(c):
 )
 def _(c):
     files, table = stages.apply(stages.DETECT, c.files, c.detections)
-    return table.withColumn("conf", F.round("conf", 6)).join(files.where("yolo_done = 1").select("id"), F.col("file_id") == F.col("id"), "left_semi").select("file_id", "label", "conf")
+    return table.withColumn("conf", F.round("conf", 6)).join(files.where("yolo_done = 1").select("id").hint("shuffle_hash"), F.col("file_id") == F.col("id"), "left_semi").select("file_id", "label", "conf")
 
 
 @query("incremental_rows", "SELECT id FROM files WHERE id NOT IN (SELECT file_id FROM faces)", "files", "faces")

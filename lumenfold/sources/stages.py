@@ -69,19 +69,23 @@ def outputs(stage: Stage, files: DataFrame) -> DataFrame:
 
 
 def apply(stage: Stage, files: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New snapshots of files and of the stage's table. Running it again changes nothing."""
+    """New snapshots of files and of the stage's table. Running it again changes nothing.
+
+    The joins hash the ids of what was done and let all other rows pass: these shrink to a fraction in a shuffle, so that sorting them would take
+    a task many times what it reads, and a broadcast guessed from the stored file's size many times that.
+    """
     from lumenfold.session import stored
 
     made = stored(outputs(stage, files))
     done = made.select(F.col(stage.key).alias("id"), F.nullif("error", F.lit("")).alias("error")).distinct()
     fields = [x.split()[0] for x in stage.schema.split(", ")]
     rows = made.where("error is null").select(stage.key, *fields)
-    flagged = set_flag(files, done.where("error is null").select("id"), stage.flag)
+    flagged = set_flag(files, done.where("error is null").select("id"), stage.flag, hint="shuffle_hash")
     failed = done.where("error is not null").select(F.col("id").alias("e_id"), F.col("error").alias("e_text"))
-    joined = flagged.join(failed, F.col("id") == F.col("e_id"), "left")
+    joined = flagged.join(failed.hint("shuffle_hash"), F.col("id") == F.col("e_id"), "left")
     joined = joined.withColumn("decode_failed", F.when(F.col("e_id").isNotNull(), 1).otherwise(F.col("decode_failed")))
     joined = joined.withColumn("decode_error", F.coalesce("e_text", "decode_error")).select(*files.columns)
-    return joined, replace_by_key(table, rows, stage.key, done.select(F.col("id").alias(stage.key)))
+    return joined, replace_by_key(table, rows, stage.key, done.select(F.col("id").alias(stage.key)), hint="shuffle_hash")
 
 
 def _bytes(content_hash: str) -> bytes:

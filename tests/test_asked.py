@@ -92,3 +92,19 @@ def test_equal_ranks_come_by_id(spark, monkeypatch):
     files, meta = catalog(spark, {i: (0.0, 0.0) for i in (1, 2, 3)})
     found = search.by_text(files, meta, text.build(docs), "one two three", 2)
     assert [r.id for r in found.collect()] == [1, 2]
+
+
+def test_a_stage_sorts_no_rows_to_join_what_it_did(spark):
+    from lumenfold.sources import stages
+
+    files = spark.createDataFrame(
+        [(i, f"/a/{i}", f"{i:064x}", 0, 0, None, i % 2, 0, None) for i in range(40)],
+        "id long, path string, content_hash string, missing int, too_small int, live_photo_of long, yolo_done int, decode_failed int, decode_error string",
+    )
+    table = spark.createDataFrame([(i, "old", 0.5, 0.0, 0.0, 0.0, 0.0) for i in range(40)], f"file_id long, {stages.DETECT.schema}")
+    now, rows = stages.apply(stages.DETECT, files, table)
+    for frame in (now, rows):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert now.where("yolo_done = 1").count() == 40
+    assert {r.file_id for r in rows.where("label = 'old'").collect()} == set(range(1, 40, 2))
