@@ -317,8 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
         ids += batch.column("example_id").to_pylist()
         toxic += batch.column("toxic").to_pylist()
         for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            at = np.fromiter((number.setdefault(t, len(number)) for t in terms), np.int64, len(terms))
-            vectors.append((at, np.array(counts, np.float64)))
+            at = np.fromiter((number.setdefault(t, len(number)) for t in terms), np.int32, len(terms))
+            vectors.append((at, np.array(counts, np.int32)))
     discard(kept)
     shared = spark.sparkContext.broadcast(number)  # the words of the sample's texts
 

@@ -108,3 +108,29 @@ def test_a_stage_sorts_no_rows_to_join_what_it_did(spark):
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     assert now.where("yolo_done = 1").count() == 40
     assert {r.file_id for r in rows.where("label = 'old'").collect()} == set(range(1, 40, 2))
+
+
+def test_components_end_when_all_edges_are_stars(spark):
+    import random
+
+    from lumenfold.operators import components
+
+    pick = random.Random(5)
+    edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 30)]
+    root = {x: x for e in edges for x in e}
+
+    def least(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((least(a), least(b)))
+        root[b] = a
+    want = {x: least(x) for a, b in edges if a != b for x in (a, b)}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(frame, "a", "b").collect()} == want
+    # Stars need no round.
+    star = frame.where("a = 2000")
+    assert components.connected_components(star, "a", "b", max_rounds=0).count() == 30
+    assert components.connected_components(frame.limit(0), "a", "b").count() == 0
