@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
 from lumenfold.operators.components import connected_components
-from lumenfold.session import batches_of, checkpointed, stored
+from lumenfold.session import batches_of, checkpointed, discard, release, stored
 
 #: Points of a block; more where there would be more than MOST_BLOCKS blocks of one pivot.
 BLOCK = 1024
@@ -37,6 +37,12 @@ BLOCK = 1024
 MOST_BLOCKS = 4096
 #: Blocks whose points search together, so that a block that they meet is sent once.
 TEAM = 16
+#: Up to so many times all blocks are sent in a search; beyond, each task reads them where they are stored.
+MOST_COPIES = 4
+#: Points of a task's own blocks when it reads all others.
+MOST_POINTS = 65_536
+#: Blocks of a file.
+PER_FILE = 64
 NEIGHBOURS = 16
 #: Nodes that a task takes into its part of the tree of merges.
 MOST_NODES = 200_000
@@ -85,7 +91,15 @@ def blocked(points: DataFrame, block: int = BLOCK, most: int = MOST_BLOCKS) -> D
     packed = stored(parted.groupBy("cell", "part").applyInPandas(pack, "cell long, part long, p array<long>, copies array<long>, data binary, centre array<double>, radius double"))
     keys = packed.select("cell", "part").orderBy("cell", "part").collect()  # a row a block, twice MOST_BLOCKS and a little at most
     names = spark.createDataFrame([(r.cell, r.part, i) for i, r in enumerate(keys)], "cell long, part long, block long")
-    return stored(packed.join(F.broadcast(names), ["cell", "part"]).drop("cell", "part"))
+    named = _in_files(packed.join(F.broadcast(names), ["cell", "part"]).drop("cell", "part"), packed)
+    discard(dealt)
+    discard(packed)
+    return named
+
+
+def _in_files(blocks: DataFrame, counted: DataFrame) -> DataFrame:
+    """Stored, a few blocks a file, as a reader takes many rows of a file at once."""
+    return stored(blocks.repartition(max(1, -(-counted.count() // PER_FILE)), "block"))
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -93,39 +107,52 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2.0 * (x @ y.T))), 9)
 
 
-def _wanted(blocks: DataFrame, reach: DataFrame, nearest: int | None = None) -> DataFrame:
-    """``team``, ``other``, ``bound``: which blocks a team has to meet, and how near they can be.
+def _met(blocks: DataFrame, reach: DataFrame, run, schema: str, nearest: int | None = None) -> DataFrame:
+    """``run`` for each team: its own blocks, and an iterator of those it meets, one in memory at a time.
 
     ``reach``: ``block`` and ``tau``, the distance up to which its points want to know. With ``nearest`` so many nearest blocks, whatever their bounds.
+    What a team wants is sent to it, the nearest first, while that is MOST_COPIES times all blocks at most. Else as many teams as tasks
+    each read all blocks where they are stored, and nothing is sent: the disk needed then doesn't grow with the square of the points.
     """
     spark = blocks.sparkSession
-    rows = blocks.select("block", "centre", "radius").orderBy("block").collect()  # a row a block
-    sent = spark.sparkContext.broadcast((np.array([r.centre for r in rows]), np.array([r.radius for r in rows])))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, radii = sent.value
+    rows = blocks.select("block", "centre", "radius", F.size("p").alias("n")).orderBy("block").collect()  # a row a block
+    tau = {r.block: r.tau for r in reach.select("block", "tau").collect()}  # a row a block
+    asking = np.array(sorted(tau), np.int64)
+    if not len(asking):
+        return spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast((np.array([r.centre for r in rows]), np.array([r.radius for r in rows]), np.array([tau.get(r.block, -1.0) for r in rows])))
+
+    def bounds(mine: np.ndarray) -> np.ndarray:
+        """How near each block can be to these; infinite if they don't want it, and 0 for themselves."""
+        centres, radii, taus = sent.value
+        least = np.full(len(radii), np.inf)
+        for i in mine:
+            apart = _distances(centres[i : i + 1], centres)[0]
+            bound = np.maximum(0.0, apart - radii - radii[i])
+            bound[i] = 0.0
+            others = np.flatnonzero(bound <= taus[i]) if nearest is None else np.unique(np.append(np.argsort(apart, kind="stable")[:nearest], i))
+            least[others] = np.minimum(least[others], bound[others])
+        return least
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    teams = -(-len(asking) // TEAM)
+
+    def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealt = np.array_split(asking, teams)
         for pdf in batches:
-            for i, tau in zip(pdf["block"], pdf["tau"]):
-                bound = np.maximum(0.0, _distances(centres[i : i + 1], centres)[0] - radii - radii[i])
-                bound[i] = 0.0
-                if nearest is None:
-                    others = np.flatnonzero(bound <= tau)
-                else:
-                    others = np.unique(np.append(np.argsort(_distances(centres[i : i + 1], centres)[0], kind="stable")[:nearest], i))
-                yield pd.DataFrame({"team": i // TEAM, "other": others, "bound": bound[others]})
-
-    pairs = reach.select("block", "tau").mapInPandas(meet, "team long, other long, bound double")
-    return pairs.groupBy("team", "other").agg(F.min("bound").alias("bound"))
-
-
-def _met(blocks: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` for each team: its own blocks, and an iterator of those it meets, the nearest first, one in memory at a time."""
-    columns = blocks.columns
-    own = blocks.select(F.floor(F.col("block") / TEAM).alias("team"), F.lit(-1.0).alias("bound"), *columns)
-    teams = wanted.select("team").distinct()
-    met = wanted.join(blocks, F.col("other") == F.col("block")).select("team", "bound", *columns)
-    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = own.join(teams, "team", "left_semi").unionByName(met).repartition(parts, "team").sortWithinPartitions("team", "bound", "block")
+            for t in pdf["id"]:
+                bound = bounds(dealt[t])
+                others = np.flatnonzero(np.isfinite(bound))
+                yield pd.DataFrame({"team": t, "n_own": len(dealt[t]), "other": np.concatenate((dealt[t], others)), "bound": np.concatenate((np.full(len(dealt[t]), -1.0), bound[others]))})
+
+    wanted = spark.range(0, teams, 1, min(teams, parts)).mapInPandas(wants, "team long, n_own long, other long, bound double")
+    if wanted.count() <= MOST_COPIES * len(rows):
+        given = wanted.join(blocks, F.col("other") == F.col("block")).select("team", (F.col("bound") < 0).alias("own"), "n_own", "bound", *blocks.columns)
+        given = given.repartition(parts, "team").sortWithinPartitions("team", "bound", "block").drop("bound")
+    else:
+        points = sum(rows[i].n for i in asking)
+        tasks = min(len(asking), max(parts, -(-points // MOST_POINTS)))
+        given = _read_by_each(blocks, asking, tasks, bounds)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def single() -> Iterator[dict]:
@@ -135,24 +162,46 @@ def _met(blocks: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
         ahead = single()
         row = next(ahead, None)
         while row is not None:
-            team, own = row["team"], []
-            while row is not None and row["team"] == team and row["bound"] < 0:
-                own.append(row)
+            team, own, early = row["team"], [], []
+            while row is not None and row["team"] == team and len(own) < row["n_own"]:
+                (own if row["own"] else early).append(row)
                 row = next(ahead, None)
 
             def others() -> Iterator[dict]:
                 nonlocal row
+                yield from early
                 while row is not None and row["team"] == team:
                     yield row
                     row = next(ahead, None)
 
             met = others()
-            yield run(own, met)
+            yield from run(own, met)
             for _ in met:
                 pass
 
-    with batches_of(blocks.sparkSession, FEW):
-        return stored(rows.mapInPandas(stream, schema))
+    with batches_of(spark, FEW):
+        return stored(given.mapInPandas(stream, schema))
+
+
+def _read_by_each(blocks: DataFrame, asking: np.ndarray, tasks: int, bounds) -> DataFrame:
+    """``team``, ``own`` and a block: each task's own blocks, then those it wants, read from what is stored without a shuffle."""
+    spark = blocks.sparkSession
+
+    def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealt = np.array_split(asking, tasks)
+        for pdf in batches:
+            for t in pdf["id"]:
+                bound = bounds(dealt[t])
+                mine = np.zeros(len(bound), bool)
+                mine[dealt[t]] = True
+                yield pd.DataFrame({"team": [t], "n_own": [len(dealt[t])], "mine": [mine.tolist()], "wanted": [np.isfinite(bound).tolist()]})
+
+    team = spark.range(0, tasks, 1, tasks).mapInPandas(wants, "team long, n_own long, mine array<boolean>, wanted array<boolean>")
+    twice = blocks.withColumn("own", F.lit(True)).unionByName(blocks.withColumn("own", F.lit(False))).coalesce(1)
+    at = F.col("block").cast("int")
+    asked = F.when(F.col("own"), F.get("mine", at)).otherwise(F.get("wanted", at))
+    # The pairs of partitions of the two sides are the tasks: the one of all blocks with each team.
+    return twice.join(team.hint("shuffle_replicate_nl"), asked).select("team", "own", "n_own", *blocks.columns)
 
 
 def _matrix(row: dict) -> np.ndarray:
@@ -174,22 +223,29 @@ def _take_nearest(d: np.ndarray, ids: np.ndarray, counts: np.ndarray, dist: np.n
     dist[rows], who[rows], many[rows] = (np.take_along_axis(a, best, axis=1) for a in (all_d, all_i, all_c))
 
 
+def _apart(own: list[dict]):
+    """How far a block is at least from each of these; not at all from itself."""
+    names, centres, radii = np.array([r["block"] for r in own]), np.array([r["centre"] for r in own]), np.array([r["radius"] for r in own])
+    return lambda other: np.where(names == other["block"], -1.0, np.linalg.norm(centres - np.asarray(other["centre"]), axis=1) - radii - other["radius"])
+
+
 def _search_neighbours(k: int, min_size: int):
     """Each point's ``k`` nearest others, its core distance, and how far unknown ones are at least."""
 
-    def run(own: list[dict], met: Iterator[dict]) -> pd.DataFrame:
+    def run(own: list[dict], met: Iterator[dict]) -> Iterator[pd.DataFrame]:
+        apart, farthest = _apart(own), np.full(len(own), np.inf)
         state = [(_matrix(r), np.asarray(r["p"]), np.full((len(r["p"]), k), np.inf), np.full((len(r["p"]), k), -1), np.zeros((len(r["p"]), k), np.int64)) for r in own]
         for other in met:
             y, ids, counts = _matrix(other), np.asarray(other["p"]), np.asarray(other["copies"])
-            for r, (x, mine, dist, who, many) in zip(own, state):
-                apart = np.linalg.norm(np.asarray(r["centre"]) - np.asarray(other["centre"])) - r["radius"] - other["radius"]
-                if r["block"] != other["block"] and apart > dist[:, -1].max():
-                    continue
+            for i in np.flatnonzero(apart(other) <= farthest):
+                x, mine, dist, who, many = state[i]
                 d = _distances(x, y)
-                d[mine[:, None] == ids[None]] = np.inf
+                if own[i]["block"] == other["block"]:
+                    d[mine[:, None] == ids[None]] = np.inf
                 _take_nearest(d, ids, counts, dist, who, many)
-        found = []
+                farthest[i] = dist[:, -1].max()
         for r, (_, mine, dist, who, many) in zip(own, state):
+            found = []
             known = np.isfinite(dist)
             upto = np.cumsum(np.where(known, many, 0), axis=1) + np.asarray(r["copies"])[:, None]
             first = np.where(upto >= min_size, dist, np.inf).min(axis=1)
@@ -197,24 +253,24 @@ def _search_neighbours(k: int, min_size: int):
             for i, p in enumerate(mine):
                 n = int(known[i].sum())
                 found.append((r["block"], i, p, who[i, :n].tolist(), dist[i, :n].tolist(), core[i], max(core[i], dist[i, -1])))
-        return pd.DataFrame(found, columns=["block", "at", "p", "others", "d", "core", "least"])
+            yield pd.DataFrame(found, columns=["block", "at", "p", "others", "d", "core", "least"])
 
     return run
 
 
-def _search_outside(own: list[dict], met: Iterator[dict]) -> pd.DataFrame:
+def _search_outside(own: list[dict], met: Iterator[dict]) -> Iterator[pd.DataFrame]:
     """The shortest edge of each active point to another component, if it is no longer than what is known; else how long it is at least."""
-    state = []
+    apart, state = _apart(own), []
     for r in own:
         active = np.flatnonzero(np.asarray(r["active"], bool))
         state.append((active, _matrix(r)[active], np.asarray(r["core"])[active], np.asarray(r["comp"])[active], np.asarray(r["upto"])[active].copy(), np.full(len(active), -1)))
+    farthest = np.array([upto.max(initial=-np.inf) for *_, upto, _ in state])
     for other in met:
         y, ids, core, comp = _matrix(other), np.asarray(other["p"]), np.asarray(other["core"]), np.asarray(other["comp"])
-        for r, (active, x, mine, own_comp, upto, who) in zip(own, state):
-            if not len(active) or (comp == own_comp[0]).all() and (own_comp == own_comp[0]).all():
-                continue
-            apart = np.linalg.norm(np.asarray(r["centre"]) - np.asarray(other["centre"])) - r["radius"] - other["radius"]
-            if r["block"] != other["block"] and apart > upto.max():
+        one = (comp == comp[0]).all()
+        for i in np.flatnonzero(apart(other) <= farthest):
+            active, x, mine, own_comp, upto, who = state[i]
+            if one and (own_comp == comp[0]).all():
                 continue
             w = np.maximum(np.maximum(_distances(x, y), mine[:, None]), core[None])
             w[own_comp[:, None] == comp[None]] = np.inf
@@ -222,8 +278,9 @@ def _search_outside(own: list[dict], met: Iterator[dict]) -> pd.DataFrame:
             best = np.where(w == least[:, None], ids[None], np.iinfo(np.int64).max).min(axis=1)
             better = (least < upto) | (least == upto) & np.isfinite(least) & ((who < 0) | (best < who))
             upto[better], who[better] = least[better], best[better]
-    rows = [(int(np.asarray(r["p"])[a]), int(v), float(w)) for r, (active, _, _, _, upto, who) in zip(own, state) for a, v, w in zip(active, who, upto)]
-    return pd.DataFrame(rows, columns=["p", "other", "w"])
+            farthest[i] = upto.max()
+    for r, (active, _, _, _, upto, who) in zip(own, state):
+        yield pd.DataFrame({"p": np.asarray(r["p"])[active], "other": who, "w": upto})
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -237,9 +294,11 @@ def neighbours(blocks: DataFrame, min_size: int) -> DataFrame:
     k = max(NEIGHBOURS, min_size)
     schema = "block long, at long, p long, others array<long>, d array<double>, core double, least double"
     reach = blocks.select("block", F.lit(float("inf")).alias("tau"))
-    first = _met(blocks, _wanted(blocks, reach, 3), _search_neighbours(k, min_size), schema)
+    first = _met(blocks, reach, _search_neighbours(k, min_size), schema, 3)
     far = F.when(F.size("d") < k, float("inf")).otherwise(F.element_at("d", -1))
-    return _met(blocks, _wanted(blocks, first.groupBy("block").agg(F.max(far).alias("tau"))), _search_neighbours(k, min_size), schema)
+    found = _met(blocks, first.groupBy("block").agg(F.max(far).alias("tau")), _search_neighbours(k, min_size), schema)
+    discard(first)
+    return found
 
 
 def cores(points: DataFrame, min_size: int, block: int = BLOCK) -> DataFrame:
@@ -256,6 +315,7 @@ def spanning_tree(points: DataFrame, min_size: int, block: int = BLOCK) -> DataF
     other = cores.select(F.col("p").alias("b"), F.col("core").alias("core_b"))
     known = stored(_undirected(pairs.join(other, "b").select("a", "b", F.greatest("d", "core", "core_b").alias("w"))))
     labels = stored(near.select("p", "block", "at", "core", "least", F.col("p").alias("comp")))
+    discard(near)
     chosen: list[DataFrame] = []
     while True:
         state = _components(_across(known, labels), labels)
@@ -266,14 +326,17 @@ def spanning_tree(points: DataFrame, min_size: int, block: int = BLOCK) -> DataF
             # No component is sure of its shortest edge: its points are searched.
             found = _outside(blocks, labels, state.select("comp", "best"))
             seen = found.select(F.col("p").alias("f"), F.col("w").alias("found"))
-            labels = stored(labels.join(seen, F.col("p") == F.col("f"), "left").withColumn("least", F.greatest("least", F.coalesce("found", "least"))).drop("f", "found"))
+            labels = _instead(labels, labels.join(seen, F.col("p") == F.col("f"), "left").withColumn("least", F.greatest("least", F.coalesce("found", "least"))).drop("f", "found"))
             more = found.where("other >= 0").select(F.col("p").alias("a"), F.col("other").alias("b"), "w")
-            known = stored(_undirected(known.unionByName(more)))
+            known = _instead(known, _undirected(known.unionByName(more)))
+            discard(found)
             continue
         chosen.append(picks.select("a", "b", "w").distinct())
         ends = _ends(picks.select("comp", "to"))
-        labels = stored(labels.join(ends, "comp", "left").withColumn("comp", F.coalesce("end", "comp")).drop("end"))
-        known = stored(_across(known, labels).select("a", "b", "w"))
+        labels = _instead(labels, labels.join(ends, "comp", "left").withColumn("comp", F.coalesce("end", "comp")).drop("end"))
+        known = _instead(known, _across(known, labels).select("a", "b", "w"))
+    for used in (blocks, labels, known):
+        discard(used)
     if not chosen:
         return points.sparkSession.createDataFrame([], "a long, b long, w double")
     tree = chosen[0]
@@ -282,6 +345,14 @@ def spanning_tree(points: DataFrame, min_size: int, block: int = BLOCK) -> DataF
     return stored(tree)
 
 
+def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` stored, and neither what was stored as ``old`` nor what was shuffled for ``new`` kept."""
+    new = stored(new)
+    discard(old)
+    release(new.sparkSession)
+    return new
+
+
 def small_tree(points: pd.DataFrame, min_size: int) -> pd.DataFrame:
     """:func:`spanning_tree` of the points of one block: from one point on, the shortest edge outwards each time."""
     points = points.sort_values("p")
@@ -324,8 +395,10 @@ def _outside(blocks: DataFrame, labels: DataFrame, unsure: DataFrame) -> DataFra
     told = F.sort_array(F.collect_list(F.struct("at", "comp", "core", "active", F.coalesce("upto", F.lit(0.0)).alias("upto"))))  # a block's points
     packed = rows.groupBy("block").agg(told.alias("t"), F.max(F.when(F.col("active"), F.col("upto"))).alias("tau"))
     packed = checkpointed(packed.select("block", "tau", *[F.col(f"t.{c}").alias(c) for c in ("comp", "core", "active", "upto")]))
-    wanted = _wanted(blocks, packed.where("tau is not null").select("block", "tau"))
-    return _met(blocks.join(packed.drop("tau"), "block"), wanted, _search_outside, "p long, other long, w double")
+    told = _in_files(blocks.join(packed.drop("tau"), "block"), blocks)
+    found = _met(told, packed.where("tau is not null"), _search_outside, "p long, other long, w double")
+    discard(told)
+    return found
 
 
 def _ends(picks: DataFrame) -> DataFrame:

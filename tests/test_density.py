@@ -1,5 +1,7 @@
 """Clusters by density: against a plain reading of the definition, one threshold after the other."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -134,3 +136,63 @@ def test_only_the_nearest_are_sorted(monkeypatch):
                 assert state[0][row, : len(best)].tolist() == seen_d[row, best].tolist() and state[1][row, : len(best)].tolist() == seen_i[best].tolist()
                 assert state[2][row, : len(best)].tolist() == (seen_i[best] % 7 + 1).tolist()
         assert n < 400 or max(widest[-4:]) <= 20
+
+
+def test_a_search_sends_no_block_to_every_team(spark, monkeypatch):
+    """In many dimensions every block wants all others: what is shuffled stays a few times the points, and the neighbours are the nearest, read by several tasks."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate((unit(rng.normal(size=(900, 64))), unit(rng.normal(size=(1, 64))).repeat(3, axis=0)))
+    monkeypatch.setattr(density, "TEAM", 4)
+    points = density.points_of(frame(spark, x))
+    blocks = density.blocked(points, 16)
+    assert blocks.count() > 40
+    seen = shuffled(spark)
+    rows = density.neighbours(blocks, 3).collect()
+    sent = shuffled(spark) - seen
+    assert sent < 8 * x.nbytes, f"{sent} bytes shuffled for {x.nbytes} of vectors"
+    d = np.round(np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(axis=2))), 9)
+    assert sorted(r.p for r in rows) == list(range(901))
+    for r in rows:
+        apart = np.delete(d[r.p, :901], r.p)
+        assert np.abs(np.sort(apart)[:16] - np.array(r.d)).max() < 2e-9 and abs(np.sort(d[r.p])[2] - r.core) < 2e-9
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_own_blocks_come_in_any_order(spark):
+    """A store may hand out its files in another order: own blocks are awaited, and nothing that came before them is lost."""
+    x = unit(np.random.default_rng(6).normal(size=(120, 20)))
+    blocks = density.blocked(density.points_of(frame(spark, x)), 8)
+    plain = density._read_by_each
+
+    def backwards(*args):
+        return plain(*args).repartition(3, "team").sortWithinPartitions("team", "own", "block")
+
+    def found():
+        return sorted((r.p, tuple(r.others), tuple(r.d)) for r in density.neighbours(blocks, 3).collect())
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(density, "MOST_COPIES", 0)
+        direct = found()
+        patch.setattr(density, "_read_by_each", backwards)
+        assert found() == direct
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(density, "MOST_COPIES", 10**9)
+        assert found() == direct
+
+
+def test_rounds_leave_only_the_tree(spark):
+    """What a round replaces goes from the shared folder at once."""
+    from lumenfold.session import shared_dir
+
+    kept = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).glob("stored-*")}
+    points = density.points_of(frame(spark, unit(np.random.default_rng(7).normal(size=(60, 5)))))
+    before = kept()
+    tree = density.spanning_tree(points, 3, 16)
+    assert len(kept() - before) == 1 and tree.count() == 59
