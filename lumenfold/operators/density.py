@@ -41,6 +41,8 @@ TEAM = 16
 MOST_COPIES = 4
 #: Points of a task's own blocks when it reads all others.
 MOST_POINTS = 65_536
+#: Points that others are compared with at once, blocks together.
+AT_ONCE = 1024
 #: Blocks of a file.
 PER_FILE = 64
 NEIGHBOURS = 16
@@ -211,14 +213,24 @@ def _matrix(row: dict) -> np.ndarray:
 def _take_nearest(d: np.ndarray, ids: np.ndarray, counts: np.ndarray, dist: np.ndarray, who: np.ndarray, many: np.ndarray) -> None:
     """The nearest of what is known and of ``d``, by distance and id, in place. Only what is no farther than the last known one is sorted."""
     k = dist.shape[1]
-    rows = np.flatnonzero(d.min(axis=1) <= dist[:, -1])
+    hit = d <= dist[:, -1:]
+    hits = hit.sum(axis=1)
+    rows = np.flatnonzero(hits)
     if not len(rows):
         return
-    d = d[rows]
+    d, hit, hits = d[rows], hit[rows], hits[rows]
+    at = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    if 4 * hits.max() < d.shape[1]:  # few: these alone, side by side
+        r, c = np.nonzero(hit)
+        place = np.arange(len(r)) - (np.cumsum(hits) - hits)[r]
+        few, at = np.full((len(rows), hits.max()), np.inf), np.zeros((len(rows), hits.max()), np.int64)
+        few[r, place], at[r, place] = d[r, c], c
+        d = few
     upto = np.minimum(dist[rows, -1], np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] > k else dist[rows, -1]
     width = int((d <= upto[:, None]).sum(axis=1).max())  # ties beyond k too, which ids decide
     near = np.argpartition(d, width - 1, axis=1)[:, :width]
-    all_d, all_i, all_c = np.concatenate((dist[rows], np.take_along_axis(d, near, axis=1)), axis=1), np.concatenate((who[rows], ids[near]), axis=1), np.concatenate((many[rows], counts[near]), axis=1)
+    at = np.take_along_axis(at, near, axis=1)
+    all_d, all_i, all_c = np.concatenate((dist[rows], np.take_along_axis(d, near, axis=1)), axis=1), np.concatenate((who[rows], ids[at]), axis=1), np.concatenate((many[rows], counts[at]), axis=1)
     best = np.lexsort((all_i, all_d), axis=1)[:, :k]
     dist[rows], who[rows], many[rows] = (np.take_along_axis(a, best, axis=1) for a in (all_d, all_i, all_c))
 
@@ -226,7 +238,32 @@ def _take_nearest(d: np.ndarray, ids: np.ndarray, counts: np.ndarray, dist: np.n
 def _apart(own: list[dict]):
     """How far a block is at least from each of these; not at all from itself."""
     names, centres, radii = np.array([r["block"] for r in own]), np.array([r["centre"] for r in own]), np.array([r["radius"] for r in own])
-    return lambda other: np.where(names == other["block"], -1.0, np.linalg.norm(centres - np.asarray(other["centre"]), axis=1) - radii - other["radius"])
+    return lambda other: np.where(names == other["block"], -np.inf, np.linalg.norm(centres - np.asarray(other["centre"]), axis=1) - radii - other["radius"])
+
+
+def _at_once(met: Iterator[dict], apart, *columns: str) -> Iterator[tuple]:
+    """Blocks together, as many as have AT_ONCE points: their vectors, these columns, and a function that says which points a block of one's own has to look at,
+    by its number and how far it wants to know; nothing if none."""
+
+    def joined(group: list[dict]) -> tuple:
+        gaps = np.stack([apart(r) for r in group], axis=1)
+        whose = np.repeat(np.arange(len(group)), [len(r["p"]) for r in group])
+
+        def wanted(i: int, upto: float) -> slice | np.ndarray | None:
+            near = gaps[i] <= upto
+            return slice(None) if near.all() else near[whose] if near.any() else None
+
+        return np.concatenate([_matrix(r) for r in group]), *(np.concatenate([np.asarray(r[c]) for r in group]) for c in columns), {r["block"] for r in group}, wanted
+
+    group, n = [], 0
+    for row in met:
+        group.append(row)
+        n += len(row["p"])
+        if n >= AT_ONCE:
+            yield joined(group)
+            group, n = [], 0
+    if group:
+        yield joined(group)
 
 
 def _search_neighbours(k: int, min_size: int):
@@ -235,14 +272,15 @@ def _search_neighbours(k: int, min_size: int):
     def run(own: list[dict], met: Iterator[dict]) -> Iterator[pd.DataFrame]:
         apart, farthest = _apart(own), np.full(len(own), np.inf)
         state = [(_matrix(r), np.asarray(r["p"]), np.full((len(r["p"]), k), np.inf), np.full((len(r["p"]), k), -1), np.zeros((len(r["p"]), k), np.int64)) for r in own]
-        for other in met:
-            y, ids, counts = _matrix(other), np.asarray(other["p"]), np.asarray(other["copies"])
-            for i in np.flatnonzero(apart(other) <= farthest):
-                x, mine, dist, who, many = state[i]
-                d = _distances(x, y)
-                if own[i]["block"] == other["block"]:
-                    d[mine[:, None] == ids[None]] = np.inf
-                _take_nearest(d, ids, counts, dist, who, many)
+        for y, ids, counts, names, wanted in _at_once(met, apart, "p", "copies"):
+            for i, (x, mine, dist, who, many) in enumerate(state):
+                part = wanted(i, farthest[i])
+                if part is None:
+                    continue
+                d = _distances(x, y[part])
+                if own[i]["block"] in names:
+                    d[mine[:, None] == ids[part][None]] = np.inf
+                _take_nearest(d, ids[part], counts[part], dist, who, many)
                 farthest[i] = dist[:, -1].max()
         for r, (_, mine, dist, who, many) in zip(own, state):
             found = []
@@ -265,19 +303,22 @@ def _search_outside(own: list[dict], met: Iterator[dict]) -> Iterator[pd.DataFra
         active = np.flatnonzero(np.asarray(r["active"], bool))
         state.append((active, _matrix(r)[active], np.asarray(r["core"])[active], np.asarray(r["comp"])[active], np.asarray(r["upto"])[active].copy(), np.full(len(active), -1)))
     farthest = np.array([upto.max(initial=-np.inf) for *_, upto, _ in state])
-    for other in met:
-        y, ids, core, comp = _matrix(other), np.asarray(other["p"]), np.asarray(other["core"]), np.asarray(other["comp"])
+    for y, ids, core, comp, _, wanted in _at_once(met, apart, "p", "core", "comp"):
         one = (comp == comp[0]).all()
-        for i in np.flatnonzero(apart(other) <= farthest):
-            active, x, mine, own_comp, upto, who = state[i]
-            if one and (own_comp == comp[0]).all():
+        for i, (_, x, mine, own_comp, upto, who) in enumerate(state):
+            part = wanted(i, farthest[i])
+            if part is None or one and (own_comp == comp[0]).all():
                 continue
-            w = np.maximum(np.maximum(_distances(x, y), mine[:, None]), core[None])
-            w[own_comp[:, None] == comp[None]] = np.inf
+            w = np.maximum(np.maximum(_distances(x, y[part]), mine[:, None]), core[part][None])
+            w[own_comp[:, None] == comp[part][None]] = np.inf
             least = w.min(axis=1)
-            best = np.where(w == least[:, None], ids[None], np.iinfo(np.int64).max).min(axis=1)
-            better = (least < upto) | (least == upto) & np.isfinite(least) & ((who < 0) | (best < who))
-            upto[better], who[better] = least[better], best[better]
+            rows = np.flatnonzero((least <= upto) & np.isfinite(least))
+            if not len(rows):
+                continue
+            w, least = w[rows], least[rows]
+            best = np.where(w == least[:, None], ids[part][None], np.iinfo(np.int64).max).min(axis=1)
+            better = (least < upto[rows]) | (who[rows] < 0) | (best < who[rows])
+            upto[rows[better]], who[rows[better]] = least[better], best[better]
             farthest[i] = upto.max()
     for r, (active, _, _, _, upto, who) in zip(own, state):
         yield pd.DataFrame({"p": np.asarray(r["p"])[active], "other": who, "w": upto})

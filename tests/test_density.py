@@ -196,3 +196,36 @@ def test_rounds_leave_only_the_tree(spark):
     before = kept()
     tree = density.spanning_tree(points, 3, 16)
     assert len(kept() - before) == 1 and tree.count() == 59
+
+
+def test_small_blocks_are_compared_together(monkeypatch):
+    """One comparison for many small blocks, and what comparing all points gives; far blocks are left out of it."""
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate((rng.normal(size=(160, 6)), rng.normal(size=(40, 6)) + 1000)), 1)  # with equal distances
+    d = density._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    core, comp = np.sort(d, axis=1)[:, 1], np.arange(200) // 3
+    blocks = []
+    for b in range(25):
+        at = slice(8 * b, 8 * b + 8)
+        centre = x[at].mean(axis=0)
+        told = {"core": core[at], "comp": comp[at], "active": np.arange(8) < b % 9, "upto": np.full(8, np.inf)}
+        blocks.append({"block": b, "p": np.arange(200)[at], "copies": np.ones(8, int), "data": x[at].tobytes(), "centre": centre, "radius": density._distances(x[at], centre[None]).max() + 1e-8, **told})
+    sizes, plain = [], density._distances
+    monkeypatch.setattr(density, "_distances", lambda a, b: sizes.append(len(b)) or plain(a, b))
+    for most, together in ((1024, 1), (60, 4)):
+        monkeypatch.setattr(density, "AT_ONCE", most)
+        sizes.clear()
+        rows = np.concatenate([f[["p", "least"]].to_numpy() for f in density._search_neighbours(8, 3)(blocks, iter(blocks))])
+        found = {r.p: r for f in density._search_neighbours(8, 3)(blocks, iter(blocks)) for r in f.itertuples()}
+        assert len(rows) == 200 and len(sizes) <= 2 * 25 * together
+        for p, r in found.items():
+            best = np.lexsort((np.arange(200), d[p]))[:8]
+            assert r.others == best.tolist() and r.d == d[p][best].tolist() and r.core == core[p]
+        sizes.clear()
+        w = np.maximum(np.maximum(d, core[:, None]), core[None])
+        w[comp[:, None] == comp[None]] = np.inf
+        for r in (r for f in density._search_outside(blocks, iter(blocks)) for r in f.itertuples()):
+            assert (r.other, r.w) == (w[r.p].argmin(), w[r.p].min())
+        assert len(sizes) <= 25 * together
+    assert min(sizes) < 60  # the far ones alone, or the near ones
